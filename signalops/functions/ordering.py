@@ -25,10 +25,10 @@ def bucketed_row_number(df: DataFrame, keys: list[str], order: list[str], bucket
     before = W.partitionBy(*keys).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*keys, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     local = W.partitionBy(*keys, b).orderBy(*order)
-    ranked = tagged.withColumn("__rn", F.row_number().over(local))
+    ranked = tagged.withColumn("__local", F.row_number().over(local))
     return (ranked.join(offsets, [*keys, b])
-            .withColumn(name, (F.col("__rn") + F.col("__off")).cast("bigint"))
-            .drop(b, "__rn", "__off"))
+            .withColumn(name, (F.col("__local") + F.col("__off")).cast("bigint"))
+            .drop(b, "__local", "__off"))
 
 
 def hash_row_number(df: DataFrame, keys: list[str], hash_col: str, tie: str, buckets: int = 64,

@@ -234,23 +234,27 @@ def coherence(epochs: DataFrame, pairs: list[tuple[str, str]], fs: float, nperse
     wide = channel_columns(z, epoch_keys, channels, "z")
     f = frequencies(fs, nperseg)
 
-    def at(c: str, s: int, k: int, part: int) -> Column:
-        return F.col(c)[part * segs * bins + s * bins + k]
-
-    def coh(k: int) -> Column:
-        a, b = "za", "zb"
-        re = add_all([at(a, s, k, 0) * at(b, s, k, 0) + at(a, s, k, 1) * at(b, s, k, 1) for s in range(segs)])
-        im = add_all([at(a, s, k, 1) * at(b, s, k, 0) - at(a, s, k, 0) * at(b, s, k, 1) for s in range(segs)])
-        pa = add_all([at(a, s, k, 0) * at(a, s, k, 0) + at(a, s, k, 1) * at(a, s, k, 1) for s in range(segs)])
-        pb = add_all([at(b, s, k, 0) * at(b, s, k, 0) + at(b, s, k, 1) * at(b, s, k, 1) for s in range(segs)])
+    used = [k for k, x in enumerate(f) if any(lo <= x < hi for lo, hi in bands.values())]
+    za, zb, imag = F.col("za"), F.col("zb"), segs * bins
+
+    def over_segments(k: Column, term) -> Column:
+        # Position of bin k in each segment; real parts come first, imaginary parts after.
+        return F.aggregate(F.sequence(F.lit(0), F.lit(segs - 1)), F.lit(0.0), lambda acc, s: acc + term(s * bins + k))
+
+    def coh(k: Column) -> Column:
+        re = over_segments(k, lambda i: F.get(za, i) * F.get(zb, i) + F.get(za, i + imag) * F.get(zb, i + imag))
+        im = over_segments(k, lambda i: F.get(za, i + imag) * F.get(zb, i) - F.get(za, i) * F.get(zb, i + imag))
+        pa = over_segments(k, lambda i: F.get(za, i) * F.get(za, i) + F.get(za, i + imag) * F.get(za, i + imag))
+        pb = over_segments(k, lambda i: F.get(zb, i) * F.get(zb, i) + F.get(zb, i + imag) * F.get(zb, i + imag))
         return safe_div(re * re + im * im, pa * pb)
 
     rows = F.array(*[F.struct(F.lit(a).alias("ch_a"), F.lit(b).alias("ch_b"),
                               F.col(f"ch_{a}").alias("za"), F.col(f"ch_{b}").alias("zb")) for a, b in pairs])
     each = wide.select(*epoch_keys, F.inline(rows)).where(F.col("za").isNotNull() & F.col("zb").isNotNull())
+    each = each.withColumn("c", F.transform(F.array(*[F.lit(k) for k in used]), coh))
     per_band = F.array(*[
-        F.struct(F.lit(n).alias("band"), (add_all([coh(k) for k in ks]) / len(ks)).alias("c"))
-        for n, (lo, hi) in bands.items() if (ks := [k for k, x in enumerate(f) if lo <= x < hi])])
+        F.struct(F.lit(n).alias("band"), (add_all([F.col("c")[i] for i in at]) / len(at)).alias("c"))
+        for n, (lo, hi) in bands.items() if (at := [i for i, k in enumerate(used) if lo <= f[k] < hi])])
     return (each.select(*epoch_keys, "ch_a", "ch_b", F.inline(per_band))
             .groupBy(*by, "ch_a", "ch_b", "band").agg(F.avg("c").alias("coherence")))
 
@@ -272,9 +276,10 @@ def band_covariance(epochs: DataFrame, channels: list[str], fs: float, n_samples
 
     def cov(lo: float, hi: float) -> Column:
         ks = [k for k in range(1, nb) if lo <= k * fs / n_samples < hi]
-        dup = [1.0 if (n_samples % 2 == 0 and k == nb - 1) else 2.0 for k in ks]
-        s = add_all([(F.col("za")[k] * F.col("zb")[k] + F.col("za")[nb + k] * F.col("zb")[nb + k]) * d
-                     for k, d in zip(ks, dup)])
+        twice = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(1.0 if 2 * k == n_samples else 2.0).alias("d")) for k in ks])
+        za, zb = F.col("za"), F.col("zb")
+        s = F.aggregate(twice, F.lit(0.0), lambda acc, b: acc + b["d"] * (
+            F.get(za, b["k"]) * F.get(zb, b["k"]) + F.get(za, b["k"] + nb) * F.get(zb, b["k"] + nb)))
         return s / float(n_samples * (n_samples - 1))
 
     per_band = F.array(*[F.struct(F.lit(b).alias("band"), cov(lo, hi).alias("c")) for b, (lo, hi) in bands.items()])

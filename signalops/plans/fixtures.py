@@ -230,7 +230,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "FX_PSD": (["FX_LONG"], """select subject_id, condition, epoch_id, channel, vec_id, k, k::double as freq,
         (case when k in (0, 32) then 1 else 2 end) * (pow(sum(v * cos(2 * pi() * k * n / 64)), 2) + pow(sum(v * sin(2 * pi() * k * n / 64)), 2)) / (64 * 24.0::double) as p
         from (select * replace ((v - avg(v) over (partition by vec_id)) * (0.5 - 0.5 * cos(2 * pi() * n / 64)) as v) from FX_LONG),
-             (select unnest(range(0, 33)) as k) group by all"""),
+             (select unnest(range(0, 33)) as k) group by subject_id, condition, epoch_id, channel, vec_id, k"""),
     "FX_MPSD": (["FX_PSD"], "select subject_id, condition, channel, k, freq, avg(p) as p from FX_PSD group by all"),
     "FX_BP": (["FX_MPSD"], f"""select s.subject_id, s.condition, s.channel, band, abs_power, abs_power / total as rel_power from (
         select subject_id, condition, channel, band, sum((p + q) / 2) as abs_power from (

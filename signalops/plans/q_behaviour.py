@@ -51,7 +51,7 @@ def _(spark, sf):
       array_to_string(string_split(n::varchar, ''), ' - ') as digits, correct::bigint as score from q where n % 5 <> 0""")
 def _(spark, sf):
     # The administered form stores each condition as one short nested list in presentation order.
-    t = F.struct("turn", F.col("span"), F.split(F.col("n").cast("string"), "(?!^)").alias("digits"),
+    t = F.struct("turn", F.col("span"), F.regexp_extract_all(F.col("n").cast("string"), F.lit(r"\d"), F.lit(0)).alias("digits"),
                  F.when(F.col("n") % 5 != 0, F.col("correct").cast("bigint")).alias("correct"))
     pick = lambda c: F.array_sort(F.collect_list(F.when(F.col("condition") == c, t)))
     nested = _conv(spark, sf).groupBy("conv_id").agg(pick("user").alias("fw"), pick("assistant").alias("bw"))
