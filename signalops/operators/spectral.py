@@ -173,30 +173,32 @@ def peak_frequency(psd: DataFrame, fs: float, nperseg: int, lo: float = 7.0, hi:
                    share: float = 0.30, within: float = 2.0) -> DataFrame:
     """Adds centroid and paf: the highest prominent local peak if near the centroid, else the centroid.
 
-    The closed band has few bins, so peaks and prominences are plain expressions per bin.
+    A peak's prominence is its height above the higher of its two bases; a base is the lowest
+    value going outward until a higher bin. The band is a short slice, scanned in place.
     """
     f = frequencies(fs, nperseg)
     ks = [k for k, x in enumerate(f) if lo <= x <= hi]
-    p = [F.col("psd")[k] for k in ks]
-    top = F.greatest(*p)
-
-    def base(i: int, step: int) -> Column:
-        # Lowest value going outward until a bin higher than the peak.
-        idx = list(range(i + step, -1 if step < 0 else len(p), step))
-        low = F.lit(float("inf"))
-        for j in reversed(idx):
-            low = F.when(p[j] > p[i], F.lit(float("inf"))).otherwise(F.least(p[j], low))
-        return low
-
-    peaks = []
-    for i in range(1, len(p) - 1):
-        prominent = p[i] - F.greatest(base(i, -1), base(i, 1)) >= top * share
-        is_peak = (p[i] > p[i - 1]) & (p[i] > p[i + 1]) & prominent
-        peaks.append(F.when(is_peak, F.struct(p[i].alias("h"), F.lit(-i).alias("o"), F.lit(f[ks[i]]).alias("f"))))
-    best = F.array_max(F.array(*peaks))["f"] if peaks else F.lit(None).cast("double")
-    out = psd.withColumn("centroid", spectral_centroid(fs, nperseg, lo, hi)).withColumn("__peak", best)
+    out = psd.withColumn("centroid", spectral_centroid(fs, nperseg, lo, hi)).withColumn(
+        "__b", F.slice("psd", ks[0] + 1, len(ks)))
+    top = F.array_max("__b")
+
+    def base(outward: Column, height: Column) -> Column:
+        start = F.struct(F.lit(float("inf")).alias("low"), F.lit(False).alias("done"))
+        return F.aggregate(outward, start, lambda s, v: F.struct(
+            F.when(s["done"] | (v > height), s["low"]).otherwise(F.least(s["low"], v)).alias("low"),
+            (s["done"] | (v > height)).alias("done")))["low"]
+
+    def peak(v: Column, i: Column) -> Column:
+        left, right = F.get("__b", i - 1), F.get("__b", i + 1)
+        lowest = F.greatest(base(F.reverse(F.slice("__b", F.lit(1), i)), v),
+                            base(F.slice("__b", i + 2, F.size("__b") - i - 1), v))
+        hit = (v > left) & (v > right) & (v - lowest >= top * share)
+        return F.when(hit, F.struct(v.alias("h"), (-i).alias("o"), (F.lit(f[ks[0]]) + i * (fs / nperseg)).alias("f")))
+
+    # Edge bins have a NULL neighbour and so are never peaks; ties go to the lower frequency.
+    out = out.withColumn("__peak", F.array_max(F.transform("__b", peak))["f"])
     near = F.abs(F.col("__peak") - F.col("centroid")) < within
-    return out.withColumn("paf", F.when(near, F.col("__peak")).otherwise(F.col("centroid"))).drop("__peak")
+    return out.withColumn("paf", F.when(near, F.col("__peak")).otherwise(F.col("centroid"))).drop("__peak", "__b")
 
 
 # ---------------------------------------------------------------- cross-channel measures
