@@ -73,27 +73,32 @@ def reactivity(power: DataFrame, band: str, channels: list[str], eo: str = "eo",
 
 # ---------------------------------------------------------------- composites on wide rows
 
-def zmean(df: DataFrame, cols: list[str], name: str) -> DataFrame:
-    """Mean of column z-scores (population sd); a constant column counts as missing.
+def zmeans(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """Means of column z-scores (population sd), one per named group; a constant column is missing.
 
-    Means and sds of all subjects are one aggregate row read as a scalar subquery, so the
-    rows themselves are not shuffled.
+    Means and sds of all columns are one aggregate row read as a scalar subquery, so the rows
+    themselves are not shuffled.
     """
-    cols = present(df, cols)
-    if not cols:
+    groups = {n: present(df, cols) for n, cols in groups.items()}
+    groups = {n: cols for n, cols in groups.items() if cols}
+    every = list(dict.fromkeys(c for cols in groups.values() for c in cols))
+    if not every:
         return df
-    stats = df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols],
-                            *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])).scalar()
+    stats = df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in every], *[F.stddev_pop(c).alias(f"s_{c}") for c in every])).scalar()
     t = df.withColumn("__st", stats)
-    z = [safe_div(F.col(c) - F.col(f"__st.m_{c}"), F.col(f"__st.s_{c}")) for c in cols]
-    return t.withColumn(name, row_mean(z)).drop("__st")
+    z = {c: safe_div(F.col(c) - F.col(f"__st.m_{c}"), F.col(f"__st.s_{c}")) for c in every}
+    return t.withColumns({n: row_mean([z[c] for c in cols]) for n, cols in groups.items()}).drop("__st")
+
+
+def zmean(df: DataFrame, cols: list[str], name: str) -> DataFrame:
+    return zmeans(df, {name: cols})
 
 
 def tier1_composites(df: DataFrame, fm: list[str], pa: list[str], tbr: list[str], source: str = "abs") -> DataFrame:
     """Frontal theta, posterior alpha and log theta/beta, from absolute or periodic power."""
     family, tail = ("psd_abs", "") if source == "abs" else ("psd_periodic", "_periodic")
-    df = zmean(df, [f"eo_{family}_theta_{c}" for c in fm], f"fm_theta_eo{tail}")
-    df = zmean(df, [f"ec_{family}_alpha_{c}" for c in pa], f"posterior_alpha_ec{tail}")
+    df = zmeans(df, {f"fm_theta_eo{tail}": [f"eo_{family}_theta_{c}" for c in fm],
+                     f"posterior_alpha_ec{tail}": [f"ec_{family}_alpha_{c}" for c in pa]})
     theta = present(df, [f"eo_{family}_theta_{c}" for c in tbr])
     beta = present(df, [f"eo_{family}_beta_{c}" for c in tbr])
     if theta and beta:

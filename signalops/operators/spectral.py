@@ -79,10 +79,24 @@ def mean_psd(epochs: DataFrame, fs: float, nperseg: int, by: list[str]) -> DataF
 
 
 def trapezoid(values: Column, freqs: list[float], lo: float, hi: float, closed: bool = False) -> Column:
-    """Trapezoid over the bins in [lo, hi) (or [lo, hi]); 0.0 when the band has under two bins."""
+    """Trapezoid over the bins in [lo, hi) (or [lo, hi]); 0.0 when the band has under two bins.
+
+    Bins are evenly spaced, so it is the slice's sum less half of its two ends.
+    """
     ks = [k for k, f in enumerate(freqs) if lo <= f and (f <= hi if closed else f < hi)]
-    parts = [(values[a] + values[b]) / 2 * (freqs[b] - freqs[a]) for a, b in zip(ks, ks[1:])]
-    return add_all(parts) if parts else F.lit(0.0)
+    if len(ks) < 2:
+        return F.lit(0.0)
+    inner = F.aggregate(F.slice(values, ks[0] + 1, len(ks)), F.lit(0.0), lambda acc, p: acc + p)
+    return (inner - (values[ks[0]] + values[ks[-1]]) / 2) * (freqs[1] - freqs[0])
+
+
+def flattened(fs: float, nperseg: int, lo: float = 1.0, hi: float = 40.0) -> Column:
+    """Density over its aperiodic line, per bin; NULL outside the fitted range."""
+    def bin_(p: Column, k: Column) -> Column:
+        f = k * (fs / nperseg)
+        return F.when((f >= lo) & (f <= hi) & (p > 0), F.pow(
+            F.lit(10.0), F.log10(p) - F.col("offset") + F.col("exponent") * F.log10(f)))
+    return F.transform("psd", bin_)
 
 
 def band_power(psd: DataFrame, fs: float, nperseg: int, keys: list[str], bands: Bands = BANDS,
@@ -150,13 +164,9 @@ def periodic_power(fitted: DataFrame, fs: float, nperseg: int, keys: list[str],
     (Taken on the observed spectrum; no peak model is fitted.) NULL when a bin is undefined.
     """
     f = frequencies(fs, nperseg)
-    per = F.array(*[
-        F.pow(F.lit(10.0), F.log10(F.col("psd")[k]) - F.col("offset") + F.col("exponent") * math.log10(x))
-        if lo <= x <= hi else F.lit(None).cast("double") for k, x in enumerate(f)])
-    rows = F.array(*[F.struct(F.lit(b).alias("band"),
-                              trapezoid(F.col("__per"), [x if lo <= x <= hi else -1.0 for x in f], a, z).alias("periodic_power"))
-                     for b, (a, z) in bands.items()])
-    return fitted.select(*keys, per.alias("__per")).select(*keys, F.inline(rows))
+    rows = F.array(*[F.struct(F.lit(b).alias("band"), trapezoid(
+        F.col("__per"), f, max(a, lo), z if z <= hi else hi, closed=z > hi).alias("periodic_power")) for b, (a, z) in bands.items()])
+    return fitted.select(*keys, flattened(fs, nperseg, lo, hi).alias("__per")).select(*keys, F.inline(rows))
 
 
 # ---------------------------------------------------------------- peak frequency
@@ -447,14 +457,11 @@ def window_features(epochs: DataFrame, channels: list[str], fs: float, nperseg:
     """One wide row per window: absolute and relative band power and density features per channel."""
     f = frequencies(fs, nperseg)
     e = kde_features(welch_psd(epochs, fs, nperseg), kde_points)
-    total = trapezoid(F.col("psd"), f, f[0], f[-1], closed=True)
-    parts = {}
-    for b, (lo, hi) in bands.items():
-        power = trapezoid(F.col("psd"), f, lo, hi)
-        parts[f"bp_abs_{b}"] = power
-        parts[f"bp_rel_{b}"] = F.when(total > 0, power / F.when(total > 0, total)).otherwise(0.0)
-    e = e.withColumns(parts)
-    names = [*parts, "kde_mean", "kde_sd"]
+    e = e.withColumn("__total", trapezoid(F.col("psd"), f, f[0], f[-1], closed=True))
+    e = e.withColumns({f"bp_abs_{b}": trapezoid(F.col("psd"), f, lo, hi) for b, (lo, hi) in bands.items()})
+    e = e.withColumns({f"bp_rel_{b}": F.when(F.col("__total") > 0, F.col(f"bp_abs_{b}") / F.nullif("__total", F.lit(0.0))).otherwise(0.0)
+                       for b in bands})
+    names = [f"bp_{k}_{b}" for b in bands for k in ("abs", "rel")] + ["kde_mean", "kde_sd"]
     return e.groupBy(*keys).agg(*[F.max(F.when(F.col("channel") == c, F.col(n))).alias(f"{n}_{c}")
                                   for c in channels for n in names])
 

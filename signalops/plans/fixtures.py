@@ -5,10 +5,9 @@ Each view exists twice: as a DataFrame, and as SQL text for the independent chec
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from signalops.functions.lineage import cut
 from signalops.functions.hashing import ID_STEP, MODULUS, REP_STEP, SEED_STEP
 from signalops.functions.nulls import nan_to_null, safe_div
 from signalops.functions.ordering import bucketed_row_number, hour_bucket
@@ -137,24 +136,20 @@ def primitives_wide(spark: SparkSession, sf: str) -> DataFrame:
     The density array carries every family, so each is a row-local expression on it and the
     whole row costs one aggregate over epochs and one over channels.
     """
-    psd = spectral.peak_frequency(spectral.aperiodic_fit(mean_psd(spark, sf), FS, N), FS, N)
     f = spectral.frequencies(FS, N)
-    total = spectral.trapezoid(F.col("psd"), f, 0.5, 45.0, closed=True)
-    cells = [F.struct(F.lit("aperiodic_exponent").alias("family"), F.col("exponent").alias("value")),
-             F.struct(F.lit("aperiodic_offset").alias("family"), F.col("offset").alias("value")),
-             F.struct(F.lit("paf").alias("family"), F.col("paf").alias("value"))]
-    for b, (lo, hi) in spectral.BANDS.items():
-        p = spectral.trapezoid(F.col("psd"), f, lo, hi)
-        per = F.array(*[F.pow(F.lit(10.0), F.log10(F.col("psd")[k]) - F.col("offset") + F.col("exponent") * math.log10(x))
-                        if x >= 1 else F.lit(0.0) for k, x in enumerate(f)])
-        cells += [F.struct(F.lit(f"psd_abs_{b}").alias("family"), p.alias("value")),
-                  F.struct(F.lit(f"psd_rel_{b}").alias("family"), F.when(total > 0, p / total).otherwise(0.0).alias("value")),
-                  F.struct(F.lit(f"psd_periodic_{b}").alias("family"), spectral.trapezoid(per, f, lo, hi).alias("value"))]
-    long = psd.select(*REC, "channel", F.inline(F.array(*cells))).select(
-        *REC, F.concat_ws("_", "family", "channel").alias("feature"), "value")
+    psd = spectral.peak_frequency(spectral.aperiodic_fit(mean_psd(spark, sf), FS, N), FS, N)
+    psd = psd.withColumn("__per", spectral.flattened(FS, N)).withColumn("__total", spectral.trapezoid(F.col("psd"), f, 0.5, 45.0, closed=True))
+    psd = psd.withColumns({f"psd_abs_{b}": spectral.trapezoid(F.col("psd"), f, lo, hi) for b, (lo, hi) in spectral.BANDS.items()})
+    psd = psd.withColumns({
+        **{f"psd_rel_{b}": F.when(F.col("__total") > 0, F.col(f"psd_abs_{b}") / F.nullif("__total", F.lit(0.0))).otherwise(0.0) for b in spectral.BANDS},
+        **{f"psd_periodic_{b}": spectral.trapezoid(F.col("__per"), f, lo, hi) for b, (lo, hi) in spectral.BANDS.items()},
+        "aperiodic_exponent": F.col("exponent"), "aperiodic_offset": F.col("offset")})
     families = ["aperiodic_exponent", "aperiodic_offset", "paf"] + [
         f"psd_{k}_{b}" for b in spectral.BANDS for k in ("abs", "rel", "periodic")]
-    return spectral.to_wide(long, {"eo": "eo", "ec": "ec"}, [f"{m}_{c}" for m in families for c in CHANNELS])
+    at = lambda c, ch, m: F.max(F.when((F.col("condition") == c) & (F.col("channel") == ch), F.col(m))).alias(f"{c}_{m}_{ch}")
+    wide = psd.groupBy("subject_id").agg(*[at(c, ch, m) for c in ("eo", "ec") for m in families for ch in CHANNELS])
+    # Stage boundary: composites read these few rows more than once, so they are written once.
+    return cut(wide)
 
 
 def windows(spark: SparkSession, sf: str) -> DataFrame:
