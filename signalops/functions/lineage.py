@@ -1,16 +1,34 @@
-"""Cutting lineage where a computed float is used twice and both uses must agree."""
+"""Stage boundaries: results that several later steps read are written once."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_fallback: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _fallback:
+        _fallback[app] = tempfile.mkdtemp(prefix="signalops-")
+    return _fallback[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary one only when unset."""
+    """Write the frame as a table in the shared folder and read it back.
+
+    Used where a computed frame feeds more than one later step: it is computed once, both
+    uses see the same floats, a lost executor costs a re-read, and the planner knows its size.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="signalops-"))
-    return df.checkpoint()
+    path = os.path.join(shared_folder(spark), "signalops", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from signalops.functions.lineage import cut
+
 
 def hour_bucket(ts: str) -> Column:
     """Order-preserving bucket of a timestamp: hours since the epoch."""
@@ -38,10 +40,10 @@ def hash_row_number(df: DataFrame, keys: list[str], hash_col: str, tie: str, buc
     return bucketed_row_number(df, keys, [hash_col, tie], F.floor(F.col(hash_col) / F.lit(width)), name)
 
 
-def _edges(df: DataFrame, key: str, value: str, buckets: int) -> dict:
+def _edges(counts: DataFrame, key: str, value: str, buckets: int) -> dict:
     """Approximate quantile edges per key: keys come from the schema, so few and small."""
     probs = [i / buckets for i in range(1, buckets)]
-    rows = (df.groupBy(key)
+    rows = (counts.groupBy(key)
             .agg(F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), F.lit(1000)).alias("e"))
             .collect())
     return {r[key]: sorted(set(r["e"] or [])) for r in rows if r[key] is not None}
@@ -50,17 +52,16 @@ def _edges(df: DataFrame, key: str, value: str, buckets: int) -> dict:
 def value_positions(df: DataFrame, key: str, value: str, buckets: int = 64) -> DataFrame:
     """Distinct values of each key with ``n`` copies, ``below`` smaller rows and ``total`` rows.
 
-    ``key`` must be schema-bounded (measure or feature names). Ties are pre-aggregated before
-    the shuffle; the bucket edges only steer the layout and do not change the result.
+    ``key`` must be schema-bounded (measure or feature names). Ties are reduced on the map side
+    and the distinct values are written once, so the input is read in a single pass. The bucket
+    edges only steer the layout and do not change the result.
     """
-    clean = df.where(F.col(value).isNotNull())
-    edges = _edges(clean, key, value, buckets)
-    none = F.array().cast("array<double>")
-    bucket = F.lit(0)
-    for k, e in edges.items():
-        arr = F.array(*[F.lit(float(x)) for x in e]) if e else none
-        bucket = F.when(F.col(key) == F.lit(k), F.size(F.filter(arr, lambda x: x < F.col(value)))).otherwise(bucket)
-    counts = clean.groupBy(key, value).agg(F.count(F.lit(1)).alias("n")).withColumn("__b", bucket)
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n")))
+    edges = _edges(counts, key, value, buckets)
+    table = F.create_map(*[x for k, e in edges.items() for x in (
+        F.lit(k), F.array(*[F.lit(float(v)) for v in e]).cast("array<double>"))]) if edges else None
+    bucket = F.size(F.filter(F.element_at(table, F.col(key)), lambda x: x < F.col(value))) if edges else F.lit(0)
+    counts = counts.withColumn("__b", bucket)
     sizes = counts.groupBy(key, "__b").agg(F.sum("n").alias("__bn"))
     whole = W.partitionBy(key)
     offsets = sizes.select(

@@ -278,18 +278,16 @@ def direction_of(composite: str, target: str) -> str:
 
 def direction_priors(df: DataFrame, composite: str = "composite", targets: list[str] = PRIOR_TARGETS,
                      base: dict[str, str] | None = None) -> DataFrame:
-    """Long (..., target, direction): the per-target table overrides the global map."""
+    """One row per input row and target with its direction: the per-target table overrides the global map."""
     names = [*REGION_COMPOSITES, REACTIVITY_COMPOSITE]
-    base = base or {}
 
     def direction(t: str) -> Column:
-        own = [F.when(F.col(composite) == n, F.lit(direction_of(n, t))) for n in names]
-        other = [F.when(F.col(composite) == n, F.lit(d)) for n, d in base.items()]
-        return F.coalesce(*own, *other, F.lit("two_sided"))
+        table = {**(base or {}), **{n: direction_of(n, t) for n in names}}
+        lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+        return F.coalesce(F.element_at(lookup, F.col(composite)), F.lit("two_sided"))
 
-    wide = df.withColumns({f"dir_{t}": direction(t) for t in targets})
-    return wide.unpivot(df.columns, [f"dir_{t}" for t in targets], "target", "direction").withColumn(
-        "target", F.regexp_replace("target", "^dir_", ""))
+    rows = F.array(*[F.struct(F.lit(t).alias("target"), direction(t).alias("direction")) for t in targets])
+    return df.select("*", F.inline(rows))
 
 
 # ---------------------------------------------------------------- merge

@@ -134,16 +134,25 @@ def mcdonald_omega(wide: DataFrame, items: list[str], by: list[str] = ()) -> Dat
 
 # ---------------------------------------------------------------- diffusion model
 
-def ez_diffusion(mrt: Column, vrt: Column, pc: Column, s: float = 0.1) -> tuple[Column, Column, Column]:
-    """(drift, boundary, non-decision time) in closed form; NULL where undefined."""
-    valid = (pc > 0) & (pc < 1) & (vrt > 0) & (mrt > 0)
-    p = F.least(F.greatest(pc, F.lit(0.01)), F.lit(0.99))
-    lg = F.ln(p / (1 - p))
-    x = F.when(valid, lg * (lg * p * p - lg * p + p - 0.5) / F.when(valid, vrt))
-    v = F.when(x > 0, F.nullif(F.signum(p - 0.5) * s * F.pow(x, F.lit(0.25)), F.lit(0.0)))
-    a = s * s * lg / v
-    e = F.exp(-v * a / (s * s))
-    return v, a, mrt - (a / (2 * v)) * (1 - e) / (1 + e)
+def ez_diffusion(df: DataFrame, sets: list[tuple[str, str, str, tuple[str, str, str]]], s: float = 0.1) -> DataFrame:
+    """Adds (drift, boundary, non-decision time) in closed form; NULL where undefined.
+
+    ``sets`` lists (mean rt, variance of rt, accuracy, output names); all sets are computed
+    together in a few projection steps, so the expressions stay small.
+    """
+    n = range(len(sets))
+    valid = lambda m, v, p: (F.col(p) > 0) & (F.col(p) < 1) & (F.col(v) > 0) & (F.col(m) > 0)
+    d = df.withColumns({f"__p{i}": F.when(valid(*sets[i][:3]), F.least(F.greatest(F.col(sets[i][2]), F.lit(0.01)), F.lit(0.99))) for i in n})
+    d = d.withColumns({f"__l{i}": F.ln(F.col(f"__p{i}") / (1 - F.col(f"__p{i}"))) for i in n})
+    p, lg = (lambda i: F.col(f"__p{i}")), (lambda i: F.col(f"__l{i}"))
+    d = d.withColumns({f"__x{i}": lg(i) * (lg(i) * p(i) * p(i) - lg(i) * p(i) + p(i) - 0.5) / F.nullif(sets[i][1], F.lit(0.0)) for i in n})
+    d = d.withColumns({sets[i][3][0]: F.when(F.col(f"__x{i}") > 0, F.nullif(
+        F.signum(p(i) - 0.5) * s * F.pow(f"__x{i}", F.lit(0.25)), F.lit(0.0))) for i in n})
+    d = d.withColumns({sets[i][3][1]: s * s * lg(i) / F.col(sets[i][3][0]) for i in n})
+    d = d.withColumns({f"__e{i}": F.exp(-F.col(sets[i][3][0]) * F.col(sets[i][3][1]) / (s * s)) for i in n})
+    d = d.withColumns({sets[i][3][2]: F.col(sets[i][0]) - F.col(sets[i][3][1]) / (2 * F.col(sets[i][3][0]))
+                       * (1 - F.col(f"__e{i}")) / (1 + F.col(f"__e{i}")) for i in n})
+    return d.drop(*[f"__{k}{i}" for k in "plxe" for i in n])
 
 
 # ---------------------------------------------------------------- trial metrics
@@ -163,13 +172,10 @@ def trial_metrics(trials: DataFrame, by: list[str]) -> DataFrame:
         aggs += [F.avg(F.when(here, F.col("acc"))).alias(f"acc_{c}"), F.avg(F.when(here, F.col("rt"))).alias(f"rt_{c}"),
                  F.var_samp(F.when(here, F.col("rt"))).alias(f"__var_{c}")]
     m = valid_trials(trials).groupBy(*by).agg(*aggs)
-    v, a, t = ez_diffusion(F.col("rt_mean"), F.col("__var"), F.col("acc_overall"))
-    m = (m.withColumn("rt_cv", F.when(F.col("rt_mean") > 0, F.col("__sd") / F.when(F.col("rt_mean") > 0, F.col("rt_mean"))))
-         .withColumn("flanker_effect", F.col("rt_incongruent") - F.col("rt_congruent"))
-         .withColumns({"ddm_v": v, "ddm_a": a, "ddm_t": t}))
-    for c in ("congruent", "incongruent"):
-        cv, ca, ct = ez_diffusion(F.col(f"rt_{c}"), F.col(f"__var_{c}"), F.col(f"acc_{c}"))
-        m = m.withColumns({f"ddm_v_{c}": cv, f"ddm_a_{c}": ca, f"ddm_t0_{c}": ct})
+    m = (m.withColumn("rt_cv", F.when(F.col("rt_mean") > 0, F.col("__sd") / F.nullif("rt_mean", F.lit(0.0))))
+         .withColumn("flanker_effect", F.col("rt_incongruent") - F.col("rt_congruent")))
+    m = ez_diffusion(m, [("rt_mean", "__var", "acc_overall", ("ddm_v", "ddm_a", "ddm_t"))] + [
+        (f"rt_{c}", f"__var_{c}", f"acc_{c}", (f"ddm_v_{c}", f"ddm_a_{c}", f"ddm_t0_{c}")) for c in ("congruent", "incongruent")])
     m = m.withColumn("ddm_delta_v", F.col("ddm_v_congruent") - F.col("ddm_v_incongruent"))
     return m.drop("__var", "__sd", "__var_congruent", "__var_incongruent")
 

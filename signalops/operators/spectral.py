@@ -474,8 +474,13 @@ def to_wide(features: DataFrame, prefixes: dict[str, str], names: list[str], key
 
 
 def build_primitives(epochs: DataFrame, channels: list[str], pairs: list[tuple[str, str]], fs: float,
-                     n_samples: int, bands: Bands = BANDS, kept: list[int] | None = None) -> DataFrame:
-    """Every primitive of every subject and condition as long (subject, condition, feature, value)."""
+                     n_samples: int, bands: Bands = BANDS, kept: list[int] | None = None,
+                     families: list[str] | None = None) -> DataFrame:
+    """Primitives of every subject and condition as long (subject, condition, feature, value).
+
+    ``families`` limits the work to some of: psd, aperiodic, periodic, paf, entropy, coherence,
+    wavelet, hjorth, pac, covariance.
+    """
     rec = ["subject_id", "condition"]
     keys, ep, nps = [*rec, "channel"], [*rec, "epoch_id"], int(fs)
     kept = kept if kept is not None else list(range(0, WAVELET_N_FREQS, 5))
@@ -485,26 +490,29 @@ def build_primitives(epochs: DataFrame, channels: list[str], pairs: list[tuple[s
         cells = F.array(*[F.struct(n.alias("feature"), F.col(v).cast("double").alias("value")) for n, v in pairs_])
         return df.select(*rec, F.inline(cells))
 
-    def name(*parts: str) -> Column:
-        return F.concat_ws("_", *[F.lit(p[1:]) if p.startswith("=") else F.col(p) for p in parts])
-
-    fitted = aperiodic_fit(psd, fs, nps)
-    parts = [
-        long(band_power(psd, fs, nps, keys, bands), [(name("=psd_abs", "band", "channel"), "abs_power"),
-                                                     (name("=psd_rel", "band", "channel"), "rel_power")]),
-        long(fitted, [(name("=aperiodic_exponent", "channel"), "exponent"), (name("=aperiodic_offset", "channel"), "offset")]),
-        long(periodic_power(fitted, fs, nps, keys, bands), [(name("=psd_periodic", "band", "channel"), "periodic_power")]),
-        long(peak_frequency(psd, fs, nps), [(name("=paf", "channel"), "paf")]),
-        long(psd.withColumn("e", spectral_entropy(F.col("psd"))), [(name("=spectral_entropy", "channel"), "e")]),
-        long(coherence(epochs, pairs, fs, nps, n_samples, ep, rec, bands), [(name("=coh", "band", "ch_a", "ch_b"), "coherence")]),
-        long(wavelet_power(epochs, fs, n_samples, keys, kept).withColumn("f", F.concat(F.lit("f"), "scale")),
-             [(name("=cwt_pow", "channel", "f"), "power"), (name("=cwt_var", "channel", "f"), "variance"),
-              (name("=cwt_ratio", "channel", "f"), "late_early")]),
-        long(hjorth(epochs, keys), [(name(f"=hjorth_{h}", "channel"), h) for h in ("activity", "mobility", "complexity")]),
-        long(pac_modulation_index(epochs, fs, n_samples, [*ep, "channel"], keys), [(name("=pac_theta_beta", "channel"), "pac_mi")]),
-        long(band_covariance(epochs, channels, fs, n_samples, ep, rec, bands), [(name("=cov", "band", "ch_i", "ch_j"), "cov")]),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
+    def name(prefix: str, *cols: str) -> Column:
+        return F.concat_ws("_", F.lit(prefix), *cols)
+
+    def fitted() -> DataFrame:
+        return aperiodic_fit(psd, fs, nps)
+
+    parts = {
+        "psd": lambda: long(band_power(psd, fs, nps, keys, bands), [
+            (name("psd_abs", "band", "channel"), "abs_power"), (name("psd_rel", "band", "channel"), "rel_power")]),
+        "aperiodic": lambda: long(fitted(), [(name("aperiodic_exponent", "channel"), "exponent"), (name("aperiodic_offset", "channel"), "offset")]),
+        "periodic": lambda: long(periodic_power(fitted(), fs, nps, keys, bands), [(name("psd_periodic", "band", "channel"), "periodic_power")]),
+        "paf": lambda: long(peak_frequency(psd, fs, nps), [(name("paf", "channel"), "paf")]),
+        "entropy": lambda: long(psd.withColumn("e", spectral_entropy(F.col("psd"))), [(name("spectral_entropy", "channel"), "e")]),
+        "coherence": lambda: long(coherence(epochs, pairs, fs, nps, n_samples, ep, rec, bands), [(name("coh", "band", "ch_a", "ch_b"), "coherence")]),
+        "wavelet": lambda: long(
+            wavelet_power(epochs, fs, n_samples, keys, kept).withColumn("f", F.concat(F.lit("f"), "scale")),
+            [(name("cwt_pow", "channel", "f"), "power"), (name("cwt_var", "channel", "f"), "variance"), (name("cwt_ratio", "channel", "f"), "late_early")]),
+        "hjorth": lambda: long(hjorth(epochs, keys), [(name(f"hjorth_{h}", "channel"), h) for h in ("activity", "mobility", "complexity")]),
+        "pac": lambda: long(pac_modulation_index(epochs, fs, n_samples, [*ep, "channel"], keys), [(name("pac_theta_beta", "channel"), "pac_mi")]),
+        "covariance": lambda: long(band_covariance(epochs, channels, fs, n_samples, ep, rec, bands), [(name("cov", "band", "ch_i", "ch_j"), "cov")]),
+    }
+    chosen = [parts[f]() for f in (families or parts)]
+    out = chosen[0]
+    for p in chosen[1:]:
         out = out.unionByName(p)
     return out

@@ -168,8 +168,7 @@ METRICS = [m for m in rel.SPLIT_METRICS]
 @query("ez_diffusion", f"select id, {r('ddm_v', 6)} as v, {r('ddm_a', 6)} as a, {r('ddm_t', 6)} as ter from (select *, {ez_sql('m', 's2', 'p', '')} from (select id, avg(rt) as m, var_samp(rt) as s2, avg(acc) as p from FX_TRIALS group by 1))", "FX_TRIALS")
 def _(spark, sf):
     t = fx.trials(spark, sf).groupBy("id").agg(F.avg("rt").alias("m"), F.var_samp("rt").alias("s2"), F.avg("acc").alias("p"))
-    v, a, ter = rel.ez_diffusion(F.col("m"), F.col("s2"), F.col("p"))
-    return out(t.select("id", v.alias("v"), a.alias("a"), ter.alias("ter")), "id", v=6, a=6, ter=6)
+    return out(rel.ez_diffusion(t, [("m", "s2", "p", ("v", "a", "ter"))]), "id", v=6, a=6, ter=6)
 
 
 @query("trial_metrics", f"select id, n_trials, {', '.join(r(m, 6) + f' as {m}' for m in METRICS)} from ({metrics_sql('FX_TRIALS', 'id')})", "FX_TRIALS")

@@ -199,7 +199,8 @@ def _(spark, sf):
     with p as (select subject_id, f, value from FX_PRIM) select left(f, 2) as condition, substr(f, 4) as feature, count(*) as n_subjects, {r('avg(value)', 4)} as mean
     from p group by 1, 2""", "FX_PRIM")
 def _(spark, sf):
-    d = s.build_primitives(fx.epochs(spark, sf), fx.CHANNELS, PAIRS, fx.FS, fx.N, kept=[0, 10])
-    d = d.where(F.col("feature").rlike("^(psd|aperiodic|paf)_")).groupBy("condition", "feature").agg(
+    d = s.build_primitives(fx.epochs(spark, sf), fx.CHANNELS, PAIRS, fx.FS, fx.N,
+                           families=["psd", "aperiodic", "periodic", "paf"])
+    d = d.groupBy("condition", "feature").agg(
         F.count("value").alias("n_subjects"), F.avg("value").alias("mean"))
     return out(d, "condition feature n_subjects", mean=4)
