@@ -279,7 +279,7 @@ WIN = """good as (select * from FX_ANN where not contains(lower(description), 'b
     (s + 15 > rec_end and rec_end - 5 >= 15) as slid_back from st),
   rx as (select *, r_start + 15 as r_end, case when r_start is null then 'WINDOW_TOO_SHORT' else 'OK' end as window_status from rw),
   be as (select x.*, (select max(onset) from good g where g.subject_id = x.subject_id and g.onset > x.r_end + 1) as cand from rx x),
-  bl as (select *, case when r_start is not null then coalesce(least(cand, rec_end), rec_end - 1) end as block_end from be),
+  bl as (select *, case when r_start is not null then case when cand is not null then least(cand, rec_end) else rec_end - 1 end end as block_end from be),
   wn as (select *, case when block_end - 15 >= r_end then block_end - 15 end as b_start, case when block_end - 15 >= r_end then block_end end as b_end,
     r_start as d_start, greatest(block_end, r_end) as d_end from bl),
   wr as (select subject_id, condition, rec_end, 'response' as "window", r_start as w_start, r_end as w_end from wn where r_start is not null
