@@ -13,9 +13,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from signalops.functions.lineage import cut
 
 
-def hour_bucket(ts: str) -> Column:
-    """Order-preserving bucket of a timestamp: hours since the epoch."""
-    return F.unix_date(F.to_date(ts)).cast("bigint") * 24 + F.hour(ts)
+def minute_bucket(ts: str) -> Column:
+    """Order-preserving bucket of a timestamp: minutes since the epoch."""
+    return (F.unix_date(F.to_date(ts)).cast("bigint") * 24 + F.hour(ts)) * 60 + F.minute(ts)
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets per key: a few per shuffle partition, so a hot key still fills the cluster."""
+    return max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def bucketed_row_number(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
@@ -33,10 +38,10 @@ def bucketed_row_number(df: DataFrame, keys: list[str], order: list[str], bucket
             .drop(b, "__local", "__off"))
 
 
-def hash_row_number(df: DataFrame, keys: list[str], hash_col: str, tie: str, buckets: int = 64,
+def hash_row_number(df: DataFrame, keys: list[str], hash_col: str, tie: str, buckets: int | None = None,
                     modulus: int = 2147483647, name: str = "rn") -> DataFrame:
     """Row number in hash order; hash values are uniform, so equal-width buckets are even."""
-    width = modulus // buckets + 1
+    width = modulus // (buckets or bucket_count(df)) + 1
     return bucketed_row_number(df, keys, [hash_col, tie], F.floor(F.col(hash_col) / F.lit(width)), name)
 
 
@@ -44,12 +49,25 @@ def _edges(counts: DataFrame, key: str, value: str, buckets: int) -> dict:
     """Approximate quantile edges per key: keys come from the schema, so few and small."""
     probs = [i / buckets for i in range(1, buckets)]
     rows = (counts.groupBy(key)
-            .agg(F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), F.lit(1000)).alias("e"))
+            .agg(F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), F.lit(max(1000, 4 * buckets))).alias("e"))
             .collect())
     return {r[key]: sorted(set(r["e"] or [])) for r in rows if r[key] is not None}
 
 
-def value_positions(df: DataFrame, key: str, value: str, buckets: int = 64) -> DataFrame:
+def _bucket_of(edges: dict, key: str, value: str, fan: int = 64) -> Column:
+    """Bucket number of a value: every ``fan``-th edge first, then the edges inside that span."""
+    doubles = lambda v: F.array(*[F.lit(float(x)) for x in v]).cast("array<double>")
+    below = lambda arr: F.size(F.filter(arr, lambda x: x < F.col(value)))
+    coarse, fine = [], []
+    for k, e in edges.items():
+        coarse += [F.lit(k), doubles(e[fan - 1::fan])]
+        spans = [e[i:i + fan] for i in range(0, len(e) + 1, fan)]
+        fine += [F.lit(k), F.array(*[doubles(sp) for sp in spans])]
+    c = below(F.element_at(F.create_map(*coarse), F.col(key)))
+    return c * fan + below(F.get(F.element_at(F.create_map(*fine), F.col(key)), c))
+
+
+def value_positions(df: DataFrame, key: str, value: str, buckets: int | None = None) -> DataFrame:
     """Distinct values of each key with ``n`` copies, ``below`` smaller rows and ``total`` rows.
 
     ``key`` must be schema-bounded (measure or feature names). Ties are reduced on the map side
@@ -57,11 +75,8 @@ def value_positions(df: DataFrame, key: str, value: str, buckets: int = 64) -> D
     edges only steer the layout and do not change the result.
     """
     counts = cut(df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n")))
-    edges = _edges(counts, key, value, buckets)
-    table = F.create_map(*[x for k, e in edges.items() for x in (
-        F.lit(k), F.array(*[F.lit(float(v)) for v in e]).cast("array<double>"))]) if edges else None
-    bucket = F.size(F.filter(F.element_at(table, F.col(key)), lambda x: x < F.col(value))) if edges else F.lit(0)
-    counts = counts.withColumn("__b", bucket)
+    edges = _edges(counts, key, value, buckets or min(4096, bucket_count(df)))
+    counts = counts.withColumn("__b", _bucket_of(edges, key, value) if edges else F.lit(0))
     sizes = counts.groupBy(key, "__b").agg(F.sum("n").alias("__bn"))
     whole = W.partitionBy(key)
     offsets = sizes.select(
@@ -74,15 +89,15 @@ def value_positions(df: DataFrame, key: str, value: str, buckets: int = 64) -> D
             .select(key, value, "n", (F.col("__off") + F.col("__loc")).alias("below"), "total"))
 
 
-def average_rank_pct(df: DataFrame, key: str, value: str) -> DataFrame:
+def average_rank_pct(df: DataFrame, key: str, value: str, buckets: int | None = None) -> DataFrame:
     """Percentile in sample with average ties, per distinct value of each key."""
-    return (value_positions(df, key, value)
+    return (value_positions(df, key, value, buckets)
             .withColumn("pct_rank", (F.col("below") + (F.col("n") + 1) / 2.0) / F.col("total")))
 
 
-def exact_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float], buckets: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles per key, one column per entry of ``probs``."""
-    pos = value_positions(df, key, value)
+    pos = value_positions(df, key, value, buckets)
 
     def at(index: Column) -> Column:
         inside = (F.col("below") <= index) & (index < F.col("below") + F.col("n"))

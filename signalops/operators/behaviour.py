@@ -31,14 +31,17 @@ def digit_span_scores(trials: DataFrame, session: str, forward: str, backward: s
             .withColumn("total_raw", F.col("fw_raw") + F.col("bw_raw")))
 
 
-def trial_detail(sessions: DataFrame, session: str, conditions: dict[str, str]) -> DataFrame:
+def trial_detail(sessions: DataFrame, session: str, conditions: dict[str, str], start: str | None = None) -> DataFrame:
     """Flatten nested trials of both conditions; unscored trials are dropped.
 
-    Each nested column is an array of (span, digits, correct) in presentation order.
+    Each nested column is an array of (span, digits, correct) in presentation order. A long
+    session may come as several rows; ``start`` then names the position of a row's first trial.
     """
     out = None
     for label, column in conditions.items():
-        one = sessions.select(session, F.lit(label).alias("condition"), F.posexplode(column).alias("i", "t")).select(
+        first = F.col(start) if start else F.lit(0)
+        one = sessions.select(session, first.alias("__first"), F.lit(label).alias("condition"), F.posexplode(column).alias("__i", "t"))
+        one = one.withColumn("i", F.col("__first") + F.col("__i")).select(
             session, "condition", (F.floor(F.col("i") / 2) + 1).cast("bigint").alias("level"),
             (F.col("i") % 2 + 1).cast("bigint").alias("trial"), F.col("t.span").cast("bigint").alias("span"),
             F.array_join("t.digits", " - ").alias("digits"), F.col("t.correct").cast("bigint").alias("score"))

@@ -73,7 +73,7 @@ def notch_taps(fs: float, freq: float, half: int, width: float = 1.0) -> list[fl
 
 
 def fir_filter(samples: DataFrame, taps: list[float], by: list[str], chunk: int = 4096) -> DataFrame:
-    """Zero-phase FIR over regularly sampled ``t``; the first and last K samples are NULL.
+    """Zero-phase FIR over regularly sampled ``t``; NULL within K samples of an end or a gap.
 
     Each recording is cut into chunks of fixed length and every chunk borrows K samples from
     its neighbours, so one long recording is filtered by many tasks and no sample list is
@@ -96,7 +96,8 @@ def fir_filter(samples: DataFrame, taps: list[float], by: list[str], chunk: int
     # The i-th valid output belongs to the (i+K)-th sample of the chunk.
     body = F.transform("s", lambda s, i: F.struct(
         s["t"].alias("t"), s["value"].alias("value"),
-        F.when((i >= k) & (i < F.size("s") - k), F.get("y", i - k)).alias("filtered")))
+        F.when((i >= k) & (i < F.size("s") - k) & (F.get("s", i + k)["t"] - F.get("s", i - k)["t"] == 2 * k),
+               F.get("y", i - k)).alias("filtered")))
     return (packed.select(*by, "chunk", F.inline(body))
             .where(F.floor(F.col("t") / F.lit(chunk)) == F.col("chunk")).drop("chunk"))
 

@@ -174,6 +174,7 @@ def mlp_oof(folded: DataFrame, features: list[str], classes: list, row_id: str,
     lab = folded.schema[label].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(row_id)
         x, y = pdf[features].to_numpy(dtype="float64"), pdf[label].map(code).to_numpy()
         out = np.zeros((len(pdf), len(classes)))
         for f in np.unique(pdf["fold"]):
@@ -195,7 +196,7 @@ def mlp_oof(folded: DataFrame, features: list[str], classes: list, row_id: str,
     schema = f"`{subject}` {sub}, `{row_id}` {kind}, fold bigint, `{label}` {lab}, p array<double>"
     cols = [subject, row_id, F.col("fold").cast("bigint").alias("fold"), label, *features]
     small = folded.where(~F.col(subject).isin(big)) if big else folded
-    out = small.select(*cols).orderBy(row_id).groupBy(subject).applyInPandas(run, schema)
+    out = small.select(*cols).groupBy(subject).applyInPandas(run, schema)
     for s in big:
         out = out.unionByName(_mlp_distributed(folded.where(F.col(subject) == s).select(*cols), features, code, row_id,
                                                subject, label, hidden, iters, folds, seed))
@@ -290,47 +291,47 @@ def class_centroids(df: DataFrame, codes: dict, subject: str = "subject_id", lab
 def silhouette(df: DataFrame, subject: str = "subject_id", label: str = "label", block: int = 512) -> DataFrame:
     """Exact mean Euclidean silhouette in the plane, per subject.
 
-    Distances need every point against every point of the subject, but no pair rows are made:
-    points are packed into blocks of bounded size, block meets block in a join on the subject,
-    and each meeting yields one partial sum per point and class. A huge subject is spread over
-    (n / block)^2 small tasks. NULL with fewer than two classes or no more points than classes.
+    Distances need every point against every point of the subject, but no pair rows are made.
+    Equal points are merged into one weighted point first; points are packed into blocks of
+    bounded size, block meets block in a join on the subject, and each meeting yields one
+    partial sum per point and class. A huge subject is spread over (n / block)^2 small tasks.
+    NULL with fewer than two classes or no more windows than classes.
     """
     kind = df.schema[label].dataType.simpleString()
-    sizes = df.groupBy(subject).agg(F.count(F.lit(1)).alias("__n"), F.countDistinct(label).alias("__k"))
-    spread = df.join(sizes, subject)
-    slot = F.pmod(F.xxhash64("v", "a", label), F.ceil(F.col("__n") / F.lit(block)))
-    blocks = spread.withColumn("__b", slot).groupBy(subject, "__b", F.col("__n"), F.col("__k")).agg(
-        F.collect_list(F.struct(F.col("v").cast("double").alias("v"), F.col("a").cast("double").alias("a"),
-                                F.col(label).alias("c"))).alias("p"))
+    pts = df.groupBy(subject, F.col("v").cast("double").alias("v"), F.col("a").cast("double").alias("a"), F.col(label).alias("c")).agg(
+        F.count(F.lit(1)).alias("w"))
+    sizes = pts.groupBy(subject).agg(F.count(F.lit(1)).alias("__p"), F.sum("w").alias("__n"), F.countDistinct("c").alias("__k"))
+    slot = F.pmod(F.xxhash64("v", "a", "c"), F.ceil(F.col("__p") / F.lit(block)))
+    blocks = pts.join(sizes, subject).withColumn("__b", slot).groupBy(subject, "__b", "__n", "__k").agg(
+        F.collect_list(F.struct("v", "a", "c", "w")).alias("p"))
     left = blocks.select(subject, F.col("__b").alias("__b1"), "__n", "__k", F.col("p").alias("p1"))
-    right = blocks.select(subject, F.col("__b").alias("__b2"), F.col("p").alias("p2"))
+    right = blocks.select(subject, F.col("p").alias("p2"))
 
-    @F.pandas_udf(f"array<struct<i int, own {kind}, c {kind}, d double, m bigint>>")
+    @F.pandas_udf(f"array<struct<v double, a double, own {kind}, w bigint, c {kind}, d double, m bigint>>")
     def sums(p1: pd.Series, p2: pd.Series) -> pd.Series:
         out = []
-        for a, b in zip(p1, p2):
-            xa, xb = (np.array([[r["v"], r["a"]] for r in s]) for s in (a, b))
-            cb = np.array([r["c"] for r in b])
-            d = np.sqrt(((xa[:, None, :] - xb[None, :, :]) ** 2).sum(axis=2))
+        for one, two in zip(p1, p2):
+            xa, xb = (np.array([[r["v"], r["a"]] for r in s]) for s in (one, two))
+            cb, wb = np.array([r["c"] for r in two]), np.array([r["w"] for r in two])
+            d = np.sqrt(((xa[:, None, :] - xb[None, :, :]) ** 2).sum(axis=2)) * wb
             rows = []
             for c in np.unique(cb):
-                hit = cb == c
-                tot = d[:, hit].sum(axis=1)
-                rows += [{"i": i, "own": a[i]["c"], "c": c.item() if hasattr(c, "item") else c, "d": float(tot[i]), "m": int(hit.sum())}
-                         for i in range(len(a))]
+                tot = d[:, cb == c].sum(axis=1)
+                rows += [{"v": r["v"], "a": r["a"], "own": r["c"], "w": r["w"], "c": c.item() if hasattr(c, "item") else c,
+                          "d": float(t), "m": int(wb[cb == c].sum())} for r, t in zip(one, tot)]
             out.append(rows)
         return pd.Series(out)
 
-    part = left.join(right, subject).select(subject, "__b1", "__n", "__k", F.inline(sums("p1", "p2")))
-    per = part.groupBy(subject, "__b1", "i", "own", "c", "__n", "__k").agg(F.sum("d").alias("d"), F.sum("m").alias("m"))
+    part = left.join(right, subject).select(subject, "__n", "__k", F.inline(sums("p1", "p2")))
+    point = [subject, "v", "a", "own", "w", "__n", "__k"]
+    per = part.groupBy(*point, "c").agg(F.sum("d").alias("d"), F.sum("m").alias("m"))
     mine = F.col("own") == F.col("c")
-    pt = per.groupBy(subject, "__b1", "i", "own", "__n", "__k").agg(
-        F.max(F.when(mine, F.col("d"))).alias("ds"), F.max(F.when(mine, F.col("m"))).alias("ms"),
-        F.min(F.when(~mine, F.col("d") / F.col("m"))).alias("b"))
-    a = F.when(F.col("ms") > 1, F.col("ds") / F.when(F.col("ms") > 1, F.col("ms") - 1))
-    s = F.when(a.isNull(), 0.0).otherwise((F.col("b") - a) / F.nullif(F.greatest(a, F.col("b")), F.lit(0.0)))
+    pt = per.groupBy(*point).agg(F.max(F.when(mine, F.col("d"))).alias("ds"), F.max(F.when(mine, F.col("m"))).alias("ms"),
+                                 F.min(F.when(~mine, F.col("d") / F.col("m"))).alias("b"))
+    within = F.when(F.col("ms") > 1, F.col("ds") / F.nullif(F.col("ms") - 1, F.lit(0)))
+    s = F.when(within.isNull(), 0.0).otherwise((F.col("b") - within) / F.nullif(F.greatest(within, F.col("b")), F.lit(0.0)))
     ok = (F.col("__k") >= 2) & (F.col("__n") > F.col("__k"))
-    return pt.groupBy(subject, "__n", "__k").agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("s")).select(
+    return pt.groupBy(subject, "__n", "__k").agg((F.sum(F.coalesce(s, F.lit(0.0)) * F.col("w")) / F.sum("w")).alias("s")).select(
         subject, F.when(ok, F.col("s")).alias("silhouette"))
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from signalops.functions.dist import f_pvalue, t_critical, t_pvalue
-from signalops.functions.hashing import draw
+from signalops.functions.hashing import draw, unit
 from signalops.functions.lineage import cut
 from signalops.functions.nulls import add_all, corr_agg
 from signalops.functions.ordering import average_rank_pct, hash_row_number
@@ -85,7 +85,8 @@ def coefficients(fitted: DataFrame, xs: list[str], by: list[str] = ()) -> DataFr
     """Long (by..., term, beta, se, t, df_resid, r2, n)."""
     rows = F.array(*[F.struct(F.lit(x).alias("term"), F.col("fit.beta")[i].alias("beta"), F.col("fit.se")[i].alias("se"))
                      for i, x in enumerate(["const", *xs])])
-    out = fitted.select(*by, "n", F.col("fit.r2").alias("r2"), F.col("fit.df_resid").alias("df_resid"), F.inline(rows))
+    out = fitted.select(*by, "n", F.col("fit.r2").alias("r2"), F.col("fit.r2_cov").alias("r2_cov"),
+                        F.col("fit.df_resid").alias("df_resid"), F.inline(rows))
     return out.withColumn("t", F.col("beta") / F.nullif("se", F.lit(0.0)))
 
 
@@ -182,18 +183,38 @@ def bootstrap_counts(indexed: DataFrame, reps: int, seed: int) -> DataFrame:
             .groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("w")))
 
 
-def bootstrap_ols(df: DataFrame, y: str, xs: list[str], row_id: str, reps: int = 5000, seed: int = 42) -> DataFrame:
+# Cumulative probabilities of a Poisson(1) count, 0 to 12.
+POISSON_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
+               0.9994058151824183, 0.9999167588507119, 0.9999898050903252, 0.9999988747974149, 0.9999998885745217,
+               0.9999999899522336, 0.9999999991683892, 0.9999999999363615]
+
+
+def poisson_counts(df: DataFrame, row_id: str, reps: int, seed: int) -> DataFrame:
+    """Bootstrap weights decided row by row: no index, no join, no shuffle of draws."""
+    d = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)).cast("array<bigint>")))
+    u = unit(row_id, F.col("rep"), seed)
+    cdf = F.array(*[F.lit(c) for c in POISSON_CDF])
+    return d.withColumn("__u", u).withColumn("w", F.size(F.filter(cdf, lambda c: c <= F.col("__u"))).cast("bigint")).where("w > 0").drop("__u")
+
+
+def bootstrap_ols(df: DataFrame, y: str, xs: list[str], row_id: str, reps: int = 5000, seed: int = 42,
+                  method: str = "multinomial") -> DataFrame:
     """Median and 95 % interval of every coefficient over subject resamples.
 
     Draws are counted per (replicate, row), joined once and reduced to one moment row per
-    replicate with map-side sums; no replicate is ever gathered as rows.
+    replicate with map-side sums; no replicate is ever gathered as rows. ``method="poisson"``
+    draws independent Poisson(1) weights instead, for tables too long to exchange n x reps draws.
+    The input is read more than once: pass a stored table.
     """
     d = df.select(row_id, *xs, y).na.drop()
     stats = d.agg(F.struct(*[F.avg(c).alias(c) for c in [*xs, y]])).scalar()
     d = d.withColumn("__m", stats).select(row_id, *[(F.col(c) - F.col(f"__m.{c}")).alias(c) for c in [*xs, y]],
                                           *[F.col(f"__m.{c}").alias(f"__m_{c}") for c in [*xs, y]])
-    idx = index_rows(d, row_id, seed)
-    w = bootstrap_counts(idx.select("idx"), reps, seed).join(idx, "idx")
+    if method == "poisson":
+        w = poisson_counts(d, row_id, reps, seed)
+    else:
+        idx = index_rows(d, row_id, seed)
+        w = bootstrap_counts(idx.select("idx"), reps, seed).join(idx, "idx")
     back = [f"__m_{c}" for c in [*xs, y]]
     m = weighted_moments(w, y, xs, "w", ["rep", *back]).withColumn("fit", fit_udf(len(xs))("n", "means", "cov"))
     shift = F.col(f"__m_{y}") - add_all([F.col("fit.beta")[i + 1] * F.col(f"__m_{x}") for i, x in enumerate(xs)])
@@ -226,13 +247,11 @@ def hypothesis_test(df: DataFrame, y: str, covariates: list[str], features: list
     d, p1, ok = directional_p(F.col("beta"), F.col("p_two_sided"), prior)
     co = co.withColumn("direction", d).withColumn("p_one_sided", p1).withColumn("sign_matches", ok)
     co = adjust_p(co, "p_one_sided", (), correction).withColumn("significant", F.coalesce(F.col("p_corrected") < alpha_level, F.lit(False)))
-    k = len(features)
-    r2f, r2r, den = F.col("fit.r2"), F.col("fit.r2_cov"), F.col("fit.df_resid")
-    block = f.select(r2r.alias("covariate_r2"), (r2f - r2r).alias("delta_r2"),
-                     (((r2f - r2r) / k) / ((1 - r2f) / den)).alias("block_f"), F.lit(float(k)).alias("df_num"), den.alias("df_den"))
-    block = block.withColumn("block_p", f_pvalue("block_f", "df_num", "df_den"))
-    one = block.agg(F.struct(*[F.max(c).alias(c) for c in block.columns])).scalar()
-    out = co.withColumn("__b", one).select(*co.columns, *[F.col(f"__b.{c}").alias(c) for c in block.columns])
+    # The block test rides along on the coefficient rows, so the data are read once.
+    k, gain = len(features), F.col("r2") - F.col("r2_cov")
+    out = co.withColumns({"covariate_r2": F.col("r2_cov"), "delta_r2": gain, "df_num": F.lit(float(k)),
+                          "block_f": (gain / k) / ((1 - F.col("r2")) / F.col("df_resid"))})
+    out = out.withColumn("block_p", f_pvalue("block_f", "df_num", "df_resid"))
     if reps:
         boot = bootstrap_ols(df, y, xs, row_id, reps, seed).withColumnRenamed("predictor", "term")
         out = out.join(boot, "term", "left")
@@ -310,7 +329,7 @@ def _loo_summary(d: DataFrame, y: str) -> Column:
 
 def screening_index(df: DataFrame, y: str, covariates: list[str], features: list[str], row_id: str) -> DataFrame:
     """Shrunken leave-one-out score with interval, percentile and a sample-wide confidence flag."""
-    d = df.select(row_id, y, *covariates, *features).na.drop()
+    d = cut(df.select(row_id, y, *covariates, *features).na.drop())
     d = loo_predict(d, y, [*covariates, *features], "loo", "__f")
     d = loo_predict(d, y, covariates, "loo_cov", "__f2").select(row_id, y, "loo", "loo_cov")
     s = d.withColumn("__s", _loo_summary(d, y))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalops.functions.nulls import add_all, row_mean
+from signalops.functions.lineage import cut
+from signalops.functions.nulls import row_mean
 from signalops.functions.ordering import exact_quantiles
 from signalops.operators.resampling import long_features
 
@@ -46,7 +47,7 @@ def scale_descriptives(wide: DataFrame, subscales: dict[str, list[str]], low: fl
     have = {s: [i for i in its if i in wide.columns] for s, its in subscales.items()}
     have = {s: its for s, its in have.items() if its}
     scored = wide.select(*[row_mean(its).alias(s) for s, its in have.items()])
-    long = long_features(scored, list(have), [])
+    long = cut(long_features(scored, list(have), []))
     span = high - low
     base = long.groupBy("feature").agg(
         F.count("value").alias("n_obs"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"),
@@ -73,7 +74,7 @@ def item_ceiling_floor(items: DataFrame, low: float = 1.0, high: float = 4.0, it
 
 def describe_long(df: DataFrame, measures: list[str]) -> DataFrame:
     """count, mean, sd, min, quartiles and max per measure; quartiles are exact."""
-    long = long_features(df, [m for m in measures if m in df.columns], [])
+    long = cut(long_features(df, [m for m in measures if m in df.columns], []))
     base = long.groupBy("feature").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
                                        F.min("value").alias("min"), F.max("value").alias("max"))
     q = exact_quantiles(long, "feature", "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
@@ -82,6 +83,7 @@ def describe_long(df: DataFrame, measures: list[str]) -> DataFrame:
 
 def validity_indicators(metrics: DataFrame, effect_min: float = EFFECT_MIN_MS, ceiling: float = CEILING_ACC) -> DataFrame:
     """Construct-validity indicators of the congruency task as rows."""
+    metrics = cut(metrics.select("flanker_effect", "rt_congruent", "rt_incongruent", "acc_overall"))
     one = metrics.agg(
         (F.avg("flanker_effect") * 1000).alias("mean_fx"), (F.avg("rt_congruent") * 1000).alias("rc"),
         (F.avg("rt_incongruent") * 1000).alias("ri"), F.count("acc_overall").alias("n"),

@@ -193,7 +193,7 @@ def split_halves(trials: DataFrame, mode: str = "odd_even", min_per_half: int =
         out = tagged.join(sizes, key).where((F.col("__h1") >= min_per_half) & (F.col("__h2") >= min_per_half))
         return out.drop("__h1", "__h2")
     hashed = trials.withColumn("__h", draw("trial", F.pmod(F.col(key).cast("bigint"), F.lit(1000003)), seed))
-    ranked = hash_row_number(hashed, [key], "__h", "trial", buckets=8, name="__rn")
+    ranked = hash_row_number(hashed, [key], "__h", "trial", name="__rn")
     mid = trials.groupBy(key).agg(F.floor(F.count(F.lit(1)) / 2).alias("__mid"))
     return (ranked.join(mid, key).where((F.col("__mid") >= min_per_half) & (F.col("__rn") <= 2 * F.col("__mid")))
             .withColumn("half", F.when(F.col("__rn") <= F.col("__mid"), 1).otherwise(2).cast("bigint"))

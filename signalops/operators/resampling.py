@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from signalops.functions.hashing import draw
+from signalops.functions.lineage import cut
 from signalops.functions.nulls import add_all, corr_agg, safe_div
 from signalops.functions.ordering import exact_quantiles, hash_row_number
 from signalops.operators.inference import index_rows
@@ -168,6 +169,9 @@ def _enet(g: np.ndarray, b: np.ndarray, alpha: float, l1: float, start: np.ndarr
     return w
 
 
+# Widest design fitted from a Gram matrix; wider pools use Spark ML.
+GRAM_LIMIT = 48
+
 # The mixing ratios tried inside each training fold.
 L1_RATIOS = [0.1, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0]
 
@@ -231,6 +235,27 @@ def elastic_net_oof(folded: DataFrame, y: str, xs: list[str], row_id: str, by: l
     return j.withColumn("pred", F.col("beta")[0] + add_all([F.col("beta")[i + 1] * F.col(x) for i, x in enumerate(xs)])).drop("beta")
 
 
+def _elastic_net_ml(folded: DataFrame, y: str, xs: list[str], k: int, repeats: int, seed: int) -> DataFrame:
+    """Elastic net for pools too wide for a Gram matrix: Spark ML with inner cross-validation."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    lr = LinearRegression(featuresCol="__v", labelCol=y, predictionCol="pred", standardization=True, maxIter=200)
+    grid = ParamGridBuilder().addGrid(lr.elasticNetParam, L1_RATIOS).addGrid(lr.regParam, [1.0, 0.3, 0.1, 0.03, 0.01]).build()
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, numFolds=5, parallelism=8, seed=seed,
+                        evaluator=RegressionEvaluator(labelCol=y, predictionCol="pred"))
+    outs = []
+    for rep, f in product(range(repeats), range(k)):
+        train = folded.where((F.col("rep") == rep) & (F.col("fold") != f))
+        test = folded.where((F.col("rep") == rep) & (F.col("fold") == f))
+        fitted = Pipeline(stages=[VectorAssembler(inputCols=xs, outputCol="__v"), cv]).fit(train)
+        outs.append(fitted.transform(test).select("rep", "fold", y, "pred"))
+    return reduce(DataFrame.unionByName, outs)
+
+
 def _tree_oof(folded: DataFrame, y: str, xs: list[str], model: str, k: int, repeats: int, trees: int,
               kbest_k: int | None, seed: int) -> DataFrame:
     """Spark ML ensembles, one distributed fit per (repeat, fold)."""
@@ -267,10 +292,12 @@ def ml_grid(df: DataFrame, targets: list[str], schemes: dict[str, list[str]], co
     for target, (scheme, cols) in product(targets, schemes.items()):
         xs = list(dict.fromkeys([*covariates, *[c for c in cols if c in df.columns]]))
         d = df.select(row_id, target, *xs).na.drop()
-        folded = repeated_folds(d, row_id, k, repeats, seed).persist()
+        folded = cut(repeated_folds(d, row_id, k, repeats, seed))
         for m in models:
             pick = kbest_k if scheme in ("data_driven", "hybrid") and m != "elastic_net" else None
-            if m == "elastic_net":
+            if m == "elastic_net" and len(xs) > GRAM_LIMIT:
+                pred = _elastic_net_ml(folded, target, xs, k, repeats, seed)
+            elif m == "elastic_net":
                 pred = elastic_net_oof(folded, target, xs, row_id)
             else:
                 pred = _tree_oof(folded, target, xs, m, k, repeats, trees, pick, seed)
@@ -293,7 +320,7 @@ def grid_permutation(df: DataFrame, target: str, schemes: dict[str, list[str]],
     perm = permuted_target(d, target, row_id, reps, seed).select("rep", row_id, *cols, "y_perm")
     both = perm.unionByName(d.select(F.lit(0).cast("bigint").alias("rep"), row_id, *cols, F.col(target).alias("y_perm")))
     folds = assign_folds(d.select(row_id), row_id, k, 1, seed)
-    both = both.join(folds, row_id)
+    both = cut(both.join(folds, row_id))
     scored = []
     for name, members in schemes.items():
         xs = list(dict.fromkeys([*covariates, *members]))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from signalops.functions.lineage import cut
 from signalops.functions.hashing import ID_STEP, MODULUS, REP_STEP, SEED_STEP
 from signalops.functions.nulls import nan_to_null, safe_div
-from signalops.functions.ordering import bucketed_row_number, hour_bucket
+from signalops.functions.ordering import bucketed_row_number, minute_bucket
 from signalops.operators import behaviour, reliability, spectral
 
 FS, N = 64.0, 64
@@ -30,7 +30,7 @@ def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 def ranked_events(spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    return bucketed_row_number(e, ["user_id"], ["ts", "event_id"], hour_bucket("ts"))
+    return bucketed_row_number(e, ["user_id"], ["ts", "event_id"], minute_bucket("ts"))
 
 
 def trials(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,6 +87,15 @@ def subjects_gaps(spark: SparkSession, sf: str) -> DataFrame:
                           "f_view": F.when(F.col("subject_id") % 5 != 0, F.col("f_view"))})
 
 
+def subject_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The subject rows as a stored table, for operators that read their input more than once."""
+    return cut(subjects(spark, sf))
+
+
+def gaps_table(spark: SparkSession, sf: str) -> DataFrame:
+    return cut(subjects_gaps(spark, sf))
+
+
 def annotations(spark: SparkSession, sf: str) -> DataFrame:
     s = signal(spark, sf).where(F.col("tag").isin("error", "signup"))
     return s.select("subject_id", F.col("t").cast("double").alias("onset"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from signalops.functions.nulls import safe_div
+from signalops.functions.ordering import bucketed_row_number
 from signalops.functions.present import shown_sql as r
 from signalops.operators import behaviour as b, reliability as rel
 from signalops.plans import fixtures as fx
@@ -50,12 +50,16 @@ def _(spark, sf):
     select conv_id, case condition when 'user' then 'Forward' else 'Backward' end as condition, i // 2 + 1 as level, i % 2 + 1 as trial, span,
       array_to_string(string_split(n::varchar, ''), ' - ') as digits, correct::bigint as score from q where n % 5 <> 0""")
 def _(spark, sf):
-    # The administered form stores each condition as one short nested list in presentation order.
-    t = F.struct("turn", F.col("span"), F.regexp_extract_all(F.col("n").cast("string"), F.lit(r"\d"), F.lit(0)).alias("digits"),
+    # The administered form stores each condition as a short nested list in presentation order;
+    # longer sessions are stored in blocks of sixteen, so no list grows with a session.
+    c = _conv(spark, sf).where(F.col("condition").isin("user", "assistant"))
+    c = bucketed_row_number(c, ["conv_id", "condition"], ["turn"], F.floor(F.col("turn") / 64))
+    t = F.struct("rn", F.col("span"), F.regexp_extract_all(F.col("n").cast("string"), F.lit(r"\d"), F.lit(0)).alias("digits"),
                  F.when(F.col("n") % 5 != 0, F.col("correct").cast("bigint")).alias("correct"))
-    pick = lambda c: F.array_sort(F.collect_list(F.when(F.col("condition") == c, t)))
-    nested = _conv(spark, sf).groupBy("conv_id").agg(pick("user").alias("fw"), pick("assistant").alias("bw"))
-    return b.trial_detail(nested, "conv_id", {"Forward": "fw", "Backward": "bw"})
+    pick = lambda k: F.array_sort(F.collect_list(F.when(F.col("condition") == k, t)))
+    block = (F.floor((F.col("rn") - 1) / 16) * 16).alias("start")
+    nested = c.groupBy("conv_id", block).agg(pick("user").alias("fw"), pick("assistant").alias("bw"))
+    return b.trial_detail(nested, "conv_id", {"Forward": "fw", "Backward": "bw"}, "start")
 
 
 @query("discontinue_rule", f"""

@@ -51,7 +51,7 @@ def mean_sql(parts):
 
 @query("zmean_composite", f"""select subject_id, {r(mean_sql([_z('f_click', 'FX_GAPS'), _z('f_view', 'FX_GAPS'), _z('f_const', 'FX_GAPS')]), 5)} as z from FX_GAPS""", "FX_GAPS")
 def _(spark, sf):
-    return out(f.zmean(fx.subjects_gaps(spark, sf), ["f_click", "f_view", "f_const"], "z"), "subject_id", z=5)
+    return out(f.zmean(fx.gaps_table(spark, sf), ["f_click", "f_view", "f_const"], "z"), "subject_id", z=5)
 
 
 def _wide_sql(names):
@@ -124,7 +124,7 @@ PAIRS = " union all ".join(f"""select '{b}' as feature, abs(covar_samp({a}, {b})
 
 @query("curate_collinear", f"select feature, {r('max(r)', 5)} as max_abs_r from ({PAIRS}) where r > 0.1 group by 1", "FX_GAPS")
 def _(spark, sf):
-    return out(f.collinear(fx.subjects_gaps(spark, sf), ALL, 0.1, ["f_view"]), "feature", max_abs_r=5)
+    return out(f.collinear(fx.gaps_table(spark, sf), ALL, 0.1, ["f_view"]), "feature", max_abs_r=5)
 
 
 @query("curation_report", f"""
@@ -132,7 +132,7 @@ def _(spark, sf):
     select {len(ALL)}::bigint as n_before, {len(ALL) - 1} - (select count(*) from c) as n_after, 1::bigint as n_protected, 'f_const' as dropped_low_variance,
       (select coalesce(string_agg(feature, ',' order by feature), '') from c) as dropped_collinear from (select count(*) from FX_GAPS)""", "FX_GAPS")
 def _(spark, sf):
-    return f.curation_report(fx.subjects_gaps(spark, sf), ALL, ["f_view"], threshold=0.1)
+    return f.curation_report(fx.gaps_table(spark, sf), ALL, ["f_view"], threshold=0.1)
 
 
 @query("resolve_schemes", f"""
@@ -144,7 +144,7 @@ def _(spark, sf):
     select 'theory' as scheme, m as members, '' as rest_pool, n as n_features from t union all select 'data_driven', m, '', n from p
     union all select 'hybrid', t.m, x.m, t.n + x.n from t, x""", "FX_GAPS")
 def _(spark, sf):
-    return f.resolve_schemes(f.kept_features(fx.subjects_gaps(spark, sf), ALL, ["f_view"], threshold=0.1), ["f_click", "f_view"])
+    return f.resolve_schemes(f.kept_features(fx.gaps_table(spark, sf), ALL, ["f_view"], threshold=0.1), ["f_click", "f_view"])
 
 
 @query("direction_priors", f"""

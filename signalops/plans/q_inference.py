@@ -115,7 +115,7 @@ def _(spark, sf):
     select composite, k_items, n_obs, {r('alpha', 5)} as alpha, pass_gate, bool_and(pass_gate) over () as all_pass from u""", "FX_GAPS")
 def _(spark, sf):
     parts = {"pair_a": ["f_click", "f_dup"], "pair_b": ["f_error", "f_view"], "lone": ["f_error", "absent"]}
-    return out(i.reliability_gate(fx.subjects_gaps(spark, sf), ["pair_a", "pair_b", "lone", "open"], parts), "composite k_items n_obs pass_gate all_pass", alpha=5)
+    return out(i.reliability_gate(fx.gaps_table(spark, sf), ["pair_a", "pair_b", "lone", "open"], parts), "composite k_items n_obs pass_gate all_pass", alpha=5)
 
 
 def boot_sql(cols, reps, seed=42):
@@ -128,7 +128,7 @@ def boot_sql(cols, reps, seed=42):
     with {boot_sql('y_cv', 60)}, m as (select rep, avg(y_cv) as m from bs group by 1)
     select {r('median(m)', 6)} as median, {r('quantile_cont(m, 0.025)', 6)} as ci_lo, {r('quantile_cont(m, 0.975)', 6)} as ci_hi, count(*) as n_iter from m""", "FX_SUBJECT")
 def _(spark, sf):
-    return out(i.bootstrap_mean_ci(fx.subjects(spark, sf), Y, "subject_id", 60), "n_iter", median=6, ci_lo=6, ci_hi=6)
+    return out(i.bootstrap_mean_ci(fx.subject_table(spark, sf), Y, "subject_id", 60), "n_iter", median=6, ci_lo=6, ci_hi=6)
 
 
 @query("bootstrap_ols", f"""
@@ -136,7 +136,7 @@ def _(spark, sf):
     l as (select 'const' as predictor, b0 as b from o union all select 'covariate', b1 from o union all select 'f_click', b2 from o)
     select predictor, {r('median(b)', 6)} as median, {r('quantile_cont(b, 0.025)', 6)} as ci_lo, {r('quantile_cont(b, 0.975)', 6)} as ci_hi, count(*) as n_iter from l group by 1""", "FX_SUBJECT")
 def _(spark, sf):
-    return out(i.bootstrap_ols(fx.subjects(spark, sf), Y, ["covariate", "f_click"], "subject_id", 60), "predictor n_iter", median=6, ci_lo=6, ci_hi=6)
+    return out(i.bootstrap_ols(fx.subject_table(spark, sf), Y, ["covariate", "f_click"], "subject_id", 60), "predictor n_iter", median=6, ci_lo=6, ci_hi=6)
 
 
 @query("hypothesis_test", f"""
@@ -156,7 +156,7 @@ def _(spark, sf):
       {r('rf', 6)} as full_r2, {r('rc', 6)} as covariate_r2, {r('f_stat', 4)} as f_stat, {r(F2P, 5)} as p_value from bf
     union all select 'y_cv', 'empty', 0, count(*), 'insufficient_complete_rows', null, null, null, null from FX_GAPS""", "FX_GAPS")
 def _(spark, sf):
-    d = fx.subjects_gaps(spark, sf).withColumn("f_none", F.lit(None).cast("double"))
+    d = fx.gaps_table(spark, sf).withColumn("f_none", F.lit(None).cast("double"))
     h = i.run_tests(d, [Y], {"pair": FEATS, "empty": ["f_none"]}, COV, {}, "subject_id")
     return out(h, "target feature_set n_used n_dropped skipped", full_r2=6, covariate_r2=6, f_stat=4, p_value=5)
 
@@ -180,7 +180,7 @@ def _(spark, sf):
       regr_intercept(y_cv, covariate) over () + regr_slope(y_cv, covariate) over () * covariate as fit from FX_SUBJECT)
     select subject_id, {r('fit', 6)} as fitted, {r('y_cv - (y_cv - fit) / (1 - 1.0 / n - (covariate - mx) * (covariate - mx) / sxx)', 6)} as loo from s""", "FX_SUBJECT")
 def _(spark, sf):
-    return out(i.loo_predict(fx.subjects(spark, sf), Y, COV), "subject_id", fitted=6, loo=6)
+    return out(i.loo_predict(fx.subject_table(spark, sf), Y, COV), "subject_id", fitted=6, loo=6)
 
 
 LOO2 = f"""o as ({ols2('FX_SUBJECT', 'y_cv', 'covariate', 'f_click')}),
@@ -215,7 +215,7 @@ def _(spark, sf):
 
 @query("fit_points", f"""with {LOO2} select subject_id, {r('(lo.y_cv - m) / sd', 5)} as observed_z, {r('(fit - m) / sd', 5)} as fitted_z, {r('ag.r2_in', 6)} as r2, {r('ag.r2', 6)} as loo_r2 from lo, ag""", "FX_SUBJECT")
 def _(spark, sf):
-    return out(i.fit_points(fx.subjects(spark, sf), Y, ["covariate", "f_click"], "subject_id"), "subject_id", observed_z=5, fitted_z=5, r2=6, loo_r2=6)
+    return out(i.fit_points(fx.subject_table(spark, sf), Y, ["covariate", "f_click"], "subject_id"), "subject_id", observed_z=5, fitted_z=5, r2=6, loo_r2=6)
 
 
 def _scan_by(src, tag):

@@ -21,7 +21,7 @@ SCHEMES = {"theory": ["f_click", "f_view"], "data_driven": fx.FEATURES, "hybrid"
 @query("median_impute", f"""select subject_id, {r('coalesce(f_click, (select median(f_click) from FX_GAPS))', 6)} as f_click,
     {r('coalesce(f_view, (select median(f_view) from FX_GAPS))', 6)} as f_view from FX_GAPS""", "FX_GAPS")
 def _(spark, sf):
-    return out(m.median_impute(fx.subjects_gaps(spark, sf), ["f_click", "f_view"]), "subject_id", f_click=6, f_view=6)
+    return out(m.median_impute(fx.gaps_table(spark, sf), ["f_click", "f_view"]), "subject_id", f_click=6, f_view=6)
 
 
 FOLD = f"fl as (select *, (row_number() over (order by {fx.draw_sql('subject_id')}, subject_id) - 1) % 5 as fold from FX_SUBJECT)"
@@ -32,7 +32,7 @@ FOLD = f"fl as (select *, (row_number() over (order by {fx.draw_sql('subject_id'
       from (select unnest(range(0, 5)) as fold) f join fl on fl.fold <> f.fold group by 1)
     select subject_id, fold, {r('(f_click - m1) / s1', 5)} as f_click, {r('(covariate - m2) / s2', 5)} as covariate from fl join st using (fold)""", "FX_SUBJECT")
 def _(spark, sf):
-    f = m.assign_folds(fx.subjects(spark, sf), "subject_id", 5)
+    f = m.assign_folds(fx.subject_table(spark, sf), "subject_id", 5)
     return out(m.zscore_by_fold(f, ["f_click", "covariate"], "subject_id"), "subject_id fold", f_click=5, covariate=5)
 
 
@@ -55,7 +55,7 @@ def _(spark, sf):
     fs as (select fold, 1 - sum(pow(y_cv - p, 2)) / (var_pop(y_cv) * count(*)) as r2, avg(abs(y_cv - p)) as mae from pr group by 1)
     select {r('avg(r2)', 6)} as oof_r2, {r('avg(mae)', 6)} as oof_mae, {r('(select avg(abs(y_cv - (select avg(y_cv) from fl))) from fl)', 6)} as baseline_mae from fs""", "FX_SUBJECT")
 def _(spark, sf):
-    f = m.assign_folds(fx.subjects(spark, sf).select("subject_id", Y, "f_click"), "subject_id", 5)
+    f = m.assign_folds(fx.subject_table(spark, sf).select("subject_id", Y, "f_click"), "subject_id", 5)
     return out(m.oof_scores(m.oof_simple(f, Y, "f_click", "subject_id"), Y), "", oof_r2=6, oof_mae=6, baseline_mae=6)
 
 
@@ -71,30 +71,30 @@ def _perm_sql(feats, reps):
 
 @query("perm_p_corr", _perm_sql(["f_click"], 60), "FX_SUBJECT")
 def _(spark, sf):
-    return out(m.permutation_p(fx.subjects(spark, sf), Y, ["f_click"], "subject_id", 60), "feature n_perm", observed=6, p_perm=6, p_max=6)
+    return out(m.permutation_p(fx.subject_table(spark, sf), Y, ["f_click"], "subject_id", 60), "feature n_perm", observed=6, p_perm=6, p_max=6)
 
 
 @query("perm_maxstat", _perm_sql(["f_click", "f_view", "f_error"], 60), "FX_SUBJECT")
 def _(spark, sf):
-    return out(m.permutation_p(fx.subjects(spark, sf), Y, ["f_click", "f_view", "f_error"], "subject_id", 60), "feature n_perm", observed=6, p_perm=6, p_max=6)
+    return out(m.permutation_p(fx.subject_table(spark, sf), Y, ["f_click", "f_view", "f_error"], "subject_id", 60), "feature n_perm", observed=6, p_perm=6, p_max=6)
 
 
 @query("elastic_net_oof")
 def _(spark, sf):
-    f = m.repeated_folds(fx.subjects(spark, sf).select("subject_id", Y, "covariate", *fx.FEATURES), "subject_id", 5, 2)
+    f = m.repeated_folds(fx.subject_table(spark, sf).select("subject_id", Y, "covariate", *fx.FEATURES), "subject_id", 5, 2)
     return out(m.elastic_net_oof(f, Y, ["covariate", *fx.FEATURES], "subject_id"), "subject_id rep fold", pred=5)
 
 
 @query("ml_grid")
 def _(spark, sf):
-    g = m.ml_grid(fx.subjects(spark, sf), [Y], {"theory": SCHEMES["theory"], "data_driven": SCHEMES["data_driven"]}, ["covariate"], "subject_id",
+    g = m.ml_grid(fx.subject_table(spark, sf), [Y], {"theory": SCHEMES["theory"], "data_driven": SCHEMES["data_driven"]}, ["covariate"], "subject_id",
                   k=2, repeats=1, trees=5, kbest_k=3)
     return out(g, "target scheme model n_features use_kbest", oof_r2=4, oof_mae=4, baseline_mae=4)
 
 
 @query("grid_permutation")
 def _(spark, sf):
-    g = m.grid_permutation(fx.subjects(spark, sf), Y, {"theory": SCHEMES["theory"], "data_driven": SCHEMES["data_driven"]}, ["covariate"], "subject_id", reps=10, k=3)
+    g = m.grid_permutation(fx.subject_table(spark, sf), Y, {"theory": SCHEMES["theory"], "data_driven": SCHEMES["data_driven"]}, ["covariate"], "subject_id", reps=10, k=3)
     return out(g, "scheme n_perm", oof_r2=4, perm_p=4, perm_p_selection_corrected=4)
 
 

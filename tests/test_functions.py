@@ -63,11 +63,11 @@ def test_draws_are_spread_and_differ_between_replicates(spark):
 
 def test_average_rank_and_quantiles(spark):
     pdf, d = _numbers(spark, 5)
-    got = average_rank_pct(d, "k", "v").toPandas()
+    got = average_rank_pct(d, "k", "v", 150).toPandas()
     want = pdf.assign(p=pdf.groupby("k")["v"].rank(pct=True)).drop_duplicates(["k", "v"])
     m = got.merge(want, on=["k", "v"])
     assert len(m) == len(want) and np.allclose(m.pct_rank, m.p)
-    q = exact_quantiles(d, "k", "v", {"a": 0.025, "b": 0.5, "c": 0.75}).toPandas().set_index("k")
+    q = exact_quantiles(d, "k", "v", {"a": 0.025, "b": 0.5, "c": 0.75}, 300).toPandas().set_index("k")
     for k, g in pdf.groupby("k"):
         assert np.allclose(q.loc[k, ["a", "b", "c"]].astype(float), np.quantile(g.v, [0.025, 0.5, 0.75]))
 
