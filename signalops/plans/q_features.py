@@ -192,7 +192,7 @@ def _scores(spark, sf):
       case when c_custkey % 5 <> 0 then c_nationkey::bigint end as nation from FX_SUBJECT join customer on c_custkey = subject_id and c_custkey % 4 <> 3""", "FX_SUBJECT")
 def _(spark, sf):
     a, b, d = _scores(spark, sf)
-    return out(f.merge_behaviour(fx.subjects(spark, sf), a, b, d), "subject_id c_acctbal segment nation", f_click=5)
+    return out(f.merge_behaviour(fx.subjects(spark, sf), a, b, d, min_matched=5), "subject_id c_acctbal segment nation", f_click=5)
 
 
 @query("unmatched_left", "select subject_id::varchar as id from FX_SUBJECT where subject_id % 4 = 3", "FX_SUBJECT")
