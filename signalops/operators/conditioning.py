@@ -170,20 +170,22 @@ def bad_by_flatline(samples: DataFrame, threshold: float = FLATLINE_SD, by: list
 def bad_channels(samples: DataFrame, channels: list[str], protect: list[str] | None = None,
                  z: float = BAD_Z, corr: float = BAD_MAX_CORR, flat: float = FLATLINE_SD,
                  by: list[str] = REC) -> DataFrame:
-    """Union of the three methods per recording, with the per-method lists kept."""
-    tagged = [d.select(*by, "channel", F.lit(m).alias("method")) for m, d in (
-        ("variance", bad_by_variance(samples, protect, z, by)),
-        ("correlation", bad_by_correlation(samples, channels, corr, by)),
-        ("flatline", bad_by_flatline(samples, flat, by)))]
-    union = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
-
-    def listing(m: str | None) -> Column:
-        c = F.col("channel") if m is None else F.when(F.col("method") == m, F.col("channel"))
-        return F.array_join(F.array_sort(F.collect_set(c)), ",")
-
-    return union.groupBy(*by).agg(listing(None).alias("bad"), listing("variance").alias("by_variance"),
-                                  listing("correlation").alias("by_correlation"),
-                                  listing("flatline").alias("by_flatline"))
+    """Union of the three methods per recording, with the per-method lists kept.
+
+    Variance and flatness share one pass over the samples; correlation takes the other. The
+    verdicts then meet on channel-sized tables.
+    """
+    free = ~F.col("channel").isin(protect) if protect else F.lit(True)
+    verdict = variance_z(samples, by).join(max_abs_corr(samples, channels, by), [*by, "channel"], "left").select(
+        *by, "channel", (free & (F.abs("z") > z)).alias("variance"), (F.col("max_r") < corr).alias("correlation"),
+        (F.col("sd") < flat).alias("flatline"))
+    verdict = verdict.where(F.col("variance") | F.col("correlation") | F.col("flatline"))
+
+    def listing(hit: Column) -> Column:
+        return F.array_join(F.array_sort(F.collect_set(F.when(hit, F.col("channel")))), ",")
+
+    return verdict.groupBy(*by).agg(listing(F.lit(True)).alias("bad"), *[
+        listing(F.col(m)).alias(f"by_{m}") for m in ("variance", "correlation", "flatline")])
 
 
 def average_reference(samples: DataFrame, bads: list[str] | None = None, by: list[str] = REC) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from signalops.functions.lineage import cut
 from signalops.functions.nulls import add_all
+from signalops.operators import inference
 from signalops.operators.resampling import assign_folds
 
 # Anchor (valence, arousal) of each emotion on the unit circle.
@@ -48,7 +51,8 @@ def class_moments(folded: DataFrame, features: list[str], keys: list[str], label
 
 
 def _training(moments: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Sums over all folds but one, per class: a window over k rows per (keys, class)."""
+    """Sums over all folds but one, per class; the moment table is small and stored once."""
+    moments = cut(moments)
     cols = [c for c in moments.columns if c not in (*keys, "fold", label)]
     folds = moments.select(*keys, "fold").distinct()
     grid = moments.withColumnRenamed("fold", "__g").join(folds, keys)
@@ -298,8 +302,8 @@ def silhouette(df: DataFrame, subject: str = "subject_id", label: str = "label",
     NULL with fewer than two classes or no more windows than classes.
     """
     kind = df.schema[label].dataType.simpleString()
-    pts = df.groupBy(subject, F.col("v").cast("double").alias("v"), F.col("a").cast("double").alias("a"), F.col(label).alias("c")).agg(
-        F.count(F.lit(1)).alias("w"))
+    pts = cut(df.groupBy(subject, F.col("v").cast("double").alias("v"), F.col("a").cast("double").alias("a"), F.col(label).alias("c")).agg(
+        F.count(F.lit(1)).alias("w")))
     sizes = pts.groupBy(subject).agg(F.count(F.lit(1)).alias("__p"), F.sum("w").alias("__n"), F.countDistinct("c").alias("__k"))
     slot = F.pmod(F.xxhash64("v", "a", "c"), F.ceil(F.col("__p") / F.lit(block)))
     blocks = pts.join(sizes, subject).withColumn("__b", slot).groupBy(subject, "__b", "__n", "__k").agg(
@@ -341,6 +345,16 @@ def rest_offset(rest_va: DataFrame, subject: str = "subject_id") -> DataFrame:
         "precursor_offset", F.hypot("precursor_v", "precursor_a"))
 
 
+def predict_from_geometry(full: DataFrame, geometry: DataFrame, target: str, covariates: list[str], row_id: str,
+                          correction: str = "fdr_bh") -> tuple[DataFrame, DataFrame]:
+    """Scan and block test of the two geometry sets, kept apart; infeasible blocks are named, not run."""
+    merged, sets = geometry_predictors(full, geometry, row_id)
+    merged = cut(merged)
+    scans = [inference.univariate_scan(merged, target, covariates, cols, correction).withColumn("feature_set", F.lit(s))
+             for s, cols in sets.items()]
+    return reduce(DataFrame.unionByName, scans), inference.run_tests(merged, [target], sets, covariates, {}, row_id)
+
+
 def geometry_predictors(full: DataFrame, geometry: DataFrame, subject: str = "subject_id", prefix: str = "va_"
                         ) -> tuple[DataFrame, dict[str, list[str]]]:
     """Left-join geometry to the subjects and name the two sets, which are tested apart."""

@@ -141,10 +141,6 @@ def at_max_counts(df: DataFrame, limits: dict[str, float]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_total"), *[F.count_if(F.col(c) >= x).alias(f"{c}_at_max") for c, x in have.items()])
 
 
-def attrition_layer(df: DataFrame, layer: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(layer).alias("layer"), "n")
-
-
 def lost_ids(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """The ids lost between two layers, as rows: the list grows with the loss, so it stays distributed."""
     return before.select(key).distinct().join(after.select(key).distinct(), key, "left_anti")
@@ -162,14 +158,21 @@ def missing_by_column(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def attrition_funnel(layers: list[tuple[str, DataFrame]], key: str) -> DataFrame:
-    """People per layer, and how many of the layer before are gone."""
-    out = None
-    for i, (name, df) in enumerate(layers):
-        ids = df.select(F.col(key)).distinct()
-        lost = lost_ids(layers[i - 1][1], df, key).agg(F.count(F.lit(1)).alias("n")).scalar() if i else F.lit(0).cast("bigint")
-        one = attrition_layer(ids, name).withColumn("n_lost", lost).withColumn("position", F.lit(i).cast("bigint"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """People per layer, and how many of the layer before are gone: one shuffle on the key.
+
+    Every layer's ids are tagged and reduced to one presence flag per (id, layer).
+    """
+    tagged = None
+    for i, (_, df) in enumerate(layers):
+        one = df.select(F.col(key).alias("__id"), F.lit(i).alias("__layer"))
+        tagged = one if tagged is None else tagged.unionByName(one)
+    seen = tagged.groupBy("__id").agg(*[F.max(F.col("__layer") == i).alias(f"in{i}") for i in range(len(layers))])
+    counts = seen.agg(*[F.count_if(F.col(f"in{i}")).alias(f"n{i}") for i in range(len(layers))],
+                      *[F.count_if(F.col(f"in{i - 1}") & ~F.col(f"in{i}")).alias(f"lost{i}") for i in range(1, len(layers))])
+    rows = [F.struct(F.lit(name).alias("layer"), F.col(f"n{i}").alias("n"),
+                     (F.col(f"lost{i}") if i else F.lit(0).cast("bigint")).alias("n_lost"), F.lit(i).cast("bigint").alias("position"))
+            for i, (name, _) in enumerate(layers)]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def demographics(df: DataFrame, age: str, group: str) -> DataFrame:

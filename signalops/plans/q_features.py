@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from signalops.functions.lineage import cut
 from signalops.functions.present import shown_sql as r
 from signalops.operators import features as f, spectral
 from signalops.plans import fixtures as fx
@@ -224,7 +225,7 @@ def _delta(spark, sf):
     def va(d, by):
         psd = spectral.mean_psd(d, fx.FS, fx.N, [*by, "channel"])
         return f.valence_arousal(spectral.band_power(psd, fx.FS, fx.N, [*by, "channel"]), by, arousal=["F3", "F4"])
-    emo = va(e.where("part is not null"), ["subject_id", "emotion", "part"])
+    emo = cut(va(e.where("part is not null"), ["subject_id", "emotion", "part"]))
     rest = va(e.where("condition = 'eo'"), ["subject_id"])
     return f.baseline_delta(emo.where("part = 'response'").drop("part"), emo.where("part = 'tail'").drop("part"), rest, CODES)
 

@@ -66,9 +66,14 @@ FW = """cc as (select * from FX_GAPS where f_click is not null and f_view is not
   fw as (select y_cv, covariate, y_cv - regr_intercept(y_cv, covariate) over () - regr_slope(y_cv, covariate) over () * covariate as ry,
     f_click - regr_intercept(f_click, covariate) over () - regr_slope(f_click, covariate) over () * covariate as r1,
     f_view - regr_intercept(f_view, covariate) over () - regr_slope(f_view, covariate) over () * covariate as r2 from cc)"""
-BLOCK = f"""{FW}, o as (select *, r2 as part from ({ols2('fw', 'ry', 'r1', 'r2', '', True, 1)})),
-  bl as (select n, rc, rc + (1 - rc) * part as rf, df, b1, b2, se1, se2, t1, t2 from o, (select regr_r2(y_cv, covariate) as rc from cc)),
-  bf as (select *, ((rf - rc) / 2) / ((1 - rf) / df) as f_stat from bl)"""
+def block_sql(fw: str, y: str) -> str:
+    """Block F of two swept features; ``fw`` defines cc (rows) and fw (residuals)."""
+    return f"""{fw}, o as (select *, r2 as part from ({ols2('fw', 'ry', 'r1', 'r2', '', True, 1)})),
+      bl as (select n, rc, rc + (1 - rc) * part as rf, df, b1, b2, se1, se2, t1, t2 from o, (select regr_r2({y}, covariate) as rc from cc)),
+      bf as (select *, ((rf - rc) / 2) / ((1 - rf) / df) as f_stat from bl)"""
+
+
+BLOCK = block_sql(FW, "y_cv")
 F2P = "pow(1 + 2 * f_stat / df, -df / 2)"
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from signalops.functions.lineage import cut
 from signalops.functions.present import shown_sql as r
-from signalops.operators import decode as d, inference, resampling as m
+from signalops.operators import decode as d, resampling as m
 from signalops.plans import fixtures as fx
-from signalops.plans.q_inference import ols2, t_p
+from signalops.plans.q_inference import F2P, block_sql, ols2, t_p
 from signalops.plans.registry import out, query
 
 Y = "y_cv"
@@ -114,7 +115,8 @@ SFOLD = f"wf as (select *, (row_number() over (partition by subject_id, label or
 
 
 def _folded(spark, sf):
-    return d.stratified_folds(fx.windows(spark, sf), "vec_id", 5)
+    # Model and rows both read the folded windows, so they are stored once.
+    return cut(d.stratified_folds(fx.windows(spark, sf), "vec_id", 5))
 
 
 @query("stratified_folds", f"with {SFOLD} select subject_id, label, vec_id, fold from wf", "FX_WINDOWS")
@@ -237,29 +239,47 @@ def _(spark, sf):
 GEO = ["va_Hv", "va_Ha", "va_Cv", "va_Ca"]
 
 
+GEO_VIEW = f"""ce as (select subject_id, label, avg(va_v) as cv, avg(va_a) as ca from FX_VA group by 1, 2),
+  sp as (select a.subject_id, avg(sqrt(pow(a.cv - b.cv, 2) + pow(a.ca - b.ca, 2))) as separation from ce a join ce b on a.subject_id = b.subject_id and a.label < b.label group by 1),
+  ds as (select f.subject_id, avg(sqrt(pow(va_v - cv, 2) + pow(va_a - ca, 2))) as dispersion, avg(w5) as target, avg(w4) as covariate from FX_VA f join ce using (subject_id, label) group by 1),
+  cc0 as (select subject_id, {', '.join(f'max(case when label = {c} then {col} end) as "va_{s}{x}"' for c, s in ((0, 'H'), (1, 'C')) for x, col in (('v', 'cv'), ('a', 'ca')))} from ce group by 1),
+  mg as (select * from ds left join sp using (subject_id) left join cc0 using (subject_id))"""
+
+
 def _geometry_sql():
     feats = [("asm_va", g) for g in GEO] + [("asm_geometry", g) for g in ("separation", "dispersion")]
     rows = " union all ".join(f"""select '{s}' as feature_set, '{g}' as term, target, covariate, "{g}" as x from mg where "{g}" is not null""" for s, g in feats)
-    return f"""with ce as (select subject_id, label, avg(va_v) as cv, avg(va_a) as ca from FX_VA group by 1, 2),
-      sp as (select a.subject_id, avg(sqrt(pow(a.cv - b.cv, 2) + pow(a.ca - b.ca, 2))) as separation from ce a join ce b on a.subject_id = b.subject_id and a.label < b.label group by 1),
-      ds as (select f.subject_id, avg(sqrt(pow(va_v - cv, 2) + pow(va_a - ca, 2))) as dispersion, avg(w5) as target, avg(w4) as covariate from FX_VA f join ce using (subject_id, label) group by 1),
-      cc as (select subject_id, {', '.join(f'max(case when label = {c} then {col} end) as "va_{s}{x}"' for c, s in ((0, 'H'), (1, 'C')) for x, col in (('v', 'cv'), ('a', 'ca')))} from ce group by 1),
-      mg as (select * from ds left join sp using (subject_id) left join cc using (subject_id)), lg as ({rows}),
+    return f"""with {GEO_VIEW}, lg as ({rows}),
       o as ({ols2('lg', 'target', 'covariate', 'x', 'feature_set, term')}), pv as (select *, {t_p('t2', 'df')} as p from o),
       k as (select *, row_number() over (partition by feature_set order by p, term) as i, count(*) over (partition by feature_set) as nt from pv)
       select feature_set, term, n as n_used, {r('b2', 5)} as beta, {r('t2', 4)} as t, {r('p', 5)} as p_two_sided,
         {r('least(1, min(p * nt / i) over (partition by feature_set order by i desc rows between unbounded preceding and current row))', 5)} as p_corrected from k"""
 
 
+def _geometry(spark, sf):
+    """Geometry per subject; the target is the subject mean of an embedding column not used in it."""
+    va = cut(_va(spark, sf))
+    geo = d.class_centroids(va, {0: "H", 1: "C"}).join(d.va_geometry(va, CLASSES).select("subject_id", "separation", "dispersion"), "subject_id")
+    full = va.groupBy("subject_id").agg(F.avg("w5").alias("target"), F.avg("w4").alias("covariate"))
+    return d.predict_from_geometry(full, geo, "target", ["covariate"], "subject_id")
+
+
 @query("predict_from_geometry", _geometry_sql(), "FX_VA")
 def _(spark, sf):
-    # One geometry row per subject; the target is the mean of a held-out embedding column.
-    va = _va(spark, sf)
-    geo = d.class_centroids(va, {0: "H", 1: "C"}).join(d.va_geometry(va, CLASSES).select("subject_id", "separation", "dispersion"), "subject_id")
-    full = fx.windows(spark, sf).groupBy("subject_id").agg(F.avg("w5").alias("target"), F.avg("w4").alias("covariate"))
-    merged, sets = d.geometry_predictors(full, geo)
-    scans = [inference.univariate_scan(merged, "target", ["covariate"], cols).withColumn("feature_set", F.lit(s)) for s, cols in sets.items()]
-    return out(scans[0].unionByName(scans[1]), "feature_set term n_used", beta=5, t=4, p_two_sided=5, p_corrected=5)
+    return out(_geometry(spark, sf)[0], "feature_set term n_used", beta=5, t=4, p_two_sided=5, p_corrected=5)
+
+
+GEO_FW = GEO_VIEW + """, cc as (select * from mg where separation is not null and dispersion is not null),
+  fw as (select target, covariate, target - regr_intercept(target, covariate) over () - regr_slope(target, covariate) over () * covariate as ry,
+    separation - regr_intercept(separation, covariate) over () - regr_slope(separation, covariate) over () * covariate as r1,
+    dispersion - regr_intercept(dispersion, covariate) over () - regr_slope(dispersion, covariate) over () * covariate as r2 from cc)"""
+
+
+@query("predict_from_geometry_block", f"""with {block_sql(GEO_FW, 'target')} select 'asm_geometry' as feature_set, n as n_used, {r('rf', 5)} as full_r2, {r('rc', 5)} as covariate_r2,
+    {r('f_stat', 4)} as f_stat, {r(F2P, 5)} as p_value from bf""", "FX_VA")
+def _(spark, sf):
+    h = _geometry(spark, sf)[1].where("feature_set = 'asm_geometry'")
+    return out(h, "feature_set n_used", full_r2=5, covariate_r2=5, f_stat=4, p_value=5)
 
 
 @query("decoder_rollup", f"""
