@@ -91,12 +91,19 @@ def trapezoid(values: Column, freqs: list[float], lo: float, hi: float, closed:
 
 
 def flattened(fs: float, nperseg: int, lo: float = 1.0, hi: float = 40.0) -> Column:
-    """Density over its aperiodic line, per bin; NULL outside the fitted range."""
-    def bin_(p: Column, k: Column) -> Column:
+    """Density over its aperiodic line, per bin; NULL outside the fitted range.
+
+    The line's two numbers are zipped to the bins, so they are evaluated once per row and not
+    once per bin.
+    """
+    n = nperseg // 2 + 1
+    bins = F.arrays_zip(F.col("psd").alias("p"), F.array_repeat("offset", n).alias("o"), F.array_repeat("exponent", n).alias("e"))
+
+    def bin_(b: Column, k: Column) -> Column:
         f = k * (fs / nperseg)
-        return F.when((f >= lo) & (f <= hi) & (p > 0), F.pow(
-            F.lit(10.0), F.log10(p) - F.col("offset") + F.col("exponent") * F.log10(f)))
-    return F.transform("psd", bin_)
+        return F.when((f >= lo) & (f <= hi) & (b["p"] > 0), F.pow(F.lit(10.0), F.log10(b["p"]) - b["o"] + b["e"] * F.log10(f)))
+
+    return F.transform(bins, bin_)
 
 
 def band_power(psd: DataFrame, fs: float, nperseg: int, keys: list[str], bands: Bands = BANDS,
@@ -114,16 +121,19 @@ def band_power(psd: DataFrame, fs: float, nperseg: int, keys: list[str], bands:
 
 # ---------------------------------------------------------------- aperiodic component
 
-def _line(points: Column) -> tuple[Column, Column]:
-    """Least-squares (slope, intercept) over an array of (u, v) structs, row-local."""
-    n = F.nullif(F.size(points), F.lit(0))
-    zero = F.lit(0.0)
-    mu = F.aggregate(points, zero, lambda a, p: a + p["u"]) / n
-    mv = F.aggregate(points, zero, lambda a, p: a + p["v"]) / n
-    suv = F.aggregate(points, zero, lambda a, p: a + (p["u"] - mu) * (p["v"] - mv))
-    suu = F.aggregate(points, zero, lambda a, p: a + (p["u"] - mu) * (p["u"] - mu))
-    slope = suv / F.nullif(suu, zero)
-    return slope, mv - slope * mu
+def _line(points: Column) -> Column:
+    """Least-squares (slope, icept) struct over an array of (u, v) structs: one scan of the array."""
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "u", "v", "uv", "uu")])
+    sums = F.aggregate(points, zero, lambda a, p: F.struct(
+        (a["n"] + 1).alias("n"), (a["u"] + p["u"]).alias("u"), (a["v"] + p["v"]).alias("v"),
+        (a["uv"] + p["u"] * p["v"]).alias("uv"), (a["uu"] + p["u"] * p["u"]).alias("uu")),
+        lambda a: F.struct(a["n"].alias("n"), a["u"].alias("u"), a["v"].alias("v"),
+                           ((a["n"] * a["uv"] - a["u"] * a["v"]) / F.nullif(a["n"] * a["uu"] - a["u"] * a["u"], F.lit(0.0))).alias("slope")))
+    return sums
+
+
+def _intercept(line: Column) -> Column:
+    return (line["v"] - line["slope"] * line["u"]) / F.nullif(line["n"], F.lit(0.0))
 
 
 def aperiodic_fit(psd: DataFrame, fs: float, nperseg: int, lo: float = 1.0, hi: float = 40.0,
@@ -139,8 +149,8 @@ def aperiodic_fit(psd: DataFrame, fs: float, nperseg: int, lo: float = 1.0, hi:
     pts = F.array(*[F.struct(F.lit(math.log10(fr[k])).alias("u"), F.log10(F.col("psd")[k]).alias("v")) for k in ks])
     good = F.forall(F.array(*[F.col("psd")[k] for k in ks]), lambda p: F.coalesce(p > 0, F.lit(False)))
     s1 = psd.withColumn("__p", F.when(good, pts))
-    slope, icept = _line(F.col("__p"))
-    s2 = s1.withColumn("__a", slope).withColumn("__b", icept)
+    s2 = s1.withColumn("__l", _line(F.col("__p")))
+    s2 = s2.withColumn("__a", F.col("__l")["slope"]).withColumn("__b", _intercept(F.col("__l")))
     resid = F.transform("__p", lambda p: F.struct(
         p["u"].alias("u"), p["v"].alias("v"),
         F.greatest(p["v"] - F.col("__b") - F.col("__a") * p["u"], F.lit(0.0)).alias("r")))
@@ -150,11 +160,11 @@ def aperiodic_fit(psd: DataFrame, fs: float, nperseg: int, lo: float = 1.0, hi:
     k1 = min(k0 + 1, len(ks) - 1)
     cut = F.get("__s", F.lit(k0)) + (h - k0) * (F.get("__s", F.lit(k1)) - F.get("__s", F.lit(k0)))
     s4 = s3.withColumn("__cut", cut).withColumn("__k", F.filter("__r", lambda p: p["r"] <= F.col("__cut")))
-    slope2, icept2 = _line(F.col("__k"))
     few = F.size("__k") < 3
-    return (s4.withColumn("exponent", -F.when(few, F.col("__a")).otherwise(slope2))
-            .withColumn("offset", F.when(few, F.col("__b")).otherwise(icept2))
-            .drop("__p", "__a", "__b", "__r", "__s", "__cut", "__k"))
+    return (s4.withColumn("__m", _line(F.col("__k")))
+            .withColumn("exponent", -F.when(few, F.col("__a")).otherwise(F.col("__m")["slope"]))
+            .withColumn("offset", F.when(few, F.col("__b")).otherwise(_intercept(F.col("__m"))))
+            .drop("__p", "__l", "__a", "__b", "__r", "__s", "__cut", "__k", "__m"))
 
 
 def periodic_power(fitted: DataFrame, fs: float, nperseg: int, keys: list[str], bands: Bands = BANDS,
@@ -361,12 +371,14 @@ def hjorth(epochs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def spectral_entropy(psd: Column) -> Column:
-    """Natural-log entropy of the density normalised with the guard, then to one."""
-    total = F.aggregate(psd, F.lit(0.0), lambda a, p: a + p)
-    shares = F.transform(psd, lambda p: p / (total + EPS))
-    mass = F.aggregate(shares, F.lit(0.0), lambda a, p: a + p)
-    return F.aggregate(shares, F.lit(0.0), lambda a, p: a - F.when(
-        p > 0, p / mass * F.ln(p / mass)).otherwise(0.0))
+    """Natural-log entropy of the density as shares of its sum.
+
+    The guarded normalisation and the renormalisation cancel, so S = sum p and sum p ln p suffice.
+    """
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("l"))
+    return F.aggregate(psd, zero, lambda a, p: F.struct(
+        (a["s"] + p).alias("s"), (a["l"] + F.when(p > 0, p * F.ln(p)).otherwise(0.0)).alias("l")),
+        lambda a: F.when(a["s"] > 0, F.ln(a["s"]) - a["l"] / a["s"]))
 
 
 def analytic_udf(fs: float, lo: float, hi: float):
