@@ -43,7 +43,10 @@ def weighted_moments(df: DataFrame, y: str, xs: list[str], weight: str, by: list
 
 
 def fit_udf(p: int, q: int = 0):
-    """Solve the intercept model on p predictors; the first q of them form the restricted model."""
+    """Solve the intercept model on p predictors; the first q of them form the restricted model.
+
+    All NULL when no residual degrees of freedom are left or the target is constant.
+    """
     iu = np.triu_indices(p + 1)
 
     def one(n, means, cov):

@@ -50,9 +50,9 @@ def _(spark, sf):
 @query("ols_multi", f"""
     with o as ({ols2('FX_SUBJECT', 'y_cv', 'covariate', 'f_click', 'sex')}),
     l as (select sex, n, r2, df, 'const' as term, b0 as beta, se0 as se from o union all select sex, n, r2, df, 'covariate', b1, se1 from o union all select sex, n, r2, df, 'f_click', b2, se2 from o)
-    select sex, term, n, {r('beta', 6)} as beta, {r('se', 6)} as se, {r('beta / se', 4)} as t, {r('r2', 6)} as r2, {r(t_p('beta / se', 'df'), 5)} as p_two_sided from l""", "FX_SUBJECT")
+    select sex, term, n, {r('beta', 6)} as beta, {r('se', 6)} as se, {r('beta / se', 4)} as t, {r('r2', 6)} as r2, {r(t_p('beta / se', 'df'), 5)} as p_two_sided from l where df > 0""", "FX_SUBJECT")
 def _(spark, sf):
-    return out(i.ols(fx.subjects(spark, sf), Y, ["covariate", "f_click"], ["sex"]), "sex term n", beta=6, se=6, t=4, r2=6, p_two_sided=5)
+    return out(i.ols(fx.subjects(spark, sf), Y, ["covariate", "f_click"], ["sex"]).where("df_resid > 0"), "sex term n", beta=6, se=6, t=4, r2=6, p_two_sided=5)
 
 
 @query("complete_cases", """select count(*) as n_total, count(*) filter (f_click is not null and f_view is not null) as n_used,
@@ -92,14 +92,14 @@ def _(spark, sf):
     return out(o.select("term", d.alias("direction"), ok.alias("sign_matches"), p.alias("p_one_sided")), "term direction sign_matches", p_one_sided=5)
 
 
-PV = f"{SIMPLE}, pv as (select sex, {t_p('beta / se', 'n - 2')} as p from sc where term = 'covariate')"
+PV = f"{SIMPLE}, pv as (select sex, {t_p('beta / se', 'n - 2')} as p from sc where term = 'covariate' and n > 2)"
 
 
 def _family(spark, sf):
-    return i.ols(fx.subjects(spark, sf), Y, COV, ["sex"]).where("term = 'covariate'")
+    return i.ols(fx.subjects(spark, sf), Y, COV, ["sex"]).where("term = 'covariate' and df_resid > 0")
 
 
-@query("p_bonferroni", f"with {PV} select sex, {r('least(p * 5, 1)', 5)} as p_corrected from pv", "FX_SUBJECT")
+@query("p_bonferroni", f"with {PV} select sex, {r('least(p * count(*) over (), 1)', 5)} as p_corrected from pv", "FX_SUBJECT")
 def _(spark, sf):
     return out(i.adjust_p(_family(spark, sf), "p_two_sided", family_order="sex"), "sex", p_corrected=5)
 
@@ -195,7 +195,9 @@ LOO2 = f"""o as ({ols2('FX_SUBJECT', 'y_cv', 'covariate', 'f_click')}),
   lo as (select *, y_cv - (y_cv - fit) / (1 - h) as loo, y_cv - (y_cv - fc) / (1 - hc) as loo_cov from lf),
   ag as (select count(*) as n, avg(y_cv) as m, stddev_samp(y_cv) as sd, stddev_samp(y_cv - loo) as sigma, var_samp(loo) as tau2, 1 - sum(pow(y_cv - loo, 2)) / (var_pop(y_cv) * count(*)) as r2,
     1 - sum(pow(y_cv - loo_cov, 2)) / (var_pop(y_cv) * count(*)) as r2c, 1 - sum(pow(y_cv - fit, 2)) / (var_pop(y_cv) * count(*)) as r2_in from lo)"""
-TCRIT = "(1.959963984540054 + (pow(z, 3) + z) / (4 * v) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * v * v) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(v, 3)))"
+TCRIT = ("(1.959963984540054 + (pow(z, 3) + z) / (4 * v) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * v * v) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(v, 3))"
+         " + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3) - 945 * z) / (92160 * pow(v, 4))"
+         " + (27 * pow(z, 11) + 339 * pow(z, 9) + 930 * pow(z, 7) - 1782 * pow(z, 5) - 765 * pow(z, 3) + 17955 * z) / (368640 * pow(v, 5)))")
 
 
 @query("screening_index", f"""
