@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalops.functions.nulls import EPS, add_all, log_guard, row_mean, safe_div
+from signalops.functions.nulls import EPS, log_guard, row_mean, safe_div
 
 # The nine region composites as (condition prefix, feature family, region).
 REGIONS = {"FC": ["Fz", "Cz"], "PO": ["O1", "O2", "Pz"]}

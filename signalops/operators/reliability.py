@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from signalops.functions.hashing import draw
-from signalops.functions.nulls import add_all, col, corr_agg, spearman_brown
+from signalops.functions.nulls import add_all, corr_agg, spearman_brown
 from signalops.functions.ordering import hash_row_number
 
 # Thresholds and the metric list of the split-half table.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from signalops.functions.present import shown_sql as r
 from signalops.operators import quality as q, reliability as rel, reports
 from signalops.plans import fixtures as fx
-from signalops.plans.q_behaviour import METRICS, _split_sql, metrics_sql
+from signalops.plans.q_behaviour import _split_sql, metrics_sql
 from signalops.plans.registry import out, query
 
 SUB = {"A": ["click", "view"], "B": ["error", "purchase", "signup"]}
