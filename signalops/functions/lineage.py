@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_fallback: dict[str, str] = {}
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a single-process session (``local[...]``) uses a folder of its own that is
+    deleted when the process ends; any other master raises, since executors would each write to
+    their own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = tempfile.mkdtemp(prefix="signalops-")
-    return _fallback[app]
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="signalops-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return _own[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     uses see the same floats, a lost executor costs a re-read, and the planner knows its size.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), "signalops", uuid.uuid4().hex)
+    path = f"{shared_folder(spark)}/signalops/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that ``cut`` wrote under the shared folder; call when results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/signalops")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
