@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalops.llm import quality_rules, simhash
+from signalops.llm import mixing, quality_rules, simhash, tiling, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +63,18 @@ def op2(spark, sf_dir):
 @query("op3_covering_simhash")
 def op3(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_range_coded_tokens")
+def op4(spark, sf_dir):
+    return tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_raked_mixture")
+def op6(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_string_tiling")
+def op7(spark, sf_dir):
+    return tiling.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
