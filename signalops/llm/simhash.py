@@ -88,13 +88,13 @@ def _forest(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
             i = queue.pop()
             for j in np.flatnonzero(near[i] & fresh_y):
                 fresh_y[j] = False
-                a.append(x[i]), b.append(y[j])
+                a.append(i), b.append(j)
                 more = np.flatnonzero(near[:, j] & fresh_x)
                 fresh_x[more] = False
-                a += [x[k] for k in more]
-                b += [y[j]] * len(more)
+                a += more.tolist()
+                b += [j] * len(more)
                 queue += more.tolist()
-    return np.array(a, np.int64), np.array(b, np.int64)
+    return x.view(np.int64)[np.array(a, np.intp)], y.view(np.int64)[np.array(b, np.intp)]
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
