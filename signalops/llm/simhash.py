@@ -1,9 +1,9 @@
 """SimHash near-duplicates through covering locality-sensitive hashing.
 
 Bit masks are built from a code: every bit position i gets a vector m(i) of r+1 bits, and every
-non-zero vector v of r+1 bits gives the mask of the positions with <m(i), v> = 0 (mod 2). The
+non-zero vector v of r+1 bits gives the mask of the positions with <m(i), v> = 1 (mod 2). The
 vectors of any r differing positions span at most r dimensions, so some v is orthogonal to all of
-them and its mask hides all differences: each pair within radius r shares a bucket of at least one
+them and its mask leaves all differences out: each pair within radius r shares a bucket of at least one
 of the 2^(r+1) - 1 tables. No pair within the radius is missed.
 
 Copies share a fingerprint and are merged before bucketing. A bucket is cut into cells of at most
@@ -36,7 +36,7 @@ def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
     """The 2^(radius+1) - 1 masks as unsigned integers; positions cycle through the non-zero vectors."""
     top = 1 << (radius + 1)
     vec = [1 + i % (top - 1) for i in range(bits)]
-    return [sum(1 << i for i in range(bits) if (vec[i] & v).bit_count() % 2 == 0) for v in range(1, top)]
+    return [sum(1 << i for i in range(bits) if (vec[i] & v).bit_count() % 2) for v in range(1, top)]
 
 
 def shingle_hashes(text: str, size: int = SHINGLE) -> list[int]:
