@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalops.llm import mixing, quality_rules, simhash, tiling, tokens
+from signalops.llm import langid, mixing, quality_rules, simhash, tiling, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,13 @@ def op6(spark, sf_dir):
 @query("op7_string_tiling")
 def op7(spark, sf_dir):
     return tiling.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_centroid_langid")
+def op1(spark, sf_dir):
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_counterfactual_toxicity")
+def op10(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
