@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalops.llm import langid, mixing, quality_rules, simhash, tiling, tokens, toxicity
+from signalops.llm import cotrain, langid, mixing, quality_rules, simhash, tiling, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,8 @@ def op1(spark, sf_dir):
 @query("op10_counterfactual_toxicity")
 def op10(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_cotrained_quality")
+def op8(spark, sf_dir):
+    return cotrain.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
