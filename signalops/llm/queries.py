@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalops.llm import cotrain, langid, mixing, quality_rules, simhash, tiling, tokens, toxicity
+from signalops.llm import cotrain, langid, mixing, pii, quality_rules, secret_ledger, simhash, tiling, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,13 @@ def op10(spark, sf_dir):
 @query("op8_cotrained_quality")
 def op8(spark, sf_dir):
     return cotrain.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_boosted_pii")
+def op5(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_blob_ledger_secrets")
+def op9(spark, sf_dir):
+    return secret_ledger.report(table(spark, sf_dir, "documents"))
