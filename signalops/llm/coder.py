@@ -18,7 +18,7 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 4096, 2048
+BLOCK, LANES = 4096, 1024
 MAGIC = b"CMRC1"
 _HEAD = "<5sIII"  # magic, number of ids, crc32 of the ids as <u4, vocabulary size
 _T1, _T2 = 1024, 2048
@@ -41,8 +41,8 @@ class _Novel:
         w = 1.0 / (np.arange(vocab) + 16.0)
         f = 1 + np.floor(w / w.sum() * ((1 << self.bits) - vocab)).astype(np.int64)
         f[0] += (1 << self.bits) - f.sum()
-        self.freq, self.start = f, np.concatenate(([0], np.cumsum(f)[:-1]))
-        self.at = np.repeat(np.arange(vocab), f)
+        self.freq, self.start = f.astype(np.int32), np.concatenate(([0], np.cumsum(f)[:-1])).astype(np.int32)
+        self.at = np.repeat(np.arange(vocab, dtype=np.int32), f)
 
 
 class _Model:
@@ -57,12 +57,12 @@ class _Model:
         self.before = np.zeros(lanes, np.int64)
 
     def look(self) -> None:
-        a = self.last * 40503
-        self.i1 = self.b1 + ((a >> 4) & (_T1 - 1))
-        self.i2 = self.b2 + (((a + self.before * 30011) >> 5) & (_T2 - 1))
+        self.i1 = self.b1 + (self.last & (_T1 - 1))
+        self.i2 = self.b2 + ((self.last * 37 + self.before) & (_T2 - 1))
         self.e1, self.e2 = self.one[self.i1], self.two[self.i2]
         self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
-        self.ctx = self.bm + ((self.e2 & 3) << 2) + (self.e1 & 3) * (self.p1 != self.p2)
+        self.k1, self.k2 = self.e1 & 3, self.e2 & 3
+        self.ctx = self.bm + (self.k2 << 2) + self.k1 * (self.p1 != self.p2)
         self.w = self.mix[self.ctx]
 
     def interval(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,13 +70,12 @@ class _Model:
         lo = ((self.w << 16) >> sh) & 0xFFFF
         return lo, (((self.w | (_MIX << 48)) >> sh) & 0xFFFF) - lo
 
-    def learn(self, ids: np.ndarray, part: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, part: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
+        """A right prediction gains confidence up to 3; a wrong one is replaced."""
         self.mix[self.ctx] = self.w - ((self.w >> 5) & _FIELDS) + _PULL[part]
         fresh = (ids << 2) | 1
-        e, ok = self.e1, self.p1 == ids
-        self.one[self.i1] = np.where(ok, e + ((e & 3) < 3), np.where((e & 3) > 1, e - 1, fresh))
-        e, ok = self.e2, self.p2 == ids
-        self.two[self.i2] = np.where(ok, e + ((e & 3) < 3), np.where((e & 3) > 1, e - 1, fresh))
+        self.one[self.i1] = np.where(hit1, self.e1 + (self.k1 < 3), fresh)
+        self.two[self.i2] = np.where(hit2, self.e2 + (self.k2 < 3), fresh)
         self.before, self.last = self.last, ids
 
 
@@ -119,7 +118,15 @@ def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
     novel, m = _Novel(vocab), _Model(lanes)
     low, rng = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
     words, size = np.zeros((lanes, steps + 4), np.uint32), np.zeros(lanes, np.int64)
-    ids_t, s_t, c_t = (np.ascontiguousarray(x.T).astype(np.int64) if steps else None for x in (ids, start0, count0))
+    # What coding an id by order 0, or as a novel id, needs; known for all steps beforehand.
+    seen = count0 > 0 if steps else None
+    n0 = np.array([t.bit_length() - 1 if t >= 16 else 0 for t in range(steps)])
+    turned = lambda x, kind: np.ascontiguousarray(x.T.astype(kind))
+    if steps:
+        ids_t, part_t = turned(ids, np.uint32), turned(np.where(seen, np.int8(2), np.int8(3)), np.int8)
+        first_t = turned(np.where(seen, start0, novel.start[ids]), np.uint32)
+        count_t = turned(np.where(seen, count0, novel.freq[ids]), np.uint32)
+        bits_t = turned(np.where(seen, n0[None, :].astype(np.uint8), np.uint8(novel.bits)), np.uint8)
     live, lane = lanes, np.arange(lanes)
 
     def put(rows: np.ndarray) -> None:
@@ -130,22 +137,18 @@ def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
     for t in range(steps):
         if lengths[live - 1] <= t:  # shorter lanes have ended; they still step, but write nothing
             live = int(np.searchsorted(-lengths, -t, "left"))
-        s = ids_t[t]
+        s = ids_t[t].astype(np.int64)
         m.look()
-        n0 = t.bit_length() - 1 if t >= 16 else 0
-        seen = c_t[t] > 0
-        part = np.where(m.p2 == s, 0, np.where(m.p1 == s, 1, np.where(seen, 2, 3)))
+        hit1, hit2 = m.p1 == s, m.p2 == s
+        part = np.where(hit1, np.int8(1), part_t[t]).astype(np.int64) * ~hit2
         lo, width = m.interval(part)
         r = rng >> U(12)
-        add = r * lo.astype(U)
-        rng = r * width.astype(U)
-        zero, rare = part == 2, part == 3
-        bits = np.where(zero, n0, np.where(rare, novel.bits, 0)).astype(U)
-        first = np.where(zero, s_t[t], np.where(rare, novel.start[s], 0)).astype(U)
-        count = np.where(zero, c_t[t], np.where(rare, novel.freq[s], 1)).astype(U)
-        r = rng >> bits
-        add += r * first
-        rng = r * count
+        add = r * lo.view(U)
+        rng = r * width.view(U)
+        miss = part > 1
+        r = rng >> (bits_t[t] * miss).astype(U)
+        add += r * (first_t[t] * miss)
+        rng = r * np.where(miss, count_t[t], np.uint32(1))
         new = low + add
         over = np.flatnonzero(new[:live] < low[:live])
         low = new
@@ -159,7 +162,7 @@ def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
                 more = words[over, size_at - back] == 0
                 over, size_at = over[more], size_at[more]
                 back += 1
-        m.learn(s, part)
+        m.learn(s, part, hit1, hit2)
         small = np.flatnonzero(rng[:live] < U(1 << 32))
         if len(small):
             put(small)
@@ -224,29 +227,27 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
             base, n0, copied, n = lane * n, t.bit_length() - 1, n, 2 * n
         m.look()
         r = rng >> U(12)
-        v = np.minimum(d // r, U(_MIX - 1)).astype(np.int64)
-        w = m.w
-        part = (v >= (w & 0xFFFF)).astype(np.int64) + (v >= ((w >> 16) & 0xFFFF)) + (v >= (w >> 32))
+        w = m.w.view(U)
+        part = (d >= r * (w & U(0xFFFF))).astype(np.int64) + (d >= r * ((w >> U(16)) & U(0xFFFF))) + (d >= r * (w >> U(32)))
         lo, width = m.interval(part)
-        d = d - r * lo.astype(U)
-        rng = r * width.astype(U)
-        zero, rare = part == 2, part == 3
-        bits = np.where(zero, n0, np.where(rare, novel.bits, 0)).astype(U)
+        d -= r * lo.view(U)
+        rng = r * width.view(U)
+        bits = np.array([0, 0, n0, novel.bits], U)[part]
         r = rng >> bits
-        v = np.minimum(d // r, (U(1) << bits) - U(1)).astype(np.int64)
+        v = np.minimum(d // r, (U(1) << bits) - U(1)).view(np.int64)
         s = np.where(part == 0, m.p2, m.p1)
         first, count = np.zeros(lanes, np.int64), np.ones(lanes, np.int64)
         if hist is not None:
-            k = np.flatnonzero(zero)
+            k = np.flatnonzero(part == 2)
             at = base[k] + v[k]
             s[k], first[k], count[k] = hist[0][at], hist[1][at], hist[2][at]
-        k = np.flatnonzero(rare)
+        k = np.flatnonzero(part == 3)
         x = novel.at[v[k]]
         s[k], first[k], count[k] = x, novel.start[x], novel.freq[x]
-        d = d - r * first.astype(U)
-        rng = r * count.astype(U)
+        d -= r * first.view(U)
+        rng = r * count.view(U)
         got_t[t] = s
-        m.learn(s, part)
+        m.learn(s, part, m.p1 == s, m.p2 == s)
         small = np.flatnonzero(rng < U(1 << 32))
         if len(small):
             p = np.minimum(pos[small], top[small])
