@@ -11,7 +11,8 @@ without a ``topic`` column gets the kind of text as its topic (listing, symbols,
 
 Defined cases: null source, language or topic form a value of their own; texts without words weigh nothing, are sampled with
 the probability of their cell and a cell of such texts alone has probability one; repeated rows share
-their draw; an empty table gives no rows. Marginals that no non-negative weights meet leave the loop after ``rounds``.
+their draw; an empty table gives no rows. Marginals that no non-negative weights meet leave the loop
+once a round brings them less than one percent closer, or after ``rounds``.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def flattened(cells: DataFrame, dim: str, power: float) -> DataFrame:
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """Cells with ``weight``: shares whose marginals meet the targets. ``targets``: (dim, share) tables."""
-    w = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
+    w, last = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double")), float("inf")
     for _ in range(rounds):
         off = []
         for dim, target in targets.items():
@@ -68,8 +69,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
         w = cut(w)
         worst = max((x for x in w.agg(*off).first() if x is not None), default=0.0)
         w = w.drop(*[f"__f_{d}" for d in targets])
-        if worst < tolerance:
+        if worst < tolerance or worst > 0.99 * last:
             break
+        last = worst
     return w
 
 
