@@ -45,26 +45,25 @@ def hash_row_number(df: DataFrame, keys: list[str], hash_col: str, tie: str, buc
     return bucketed_row_number(df, keys, [hash_col, tie], F.floor(F.col(hash_col) / F.lit(width)), name)
 
 
-def _edges(counts: DataFrame, key: str, value: str, buckets: int) -> dict:
-    """Approximate quantile edges per key: keys come from the schema, so few and small."""
-    probs = [i / buckets for i in range(1, buckets)]
-    rows = (counts.groupBy(key)
-            .agg(F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), F.lit(max(1000, 4 * buckets))).alias("e"))
-            .collect())
-    return {r[key]: sorted(set(r["e"] or [])) for r in rows if r[key] is not None}
-
-
-def _bucket_of(edges: dict, key: str, value: str, fan: int = 64) -> Column:
-    """Bucket number of a value: every ``fan``-th edge first, then the edges inside that span."""
-    doubles = lambda v: F.array(*[F.lit(float(x)) for x in v]).cast("array<double>")
+def _edge_table(counts: DataFrame, key: str, value: str, buckets: int, fan: int = 64) -> DataFrame:
+    """(key, coarse, fine): approximate quantile edges per key, every ``fan``-th in coarse and the spans between them in fine.
+
+    One row per key, joined on the key: the plan does not grow with keys or edges and nothing
+    reaches the driver.
+    """
+    edges = counts.groupBy(key).agg(F.percentile_approx(value, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]),
+                                                        F.lit(max(1000, 4 * buckets))).alias("e"))
+    e = F.array_sort(F.array_distinct(F.coalesce("e", F.array().cast("array<double>"))))
+    return edges.select(key, e.cast("array<double>").alias("e")).select(
+        key, F.transform(F.sequence(F.lit(0), F.floor(F.size("e") / fan).cast("int")), lambda i: F.slice("e", i * fan + 1, fan)).alias("__fine")
+    ).select(key, "__fine", F.transform(F.filter("__fine", lambda s: F.size(s) == fan), lambda s: s[fan - 1]).alias("__coarse"))
+
+
+def _bucket_of(value: str, fan: int = 64) -> Column:
+    """Bucket number of a value from the joined edges: the span first, then the place inside it."""
     below = lambda arr: F.size(F.filter(arr, lambda x: x < F.col(value)))
-    coarse, fine = [], []
-    for k, e in edges.items():
-        coarse += [F.lit(k), doubles(e[fan - 1::fan])]
-        spans = [e[i:i + fan] for i in range(0, len(e) + 1, fan)]
-        fine += [F.lit(k), F.array(*[doubles(sp) for sp in spans])]
-    c = below(F.element_at(F.create_map(*coarse), F.col(key)))
-    return c * fan + below(F.get(F.element_at(F.create_map(*fine), F.col(key)), c))
+    c = below(F.col("__coarse"))
+    return c * fan + F.greatest(below(F.get(F.col("__fine"), c)), F.lit(0))
 
 
 def value_positions(df: DataFrame, key: str, value: str, buckets: int | None = None) -> DataFrame:
@@ -75,8 +74,8 @@ def value_positions(df: DataFrame, key: str, value: str, buckets: int | None = N
     edges only steer the layout and do not change the result.
     """
     counts = cut(df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n")))
-    edges = _edges(counts, key, value, buckets or min(4096, bucket_count(df)))
-    counts = counts.withColumn("__b", _bucket_of(edges, key, value) if edges else F.lit(0))
+    edges = _edge_table(counts, key, value, buckets or min(4096, bucket_count(df)))
+    counts = counts.join(edges, key).withColumn("__b", _bucket_of(value)).drop("__coarse", "__fine")
     sizes = counts.groupBy(key, "__b").agg(F.sum("n").alias("__bn"))
     whole = W.partitionBy(key)
     offsets = sizes.select(

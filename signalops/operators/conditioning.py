@@ -241,10 +241,11 @@ def epoch_ids(samples: DataFrame, length: int, overlap: int = 0, by: list[str] =
             .withColumn("n", (F.col("t") - F.col("epoch_id") * step).cast("bigint")).drop("__size"))
 
 
-def pack_epochs(epoched: DataFrame, by: list[str]) -> DataFrame:
-    """One array per epoch and channel (epoch-sized groups)."""
+def pack_epochs(epoched: DataFrame, by: list[str], length: int) -> DataFrame:
+    """One array per epoch and channel (epoch-sized groups); an epoch with a gap is left out."""
     return (epoched.groupBy(*by, "epoch_id")
             .agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("s"))
+            .where(F.size("s") == length)
             .select(*by, "epoch_id", F.transform("s", lambda s: s["value"]).alias("x")))
 
 
@@ -269,9 +270,14 @@ def rejection_stats(marked: DataFrame, by: list[str] = REC, warn_above: float =
                       (pct > warn_above).alias("warn"))
 
 
-def amplitude_summary(epochs: DataFrame, by: list[str] = REC) -> DataFrame:
-    """Mean |amplitude| and population sd over all samples, in micro-units; 0 without epochs."""
+def amplitude_summary(epochs: DataFrame, by: list[str] = REC, recordings: DataFrame | None = None) -> DataFrame:
+    """Mean |amplitude| and population sd over all samples, in micro-units; 0 without epochs.
+
+    ``recordings`` (rows of ``by``) adds those of which no epoch is left.
+    """
     v = epochs.select(*by, F.explode_outer("x").alias("v"))
+    if recordings is not None:
+        v = recordings.select(*by).join(v, by, "left")
     return v.groupBy(*by).agg((F.coalesce(F.avg(F.abs("v")), F.lit(0.0)) * 1e6).alias("mean_amplitude_uv"),
                               (F.coalesce(F.stddev_pop("v"), F.lit(0.0)) * 1e6).alias("std_amplitude_uv"))
 

@@ -41,8 +41,12 @@ def stratified_folds(windows: DataFrame, row_id: str, k: int | Column = 5, subje
 
 def class_moments(folded: DataFrame, features: list[str], keys: list[str], label: str = "label",
                   second: bool = True) -> DataFrame:
-    """n, sums and cross products per (keys, fold, class): additive, so any training set is a sum."""
+    """n, sums and cross products per (keys, fold, class): additive, so any training set is a sum.
+
+    Windows with a missing cell count nowhere, so n fits every sum.
+    """
     p = len(features)
+    folded = folded.na.drop(subset=features)
     x = [F.col(f).cast("double") for f in features]
     aggs = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)]]
     if second:
@@ -84,7 +88,7 @@ def lda_udf(p: int):
         q = np.zeros((p, p))
         q[iu] = np.sum([r["q"] for r in rows], axis=0)
         q = q + np.triu(q, 1).T
-        pooled = (q - (m * n[:, None]).T @ m) / n.sum()
+        pooled = (q - (m * n[:, None]).T @ m) / max(n.sum() - len(n), 1.0)
         w = m @ np.linalg.pinv(pooled, hermitian=True)
         c = np.log(n / n.sum()) - 0.5 * (w * m).sum(axis=1)
         return [{"c": r["c"], "w": [float(c[i]), *w[i].tolist()]} for i, r in enumerate(rows)]
@@ -137,98 +141,6 @@ def project_rest(windows: DataFrame, rest: DataFrame, features: list[str], keys:
     return _posteriors(rest.join(_lda_models(m, features, keys, label), keys), features)
 
 
-# ---------------------------------------------------------------- MLP
-
-def _mlp_fit(x: np.ndarray, y: np.ndarray, k: int, hidden: int, iters: int, seed: int):
-    """One ReLU layer and softmax, full-batch Adam."""
-    r = np.random.default_rng(seed)
-    w = [r.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], hidden)), np.zeros(hidden),
-         r.normal(0, (1 / hidden) ** 0.5, (hidden, k)), np.zeros(k)]
-    mom, vel = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
-    hot = np.eye(k)[y]
-    for t in range(1, iters + 1):
-        h = np.maximum(x @ w[0] + w[1], 0)
-        d = (_softmax(h @ w[2] + w[3]) - hot) / len(x)
-        dh = (d @ w[2].T) * (h > 0)
-        for i, g in enumerate((x.T @ dh + 1e-4 * w[0] / len(x), dh.sum(0), h.T @ d + 1e-4 * w[2] / len(x), d.sum(0))):
-            mom[i] = 0.9 * mom[i] + 0.1 * g
-            vel[i] = 0.999 * vel[i] + 0.001 * g * g
-            w[i] = w[i] - 0.01 * (mom[i] / (1 - 0.9 ** t)) / (np.sqrt(vel[i] / (1 - 0.999 ** t)) + 1e-8)
-    return w
-
-
-def _softmax(s: np.ndarray) -> np.ndarray:
-    e = np.exp(s - s.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
-def mlp_oof(folded: DataFrame, features: list[str], classes: list, row_id: str, subject: str = "subject_id",
-            label: str = "label", hidden: int = 32, iters: int = 300, folds: int = 5, max_windows: int = 50000,
-            seed: int = 42) -> DataFrame:
-    """Out-of-fold posteriors of a small network per (subject, training fold).
-
-    Subjects up to ``max_windows`` are fitted in grouped tasks. A larger subject is never
-    gathered: its folds are fitted by Spark ML's distributed network instead (same layers).
-    """
-    sizes = folded.groupBy(subject).agg(F.count(F.lit(1)).alias("__n"))
-    big = [r[0] for r in sizes.where(F.col("__n") > max_windows).select(subject).collect()]
-    code = {c: i for i, c in enumerate(classes)}
-    kind = folded.schema[row_id].dataType.simpleString()
-    sub = folded.schema[subject].dataType.simpleString()
-    lab = folded.schema[label].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id)
-        x, y = pdf[features].to_numpy(dtype="float64"), pdf[label].map(code).to_numpy()
-        out = np.zeros((len(pdf), len(classes)))
-        for f in np.unique(pdf["fold"]):
-            te = (pdf["fold"] == f).to_numpy()
-            tr = ~te
-            if not tr.any():
-                continue
-            med = np.nanmedian(x[tr], axis=0)
-            xi = np.where(np.isnan(x), med, x)
-            mu, sd = xi[tr].mean(axis=0), xi[tr].std(axis=0)
-            z = (xi - mu) / np.where(sd > 0, sd, 1.0)
-            seen = np.unique(y[tr])
-            back = {c: i for i, c in enumerate(seen)}
-            w = _mlp_fit(z[tr], np.array([back[c] for c in y[tr]]), len(seen), hidden, iters, seed)
-            out[np.ix_(te, seen)] = _softmax(np.maximum(z[te] @ w[0] + w[1], 0) @ w[2] + w[3])
-        return pd.DataFrame({subject: pdf[subject], row_id: pdf[row_id], "fold": pdf["fold"], label: pdf[label],
-                             "p": list(out)})
-
-    schema = f"`{subject}` {sub}, `{row_id}` {kind}, fold bigint, `{label}` {lab}, p array<double>"
-    cols = [subject, row_id, F.col("fold").cast("bigint").alias("fold"), label, *features]
-    small = folded.where(~F.col(subject).isin(big)) if big else folded
-    out = small.select(*cols).groupBy(subject).applyInPandas(run, schema)
-    for s in big:
-        out = out.unionByName(_mlp_distributed(folded.where(F.col(subject) == s).select(*cols), features, code, row_id,
-                                               subject, label, hidden, iters, folds, seed))
-    names = F.array(*[F.lit(c) for c in classes])
-    return out.withColumn("posterior", F.map_from_arrays(names, "p")).withColumn(
-        "pred", F.element_at(names, F.array_position("p", F.array_max("p")).cast("int"))).drop("p")
-
-
-def _mlp_distributed(d: DataFrame, features: list[str], code: dict, row_id: str, subject: str, label: str,
-                     hidden: int, iters: int, folds: int, seed: int) -> DataFrame:
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    idx = F.coalesce(*[F.when(F.col(label) == c, F.lit(float(i))) for c, i in code.items()])
-    d, out = d.withColumn("__y", idx), None
-    for f in range(folds):
-        steps = [VectorAssembler(inputCols=features, outputCol="__v"),
-                 StandardScaler(inputCol="__v", outputCol="__z", withMean=True),
-                 MultilayerPerceptronClassifier(featuresCol="__z", labelCol="__y", layers=[len(features), hidden, len(code)],
-                                                maxIter=iters, seed=seed)]
-        one = Pipeline(stages=steps).fit(d.where(F.col("fold") != f)).transform(d.where(F.col("fold") == f))
-        one = one.select(subject, row_id, "fold", label, vector_to_array("probability").alias("p"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 # ---------------------------------------------------------------- scores
 
 def confusion(pred: DataFrame, classes: list, keys: list[str], label: str = "label") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from signalops.functions.nulls import EPS, log_guard, row_mean, safe_div
 
@@ -269,25 +269,41 @@ def resolve_schemes(kept: DataFrame, apriori: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- priors
 
-def direction_of(composite: str, target: str) -> str:
-    """Broadband offsets have no predicted sign; others help, which lowers rt_cv and raises the rest."""
-    if "offset" in composite:
-        return "two_sided"
-    return "negative" if target == "rt_cv" else "positive"
+# Composite, construct, and the predicted sign for each target of PRIOR_TARGETS.
+PRIORS = [
+    ("rel_theta_FC", "frontal theta (cognitive control)", "positive", "positive", "positive", "negative"),
+    ("rel_beta_FC", "frontal beta (vigilance / readiness)", "positive", "positive", "positive", "negative"),
+    ("rel_alpha_PO", "posterior alpha (attentional reserve)", "positive", "positive", "positive", "negative"),
+    ("aperiodic_exponent_FC", "frontal 1/f slope (E/I; maturation)", "positive", "positive", "positive", "negative"),
+    ("aperiodic_exponent_PO", "posterior 1/f slope (E/I; maturation)", "positive", "positive", "positive", "negative"),
+    ("aperiodic_offset_FC", "frontal broadband offset", "two_sided", "two_sided", "two_sided", "two_sided"),
+    ("aperiodic_offset_PO", "posterior broadband offset", "two_sided", "two_sided", "two_sided", "two_sided"),
+    ("paf_PO", "individual alpha frequency (processing)", "positive", "positive", "positive", "negative"),
+    ("alpha_reactivity_PO", "alpha system reactivity", "positive", "positive", "positive", "negative"),
+]
 
 
-def direction_priors(df: DataFrame, composite: str = "composite", targets: list[str] = PRIOR_TARGETS,
-                     base: dict[str, str] | None = None) -> DataFrame:
-    """One row per input row and target with its direction: the per-target table overrides the global map."""
-    names = [*REGION_COMPOSITES, REACTIVITY_COMPOSITE]
+def prior_table(spark: SparkSession) -> DataFrame:
+    """(composite, construct, target, direction), one row per composite and target."""
+    rows = [(c, k, t, d) for c, k, *signs in PRIORS for t, d in zip(PRIOR_TARGETS, signs)]
+    return spark.createDataFrame(rows, "composite string, construct string, target string, direction string")
+
 
-    def direction(t: str) -> Column:
-        table = {**(base or {}), **{n: direction_of(n, t) for n in names}}
-        lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-        return F.coalesce(F.element_at(lookup, F.col(composite)), F.lit("two_sided"))
+def direction_priors(df: DataFrame, composite: str = "composite", priors: DataFrame | None = None,
+                     base: dict[str, str] | None = None) -> DataFrame:
+    """One row per input row and target with construct and direction.
 
-    rows = F.array(*[F.struct(F.lit(t).alias("target"), direction(t).alias("direction")) for t in targets])
-    return df.select("*", F.inline(rows))
+    ``priors`` (composite, construct, target, direction) overrides the global map ``base``; a composite that neither
+    names is two-sided and has no construct.
+    """
+    table = priors if priors is not None else prior_table(df.sparkSession)
+    targets = table.agg(F.array_sort(F.collect_set("target"))).scalar()
+    known = df.select(F.col(composite).alias("composite")).distinct().withColumn("__t", targets)
+    known = known.select("composite", F.explode("__t").alias("target")).join(table, ["composite", "target"], "left")
+    given = F.element_at(F.create_map(*[F.lit(x) for pair in base.items() for x in pair]), F.col("composite")) if base else F.lit(None).cast("string")
+    known = known.withColumn("direction", F.coalesce("direction", given, F.lit("two_sided")))
+    known = known.withColumnRenamed("composite", "__c")
+    return df.join(known, F.col(composite).eqNullSafe(F.col("__c"))).drop("__c")
 
 
 # ---------------------------------------------------------------- merge

@@ -242,8 +242,13 @@ def bootstrap_mean_ci(df: DataFrame, y: str, row_id: str, reps: int = 1000, seed
 def hypothesis_test(df: DataFrame, y: str, covariates: list[str], features: list[str], directions: dict[str, str],
                     row_id: str, correction: str = "bonferroni", alpha_level: float = 0.05, reps: int = 0,
                     seed: int = 42) -> DataFrame:
-    """One (target, feature set): coefficient rows with block F, priors, correction, bootstrap."""
+    """One (target, feature set): coefficient rows with block F, priors, correction, bootstrap.
+
+    No rows unless complete cases reach covariates + features + 3.
+    """
     xs = [*covariates, *features]
+    whole = df.na.drop(subset=[y, *xs])
+    df = df.where(whole.agg(F.count(F.lit(1)) >= len(xs) + 3).scalar())
     f = fit_ols(df, y, xs, (), len(covariates))
     co = coefficients(f, xs).where(F.col("term").isin(features)).withColumn("p_two_sided", t_pvalue("t", "df_resid"))
     prior = F.coalesce(*[F.when(F.col("term") == k, F.lit(v)) for k, v in directions.items()], F.lit("two_sided"))
@@ -331,8 +336,12 @@ def _loo_summary(d: DataFrame, y: str) -> Column:
 
 
 def screening_index(df: DataFrame, y: str, covariates: list[str], features: list[str], row_id: str) -> DataFrame:
-    """Shrunken leave-one-out score with interval, percentile and a sample-wide confidence flag."""
+    """Shrunken leave-one-out score with interval, percentile and a sample-wide confidence flag.
+
+    No rows for fewer than five complete cases.
+    """
     d = cut(df.select(row_id, y, *covariates, *features).na.drop())
+    d = d.where(d.agg(F.count(F.lit(1)) >= 5).scalar())
     d = loo_predict(d, y, [*covariates, *features], "loo", "__f")
     d = loo_predict(d, y, covariates, "loo_cov", "__f2").select(row_id, y, "loo", "loo_cov")
     s = d.withColumn("__s", _loo_summary(d, y))

@@ -154,35 +154,40 @@ def permutation_p(df: DataFrame, y: str, features: list[str], row_id: str, reps:
 
 # ---------------------------------------------------------------- model grid
 
-def _enet(g: np.ndarray, b: np.ndarray, alpha: float, l1: float, start: np.ndarray) -> np.ndarray:
-    """Coordinate descent on a standardised Gram g = X'X/n and b = X'y/n."""
+def _enet(g: np.ndarray, b: np.ndarray, alpha: np.ndarray, l1: np.ndarray, start: np.ndarray, sweeps: int = 10000,
+          tol: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinate descent on standardised Grams g = X'X/n and b = X'y/n, many problems at once.
+
+    Shapes (problems, p, p), (problems, p), (problems,). Returns the weights and, for each problem, whether it
+    converged within ``sweeps``.
+    """
     w = start.copy()
-    for _ in range(1000):
-        step = 0.0
-        for j in range(len(b)):
-            r = b[j] - g[j] @ w + g[j, j] * w[j]
-            new = np.sign(r) * max(abs(r) - alpha * l1, 0.0) / (g[j, j] + alpha * (1 - l1) + 1e-12)
-            step = max(step, abs(new - w[j]))
-            w[j] = new
-        if step < 1e-7:
+    size, pull = g.diagonal(axis1=1, axis2=2), alpha * l1
+    shrink = size + (alpha * (1 - l1))[:, None] + 1e-12
+    for _ in range(sweeps):
+        step = np.zeros(len(w))
+        for j in range(w.shape[1]):
+            r = b[:, j] - np.einsum("ij,ij->i", g[:, j], w) + size[:, j] * w[:, j]
+            new = np.sign(r) * np.maximum(np.abs(r) - pull, 0.0) / shrink[:, j]
+            step = np.maximum(step, np.abs(new - w[:, j]))
+            w[:, j] = new
+        if (step < tol).all():
             break
-    return w
+    return w, step < tol
 
 
-# Widest design fitted from a Gram matrix; wider pools use Spark ML.
-GRAM_LIMIT = 48
-
-# The mixing ratios tried inside each training fold.
+# The mixing ratios tried inside each training fold, the length of the penalty path and its ratio.
 L1_RATIOS = [0.1, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0]
+N_ALPHAS, ALPHA_RATIO, SWEEPS = 100, 1e-3, 10000
 
 
-def elastic_net_oof(folded: DataFrame, y: str, xs: list[str], row_id: str, by: list[str] = ("rep",),
-                    fold: str = "fold", inner: int = 5, n_alphas: int = 20) -> DataFrame:
-    """Out-of-fold elastic net with inner cross-validation, fitted from Gram cells only.
+def elastic_net_models(folded: DataFrame, y: str, xs: list[str], row_id: str, by: list[str] = ("rep",), fold: str = "fold",
+                       inner: int = 5, n_alphas: int = N_ALPHAS, sweeps: int = SWEEPS) -> DataFrame:
+    """One elastic net per (by, fold): beta (intercept first), l1, alpha, converged.
 
-    One aggregate yields a moment cell per (repeat, fold, inner fold). Every training set,
-    inner or outer, is a sum of cells, so the whole search runs on a few small arrays per
-    repeat; predictions join back on (repeat, fold).
+    One aggregate yields a moment cell per (repeat, fold, inner fold), at any width of the design. Every training
+    set, inner or outer, is a sum of cells. Each (repeat, fold) is solved in a task of its own, which
+    receives the cells of the other folds; its inner folds and mixing ratios run down the penalty path together.
     """
     by = list(by)
     p = len(xs)
@@ -190,70 +195,60 @@ def elastic_net_oof(folded: DataFrame, y: str, xs: list[str], row_id: str, by: l
     cen = folded.agg(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
     d = folded.withColumn("__c", cen).withColumn("__i", draw(row_id, 7919, 7) % inner)
     z = [F.col(c) - F.col(f"__c.{c}") for c in cols]
-    cells = d.groupBy(*by, fold, "__i").agg(
+    cells = cut(d.groupBy(*by, fold, "__i").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.array(*[F.sum(a) for a in z]).alias("s"),
-        F.array(*[F.sum(z[i] * z[j]) for i in range(p + 1) for j in range(p + 1)]).alias("q"),
-        F.max(F.array(*[F.col(f"__c.{c}") for c in cols])).alias("c"))
+        F.array(*[F.sum(z[i] * z[j]) for i in range(p + 1) for j in range(i, p + 1)]).alias("q"),
+        F.max(F.array(*[F.col(f"__c.{c}") for c in cols])).alias("c")))
+    folds = cells.select(*by, F.col(fold).alias("__f")).distinct()
+    training = cells.join(folds, by).where(F.col(fold) != F.col("__f")).drop(fold).withColumnRenamed("__f", fold)
+    upper = np.triu_indices(p + 1)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         def std(n, s, q):
             m = s / n
             cov = q / n - np.outer(m, m)
             sd = np.sqrt(np.maximum(np.diag(cov)[:p], 1e-24))
-            return m, sd, cov[:p, :p] / np.outer(sd, sd), cov[:p, p] / sd, cov
+            return m, sd, cov[:p, :p] / np.outer(sd, sd), cov[:p, p] / sd
+
+        def total(part: pd.DataFrame):
+            q = np.zeros((p + 1, p + 1))
+            q[upper] = np.sum(part["q"].tolist(), axis=0)
+            return part["n"].sum(), np.sum(part["s"].tolist(), axis=0), q + np.triu(q, 1).T
 
-        cell = {(r[fold], r["__i"]): (r["n"], np.array(r["s"]), np.array(r["q"]).reshape(p + 1, p + 1)) for _, r in pdf.iterrows()}
+        pdf = pdf.sort_values(["__i", "n"], kind="stable")
         centre = np.array(pdf["c"].iloc[0])
-        add = lambda keys: tuple(sum(cell[k][i] for k in keys) for i in range(3))
-        out = []
-        for f in sorted(pdf[fold].unique()):
-            train = [k for k in cell if k[0] != f]
-            m, sd, g, b, _ = std(*add(train))
-            err = {}
-            for i in sorted({k[1] for k in train}):
-                mi, sdi, gi, bi, _ = std(*add([k for k in train if k[1] != i]))
-                n, s, q = add([k for k in train if k[1] == i])
-                for l1 in L1_RATIOS:
-                    top = np.abs(b).max() / l1
-                    w = np.zeros(p)
-                    for a in np.geomspace(top, top * 1e-3, n_alphas):
-                        w = _enet(gi, bi, a, l1, w)
-                        beta = w / sdi
-                        u = np.append(-beta, 1.0)
-                        c0 = u @ mi
-                        err[l1, a] = err.get((l1, a), 0.0) + (u @ q @ u - 2 * c0 * (u @ s) + n * c0 * c0)
-            l1, a = min(err, key=err.get)
-            beta = _enet(g, b, a, l1, np.zeros(p)) / sd
-            icept = centre[p] + m[p] - beta @ (centre[:p] + m[:p])
-            out.append({**{k: pdf[k].iloc[0] for k in by}, fold: f, "beta": np.append(icept, beta).tolist(), "l1": l1, "alpha": a})
-        return pd.DataFrame(out)
+        m, sd, g, b = std(*total(pdf))
+        sets = [(std(*total(pdf[pdf["__i"] != i])), total(pdf[pdf["__i"] == i])) for i in sorted(pdf["__i"].unique()) if (pdf["__i"] != i).any()]
+        ratio = np.array(L1_RATIOS)
+        path = np.abs(b).max() / ratio[:, None] * np.geomspace(1, ALPHA_RATIO, n_alphas)[None, :]
+        k, r = len(sets), len(ratio)
+        gi, bi = np.repeat([t[0][2] for t in sets], r, axis=0), np.repeat([t[0][3] for t in sets], r, axis=0)
+        w, err, fine = np.zeros((k * r, p)), np.zeros((r, n_alphas)), True
+        for a in range(n_alphas):
+            w, ok = _enet(gi, bi, np.tile(path[:, a], k), np.tile(ratio, k), w, sweeps)
+            fine &= bool(ok.all())
+            for e, ((mi, sdi, _, _), (n, s, q)) in enumerate(sets):
+                u = np.hstack([-w[e * r:(e + 1) * r] / sdi, np.ones((r, 1))])
+                c0 = u @ mi
+                err[:, a] += np.einsum("ij,jk,ik->i", u, q, u) - 2 * c0 * (u @ s) + n * c0 * c0
+        i, a = np.unravel_index(err.argmin(), err.shape)
+        w, ok = _enet(g[None], b[None], path[i, a:a + 1], ratio[i:i + 1], np.zeros((1, p)), sweeps)
+        beta = w[0] / sd
+        icept = centre[p] + m[p] - beta @ (centre[:p] + m[:p])
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in (*by, fold)}, "beta": np.append(icept, beta).tolist(), "l1": float(ratio[i]),
+                              "alpha": float(path[i, a]), "converged": fine and bool(ok.all())}])
 
     types = {f.name: f.dataType.simpleString() for f in folded.schema}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in [*by, fold]] + ["beta array<double>", "l1 double", "alpha double"])
-    models = cells.groupBy(*by).applyInPandas(solve, schema)
-    j = folded.join(models.select(*by, fold, "beta"), [*by, fold])
-    return j.withColumn("pred", F.col("beta")[0] + add_all([F.col("beta")[i + 1] * F.col(x) for i, x in enumerate(xs)])).drop("beta")
+    schema = ", ".join([f"`{c}` {types[c]}" for c in [*by, fold]] + ["beta array<double>", "l1 double", "alpha double", "converged boolean"])
+    return training.groupBy(*by, fold).applyInPandas(solve, schema)
 
 
-def _elastic_net_ml(folded: DataFrame, y: str, xs: list[str], k: int, repeats: int, seed: int) -> DataFrame:
-    """Elastic net for pools too wide for a Gram matrix: Spark ML with inner cross-validation."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    lr = LinearRegression(featuresCol="__v", labelCol=y, predictionCol="pred", standardization=True, maxIter=200)
-    grid = ParamGridBuilder().addGrid(lr.elasticNetParam, L1_RATIOS).addGrid(lr.regParam, [1.0, 0.3, 0.1, 0.03, 0.01]).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, numFolds=5, parallelism=8, seed=seed,
-                        evaluator=RegressionEvaluator(labelCol=y, predictionCol="pred"))
-    outs = []
-    for rep, f in product(range(repeats), range(k)):
-        train = folded.where((F.col("rep") == rep) & (F.col("fold") != f))
-        test = folded.where((F.col("rep") == rep) & (F.col("fold") == f))
-        fitted = Pipeline(stages=[VectorAssembler(inputCols=xs, outputCol="__v"), cv]).fit(train)
-        outs.append(fitted.transform(test).select("rep", "fold", y, "pred"))
-    return reduce(DataFrame.unionByName, outs)
+def elastic_net_oof(folded: DataFrame, y: str, xs: list[str], row_id: str, by: list[str] = ("rep",), fold: str = "fold",
+                    inner: int = 5, n_alphas: int = N_ALPHAS, sweeps: int = SWEEPS) -> DataFrame:
+    """Out-of-fold elastic net with inner cross-validation; ``converged`` tells whether every fit of the row's model did."""
+    models = elastic_net_models(folded, y, xs, row_id, by, fold, inner, n_alphas, sweeps)
+    j = folded.join(models.select(*by, fold, "beta", "converged"), [*by, fold])
+    return j.withColumn("pred", F.col("beta")[0] + add_all([F.col("beta")[i + 1] * F.col(x) for i, x in enumerate(xs)])).drop("beta")
 
 
 def _tree_oof(folded: DataFrame, y: str, xs: list[str], model: str, k: int, repeats: int, trees: int,
@@ -295,9 +290,7 @@ def ml_grid(df: DataFrame, targets: list[str], schemes: dict[str, list[str]], co
         folded = cut(repeated_folds(d, row_id, k, repeats, seed))
         for m in models:
             pick = kbest_k if scheme in ("data_driven", "hybrid") and m != "elastic_net" else None
-            if m == "elastic_net" and len(xs) > GRAM_LIMIT:
-                pred = _elastic_net_ml(folded, target, xs, k, repeats, seed)
-            elif m == "elastic_net":
+            if m == "elastic_net":
                 pred = elastic_net_oof(folded, target, xs, row_id)
             else:
                 pred = _tree_oof(folded, target, xs, m, k, repeats, trees, pick, seed)

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from signalops.functions.nulls import EPS, add_all, safe_div
 
+# Fixed value: the late/early ratio is kept at every tenth wavelet scale.
+RATIO_STEP = 10
+
 # Frequency bands (half-open, Hz) and the wavelet bank.
 BANDS = {"delta": (1, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30)}
 WAVELET_N_FREQS, WAVELET_RANGE, WAVELET_BANDWIDTH, WAVELET_CENTRE = 30, (2.0, 45.0), 1.5, 1.0
@@ -518,7 +521,8 @@ def build_primitives(epochs: DataFrame, channels: list[str], pairs: list[tuple[s
         "coherence": lambda: long(coherence(epochs, pairs, fs, nps, n_samples, ep, rec, bands), [(name("coh", "band", "ch_a", "ch_b"), "coherence")]),
         "wavelet": lambda: long(
             wavelet_power(epochs, fs, n_samples, keys, kept).withColumn("f", F.concat(F.lit("f"), "scale")),
-            [(name("cwt_pow", "channel", "f"), "power"), (name("cwt_var", "channel", "f"), "variance"), (name("cwt_ratio", "channel", "f"), "late_early")]),
+            [(name("cwt_pow", "channel", "f"), "power"), (name("cwt_var", "channel", "f"), "variance"),
+             (F.when(F.col("scale") % RATIO_STEP == 0, name("cwt_ratio", "channel", "f")), "late_early")]).where("feature is not null"),
         "hjorth": lambda: long(hjorth(epochs, keys), [(name(f"hjorth_{h}", "channel"), h) for h in ("activity", "mobility", "complexity")]),
         "pac": lambda: long(pac_modulation_index(epochs, fs, n_samples, [*ep, "channel"], keys), [(name("pac_theta_beta", "channel"), "pac_mi")]),
         "covariance": lambda: long(band_covariance(epochs, channels, fs, n_samples, ep, rec, bands), [(name("cov", "band", "ch_i", "ch_j"), "cov")]),

@@ -14,22 +14,25 @@ def good_markers(ann: DataFrame) -> DataFrame:
     return ann.withColumn("__text", text).where(~F.contains(F.col("__text"), F.lit("bad")))
 
 
-def event_onset(recordings: DataFrame, ann: DataFrame, key: str = "subject_id") -> DataFrame:
-    """Earliest good marker naming the condition word; 0.0 when there is none.
+REC = ["subject_id", "condition"]
 
-    Markers are first reduced to one row per (key, text), so a key with very many markers
+
+def event_onset(recordings: DataFrame, ann: DataFrame, keys: list[str] = REC) -> DataFrame:
+    """Earliest good marker of the recording that names its condition word; 0.0 when there is none.
+
+    Markers are first reduced to one row per (keys, text), so a recording with very many markers
     never multiplies in the join.
     """
-    firsts = good_markers(ann).groupBy(key, "__text").agg(F.min("onset").alias("__on"))
+    firsts = good_markers(ann).groupBy(*keys, "__text").agg(F.min("onset").alias("__on"))
     word = F.lower(F.trim(F.regexp_replace("condition", "^[^_]*_", "")))
     cols = recordings.columns
-    joined = recordings.withColumn("__word", word).join(firsts, key, "left")
+    joined = recordings.withColumn("__word", word).join(firsts, keys, "left")
     hit = (F.col("__word") != "") & F.contains(F.col("__text"), F.col("__word"))
     return joined.groupBy(*cols).agg(F.coalesce(F.min(F.when(hit, F.col("__on"))), F.lit(0.0)).cast("double").alias("onset"))
 
 
-def last_marker(ann: DataFrame, key: str = "subject_id") -> DataFrame:
-    return good_markers(ann).groupBy(key).agg(F.max("onset").cast("double").alias("last_onset"))
+def last_marker(ann: DataFrame, keys: list[str] = REC) -> DataFrame:
+    return good_markers(ann).groupBy(*keys).agg(F.max("onset").cast("double").alias("last_onset"))
 
 
 def block_end(rec_end: Column, last_onset: Column, response_end: Column) -> Column:
@@ -59,7 +62,7 @@ def event_windows(recordings: DataFrame, ann: DataFrame, window: float = WINDOW_
                   min_decode: float = 2.0) -> DataFrame:
     """Response, tail-baseline and whole-block windows of every recording, one row each."""
     base = response_window(event_onset(recordings, ann), window)
-    df = base.join(last_marker(ann), "subject_id", "left")
+    df = base.join(last_marker(ann), REC, "left")
     df = df.withColumn("block_end", block_end(F.col("rec_end"), F.col("last_onset"), F.col("r_end")))
     b_end = F.least(F.col("block_end"), F.col("rec_end"))
     fits = b_end - window >= F.col("r_end")
@@ -73,22 +76,25 @@ def event_windows(recordings: DataFrame, ann: DataFrame, window: float = WINDOW_
         F.when(ok & long_enough, F.col("r_start")).alias("d_start"), F.when(ok & long_enough, d_end).alias("d_end"))
 
 
-def window_rows(windows: DataFrame) -> DataFrame:
-    """One row per defined window."""
+def window_rows(windows: DataFrame, undefined: bool = False) -> DataFrame:
+    """One row per defined window, or per window of every recording."""
     cols = [c for c in ("subject_id", "condition", "rec_end") if c in windows.columns]
     each = F.array(*[F.struct(F.lit(n).alias("window"), F.col(f"{p}_start").alias("w_start"),
                               F.col(f"{p}_end").alias("w_end"))
                      for n, p in (("response", "r"), ("base", "b"), ("decode", "d"))])
-    return windows.select(*cols, F.inline(each)).where(F.col("w_start").isNotNull())
+    rows = windows.select(*cols, F.inline(each))
+    return rows if undefined else rows.where(F.col("w_start").isNotNull())
 
 
 def samples_in_windows(samples: DataFrame, windows: DataFrame, fs: float, keys: list[str],
-                       salts: int = 16) -> DataFrame:
+                       salts: int | None = None) -> DataFrame:
     """Range join of samples to windows on an equality key, salted against hot recordings.
 
-    The window side is a handful of rows per recording and is replicated ``salts`` times; the
-    sample side is spread by its index, so one huge recording is joined by many tasks.
+    The window side is a handful of rows per recording and is replicated ``salts`` times (by default
+    the number of shuffle partitions); the sample side is spread by its index, so one huge
+    recording is joined by as many tasks as the cluster runs.
     """
+    salts = salts or max(16, int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     w = (window_rows(windows)
          .withColumn("w_start", F.greatest(F.col("w_start"), F.lit(0.0)))
          .withColumn("w_end", F.least("w_end", "rec_end"))
@@ -111,9 +117,17 @@ def window_epochs(assigned: DataFrame, fs: float, length_sec: float = 2.0, overl
             .withColumn("epoch_id", F.explode(F.sequence(first, last).cast("array<bigint>"))))
 
 
-def window_viability(epoched: DataFrame, keys: list[str], floors: dict[str, int] | None = None) -> DataFrame:
-    """Epoch count per window against its floor."""
+def window_viability(epoched: DataFrame, keys: list[str], floors: dict[str, int] | None = None,
+                     windows: DataFrame | None = None) -> DataFrame:
+    """Epoch count per window against its floor.
+
+    With ``windows`` every window of every recording has a row; those without epochs, or never
+    defined, have 0 and are not viable.
+    """
     floors = floors or {"response": SHORT_FLOOR, "base": SHORT_FLOOR, "decode": DECODE_FLOOR}
     floor = F.coalesce(*[F.when(F.col("window") == w, F.lit(n)) for w, n in floors.items()])
-    return (epoched.groupBy(*keys, "window").agg(F.countDistinct("epoch_id").alias("n_epochs"))
-            .withColumn("viable", F.col("n_epochs") >= floor))
+    n = epoched.groupBy(*keys, "window").agg(F.countDistinct("epoch_id").alias("n_epochs"))
+    if windows is not None:
+        n = (window_rows(windows, True).select(*keys, "window").join(n, [*keys, "window"], "left")
+             .withColumn("n_epochs", F.coalesce("n_epochs", F.lit(0)).cast("bigint")))
+    return n.withColumn("viable", F.col("n_epochs") >= floor)

@@ -98,7 +98,7 @@ def gaps_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def annotations(spark: SparkSession, sf: str) -> DataFrame:
     s = signal(spark, sf).where(F.col("tag").isin("error", "signup"))
-    return s.select("subject_id", F.col("t").cast("double").alias("onset"),
+    return s.select("subject_id", F.when(F.col("t") % 2 == 0, "1_Signup").otherwise("2_View").alias("condition"), F.col("t").cast("double").alias("onset"),
                     F.when(F.col("tag") == "error", "BAD_ACQ_SKIP").otherwise(F.col("tag")).alias("description"))
 
 
@@ -214,7 +214,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         from events e join customer c on e.user_id = c.c_custkey group by e.user_id)"""),
     "FX_GAPS": (["FX_SUBJECT"], """select * replace (case when subject_id % 7 <> 0 then f_click end as f_click,
         case when subject_id % 5 <> 0 then f_view end as f_view) from FX_SUBJECT"""),
-    "FX_ANN": (["FX_SIGNAL"], """select subject_id, t::double as onset, case when tag = 'error' then 'BAD_ACQ_SKIP' else tag end as description
+    "FX_ANN": (["FX_SIGNAL"], """select subject_id, case when t % 2 = 0 then '1_Signup' else '2_View' end as condition, t::double as onset, case when tag = 'error' then 'BAD_ACQ_SKIP' else tag end as description
         from FX_SIGNAL where tag in ('error', 'signup')"""),
     "FX_REC": ([], """select subject_id, condition, rec_end from (select user_id as subject_id, (count(*) - 1)::double as rec_end
         from events group by 1), (values ('1_Signup'), ('2_View')) c(condition)"""),

@@ -151,14 +151,20 @@ def _(spark, sf):
 @query("direction_priors", f"""
     with {_wide_sql(RCN)}, w as (select subject_id, {', '.join(f'{e} as "{n}"' for n, e in RC.items())} from pw),
     l as (select * from w unpivot include nulls (value for composite in ({', '.join(f'"{n}"' for n in RC)}))),
-    d as (select composite, value, target, case when contains(composite, 'offset') then 'two_sided' when target = 'rt_cv' then 'negative' else 'positive' end as direction
-      from l, (values ('ddm_v_incongruent'), ('BW_Span'), ('Global_EF'), ('rt_cv')) t(target))
-    select composite, target, direction, count(value) as n_subjects, {r('avg(value)', 4)} as mean from d group by 1, 2, 3""", "FX_PRIM")
+    p(composite, construct, up, down) as (values
+      ('rel_theta_FC', 'frontal theta (cognitive control)', 'positive', 'negative'), ('rel_beta_FC', 'frontal beta (vigilance / readiness)', 'positive', 'negative'),
+      ('rel_alpha_PO', 'posterior alpha (attentional reserve)', 'positive', 'negative'), ('aperiodic_exponent_FC', 'frontal 1/f slope (E/I; maturation)', 'positive', 'negative'),
+      ('aperiodic_exponent_PO', 'posterior 1/f slope (E/I; maturation)', 'positive', 'negative'), ('aperiodic_offset_FC', 'frontal broadband offset', 'two_sided', 'two_sided'),
+      ('aperiodic_offset_PO', 'posterior broadband offset', 'two_sided', 'two_sided'), ('paf_PO', 'individual alpha frequency (processing)', 'positive', 'negative'),
+      ('alpha_reactivity_PO', 'alpha system reactivity', 'positive', 'negative')),
+    d as (select composite, construct, value, target, case when target = 'rt_cv' then down else up end as direction
+      from l join p using (composite), (values ('ddm_v_incongruent'), ('BW_Span'), ('Global_EF'), ('rt_cv')) t(target))
+    select composite, construct, target, direction, count(value) as n_subjects, {r('avg(value)', 4)} as mean from d group by 1, 2, 3, 4""", "FX_PRIM")
 def _(spark, sf):
     w = f.region_composites(fx.primitives_wide(spark, sf), fx.REGIONS).select("subject_id", *RC)
     d = f.direction_priors(w.unpivot("subject_id", list(RC), "composite", "value"))
-    return out(d.groupBy("composite", "target", "direction").agg(F.count("value").alias("n_subjects"), F.avg("value").alias("mean")),
-               "composite target direction n_subjects", mean=4)
+    return out(d.groupBy("composite", "construct", "target", "direction").agg(F.count("value").alias("n_subjects"), F.avg("value").alias("mean")),
+               "composite construct target direction n_subjects", mean=4)
 
 
 # ---------------------------------------------------------------- merge

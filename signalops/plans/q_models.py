@@ -136,7 +136,7 @@ def _(spark, sf):
     return p.select("subject_id", "vec_id", "fold", "label", "pred")
 
 
-LDA = f"""{NC}, cv as (select f.subject_id, f.fold, sum((w.w0 - m0) * (w.w0 - m0)) / count(*) as a, sum((w.w0 - m0) * (w.w1 - m1)) / count(*) as b, sum((w.w1 - m1) * (w.w1 - m1)) / count(*) as d, count(*) as nt
+LDA = f"""{NC}, cv as (select f.subject_id, f.fold, sum((w.w0 - m0) * (w.w0 - m0)) / (count(*) - count(distinct ct.c)) as a, sum((w.w0 - m0) * (w.w1 - m1)) / (count(*) - count(distinct ct.c)) as b, sum((w.w1 - m1) * (w.w1 - m1)) / (count(*) - count(distinct ct.c)) as d, count(*) as nt
     from fk f join wf w on f.subject_id = w.subject_id and f.fold <> w.fold join ct on ct.subject_id = f.subject_id and ct.fold = f.fold and ct.c = w.label group by 1, 2),
   wt as (select ct.*, nt, (d * m0 - b * m1) / (a * d - b * b) as k0, (a * m1 - b * m0) / (a * d - b * b) as k1 from ct join cv using (subject_id, fold)),
   sc as (select wf.subject_id, wf.vec_id, wf.fold, wf.label, c, k0 * w0 + k1 * w1 - 0.5 * (k0 * m0 + k1 * m1) + ln(n / nt) as s from wf join wt using (subject_id, fold)),
@@ -149,12 +149,6 @@ def _(spark, sf):
     return out(p.withColumn("confidence", F.element_at("posterior", F.col("pred"))), "subject_id vec_id fold label pred", confidence=5)
 
 
-@query("mlp_oof")
-def _(spark, sf):
-    p = d.mlp_oof(_folded(spark, sf), ["w0", "w1", "w2", "w3"], CLASSES, "vec_id", iters=60)
-    return out(p.withColumn("confidence", F.element_at("posterior", F.col("pred").cast("int"))), "subject_id vec_id fold label pred", confidence=4)
-
-
 def _top_pred(w):
     """Class with the largest of the four probability columns."""
     best = F.greatest("p0", "p1", "p2", "p3")
@@ -221,7 +215,7 @@ def _(spark, sf):
 
 REST = """lw as (select * from FX_WINDOWS where condition = 'ec'), rw as (select * from FX_WINDOWS where condition = 'eo'),
   ct as (select subject_id, label as c, avg(w0) as m0, avg(w1) as m1, count(*) as n from lw group by 1, 2),
-  cv as (select lw.subject_id, sum((w0 - m0) * (w0 - m0)) / count(*) as a, sum((w0 - m0) * (w1 - m1)) / count(*) as b, sum((w1 - m1) * (w1 - m1)) / count(*) as d, count(*) as nt
+  cv as (select lw.subject_id, sum((w0 - m0) * (w0 - m0)) / (count(*) - count(distinct ct.c)) as a, sum((w0 - m0) * (w1 - m1)) / (count(*) - count(distinct ct.c)) as b, sum((w1 - m1) * (w1 - m1)) / (count(*) - count(distinct ct.c)) as d, count(*) as nt
     from lw join ct on ct.subject_id = lw.subject_id and ct.c = lw.label group by lw.subject_id),
   wt as (select ct.*, nt, (d * m0 - b * m1) / (a * d - b * b) as k0, (a * m1 - b * m0) / (a * d - b * b) as k1 from ct join cv using (subject_id)),
   sc as (select rw.subject_id, vec_id, c, exp(k0 * w0 + k1 * w1 - 0.5 * (k0 * m0 + k1 * m1) + ln(n / nt)) as e from rw join wt using (subject_id)),

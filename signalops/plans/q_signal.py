@@ -220,7 +220,7 @@ def _epoch_sql(length, step):
 
 
 def _epoch_rows(spark, sf, overlap):
-    packed = c.pack_epochs(c.epoch_ids(fx.signal(spark, sf), 8, overlap, ["subject_id"]), ["subject_id"])
+    packed = c.pack_epochs(c.epoch_ids(fx.signal(spark, sf), 8, overlap, ["subject_id"]), ["subject_id"], 8)
     d = packed.select("subject_id", "epoch_id", F.size("x").alias("n"),
                       (F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")).alias("mean"),
                       (F.array_max("x") - F.array_min("x")).alias("p2p"))
@@ -254,11 +254,13 @@ def _(spark, sf):
 
 
 @query("amplitude_summary", f"""
-    with {MARKED} select subject_id, condition, {r('avg(abs(v)) * 1e6', 2)} as mean_amplitude_uv, {r('stddev_pop(v) * 1e6', 2)} as std_amplitude_uv
-    from (select subject_id, condition, unnest(x)::double as v from m where not bad) group by 1, 2""", "FX_EPOCH")
+    with {MARKED} select subject_id, condition, {r('coalesce(avg(abs(v)), 0) * 1e6', 2)} as mean_amplitude_uv, {r('coalesce(stddev_pop(v), 0) * 1e6', 2)} as std_amplitude_uv
+    from (select distinct subject_id, condition from m) left join (select subject_id, condition, unnest(x)::double as v from m where not bad)
+      using (subject_id, condition) group by 1, 2""", "FX_EPOCH")
 def _(spark, sf):
-    e = c.reject_peak_to_peak(fx.epochs(spark, sf), 0.65, fx.EPOCH)
-    return out(c.amplitude_summary(e), "subject_id condition", mean_amplitude_uv=2, std_amplitude_uv=2)
+    all_ = fx.epochs(spark, sf)
+    e = c.reject_peak_to_peak(all_, 0.65, fx.EPOCH)
+    return out(c.amplitude_summary(e, recordings=all_.select(*fx.REC).distinct()), "subject_id condition", mean_amplitude_uv=2, std_amplitude_uv=2)
 
 
 @query("epoch_floor", f"""
@@ -272,13 +274,13 @@ def _(spark, sf):
 # ---------------------------------------------------------------- event windows
 
 WIN = """good as (select * from FX_ANN where not contains(lower(description), 'bad')),
-  ons as (select r.subject_id, r.condition, rec_end, coalesce(min(onset) filter (contains(lower(description), lower(split_part(condition, '_', 2)))), 0) as onset
-    from FX_REC r left join good g on r.subject_id = g.subject_id group by 1, 2, 3),
+  ons as (select r.subject_id, r.condition, rec_end, coalesce(min(onset) filter (contains(lower(description), lower(split_part(r.condition, '_', 2)))), 0) as onset
+    from FX_REC r left join good g on r.subject_id = g.subject_id and r.condition = g.condition group by 1, 2, 3),
   st as (select *, greatest(onset, 5.0) as s from ons),
   rw as (select *, case when s + 15 <= rec_end then s when rec_end - 5 >= 15 then rec_end - 15 end as r_start,
     (s + 15 > rec_end and rec_end - 5 >= 15) as slid_back from st),
   rx as (select *, r_start + 15 as r_end, case when r_start is null then 'WINDOW_TOO_SHORT' else 'OK' end as window_status from rw),
-  be as (select x.*, (select max(onset) from good g where g.subject_id = x.subject_id and g.onset > x.r_end + 1) as cand from rx x),
+  be as (select x.*, (select max(onset) from good g where g.subject_id = x.subject_id and g.condition = x.condition and g.onset > x.r_end + 1) as cand from rx x),
   bl as (select *, case when r_start is not null then case when cand is not null then least(cand, rec_end) else rec_end - 1 end end as block_end from be),
   wn as (select *, case when block_end - 15 >= r_end then block_end - 15 end as b_start, case when block_end - 15 >= r_end then block_end end as b_end,
     r_start as d_start, greatest(block_end, r_end) as d_end from bl),
@@ -329,7 +331,11 @@ def _(spark, sf):
 
 @query("window_viability", f"""
     with {WIN}, n as (select subject_id, condition, "window", (floor(least(w_end, rec_end) - w_start - 2) + 1)::bigint as n_epochs from wr)
-    select *, n_epochs >= case "window" when 'decode' then 20 else 4 end as viable from n where n_epochs > 0""", ("FX_ANN", "FX_REC"))
-def _(spark, sf):
-    d = w.samples_in_windows(fx.signal(spark, sf), _windows(spark, sf), 1.0, ["subject_id"])
-    return w.window_viability(w.window_epochs(d, 1.0), ["subject_id", "condition"])
+    select *, n_epochs >= case "window" when 'decode' then 20 else 4 end as viable from (
+      select r.subject_id, r.condition, k."window", greatest(coalesce(n_epochs, 0), 0)::bigint as n_epochs
+      from FX_REC r cross join (values ('response'), ('base'), ('decode')) k("window") left join n
+        on n.subject_id = r.subject_id and n.condition = r.condition and n."window" = k."window")""", ("FX_ANN", "FX_REC"))
+def _(spark, sf):
+    win = _windows(spark, sf)
+    d = w.samples_in_windows(fx.signal(spark, sf), win, 1.0, ["subject_id"])
+    return w.window_viability(w.window_epochs(d, 1.0), ["subject_id", "condition"], windows=win)

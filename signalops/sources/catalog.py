@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import glob
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from signalops.functions.nulls import nan_to_null, require_columns
@@ -15,6 +13,7 @@ SUBJECT_PATTERN = r"/(D[^/]*)/[^/]+$"
 CONDITION_PATTERN = r"[Ii][Gg][Ss]_(.+)\.[^./]+$"
 CONDITION_STRIP = r"^2_IGS_"
 
+# The field names of a quality record.
 QC_SCHEMA = T.StructType([
     T.StructField("subject", T.StringType()), T.StructField("condition", T.StringType()),
     T.StructField("kind", T.StringType()), T.StructField("status", T.StringType()),
@@ -60,6 +59,13 @@ def match_longest_suffix(df: DataFrame, name: str, conditions: list[str]) -> Dat
                                                   F.substring(F.col(name), F.lit(1), cut)))
 
 
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of any file system that Spark reads, sorted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f.getPath().getName() for f in found)
+
+
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(require_columns(spark.read.parquet(path), ["subject_id", "condition", "channel", "t", "value"]))
 
@@ -81,18 +87,21 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 def read_sheet(spark: SparkSession, book: str, schema: T.StructType | str | None = None,
                required: list[str] | None = None, preferred: str = "Features") -> DataFrame:
     """A workbook exported as one folder of sheets: the preferred sheet, else the first by name."""
-    sheets = sorted(os.listdir(book))
+    sheets = children(spark, book)
     if not sheets:
         raise FileNotFoundError(f"no sheets in {book}")
     chosen = next((s for s in sheets if s.split(".")[0] == preferred), sheets[0])
-    return read_table(spark, os.path.join(book, chosen), schema, required)
+    return read_table(spark, f"{book.rstrip('/')}/{chosen}", schema, required)
 
 
 def read_if_exists(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Optional input: an absent path gives an empty frame of the right type."""
-    if not glob.glob(path):
+    try:
+        return read_table(spark, path, schema if path.rstrip("/").endswith(".csv") else None)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return read_table(spark, path, schema if path.endswith(".csv") else None)
 
 
 def read_qc(spark: SparkSession, path: str) -> DataFrame:

@@ -37,7 +37,7 @@ def test_channel_check_names_both_lists(spark):
 
 @pytest.mark.parametrize("n,overlap,epochs", [(16, 0, 2), (17, 0, 2), (15, 0, 1), (7, 0, 0), (16, 4, 3), (8, 4, 1)])
 def test_incomplete_tail_is_dropped(spark, n, overlap, epochs):
-    e = c.pack_epochs(c.epoch_ids(_rec(spark, range(n)), 8, overlap), [*c.REC, "channel"]).collect()
+    e = c.pack_epochs(c.epoch_ids(_rec(spark, range(n)), 8, overlap), [*c.REC, "channel"], 8).collect()
     assert len(e) == epochs and all(len(r.x) == 8 for r in e)
     assert sorted(r.x[0] for r in e) == [i * (8 - overlap) for i in range(epochs)]
 
@@ -58,10 +58,36 @@ def test_epoch_floor_boundary(spark):
 
 def _windows(spark, rec_end, onsets):
     r = spark.createDataFrame([("a", "1_Happy", float(rec_end))], "subject_id string, condition string, rec_end double")
-    a = spark.createDataFrame([("a", float(o), t) for o, t in onsets], "subject_id string, onset double, description string")
+    a = spark.createDataFrame([("a", "1_Happy", float(o), t) for o, t in onsets],
+                              "subject_id string, condition string, onset double, description string")
     return w.event_windows(r, a).first()
 
 
+def test_markers_stay_in_their_recording(spark):
+    r = spark.createDataFrame([("a", "1_Happy", 60.0), ("a", "2_Calm", 60.0)], "subject_id string, condition string, rec_end double")
+    a = spark.createDataFrame([("a", "1_Happy", 7.0, "happy"), ("a", "2_Calm", 50.0, "calm happy")],
+                              "subject_id string, condition string, onset double, description string")
+    got = {x.condition: x for x in w.event_windows(r, a).collect()}
+    assert got["1_Happy"].onset == 7 and got["1_Happy"].block_end == 59 and got["2_Calm"].onset == 50
+
+
+def test_windows_without_epochs_keep_their_rows(spark):
+    r = spark.createDataFrame([("a", "1_Happy", 10.0)], "subject_id string, condition string, rec_end double")
+    a = spark.createDataFrame([], "subject_id string, condition string, onset double, description string")
+    win = w.event_windows(r, a)
+    sm = _rec(spark, range(11)).drop("channel", "condition")
+    got = w.window_viability(w.window_epochs(w.samples_in_windows(sm, win, 1.0, ["subject_id"]), 1.0), w.REC, windows=win).collect()
+    assert sorted((x.window, x.n_epochs, x.viable) for x in got) == [("base", 0, False), ("decode", 0, False), ("response", 0, False)]
+
+
+def test_epochs_with_gaps_and_empty_recordings(spark):
+    e = c.pack_epochs(c.epoch_ids(_rec(spark, range(24)), 8, 0).where("t <> 10"), [*c.REC, "channel"], 8)
+    assert sorted(x.epoch_id for x in e.collect()) == [0, 2]
+    rec = spark.createDataFrame([("a", "gone")], "subject_id string, condition string")
+    got = c.amplitude_summary(e, recordings=rec).collect()
+    assert [(x.condition, x.mean_amplitude_uv, x.std_amplitude_uv) for x in got] == [("gone", 0.0, 0.0)]
+
+
 def test_windows(spark):
     r = _windows(spark, 100, [(10, "1_Happy"), (3, "BAD happy"), (80, "2_Calm")])
     assert (r.onset, r.r_start, r.r_end, r.block_end, r.b_start, r.b_end, r.d_end) == (10, 10, 25, 80, 65, 80, 80)
