@@ -29,6 +29,9 @@ def measured(docs: DataFrame) -> DataFrame:
     The hashes of a document's 3-word windows are compared inside the row: only documents with a
     repeated hash sort (hash, position) pairs; a position belongs to a repeated window if a
     neighbour in that order has the same hash. Nothing is exploded or shuffled.
+
+    The word count carries a term that is always 0 but not deterministic: no filter on the measures can
+    move below their projection, where copies of their expressions would run anew for every word.
     """
     d = docs.withColumn("__text", text_or_empty()).withColumn("__w", words(F.col("__text")))
     w, n = F.col("__w"), F.size("__w")
@@ -45,7 +48,7 @@ def measured(docs: DataFrame) -> DataFrame:
     return d.select(
         *docs.columns,
         F.coalesce("source", F.lit("")).alias("__host"), F.xxhash64("__text").alias("__content"),
-        n.cast("bigint").alias("__n_words"),
+        (n + F.floor(F.rand(0))).cast("bigint").alias("__n_words"),
         F.length(F.array_join(w, "")).cast("bigint").alias("__word_chars"),
         F.length(F.regexp_replace("__text", SYMBOLS, "")).cast("bigint").alias("__n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("__n_dup_lines"),
