@@ -209,7 +209,7 @@ def silhouette(df: DataFrame, subject: str = "subject_id", label: str = "label",
 
     Distances need every point against every point of the subject, but no pair rows are made.
     Equal points are merged into one weighted point first; points are packed into blocks of
-    bounded size, block meets block in a join on the subject, and each meeting yields one
+    bounded size, block meets block in a join on (subject, block pair), and each meeting yields one
     partial sum per point and class. A huge subject is spread over (n / block)^2 small tasks.
     NULL with fewer than two classes or no more windows than classes.
     """
@@ -217,11 +217,14 @@ def silhouette(df: DataFrame, subject: str = "subject_id", label: str = "label",
     pts = cut(df.groupBy(subject, F.col("v").cast("double").alias("v"), F.col("a").cast("double").alias("a"), F.col(label).alias("c")).agg(
         F.count(F.lit(1)).alias("w")))
     sizes = pts.groupBy(subject).agg(F.count(F.lit(1)).alias("__p"), F.sum("w").alias("__n"), F.countDistinct("c").alias("__k"))
-    slot = F.pmod(F.xxhash64("v", "a", "c"), F.ceil(F.col("__p") / F.lit(block)))
-    blocks = pts.join(sizes, subject).withColumn("__b", slot).groupBy(subject, "__b", "__n", "__k").agg(
+    pts = pts.join(sizes, subject).withColumn("__m", F.ceil(F.col("__p") / F.lit(block)))
+    slot = F.pmod(F.xxhash64("v", "a", "c"), F.col("__m"))
+    blocks = pts.withColumn("__b", slot).groupBy(subject, "__b", "__n", "__k", "__m").agg(
         F.collect_list(F.struct("v", "a", "c", "w")).alias("p"))
-    left = blocks.select(subject, F.col("__b").alias("__b1"), "__n", "__k", F.col("p").alias("p1"))
-    right = blocks.select(subject, F.col("p").alias("p2"))
+    # Every block goes to each of its pairs, so the pairs are separate shuffle keys.
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__m") - 1))
+    left = blocks.select(subject, F.col("__b").alias("__b1"), every.alias("__b2"), "__n", "__k", F.col("p").alias("p1"))
+    right = blocks.select(subject, every.alias("__b1"), F.col("__b").alias("__b2"), F.col("p").alias("p2"))
 
     @F.pandas_udf(f"array<struct<v double, a double, own {kind}, w bigint, c {kind}, d double, m bigint>>")
     def sums(p1: pd.Series, p2: pd.Series) -> pd.Series:
@@ -238,7 +241,7 @@ def silhouette(df: DataFrame, subject: str = "subject_id", label: str = "label",
             out.append(rows)
         return pd.Series(out)
 
-    part = left.join(right, subject).select(subject, "__n", "__k", F.inline(sums("p1", "p2")))
+    part = left.join(right, [subject, "__b1", "__b2"]).select(subject, "__n", "__k", F.inline(sums("p1", "p2")))
     point = [subject, "v", "a", "own", "w", "__n", "__k"]
     per = part.groupBy(*point, "c").agg(F.sum("d").alias("d"), F.sum("m").alias("m"))
     mine = F.col("own") == F.col("c")

@@ -35,6 +35,11 @@ def test_csv_sheets_and_optional_inputs(spark, tmp_path):
     with pytest.raises(ValueError):
         c.read_sheet(spark, str(tmp_path / "book"), "id string, x double", ["rt"])
     assert c.read_if_exists(spark, str(tmp_path / "none.csv"), "id string, x double").count() == 0
+    d.write.parquet(str(tmp_path / "some"))
+    for path in (str(tmp_path / "some"), f"file://{tmp_path}/some"):
+        assert c.read_if_exists(spark, path, "id string, x double").count() == 1
+    assert c.read_if_exists(spark, f"file://{tmp_path}/none", "id string, x double").count() == 0
+    assert c.read_sheet(spark, f"file://{tmp_path}/book", "id string, x double", ["id"]).first().x == 2.0
 
 
 def test_ragged_qc(spark, tmp_path):
