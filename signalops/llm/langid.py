@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from signalops.functions.lineage import cut
 from signalops.llm import linear
-from signalops.llm.text import fold, text_or_empty
+from signalops.llm.text import fold
 
 BUCKETS, GRAMS, SAMPLE, CENTROIDS, TAIL, SLACK = 4096, (1, 2, 3), 800, 4, 0.01, 0.1
 _CHUNK = 1 << 20

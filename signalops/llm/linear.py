@@ -2,9 +2,9 @@
 
 A text becomes the set of its hashed byte n-grams (lower case, one space for any run of ASCII
 characters other than letters). Presence counts, not frequency, so a long text is not drowned by its
-common words. The class log ratio of every n-gram is counted over all labelled rows; n-grams that tell nothing are
-dropped, the others enter scaled by their log ratio and normalised to length one, and a logistic layer is fitted on a
-bounded sample of rows.
+common words. N-grams whose class log ratio tells nothing are dropped; the others enter scaled by their
+log ratio, shrunk where few documents hold them, and normalised to length one, and a logistic layer
+weighs them. All of it is fitted on a bounded sample of labelled rows, picked by id before any text is touched.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from signalops.functions.lineage import cut
 
 D = 1 << 18
 GRAMS = (5, 7)
@@ -57,7 +59,7 @@ def feature_set(text: str | None, mark: np.ndarray, grams: tuple[int, ...] = GRA
 
 
 def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(2, D) document counts of every feature by class, and the class sizes, over all of ``rows`` (text, y).
+    """(2, D) document counts of every feature by class, and the class sizes, over ``rows`` (text, y).
 
     Each task adds up its rows; slices of the sums meet by slice, so the driver gets one array of fixed size.
     """
@@ -82,18 +84,30 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([got[i].reshape(2, SLICE) for i in range(k)], axis=1).astype(float), got[k].astype(float)
 
 
-def log_ratios(counts: np.ndarray, sizes: np.ndarray, alpha: float = 0.3, min_docs: int = 3, min_ratio: float = 0.7) -> np.ndarray:
-    """Class log ratio of each feature; zero where it is rare or tells little."""
+def log_ratios(counts: np.ndarray, sizes: np.ndarray, alpha: float = 1.0, min_docs: int = 5, min_ratio: float = 1.0,
+               shrink: float = 5.0) -> np.ndarray:
+    """Class log ratio of each feature, times n / (n + shrink); zero where it is rare or tells little."""
     r = np.log((counts[1] + alpha) / (sizes[1] + 2 * alpha)) - np.log((counts[0] + alpha) / (sizes[0] + 2 * alpha))
-    return np.where((counts.sum(0) >= min_docs) & (np.abs(r) >= min_ratio), r, 0.0)
+    n = counts.sum(0)
+    return np.where((n >= min_docs) & (np.abs(r) >= min_ratio), r * n / (n + shrink), 0.0)
 
 
-def bounded(df: DataFrame, n: int, seed: int = 11) -> DataFrame:
-    """Rows in hash order of their text up to about ``n``: a hash threshold, the same rows in any layout."""
-    total = df.count()
+def bounded(ids: DataFrame, n: int, seed: int = 11) -> DataFrame:
+    """About ``n`` rows of an id table, by a threshold on the hash of doc_id: the same rows in any layout."""
+    total = ids.count()
     if total <= n:
-        return df
-    return df.where(F.shiftrightunsigned(F.xxhash64("text", F.lit(seed)), 11) < F.lit(int((1 << 53) * n / total)))
+        return ids
+    return ids.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) < F.lit(int((1 << 53) * n / total)))
+
+
+def taught(docs: DataFrame, labels: DataFrame, column: str, max_rows: int) -> DataFrame:
+    """(doc_id, y) of about ``max_rows`` labelled documents of each class that exist in ``docs``; repeated labels count once.
+
+    Only ids and labels are shuffled. The result is bounded by ``2 * max_rows`` rows, so it may be broadcast.
+    """
+    y = labels.where(F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
+    y = cut(docs.select("doc_id").where("doc_id is not null").distinct().join(y, "doc_id"))
+    return cut(bounded(y.where("y = 1"), max_rows).union(bounded(y.where("y = 0"), max_rows)))
 
 
 @dataclass
@@ -104,11 +118,11 @@ class Rows:
 
     @property
     def row(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))
+        return np.repeat(np.arange(len(self.ptr) - 1, dtype=np.int32), np.diff(self.ptr))
 
     @staticmethod
     def of(parts: list[np.ndarray]) -> "Rows":
-        return Rows(np.concatenate([*parts, np.empty(0, np.int64)]).astype(np.int64), np.cumsum([0, *map(len, parts)]))
+        return Rows(np.concatenate([*parts, np.empty(0, np.uint32)]).astype(np.int32), np.cumsum([0, *map(len, parts)]))
 
 
 def sparse(df: DataFrame, keep: np.ndarray, extra: tuple[str, ...] = ()) -> tuple[list[np.ndarray], dict[str, list]]:
@@ -131,8 +145,8 @@ def sparse(df: DataFrame, keep: np.ndarray, extra: tuple[str, ...] = ()) -> tupl
 
 
 def unit_values(rows: Rows, r: np.ndarray) -> np.ndarray:
-    x = r[rows.ids]
-    return x / np.sqrt(np.bincount(rows.row, x * x, len(rows.ptr) - 1) + 1e-9)[rows.row]
+    x = r.astype(np.float32)[rows.ids]
+    return x / np.sqrt(np.bincount(rows.row, x * x, len(rows.ptr) - 1) + 1e-9).astype(np.float32)[rows.row]
 
 
 def logistic(rows: Rows, y: np.ndarray, r: np.ndarray, pairs: tuple[Rows, Rows] | None = None, pair_weight: float = 1.0,
@@ -143,8 +157,8 @@ def logistic(rows: Rows, y: np.ndarray, r: np.ndarray, pairs: tuple[Rows, Rows]
     times ``pair_weight``. Full-batch Adam, deterministic.
     """
     kept = np.flatnonzero(r)
-    place = np.full(len(r), -1)
-    place[kept] = np.arange(len(kept))
+    place = np.full(len(r), -1, np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
     row, idx, x, n = rows.row, place[rows.ids], unit_values(rows, r), len(y)
     sized = [(p.row, place[p.ids], unit_values(p, r), len(p.ptr) - 1) for p in pairs or ()]
     w, b = np.zeros(len(kept)), 0.0
@@ -152,9 +166,9 @@ def logistic(rows: Rows, y: np.ndarray, r: np.ndarray, pairs: tuple[Rows, Rows]
     cost = np.where(y == 1, n / (2 * pos), n / (2 * max(1, n - pos))) / max(1, n)
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(row, x * w[idx], n) + b
+        z = np.bincount(row, x * w.astype(np.float32)[idx], n) + b
         g = cost * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.append(np.bincount(idx, x * g[row], len(kept)) + l2 * w, g.sum())
+        grad = np.append(np.bincount(idx, x * g.astype(np.float32)[row], len(kept)) + l2 * w, g.sum())
         if sized and sized[0][3]:
             (ra, ia, xa, k), (rb, ib, xb, _) = sized
             gap = np.bincount(ra, xa * w[ia], k) - np.bincount(rb, xb * w[ib], k)
@@ -190,20 +204,33 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def platt(z: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]:
-    """Slope and shift that map logits to calibrated logits, by Newton steps on the log loss."""
-    a, b = 1.0, 0.0
+def platt(z: np.ndarray, y: np.ndarray, steps: int = 100) -> np.ndarray:
+    """Slopes and shift that map the logits of one or more views (columns of z) to a calibrated logit.
+
+    Damped Newton steps on the smoothed log loss; a weak pull towards equal slopes that sum to 1
+    and shift 0 keeps separable or few rows finite. Slopes are not negative.
+    """
     t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    x = np.column_stack([z, np.ones(len(y))])
+    k = x.shape[1] - 1
+    home = np.append(np.full(k, 1 / k), 0.0)
+    w = home.copy()
+
+    def loss(v: np.ndarray) -> float:
+        m = x @ v
+        return float((np.logaddexp(0, m) - t * m).sum() + 0.05 * ((v - home) ** 2).sum())
+
     for _ in range(steps):
-        p = sigmoid(a * z + b)
-        s = p * (1 - p) + 1e-6
-        g = np.array([((p - t) * z).sum() + 1e-3 * (a - 1), (p - t).sum()])
-        h = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum()]])
-        d = np.linalg.solve(h, g)
-        a, b = a - d[0], b - d[1]
-        if np.abs(d).max() < 1e-8:
+        p = sigmoid(x @ w)
+        g = x.T @ (p - t) + 0.1 * (w - home)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(k + 1)
+        d, rate = np.linalg.solve(h, g), 1.0
+        while rate > 1e-6 and loss(w - rate * d) > loss(w):
+            rate /= 2
+        w = w - rate * d
+        if rate * np.abs(d).max() < 1e-9:
             break
-    return max(float(a), 1e-3), float(b)
+    return np.append(np.maximum(w[:k], 1e-3), w[k])
 
 
 def scored(df: DataFrame, model: TextModel, carry: list[str], finish: Callable | None = None, name: str = "score") -> DataFrame:

@@ -3,8 +3,8 @@
 The text model of ``linear`` is fitted on labelled rows. Each sample text that names a group also gives counterfactuals:
 the same text with every identity term replaced by another of its family. The loss adds the squared
 difference between the logits of a text and its counterfactual, so features that only carry the identity get no
-weight, and a neutral mention of a group does not raise the score. The class log ratios come from all labelled
-rows; the logistic layer is fitted on about ``MAX_ROWS`` rows of each class.
+weight, and a neutral mention of a group does not raise the score. The model is fitted on about ``MAX_ROWS`` rows of
+each class, picked by the hash of their ids.
 
 Defined cases: null and empty texts get the score of a text without features; rows without a label, or with a null
 label, are scored but teach nothing; repeated label rows count once; if one class is missing every score is 0;
@@ -53,30 +53,30 @@ def _pairs(texts: list[str], keep: np.ndarray, turns: int = 3) -> tuple[linear.R
     return linear.Rows.of(a), linear.Rows.of(b)
 
 
-def fit(rows: DataFrame, max_rows: int = MAX_ROWS, pair_weight: float = PAIR_WEIGHT) -> linear.TextModel | None:
-    """The model of labelled ``rows`` (text, y in 0/1); None if a class is missing."""
+def fit(rows: DataFrame, pair_weight: float = PAIR_WEIGHT) -> linear.TextModel | None:
+    """The model of a bounded table of labelled ``rows`` (text, y in 0/1); None if a class is missing."""
     rows = cut(rows)
     counts, sizes = linear.class_counts(rows)
     if not sizes.all():
         return None
     r = linear.log_ratios(counts, sizes)
-    sample = cut(linear.bounded(rows.where("y = 1"), max_rows).union(linear.bounded(rows.where("y = 0"), max_rows)))
-    parts, extra = linear.sparse(sample, r != 0, ("y",))
-    named = sample.where(F.col("text").rlike("(?iu)" + _TERM.pattern)).select("text").orderBy(F.xxhash64("text"), "text").limit(max_rows)
-    pairs = _pairs([x["text"] for x in named.toLocalIterator()], r != 0)
+    parts, extra = linear.sparse(rows, r != 0, ("y",))
+    named = rows.where(F.col("text").rlike("(?iu)" + _TERM.pattern)).select("text")
+    pairs = _pairs(sorted(x["text"] for x in named.toLocalIterator()), r != 0)
     w, b = linear.logistic(linear.Rows.of(parts), np.array(extra["y"]), r, pairs, pair_weight)
     return linear.TextModel.made(w, r, b)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, y) of the rows that may teach: crc32 of the id modulo 5 is not 0."""
-    y = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    return docs.where(fold("doc_id", 5) != 0).select("doc_id", text_or_empty().alias("text")).join(y, "doc_id").select("text", "y")
+def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(text, y) of a bounded sample of the rows that may teach: crc32 of the id modulo 5 is not 0."""
+    may = docs.where(fold("doc_id", 5) != 0)
+    ids = linear.taught(may, labels, "toxic", max_rows)
+    return may.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y")
 
 
-def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def report(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    model = fit(labelled(docs, labels), **options)
+    model = fit(labelled(docs, labels, max_rows), **options)
     d = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), text_or_empty().alias("text"))
     if model is None:
         s = d.select("doc_id", "held_out", F.lit(0.0).alias("score"))
