@@ -188,10 +188,19 @@ def bad_channels(samples: DataFrame, channels: list[str], protect: list[str] | N
         listing(F.col(m)).alias(f"by_{m}") for m in ("variance", "correlation", "flatline")])
 
 
-def average_reference(samples: DataFrame, bads: list[str] | None = None, by: list[str] = REC) -> DataFrame:
-    """Subtract the mean over the good channels at each time point."""
-    good = F.when(~F.col("channel").isin(bads), F.col("value")) if bads else F.col("value")
-    return samples.withColumn("value", F.col("value") - F.avg(good).over(W.partitionBy(*by, "t")))
+def with_bads(samples: DataFrame, bads: DataFrame | list[str] | None, by: list[str] = REC) -> DataFrame:
+    """Add ``__bad``: the channel is listed for its recording (rows of ``by`` and channel), or for all recordings."""
+    if bads is None or isinstance(bads, list):
+        return samples.withColumn("__bad", F.col("channel").isin(bads) if bads else F.lit(False))
+    listed = bads.select(*by, "channel").distinct().withColumn("__hit", F.lit(True))
+    return samples.join(listed, [*by, "channel"], "left").withColumn("__bad", F.col("__hit").isNotNull()).drop("__hit")
+
+
+def average_reference(samples: DataFrame, bads: DataFrame | list[str] | None = None, by: list[str] = REC) -> DataFrame:
+    """Subtract the mean over the recording's good channels at each time point."""
+    good = F.when(~F.col("__bad"), F.col("value"))
+    return (with_bads(samples, bads, by).withColumn("value", F.col("value") - F.avg(good).over(W.partitionBy(*by, "t")))
+            .select(*samples.columns))
 
 
 def exclude_components(labels: DataFrame, exclude: list[str] = EXCLUDED_LABELS, threshold: float = 0.7,
@@ -209,19 +218,22 @@ def excluded_lists(labels: DataFrame, by: list[str], exclude: list[str] = EXCLUD
 
 
 def interpolate_channels(samples: DataFrame, weights: Mapping[str, Mapping[str, float]],
-                         by: list[str] = REC) -> DataFrame:
-    """Replace bad channels by a weighted mean of good ones at the same time point.
+                         by: list[str] = REC, bads: DataFrame | list[str] | None = None) -> DataFrame:
+    """Replace the recording's bad channels by a weighted mean of its good ones at the same time point.
 
-    The weights are montage-sized configuration, so they are expressions and the whole
-    repair is one window over (recording, t).
+    ``bads`` as in ``average_reference``; by default every channel with weights. A bad neighbour feeds no repair. The
+    weights are montage-sized configuration, so they are expressions and the whole repair is one
+    window over (recording, t).
     """
     w = W.partitionBy(*by, "t")
+    columns = samples.columns
+    samples = with_bads(samples, list(weights) if bads is None else bads, by)
     value = F.col("value")
     for bad, good in weights.items():
-        wt = F.coalesce(*[F.when(F.col("channel") == g, F.lit(float(x))) for g, x in good.items()])
+        wt = F.coalesce(*[F.when((F.col("channel") == g) & ~F.col("__bad"), F.lit(float(x))) for g, x in good.items()])
         num, den = F.sum(wt * F.col("value")).over(w), F.sum(F.when(F.col("value").isNotNull(), wt)).over(w)
-        value = F.when(F.col("channel") == bad, F.coalesce(safe_div(num, den), F.col("value"))).otherwise(value)
-    return samples.withColumn("value", value)
+        value = F.when((F.col("channel") == bad) & F.col("__bad"), F.coalesce(safe_div(num, den), F.col("value"))).otherwise(value)
+    return samples.withColumn("value", value).select(*columns)
 
 
 def epoch_ids(samples: DataFrame, length: int, overlap: int = 0, by: list[str] = REC) -> DataFrame:

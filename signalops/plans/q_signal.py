@@ -182,11 +182,20 @@ def _(spark, sf):
     return c.bad_channels(fx.samples(spark, sf), fx.CHANNELS, ["F4"], 1.2, 0.06, 0.124)
 
 
+BADS = "s as (select *, (channel = 'O2' and subject_id % 2 = 0) or (channel = 'F4' and condition = 'ec') as bad from FX_SAMPLES)"
+
+
+def _bads(samples):
+    """Per recording: O2 of even subjects, F4 of every ec recording."""
+    return samples.select(*fx.REC, "channel").distinct().where("(channel = 'O2' and subject_id % 2 = 0) or (channel = 'F4' and condition = 'ec')")
+
+
 @query("average_reference", f"""
-    select subject_id, condition, channel, {r('avg(v)', 6)} as mean, {r('stddev_pop(v)', 6)} as sd from (
-      select subject_id, condition, channel, value - avg(value) filter (channel <> 'O2') over (partition by subject_id, condition, t) as v from FX_SAMPLES) group by 1, 2, 3""", "FX_SAMPLES")
+    with {BADS} select subject_id, condition, channel, {r('avg(v)', 6)} as mean, {r('stddev_pop(v)', 6)} as sd from (
+      select subject_id, condition, channel, value - avg(value) filter (not bad) over (partition by subject_id, condition, t) as v from s) group by 1, 2, 3""", "FX_SAMPLES")
 def _(spark, sf):
-    d = c.average_reference(fx.samples(spark, sf), ["O2"])
+    s = fx.samples(spark, sf)
+    d = c.average_reference(s, _bads(s))
     return out(d.groupBy(*fx.REC, "channel").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")),
                "subject_id condition channel", mean=6, sd=6)
 
@@ -203,11 +212,14 @@ def _(spark, sf):
 
 
 @query("weighted_repair", f"""
-    with g as (select subject_id, condition, t, (0.6 * sum(value) filter (channel = 'O1') + 0.3 * sum(value) filter (channel = 'F4') + 0.1 * sum(value) filter (channel = 'F3')) as fixed from FX_SAMPLES group by all)
+    with {BADS}, k(target, channel, w) as (values ('O2', 'O1', 0.6::double), ('O2', 'F4', 0.3), ('O2', 'F3', 0.1), ('F4', 'F3', 0.7), ('F4', 'O2', 0.3)),
+    g as (select subject_id, condition, t, target, sum(w * value) / sum(w) as fixed from s join k using (channel) where not bad group by all)
     select subject_id, condition, channel, {r('avg(v)', 6)} as mean, {r('stddev_pop(v)', 6)} as sd from (
-      select s.subject_id, s.condition, channel, case when channel = 'O2' then fixed else value end as v from FX_SAMPLES s join g using (subject_id, condition, t)) group by 1, 2, 3""", "FX_SAMPLES")
+      select s.subject_id, s.condition, s.channel, case when bad then coalesce(fixed, value) else value end as v from s left join g
+        on g.subject_id = s.subject_id and g.condition = s.condition and g.t = s.t and g.target = s.channel) group by 1, 2, 3""", "FX_SAMPLES")
 def _(spark, sf):
-    d = c.interpolate_channels(fx.samples(spark, sf), {"O2": {"O1": 0.6, "F4": 0.3, "F3": 0.1}})
+    s = fx.samples(spark, sf)
+    d = c.interpolate_channels(s, {"O2": {"O1": 0.6, "F4": 0.3, "F3": 0.1}, "F4": {"F3": 0.7, "O2": 0.3}}, bads=_bads(s))
     return out(d.groupBy(*fx.REC, "channel").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd")),
                "subject_id condition channel", mean=6, sd=6)
 
