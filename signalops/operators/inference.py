@@ -15,7 +15,7 @@ from signalops.functions.hashing import draw, unit
 from signalops.functions.lineage import cut
 from signalops.functions.nulls import add_all, corr_agg
 from signalops.functions.ordering import average_rank_pct, hash_row_number
-from signalops.operators.reliability import cronbach_alpha
+from signalops.operators.reliability import subscale_reliability
 
 FIT_TYPE = ("struct<beta array<double>, se array<double>, inv array<double>, r2 double, r2_cov double, "
             "df_resid double, sigma2 double>")
@@ -152,21 +152,12 @@ def adjust_p(df: DataFrame, p: str, by: list[str] = (), method: str = "bonferron
 
 def reliability_gate(df: DataFrame, composites: list[str], components: dict[str, list[str]],
                      minimum: float = 0.50) -> DataFrame:
-    """Alpha of each composite's components and a tri-state pass; all_pass ignores ungated ones."""
-    out = None
-    for c in composites:
-        parts = components.get(c)
-        have = [x for x in parts or [] if x in df.columns]
-        if len(have) >= 2:
-            a = cronbach_alpha(df, have)
-            ok = F.coalesce(F.col("alpha") >= minimum, F.lit(False))
-        else:
-            a = df.agg(F.lit(len(have) if parts else None).cast("bigint").alias("k_items"),
-                       (F.count(F.lit(1)) * 0 if parts else F.nullif(F.count(F.lit(1)), F.count(F.lit(1)))).alias("n_obs"),
-                       F.lit(None).cast("double").alias("alpha"))
-            ok = F.lit(False if parts else None).cast("boolean")
-        one = a.select(F.lit(c).alias("composite"), "k_items", "n_obs", "alpha", ok.alias("pass_gate"))
-        out = one if out is None else out.unionByName(one)
+    """Alpha of each composite's components and a tri-state pass, in one scan; all_pass ignores ungated ones."""
+    table = subscale_reliability(df, {c: components.get(c) or [] for c in composites})
+    gated = F.col("subscale").isin([c for c in composites if components.get(c)])
+    passed = F.when(gated, F.coalesce(F.col("alpha") >= minimum, F.lit(False)))
+    out = table.select(F.col("subscale").alias("composite"), F.when(gated, F.col("k_items")).alias("k_items"),
+                       F.when(gated, F.col("n_obs")).alias("n_obs"), "alpha", passed.alias("pass_gate"))
     every = W.partitionBy(F.lit(1))
     return out.withColumn("all_pass", F.coalesce(F.min("pass_gate").over(every), F.lit(False)))
 
