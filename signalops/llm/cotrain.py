@@ -1,14 +1,14 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
 The text view is the hashed n-gram model of ``linear``; it never sees metadata. The metadata view is a
-logistic model over what is known of a page without its words: source, language, length, line layout and
-the shares of symbols, capitals, digits and bars; it never sees words. Both start from the labelled rows of a bounded
+logistic model over what is known of a page without its words: source, language, length, line layout, how many words
+are distinct and the shares of symbols, capitals, digits and bars; it never sees words. Both start from the labelled rows of a bounded
 sample. In each round every view labels the pool documents it is surest of and hands them to the other view
-as pseudo-labels. At the end each view is calibrated on labelled rows held apart, and the mean of the
-calibrated logits scores all documents.
+as pseudo-labels. At the end labelled rows held apart calibrate each view and weigh the two calibrated
+logits against each other; their combination scores all documents.
 
-Bounds: the class counts behind the text features cover all labelled rows; the fits use about ``MAX_ROWS``
-labelled rows of each class and a pool of about ``POOL`` unlabelled documents.
+Bounds: the fits use about ``MAX_ROWS`` labelled rows of each class and a pool of about ``POOL`` unlabelled
+documents, picked by the hash of their ids.
 
 Defined cases: null and empty texts are scored by their metadata and an empty feature set; null source and lang are values
 of their own; null labels teach nothing; repeated labels count once; if a class is missing every document has score 0.5
@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from signalops.functions.lineage import cut
 from signalops.llm import linear
-from signalops.llm.text import fold, text_or_empty
+from signalops.llm.text import fold, text_or_empty, words
 
-MAX_ROWS, POOL, ROUNDS, PER_ROUND = 3000, 3000, 3, 200
-SHARES = ("chars", "lines", "line_chars", "symbols", "capitals", "digits", "bars", "spaces")
+MAX_ROWS, POOL, ROUNDS, PER_ROUND = 2500, 2000, 3, 150
+SHARES = ("chars", "lines", "line_chars", "symbols", "capitals", "digits", "bars", "spaces", "variety")
+CUTS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.93, 0.95, 0.97, 0.99)
 
 
 def metadata(docs: DataFrame) -> DataFrame:
@@ -36,12 +37,13 @@ def metadata(docs: DataFrame) -> DataFrame:
     t = text_or_empty()
     n = F.greatest(F.length("text"), F.lit(1)).cast("double")
     share = lambda others: F.length(F.regexp_replace("text", others, "")) / n
-    lines = F.size(F.split("text", "\n")).cast("double")
+    lines, w = F.size(F.split("text", "\n")).cast("double"), words(F.col("text"))
     d = docs.select("doc_id", t.alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
                     F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
     return d.select("*", F.log1p(F.length("text").cast("double")).alias("chars"), F.log1p(lines).alias("lines"), F.log1p(n / lines).alias("line_chars"),
                     share(r"[^#*$%&<>!]+").alias("symbols"), share(r"[^\p{Lu}]+").alias("capitals"), share(r"[^0-9]+").alias("digits"),
-                    share(r"[^|]+").alias("bars"), share(r"[^ ]+").alias("spaces"))
+                    share(r"[^|]+").alias("bars"), share(r"[^ ]+").alias("spaces"),
+                    (F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1))).cast("double").alias("variety"))
 
 
 @dataclass
@@ -55,7 +57,7 @@ class MetaModel:
     shift: float = 0.0
 
     def design(self, source: list, lang: list, numbers: np.ndarray) -> np.ndarray:
-        """One-hot rows: source, language, and the decile of each number; unknown names have no column."""
+        """One-hot rows: source, language, and the quantile bucket of each number; unknown names have no column."""
         k = self.edges.shape[1] + 1
         x = np.zeros((len(source), len(self.names) + len(SHARES) * k), np.float32)
         for i, (s, g) in enumerate(zip(source, lang)):
@@ -96,16 +98,18 @@ def _surest(z: np.ndarray, free: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return np.array(low + high, np.int64), np.array([0] * len(low) + [1] * len(high), np.int64)
 
 
-def fit(rows: DataFrame, pool: DataFrame, max_rows: int = MAX_ROWS, pool_rows: int = POOL, rounds: int = ROUNDS,
-        per_round: int = PER_ROUND) -> tuple[linear.TextModel, MetaModel] | None:
-    """Both calibrated views from labelled ``rows`` (metadata columns, y) and unlabelled ``pool``; None if a class is missing."""
+def fit(rows: DataFrame, pool: DataFrame, rounds: int = ROUNDS, per_round: int = PER_ROUND
+        ) -> tuple[linear.TextModel, MetaModel, np.ndarray] | None:
+    """Both calibrated views and their weights, from bounded tables of labelled ``rows`` (metadata columns, y) and of ``pool``.
+
+    None if a class is missing.
+    """
     counts, sizes = linear.class_counts(rows)
     if not sizes.all():
         return None
     r = linear.log_ratios(counts, sizes)
-    sample = linear.bounded(rows.where("y = 1"), max_rows).union(linear.bounded(rows.where("y = 0"), max_rows))
     extra = ("source", "lang", *SHARES, "y")
-    parts, cols = linear.sparse(cut(sample.union(linear.bounded(pool, pool_rows).withColumn("y", F.lit(-1)).select(sample.columns))), r != 0, extra)
+    parts, cols = linear.sparse(rows.union(pool.withColumn("y", F.lit(-1)).select(rows.columns)), r != 0, extra)
     y = np.array(cols["y"])
     numbers = np.array([cols[c] for c in SHARES]).T.reshape(len(y), len(SHARES))
     held = (np.arange(len(y)) % 5 == 0) & (y >= 0)  # in the order of the texts' features: kept apart for calibration
@@ -114,7 +118,7 @@ def fit(rows: DataFrame, pool: DataFrame, max_rows: int = MAX_ROWS, pool_rows: i
     meta = MetaModel()
     keys = sorted({("s", s) for s in cols["source"]} | {("l", g) for g in cols["lang"]})
     meta.names = {k: i for i, k in enumerate(keys)}
-    meta.edges = np.quantile(numbers, np.linspace(0.1, 0.9, 9), axis=0).T
+    meta.edges = np.quantile(numbers, CUTS, axis=0).T
     x = meta.design(cols["source"], cols["lang"], numbers)
     base = np.flatnonzero((y >= 0) & ~held)
     free = y < 0
@@ -134,22 +138,30 @@ def fit(rows: DataFrame, pool: DataFrame, max_rows: int = MAX_ROWS, pool_rows: i
         got["meta"] = tuple(np.concatenate(p) for p in zip(got["meta"], to_meta))
         got["text"] = tuple(np.concatenate(p) for p in zip(got["text"], to_text))
         free[np.concatenate([to_meta[0], to_text[0]])] = False
+    both = np.array([0.5, 0.5, 0.0])
     if held.any():
-        text.slope, text.shift = linear.platt(np.array([text.logit(parts[i]) for i in np.flatnonzero(held)]), y[held])
-        meta.slope, meta.shift = linear.platt(x[held] @ meta.weight + meta.bias, y[held])
-    return text, meta
+        z = np.array([text.logit(parts[i]) for i in np.flatnonzero(held)]), x[held] @ meta.weight + meta.bias
+        for view, logits in zip((text, meta), z):
+            view.slope, view.shift = map(float, linear.platt(logits, y[held]))
+        both = linear.platt(np.column_stack([v.slope * q + v.shift for v, q in zip((text, meta), z)]), y[held])
+    return text, meta, both
+
 
+def samples(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, pool_rows: int = POOL) -> tuple[DataFrame, DataFrame]:
+    """Metadata columns of the labelled sample (with y) and of the unlabelled pool, among rows that may teach.
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Metadata columns and y of the rows that may teach: crc32 of the id modulo 5 is not 0."""
-    y = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
-    return metadata(docs.where(fold("doc_id", 5) != 0)).join(y, "doc_id").drop("doc_id")
+    Those are the rows whose crc32 of the id modulo 5 is not 0. Ids are picked first; both picks are bounded and broadcast.
+    """
+    may = docs.where(fold("doc_id", 5) != 0)
+    ids = linear.taught(may, labels, "quality", max_rows)
+    rest = cut(may.select("doc_id").where("doc_id is not null").distinct().join(labels.select("doc_id").distinct(), "doc_id", "left_anti"))
+    rest = linear.bounded(rest, pool_rows)
+    return tuple(cut(metadata(may.join(F.broadcast(i.select("doc_id")), "doc_id")).join(F.broadcast(i), "doc_id").drop("doc_id")) for i in (ids, rest))
 
 
-def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def report(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, pool_rows: int = POOL, **options) -> DataFrame:
     """doc_id, score (chance of quality 1), p_text, p_meta, predicted for every document."""
-    pool = metadata(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").where(fold("doc_id", 5) != 0)).drop("doc_id")
-    views = fit(cut(labelled(docs, labels)), pool, **options)
+    views = fit(*samples(docs, labels, max_rows, pool_rows), **options)
     d = metadata(docs)
     out = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double, p_text double, p_meta double, predicted int"
     if views is None:
@@ -157,13 +169,13 @@ def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(views)
 
     def run(batches):
-        text, meta = shared.value
+        text, meta, both = shared.value
         mark = np.zeros(linear.D, bool)
         for b in batches:
             z = np.array([text.logit(linear.feature_set(t.as_py(), mark)) for t in b.column("text")])
             m = meta.logit(b.column("source").to_pylist(), b.column("lang").to_pylist(),
                            np.array([b.column(c).to_numpy(zero_copy_only=False) for c in SHARES]).T.reshape(b.num_rows, len(SHARES)))
-            p = linear.sigmoid((z + m) / 2)
+            p = linear.sigmoid(both[0] * z + both[1] * m + both[2])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(np.atleast_1d(v), pa.float64()) for v in (p, linear.sigmoid(z), linear.sigmoid(m))],
                                               pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "p_text", "p_meta", "predicted"])
 
