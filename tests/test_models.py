@@ -119,7 +119,7 @@ def test_elastic_net_solution_is_stationary():
     x = r.normal(size=(200, 4))
     y = x @ [1.0, 0.0, -0.5, 0.0] + r.normal(size=200)
     x, y = (x - x.mean(0)) / x.std(0), y - y.mean()
-    (w,), ok = m._enet((x.T @ x / 200)[None], (x.T @ y / 200)[None], np.array([0.1]), np.array([0.7]), np.zeros((1, 4)))
+    (w,), ok = m._enet((x.T @ x / 200)[None], (x.T @ y / 200)[None], np.array([0.1]), np.array([0.7]), np.zeros((1, 4)), tol=1e-8)
     assert ok.all()
     g = x.T @ (y - x @ w) / 200 - 0.1 * 0.3 * w
     assert np.allclose(g[w != 0], 0.07 * np.sign(w[w != 0]), atol=1e-5) and (np.abs(g[w == 0]) <= 0.07 + 1e-9).all()
