@@ -60,13 +60,13 @@ def base_failed() -> F.Column:
 
 
 def host_lines(docs: DataFrame) -> DataFrame:
-    """One row per normalised line: host, content (hash of the text), doc_id, pos, line (hash), words."""
+    """One row per normalised line: host, content (hash of the text), doc_id, total (words of the text), pos, line (hash), words."""
     flat = F.regexp_replace(F.lower(text_or_empty()), r"[ \t\x0B\f\r]+", " ")
     lines = F.transform(F.split(flat, "\n"), lambda x: F.trim(x))
     return (docs.select(F.coalesce("source", F.lit("")).alias("host"), F.xxhash64(text_or_empty()).alias("content"),
-                        F.col("doc_id"), F.posexplode(lines).alias("pos", "t"))
+                        F.col("doc_id"), F.size(words(text_or_empty())).cast("bigint").alias("total"), F.posexplode(lines).alias("pos", "t"))
             .where(F.col("t") != "")
-            .select("host", "content", "doc_id", "pos", F.xxhash64("t").alias("line"),
+            .select("host", "content", "doc_id", "total", "pos", F.xxhash64("t").alias("line"),
                     F.size(F.split("t", " ")).cast("bigint").alias("words")))
 
 
@@ -84,15 +84,20 @@ def frequent_lines(docs: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
 
 
 def removed_words(docs: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
-    """host, content, removed: words in frequent lines, of texts that are not the line's owner.
+    """host, content, total, removed, n_removed_lines: words in frequent lines, of texts that are not the line's owner.
 
     The frequent lines are written once; the join sees their size and is broadcast only if small,
     else Spark's skew join splits the hot lines.
     """
     frequent = cut(frequent_lines(docs, max_texts))
     hit = (host_lines(docs).join(frequent, ["host", "line"]).where(F.col("content") != F.col("owner"))
-           .groupBy("host", "content", "pos").agg(F.max("words").alias("words")))
-    return hit.groupBy("host", "content").agg(F.sum("words").alias("removed"), F.count(F.lit(1)).alias("n_removed_lines"))
+           .groupBy("host", "content", "pos").agg(F.max("words").alias("words"), F.max("total").alias("total")))
+    return hit.groupBy("host", "content").agg(F.sum("words").alias("removed"), F.count(F.lit(1)).alias("n_removed_lines"),
+                                              F.max("total").alias("total"))
+
+
+def enough(left, total, min_words: int, min_share: float):
+    return (left >= min_words) & (left >= min_share * total)
 
 
 def judged(docs: DataFrame, max_texts: int = MAX_TEXTS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -103,7 +108,7 @@ def judged(docs: DataFrame, max_texts: int = MAX_TEXTS, min_words: int = MIN_WOR
     left = F.col("__n_words") - F.coalesce("__removed", F.lit(0))
     return (measured(docs).join(removed, ["__host", "__content"], "left")
             .withColumn("__base_failed", base_failed())
-            .withColumn("__kept", ~F.col("__base_failed") & (left >= min_words) & (left >= min_share * F.col("__n_words"))))
+            .withColumn("__kept", ~F.col("__base_failed") & enough(left, F.col("__n_words"), min_words, min_share)))
 
 
 def report(docs: DataFrame, **limits) -> DataFrame:
@@ -115,6 +120,13 @@ def report(docs: DataFrame, **limits) -> DataFrame:
         zero("n_removed_lines"), zero("removed").alias("n_removed_words"))
 
 
-def keep(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return keep_columns(judged(docs, **limits).where("__kept"), docs)
+def keep(docs: DataFrame, max_texts: int = MAX_TEXTS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
+    """The documents that pass, with their own columns.
+
+    Base rules are judged where a text is read; only the keys of depleted texts are joined, so texts are not
+    shuffled unless those keys outgrow a broadcast.
+    """
+    gone = removed_words(docs, max_texts)
+    depleted = cut(gone.where(~enough(F.col("total") - F.col("removed"), F.col("total"), min_words, min_share))
+                   .select(F.col("host").alias("__host"), F.col("content").alias("__content")))
+    return keep_columns(measured(docs).where(~base_failed()).join(depleted, ["__host", "__content"], "left_anti"), docs)
