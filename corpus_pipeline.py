@@ -14,7 +14,7 @@ from signalops.llm import mixing, quality_rules, simhash, tiling, tokens
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the base rules or the line-frequency rule reject."""
+    """Drop documents that the base rules or the line-frequency rule reject, and frequent lines from the others."""
     return quality_rules.keep(docs)
 
 

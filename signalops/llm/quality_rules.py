@@ -9,7 +9,8 @@ fail it, or if what remains is under ``min_words`` words or under ``min_share``
 
 Defined cases: null and empty texts have no words and fail the base rules; a null source is one
 host of its own; repeated rows each get the verdict of their text; an empty table gives no rows;
-any further column is carried by ``keep`` and ignored by ``report``.
+any further column is carried by ``keep`` and ignored by ``report``. ``keep`` returns the texts without the removed
+lines, ``report`` counts them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from signalops.functions.lineage import cut
 from signalops.llm.text import keep_columns, text_or_empty, words
 
 MAX_TEXTS, MIN_WORDS, MIN_SHARE = 20, 50, 0.5
+MASK_WORDS = 1 << 17
 SYMBOLS = r"[^#*$%&|<>]+"
 
 
@@ -83,17 +85,33 @@ def frequent_lines(docs: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
             .select("host", "line", "n_texts", F.col("o.content").alias("owner")))
 
 
-def removed_words(docs: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
-    """host, content, total, removed, n_removed_lines: words in frequent lines, of texts that are not the line's owner.
+def hit_lines(docs: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
+    """host, content, pos, words, total: the frequent lines of texts that are not the line's owner, copies of a text once.
 
     The frequent lines are written once; the join sees their size and is broadcast only if small,
     else Spark's skew join splits the hot lines.
     """
     frequent = cut(frequent_lines(docs, max_texts))
-    hit = (host_lines(docs).join(frequent, ["host", "line"]).where(F.col("content") != F.col("owner"))
-           .groupBy("host", "content", "pos").agg(F.max("words").alias("words"), F.max("total").alias("total")))
-    return hit.groupBy("host", "content").agg(F.sum("words").alias("removed"), F.count(F.lit(1)).alias("n_removed_lines"),
-                                              F.max("total").alias("total"))
+    return (host_lines(docs).join(frequent, ["host", "line"]).where(F.col("content") != F.col("owner"))
+            .groupBy("host", "content", "pos").agg(F.max("words").alias("words"), F.max("total").alias("total")))
+
+
+def removed_words(docs: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
+    """host, content, removed, n_removed_lines: words and number of the lines that go."""
+    return hit_lines(docs, max_texts).groupBy("host", "content").agg(F.sum("words").alias("removed"), F.count(F.lit(1)).alias("n_removed_lines"))
+
+
+def slot(host, content):
+    return F.pmod(F.xxhash64(host, content), F.lit(64 * MASK_WORDS))
+
+
+def mask(texts: DataFrame) -> F.Column:
+    """One bit for each slot that a (host, content) of ``texts`` falls in, as a scalar array of MASK_WORDS longs."""
+    s = texts.select(slot("host", "content").alias("s")).select(F.floor(F.col("s") / 64).alias("id"), (F.col("s") % 64).cast("int").alias("bit"))
+    found = s.groupBy("id").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    every = texts.sparkSession.range(0, MASK_WORDS, numPartitions=1).join(found, "id", "left")
+    rows = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    return every.agg(rows.alias("rows")).select(F.col("rows.bits")).scalar()
 
 
 def enough(left, total, min_words: int, min_share: float):
@@ -121,12 +139,25 @@ def report(docs: DataFrame, **limits) -> DataFrame:
 
 
 def keep(docs: DataFrame, max_texts: int = MAX_TEXTS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
-    """The documents that pass, with their own columns.
+    """The documents that pass, with their own columns and without their frequent lines; ``n_chars`` follows the text.
 
-    Base rules are judged where a text is read; only the keys of depleted texts are joined, so texts are not
-    shuffled unless those keys outgrow a broadcast.
+    The lines to remove are positions for each (host, content). A text whose slot in a mask of fixed size is empty has none
+    and is judged where it is read; only the others meet the table of positions, so most texts are not shuffled
+    even if that table outgrows a broadcast.
     """
-    gone = removed_words(docs, max_texts)
-    depleted = cut(gone.where(~enough(F.col("total") - F.col("removed"), F.col("total"), min_words, min_share))
-                   .select(F.col("host").alias("__host"), F.col("content").alias("__content")))
-    return keep_columns(measured(docs).where(~base_failed()).join(depleted, ["__host", "__content"], "left_anti"), docs)
+    hit = hit_lines(docs, max_texts).groupBy("host", "content").agg(
+        F.sum("words").alias("removed"), F.max("total").alias("total"), F.collect_list("pos").alias("__gone"))
+    hit = cut(hit.select("host", "content", "__gone", (~enough(F.col("total") - F.col("removed"), F.col("total"), min_words, min_share)).alias("__depleted")))
+    at = slot(F.coalesce("source", F.lit("")), F.xxhash64(text_or_empty()))
+    maybe = F.get(mask(hit), F.floor(at / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int"))) != 0
+    untouched = measured(docs.where(~maybe)).where(~base_failed())
+    # Lines are split below the join, so the removal reads them by position without splitting again.
+    touched = (measured(docs.where(maybe).withColumn("__parts", F.split(text_or_empty(), "\n"))).where(~base_failed())
+               .join(hit.select(F.col("host").alias("__host"), F.col("content").alias("__content"), "__gone", "__depleted"), ["__host", "__content"], "left")
+               .where(~F.coalesce("__depleted", F.lit(False))))
+    parts = F.col("__parts")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.coalesce("__gone", F.array().cast("array<int>")))
+    touched = touched.withColumn("text", F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    if "n_chars" in docs.columns:
+        touched = touched.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return keep_columns(untouched, docs).union(keep_columns(touched, docs))

@@ -61,3 +61,29 @@ def test_odd_rows_and_empty_table(odd, make):
     got = q.report(odd).collect()
     assert len(got) == odd.count() and not any(r["kept"] for r in got)
     assert q.report(make([])).count() == 0 and q.keep(make([])).count() == 0
+
+
+def without_frequent_lines(rows, limit):
+    """doc_id -> text without the lines above the limit, of (doc_id, text, source) rows."""
+    norm = lambda x: re.sub(r"[ \t\x0B\f\r]+", " ", x.lower()).strip(" ")
+    texts = defaultdict(dict)
+    for d, t, s in rows:
+        for x in filter(None, map(norm, (t or "").split("\n"))):
+            k = (d is None, d or 0)
+            texts[s or "", x][t or ""] = min(texts[s or "", x].get(t or "", k), k)
+    owner = {k: min(v, key=lambda t: v[t]) for k, v in texts.items() if len(v) > limit}
+    return {d: "\n".join(x for x in (t or "").split("\n") if owner.get((s or "", norm(x)), t or "") == (t or "")) for d, t, s in rows}
+
+
+def test_kept_texts_lose_their_frequent_lines(make, documents):
+    body = lambda i: "\n".join(" ".join(f"w{i}x{j}x{k}" for k in range(30)) for j in range(3))
+    rows = [(i, f"Common  LINE\n{body(i)}\n\n common line\nlast {i}", "en", "hot") for i in range(1, 7)]
+    rows += [(20, body(20) + "\ncommon line", "en", "cool"), (21, body(21) + "\n", "en", "hot"), (3, rows[2][1], "en", "hot")]
+    got = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in q.keep(make(rows), max_texts=4).collect())
+    want = without_frequent_lines([(r[0], r[1], r[3]) for r in rows], 4)
+    assert want[1] == rows[0][1] and want[2] == f"{body(2)}\n\nlast 2" and want[20] == rows[6][1]
+    assert got == sorted((r[0], want[r[0]], len(want[r[0]])) for r in rows)
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in documents.collect()]
+    want, passed = without_frequent_lines(rows, 2), {d for d, _, k in verdicts(rows, 2) if k}
+    assert {r["doc_id"]: r["text"] for r in q.keep(documents, max_texts=2).collect()} == {d: want[d] for d in passed}
+    assert any(want[d] != t for d, t, _ in rows if d in passed)
