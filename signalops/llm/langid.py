@@ -87,9 +87,10 @@ def fit(rows: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> tu
     """idf, and a table (lang, centroid, floor) of at most ``centroids`` rows per language, from (text, lang) rows."""
     df, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
-    sizes = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
-    pick = (rows.join(sizes, "lang").where(F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 11) <= F.lit(float(1 << 53)) * sample / F.col("n"))
-            .select("lang", "text"))
+    hashed = rows.withColumn("h", F.xxhash64("text", F.lit(5)))
+    sizes = cut(hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")))  # distinct texts
+    pick = (hashed.join(sizes, "lang").where(F.shiftrightunsigned("h", 11) <= F.lit(float(1 << 53)) * sample / F.col("n"))
+            .dropDuplicates(["lang", "h"]).select("lang", "text"))
     shared = rows.sparkSession.sparkContext.broadcast(idf)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

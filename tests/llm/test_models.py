@@ -22,6 +22,14 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_copies_do_not_cost_a_language_its_sample(spark):
+    rows = [("the very same words in every row", "xx")] * 2000 + [(f"ordinary sentence {'abcdefghij'[i % 10] * (i // 10 + 1)}", "en") for i in range(200)]
+    rows += [("another text that was copied", "yy")] * 1500 + [(f"etwas anderes {'klmnopqrst'[i] * 3}", "yy") for i in range(10)]
+    _, table = langid.fit(spark.createDataFrame(rows, "text string, lang string"), sample=20)
+    assert set(table["lang"]) == {"xx", "en", "yy"}
+    assert (table["lang"] == "yy").sum() > 1
+
+
 def test_language_of_odd_rows(odd, make):
     got = langid.report(odd)
     assert got.count() == odd.count()
