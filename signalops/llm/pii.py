@@ -131,6 +131,18 @@ def scored(described_rows: DataFrame) -> DataFrame:
     return s.join(floor, "kind_no", "left").select(*FEATURES, "score", F.coalesce(F.col("score") >= F.col("floor"), F.lit(False)).alias("chosen"))
 
 
+def clash(x: Column, y: Column) -> Column:
+    return (x["start"] < y["stop"]) & (y["start"] < x["stop"])
+
+
+def apart(m: Column) -> Column:
+    """Spans (score, kind_no, start, stop) taken best first, by score, start, kind and length, that overlap none taken before."""
+    ranked = F.sort_array(F.transform(m, lambda x: F.struct((-x["score"]).alias("rank"), x["start"].alias("start"), x["kind_no"].alias("kind_no"),
+                                                            (-x["stop"]).alias("end"), x["stop"].alias("stop"))))
+    none = F.filter(ranked, lambda x: F.lit(False))
+    return F.aggregate(ranked, none, lambda taken, x: F.when(F.exists(taken, lambda y: clash(x, y)), taken).otherwise(F.concat(taken, F.array(x))))
+
+
 def spans_by_text(docs: DataFrame) -> DataFrame:
     """(content, base, extra): sorted spans (kind number, start, stop) of each text that has any."""
     c = cut(described(candidates(docs)).drop("match", "before", "after"))
@@ -140,11 +152,7 @@ def spans_by_text(docs: DataFrame) -> DataFrame:
     all_ = base.union(more).groupBy("content").agg(F.collect_set(F.struct("base", "score", "kind_no", "start", "stop")).alias("s"))
     pick = lambda x: F.struct(x["kind_no"].alias("kind_no"), x["start"].alias("start"), x["stop"].alias("stop"))
     d = all_.select("content", F.filter("s", lambda x: x["base"]).alias("b"), F.filter("s", lambda x: ~x["base"]).alias("m"))
-    clash = lambda x, y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])
-    d = d.withColumn("m", F.filter("m", lambda x: ~F.exists("b", lambda y: clash(x, y))))
-    better = lambda y, x: ((y["score"] > x["score"]) | ((y["score"] == x["score"]) & (
-        (y["start"] < x["start"]) | ((y["start"] == x["start"]) & (y["kind_no"] < x["kind_no"])))))
-    d = d.withColumn("m", F.filter("m", lambda x: ~F.exists("m", lambda y: clash(x, y) & better(y, x))))
+    d = d.withColumn("m", apart(F.filter("m", lambda x: ~F.exists("b", lambda y: clash(x, y)))))
     return d.select("content", F.sort_array(F.transform("b", pick)).alias("base"), F.sort_array(F.concat(F.transform("b", pick), F.transform("m", pick))).alias("every"))
 
 

@@ -65,3 +65,11 @@ def test_looser_spans_are_added_and_base_ones_stay(make):
 
 def test_empty_table(make):
     assert pii.report(make([])).count() == 0
+
+
+def test_a_span_beaten_by_a_lost_one_stays(spark):
+    of = lambda rows: spark.createDataFrame([(rows,)], "m array<struct<score double, kind_no int, start int, stop int>>").select(pii.apart(F.col("m")).alias("m")).first()["m"]
+    chain = [(0.7, 1, 0, 10), (0.8, 2, 8, 20), (0.9, 3, 18, 30), (0.9, 3, 40, 45)]
+    assert sorted((x["start"], x["stop"]) for x in of(chain)) == [(0, 10), (18, 30), (40, 45)]
+    assert [(x["kind_no"], x["start"], x["stop"]) for x in of([(0.9, 2, 0, 5), (0.9, 1, 0, 5), (0.9, 1, 0, 7)])] == [(1, 0, 7)]
+    assert of([]) == []
