@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalops.llm import cotrain, langid, mixing, pii, quality_rules, secret_ledger, simhash, tiling, tokens, toxicity
+from signalops.llm import cotrain, langid, merkle, merkle_sql, mixing, pii, quality_rules, secret_ledger, simhash, tiling, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,8 @@ def op5(spark, sf_dir):
 @query("op9_blob_ledger_secrets")
 def op9(spark, sf_dir):
     return secret_ledger.report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle_manifest", merkle_sql.SQL)
+def op11(spark, sf_dir):
+    return merkle.report(table(spark, sf_dir, "documents"))
