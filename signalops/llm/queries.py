@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalops.llm import cotrain, langid, merkle, merkle_sql, mixing, pii, quality_rules, secret_ledger, simhash, tiling, tokens, toxicity
+from signalops.llm import (cotrain, kdtree, kdtree_sql, langid, merkle, merkle_sql, mixing, pii, quality_rules, repair, repair_sql, secret_ledger,
+                           simhash, tiling, tokens, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +109,13 @@ def op9(spark, sf_dir):
 @query("op11_merkle_manifest", merkle_sql.SQL)
 def op11(spark, sf_dir):
     return merkle.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_auction_repair", repair_sql.SQL)
+def op12(spark, sf_dir):
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_kd_tree_shards", kdtree_sql.SQL)
+def op13(spark, sf_dir):
+    return kdtree.report(table(spark, sf_dir, "documents"))
