@@ -115,15 +115,19 @@ def channel_stats(samples: DataFrame, by: list[str] = REC) -> DataFrame:
     return samples.groupBy(*by, "channel").agg(F.var_pop("value").alias("var"), F.stddev_pop("value").alias("sd"))
 
 
-def variance_z(samples: DataFrame, by: list[str] = REC) -> DataFrame:
-    """Robust z of each channel's variance within its recording (groups are montage-sized)."""
-    stats = channel_stats(samples, by)
+def robust_z(stats: DataFrame, by: list[str] = REC) -> DataFrame:
+    """Add the robust z of each channel's ``var`` within its recording (groups are montage-sized)."""
     w = W.partitionBy(*by)
     return (stats.withColumn("med", F.expr("percentile(var, 0.5)").over(w))
             .withColumn("mad", F.percentile(F.abs(F.col("var") - F.col("med")), 0.5).over(w))
             .withColumn("z", 0.6745 * (F.col("var") - F.col("med")) / (F.col("mad") + 1e-20)))
 
 
+def variance_z(samples: DataFrame, by: list[str] = REC) -> DataFrame:
+    """Robust z of each channel's variance within its recording."""
+    return robust_z(channel_stats(samples, by), by)
+
+
 def bad_by_variance(samples: DataFrame, protect: list[str] | None = None, threshold: float = BAD_Z,
                     by: list[str] = REC) -> DataFrame:
     """|z| above the threshold; protected channels are exempt but still shape median and MAD."""
@@ -175,8 +179,13 @@ def bad_channels(samples: DataFrame, channels: list[str], protect: list[str] | N
     Variance and flatness share one pass over the samples; correlation takes the other. The
     verdicts then meet on channel-sized tables.
     """
+    return verdict_lists(variance_z(samples, by).join(max_abs_corr(samples, channels, by), [*by, "channel"], "left"), protect, z, corr, flat, by)
+
+
+def verdict_lists(stats: DataFrame, protect: list[str] | None, z: float, corr: float, flat: float, by: list[str] = REC) -> DataFrame:
+    """Lists of bad channels per recording from rows (by, channel, z, max_r, sd); recordings without any have no row."""
     free = ~F.col("channel").isin(protect) if protect else F.lit(True)
-    verdict = variance_z(samples, by).join(max_abs_corr(samples, channels, by), [*by, "channel"], "left").select(
+    verdict = stats.select(
         *by, "channel", (free & (F.abs("z") > z)).alias("variance"), (F.col("max_r") < corr).alias("correlation"),
         (F.col("sd") < flat).alias("flatline"))
     verdict = verdict.where(F.col("variance") | F.col("correlation") | F.col("flatline"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from signalops.operators import chunks
+
 # Fixed values (seconds): window length, earliest start, margin at the block end, block-end gap.
 WINDOW_SEC, MIN_START_SEC, END_MARGIN_SEC, BLOCK_GAP_SEC = 15.0, 5.0, 1.0, 1.0
 SHORT_FLOOR, DECODE_FLOOR = 4, 20
@@ -86,23 +88,24 @@ def window_rows(windows: DataFrame, undefined: bool = False) -> DataFrame:
     return rows if undefined else rows.where(F.col("w_start").isNotNull())
 
 
+def clamped(windows: DataFrame) -> DataFrame:
+    """Rows of the defined windows, cut to [0, rec_end]."""
+    return (window_rows(windows).withColumn("w_start", F.greatest(F.col("w_start"), F.lit(0.0)))
+            .withColumn("w_end", F.least("w_end", "rec_end")).drop("rec_end"))
+
+
 def samples_in_windows(samples: DataFrame, windows: DataFrame, fs: float, keys: list[str],
-                       salts: int | None = None) -> DataFrame:
-    """Range join of samples to windows on an equality key, salted against hot recordings.
+                       cell_sec: float = WINDOW_SEC) -> DataFrame:
+    """Interval join of samples to windows by cells: both sides are cut into cells of ``cell_sec`` and meet by equality on the cell.
 
-    The window side is a handful of rows per recording and is replicated ``salts`` times (by default
-    the number of shuffle partitions); the sample side is spread by its index, so one huge
-    recording is joined by as many tasks as the cluster runs.
+    A window has as many rows as it touches cells, a sample one, so nothing is replicated and one huge
+    recording is joined by as many tasks as it has cells.
     """
-    salts = salts or max(16, int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    w = (window_rows(windows)
-         .withColumn("w_start", F.greatest(F.col("w_start"), F.lit(0.0)))
-         .withColumn("w_end", F.least("w_end", "rec_end"))
-         .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    s = samples.withColumn("__salt", F.pmod(F.col("t"), F.lit(salts)).cast("int"))
+    cell = lambda sec: F.floor(sec / F.lit(float(cell_sec)))
+    w = clamped(windows).where("w_end > w_start").withColumn("__cell", F.explode(F.sequence(cell(F.col("w_start")), cell(F.col("w_end")))))
     sec = F.col("t") / F.lit(float(fs))
-    return (s.join(w, [*keys, "__salt"]).where((sec >= F.col("w_start")) & (sec < F.col("w_end")))
-            .drop("__salt", "rec_end"))
+    return (samples.withColumn("__cell", cell(sec)).join(w, [*keys, "__cell"])
+            .where((sec >= F.col("w_start")) & (sec < F.col("w_end"))).drop("__cell"))
 
 
 def window_epochs(assigned: DataFrame, fs: float, length_sec: float = 2.0, overlap_sec: float = 1.0) -> DataFrame:
@@ -131,3 +134,25 @@ def window_viability(epoched: DataFrame, keys: list[str], floors: dict[str, int]
         n = (window_rows(windows, True).select(*keys, "window").join(n, [*keys, "window"], "left")
              .withColumn("n_epochs", F.coalesce("n_epochs", F.lit(0)).cast("bigint")))
     return n.withColumn("viable", F.col("n_epochs") >= floor)
+
+
+def window_qc(samples: DataFrame, windows: DataFrame, fs: float, channels: list[str], limit: float, keys: list[str] = REC, length_sec: float = 2.0,
+              overlap_sec: float = 1.0, decode_overlap_sec: float = 1.0, floors: dict[str, int] | None = None, size: int = chunks.CHUNK) -> DataFrame:
+    """One QC row per recording: epochs of its three windows before and after peak-to-peak rejection, viability flags and status.
+
+    The samples are packed into chunks once; each window takes its epochs from the chunks it touches, with an overlap of its own for the
+    decoder's window. An undefined window has no epochs and is not viable.
+    """
+    floors = floors or {"response": SHORT_FLOOR, "base": SHORT_FLOOR, "decode": DECODE_FLOOR}
+    halo = round(length_sec * fs) - 1
+    packed = chunks.pack(samples, channels, keys, size, halo)
+    overlaps = {"response": overlap_sec, "base": overlap_sec, "decode": decode_overlap_sec}
+    epochs = chunks.epochs_in_windows(packed, clamped(windows), fs, channels, length_sec, overlaps, limit, size, halo, keys)
+    of = lambda w, hit: F.count_if((F.col("window") == w) & hit)
+    n = epochs.groupBy(*REC).agg(*[of(w, F.lit(True)).alias(f"{w}_n_before") for w in floors], *[of(w, ~F.col("rejected")).alias(f"{w}_n_after") for w in floors])
+    d = windows.select(*REC, "r_start", "b_start", "d_start").join(n, REC, "left")
+    count = lambda w, k: F.coalesce(f"{w}_n_{k}", F.lit(0).cast("bigint"))
+    viable = {w: (count(w, "after") >= f) & F.col(f"{w[0]}_start").isNotNull() for w, f in floors.items()}
+    status = F.when(F.col("r_start").isNull(), "WINDOW_TOO_SHORT").when(viable["response"], "OK").otherwise("LOW_EPOCH_COUNT")
+    return d.select(*REC, *[count(w, k).alias(f"{w}_n_{k}") for w in floors for k in ("before", "after")],
+                    *[v.alias(f"{w}_viable") for w, v in viable.items()], status.alias("status"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from signalops.functions import nulls
 from signalops.functions.present import shown_sql as r
-from signalops.operators import conditioning as c, windows as w
+from signalops.operators import chunks, conditioning as c, windows as w
 from signalops.plans import fixtures as fx
 from signalops.plans.registry import out, query
 from signalops.sources import catalog
@@ -283,6 +283,54 @@ def _(spark, sf):
     return s.select(*fx.REC, F.col("n_after").alias("n_epochs"), c.epoch_floor(F.col("n_after"), 3).alias("status"))
 
 
+WEIGHTS = {"F3": {"F4": 0.6, "O1": 0.3, "O2": 0.1}, "F4": {"F3": 0.7, "O2": 0.3}, "O1": {"O2": 1.0}, "O2": {"O1": 0.6, "F4": 0.3, "F3": 0.1}}
+WEIGHT_ROWS = ", ".join(f"('{a}', '{b}', {x}::double)" for a, ws in WEIGHTS.items() for b, x in ws.items())
+
+
+@query("preprocess_qc", f"""
+    with raw as (select subject_id, condition, channel, t % 320 as t, value from FX_SAMPLES),
+    ends as (select subject_id, condition, max(t) as e from raw group by 1, 2),
+    rg as (select *, case when e / 64.0 > 2 then 32 else 0 end as first, case when e / 64.0 > 2 then e - 32 else e end as last from ends),
+    x as (select raw.*, first, last from raw join rg using (subject_id, condition) where t between first and last),
+    st as (select subject_id, condition, channel, var_pop(value) as var, stddev_pop(value) as sd from x group by all),
+    md as (select *, median(var) over (partition by subject_id, condition) as med from st),
+    zs as (select *, 0.6745 * (var - med) / (median(abs(var - med)) over (partition by subject_id, condition) + 1e-20) as z from md),
+    pr as (select a.subject_id, a.condition, a.channel, covar_samp(a.value, b.value) / nullif(stddev_samp(a.value) * stddev_samp(b.value), 0) as r
+      from x a join x b on a.subject_id = b.subject_id and a.condition = b.condition and a.t = b.t and a.channel <> b.channel group by a.subject_id, a.condition, a.channel, b.channel),
+    mr as (select subject_id, condition, channel, max(abs(coalesce(r, 0))) as max_r from pr group by all),
+    fl as (select zs.subject_id, zs.condition, zs.channel, abs(z) > 1.2 and zs.channel <> 'F4' as v, coalesce(max_r, 0) < 0.06 as c, sd < 0.124 as f from zs left join mr using (subject_id, condition, channel)),
+    bl as (select subject_id, condition, count(*) as n_channels, coalesce(string_agg(channel, ',' order by channel) filter (v or c or f), '') as bad,
+      coalesce(string_agg(channel, ',' order by channel) filter (v), '') as by_variance, coalesce(string_agg(channel, ',' order by channel) filter (c), '') as by_correlation,
+      coalesce(string_agg(channel, ',' order by channel) filter (f), '') as by_flatline, bool_and(v or c or f) as none_good from fl group by 1, 2),
+    b as (select x.*, v or c or f as bad, bl.bad <> '' and not none_good as repairs from x join fl using (subject_id, condition, channel) join bl using (subject_id, condition)),
+    r1 as (select *, case when repairs then value - avg(value) filter (not bad) over (partition by subject_id, condition, t) else value end as y from b),
+    k(target, channel, w) as (values {WEIGHT_ROWS}),
+    fx as (select subject_id, condition, t, target, sum(w * y) / sum(w) as y2 from r1 join k using (channel) where not bad group by all),
+    r2 as (select r1.subject_id, r1.condition, r1.channel, r1.t, first, last, case when repairs and bad then coalesce(y2, y) else y end as y from r1 left join fx
+      on fx.subject_id = r1.subject_id and fx.condition = r1.condition and fx.t = r1.t and fx.target = r1.channel),
+    r3 as (select *, y - avg(y) over (partition by subject_id, condition, t) as u, count(*) over (partition by subject_id, condition, t) as p from r2),
+    ep as (select subject_id, condition, first, unnest(range(0, (last - first + 1 - 48) // 32 + 1)) as epoch_id from rg where last - first + 1 >= 48),
+    ex as (select ep.subject_id, ep.condition, epoch_id, channel, max(u) - min(u) > 0.92 as over, count(*) filter (p = 4) as n, sum(u) as s, sum(u * u) as q, sum(abs(u)) as a
+      from ep join r3 on r3.subject_id = ep.subject_id and r3.condition = ep.condition and t >= ep.first + epoch_id * 32 and t < ep.first + epoch_id * 32 + 48 group by 1, 2, 3, 4),
+    ee as (select subject_id, condition, epoch_id, bool_or(over) as bad, sum(n) as n, sum(s) as s, sum(q) as q, sum(a) as a from ex group by 1, 2, 3 having sum(n) = 192),
+    ec as (select subject_id, condition, count(*) as n_before, count(*) filter (not bad) as n_after, sum(a) filter (not bad) / sum(n) filter (not bad) * 1e6 as m,
+      sqrt(sum(q) filter (not bad) / sum(n) filter (not bad) - pow(sum(s) filter (not bad) / sum(n) filter (not bad), 2)) * 1e6 as sd from ee group by 1, 2),
+    recs as (select subject_id, condition from ends union all select -1, 'eo'),
+    qc as (select recs.subject_id, recs.condition, coalesce((last - first) / 64.0::double, 0) as duration_after_crop_sec, coalesce(n_channels, 0) as n_channels,
+      coalesce(bad, '') as bad, coalesce(by_variance, '') as by_variance, coalesce(by_correlation, '') as by_correlation, coalesce(by_flatline, '') as by_flatline,
+      coalesce(n_before, 0) as n_before, coalesce(n_after, 0) as n_after, coalesce(m, 0) as m, coalesce(sd, 0) as sd
+      from recs left join rg using (subject_id, condition) left join bl using (subject_id, condition) left join ec using (subject_id, condition))
+    select subject_id, condition, n_channels, bad, by_variance, by_correlation, by_flatline, n_before, n_after, n_before - n_after as n_dropped,
+      case when n_after < 4 then 'LOW_EPOCH_COUNT' else 'OK' end as status, {r('duration_after_crop_sec', 4)} as duration_after_crop_sec,
+      {r('coalesce((n_before - n_after) / nullif(n_before, 0), 0)', 6)} as pct_dropped, {r('m', 2)} as mean_amplitude_uv, {r('sd', 2)} as std_amplitude_uv from qc""", "FX_SAMPLES")
+def _(spark, sf):
+    s = fx.samples(spark, sf).withColumn("t", F.col("t") % 320)
+    recs = s.select(*fx.REC).union(spark.sql("select -1L, 'eo'"))
+    d = chunks.preprocess_qc(s, recs, fx.CHANNELS, WEIGHTS, fx.FS, 48, 0.92, 16, 0.5, 4, ["F4"], 1.2, 0.06, 0.124, size=64)
+    return out(d, "subject_id condition n_channels bad by_variance by_correlation by_flatline n_before n_after n_dropped status",
+               duration_after_crop_sec=4, pct_dropped=6, mean_amplitude_uv=2, std_amplitude_uv=2)
+
+
 # ---------------------------------------------------------------- event windows
 
 WIN = """good as (select * from FX_ANN where not contains(lower(description), 'bad')),
@@ -351,3 +399,19 @@ def _(spark, sf):
     win = _windows(spark, sf)
     d = w.samples_in_windows(fx.signal(spark, sf), win, 1.0, ["subject_id"])
     return w.window_viability(w.window_epochs(d, 1.0), ["subject_id", "condition"], windows=win)
+
+
+@query("window_qc", f"""
+    with {WIN}, w as (select subject_id, condition, "window", greatest(w_start, 0) as w_start, least(w_end, rec_end) as w_end, case when "window" = 'decode' then 2 else 1 end as step from wr),
+    ep as (select *, unnest(range(0, greatest(floor((w_end - w_start - 2) / step)::bigint + 1, 0))) as e from w),
+    ex as (select ep.subject_id, condition, "window", e, max(value) - min(value) > 150 as bad from ep join FX_SIGNAL s
+      on s.subject_id = ep.subject_id and t >= w_start + e * step and t < w_start + e * step + 2 group by 1, 2, 3, 4 having count(*) = 2),
+    n as (select subject_id, condition, {', '.join(f"""count(*) filter ("window" = '{x}') as {x}_n_before, count(*) filter ("window" = '{x}' and not bad) as {x}_n_after""" for x in ('response', 'base', 'decode'))}
+      from ex group by 1, 2)
+    select *, response_n_after >= 4 as response_viable, base_n_after >= 4 as base_viable, decode_n_after >= 20 as decode_viable,
+      case when short then 'WINDOW_TOO_SHORT' when response_n_after >= 4 then 'OK' else 'LOW_EPOCH_COUNT' end as status from (
+      select subject_id, condition, r_start is null as short, {', '.join(f'coalesce({x}_n_{k}, 0) as {x}_n_{k}' for x in ('response', 'base', 'decode') for k in ('before', 'after'))}
+      from wn left join n using (subject_id, condition))""".replace("select *, response_n_after >=", "select * exclude (short), response_n_after >="), ("FX_ANN", "FX_REC"))
+def _(spark, sf):
+    s = fx.signal(spark, sf).withColumn("channel", F.lit("X"))
+    return w.window_qc(s, _windows(spark, sf), 1.0, ["X"], 150.0, ["subject_id"], decode_overlap_sec=0.0, size=32)
