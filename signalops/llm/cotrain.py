@@ -156,7 +156,12 @@ def samples(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, pool_r
     ids = linear.taught(may, labels, "quality", max_rows)
     rest = cut(may.select("doc_id").where("doc_id is not null").distinct().join(labels.select("doc_id").distinct(), "doc_id", "left_anti"))
     rest = linear.bounded(rest, pool_rows)
-    return tuple(cut(metadata(may.join(F.broadcast(i.select("doc_id")), "doc_id")).join(F.broadcast(i), "doc_id").drop("doc_id")) for i in (ids, rest))
+    def picked(i: DataFrame) -> DataFrame:
+        one = F.min(F.struct(text_or_empty().alias("text"), "source", "lang")).alias("one")  # of rows of one id the least
+        rows = may.join(F.broadcast(i.select("doc_id")), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "one.*")
+        return cut(metadata(rows).join(F.broadcast(i), "doc_id").drop("doc_id"))
+
+    return picked(ids), picked(rest)
 
 
 def report(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, pool_rows: int = POOL, **options) -> DataFrame:

@@ -9,21 +9,29 @@ target marginals without capping or repeating a document. The draw is a hash of
 Default targets flatten the observed shares: share ** ``flatten``, rescaled to sum to one. A table
 without a ``topic`` column gets the kind of text as its topic (listing, symbols, capitals, or prose by length).
 
+The expected sample holds as many tokens as it can without repeating a document, unless ``share`` asks for another share of the corpus' tokens;
+a document whose expected number of copies exceeds one is then repeated, so the marginals hold at any size.
+
+Raking goes on until every marginal is within ``tolerance`` of its target, or until its largest deviation has not fallen by a fifth over
+``PATIENCE`` rounds: then no non-negative weights meet the targets, or none that raking comes near. ``report`` states the deviation that is left and whether the targets are met;
+``sample`` warns, or raises if ``strict``.
+
 Defined cases: null source, language or topic form a value of their own; texts without words weigh nothing, are sampled with
 the probability of their cell and a cell of such texts alone has probability one; repeated rows share
-their draw; an empty table gives no rows. Marginals that no non-negative weights meet leave the loop
-once a round brings them less than one percent closer, or after ``rounds``.
+their draw; an empty table gives no rows; columns of any name are carried.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from signalops.functions.lineage import cut
-from signalops.llm.text import keep_columns, text_or_empty, words
+from signalops.llm.text import packed, text_or_empty, words
 
 DIMS = ("source", "lang", "topic")
-FLATTEN, TOLERANCE, ROUNDS, SEED = 0.85, 1e-6, 30, 7
+FLATTEN, TOLERANCE, PATIENCE, SEED = 0.85, 1e-6, 15, 7
 
 
 def kind_of_text(text: Column, n_words: Column) -> Column:
@@ -36,17 +44,17 @@ def kind_of_text(text: Column, n_words: Column) -> Column:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """Documents with ``__source``, ``__lang``, ``__topic`` (null as the empty text) and ``__tokens``."""
+    """Packed documents with source, lang, topic (null as the empty text), tokens and key (hash of id and text)."""
     text = text_or_empty()
-    d = docs.withColumn("__tokens", F.size(words(text)).cast("bigint"))
-    topic = F.col("topic").cast("string") if "topic" in docs.columns else kind_of_text(text, F.col("__tokens"))
-    return d.select("*", *[F.coalesce(c, F.lit("")).alias(n) for c, n in
-                           ((F.col("source"), "__source"), (F.col("lang"), "__lang"), (topic, "__topic"))])
+    tokens = F.size(words(text)).cast("bigint")
+    topic = F.col("topic").cast("string") if "topic" in docs.columns else kind_of_text(text, tokens)
+    return packed(docs, *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip((F.col("source"), F.col("lang"), topic), DIMS)],
+                  tokens.alias("tokens"), F.xxhash64(F.col("doc_id"), text, F.lit(SEED)).alias("key"))
 
 
 def cell_table(docs: DataFrame) -> DataFrame:
     """source, lang, topic, tokens: one row per cell, reduced on the map side."""
-    return placed(docs).groupBy(*[F.col(f"__{d}").alias(d) for d in DIMS]).agg(F.sum("__tokens").alias("tokens"))
+    return placed(docs).groupBy(*DIMS).agg(F.sum("tokens").alias("tokens"))
 
 
 def flattened(cells: DataFrame, dim: str, power: float) -> DataFrame:
@@ -56,49 +64,80 @@ def flattened(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return t.select(dim, (F.col("u") / F.lit(total)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
-    """Cells with ``weight``: shares whose marginals meet the targets. ``targets``: (dim, share) tables."""
-    w, last = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double")), float("inf")
-    for _ in range(rounds):
-        off = []
+def deviations(w: DataFrame, targets: dict[str, DataFrame]) -> dict[str, float]:
+    """Largest absolute difference between a share of ``weight`` and its target, for each dimension; values on one side only count."""
+    total = w.agg(F.sum("weight")).first()[0] or 1.0
+    off = None
+    for dim, target in targets.items():
+        sums = w.groupBy(dim).agg((F.sum("weight") / F.lit(total)).alias("is"))
+        gap = F.abs(F.coalesce("is", F.lit(0.0)) - F.coalesce("share", F.lit(0.0)))
+        worst = sums.join(target, dim, "full").agg(F.max(gap).alias("gap")).select(F.lit(dim).alias("dim"), F.coalesce("gap", F.lit(0.0)).alias("gap"))
+        off = worst if off is None else off.union(worst)
+    return {r["dim"]: r["gap"] for r in off.collect()}
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, patience: int = PATIENCE) -> tuple[DataFrame, dict[str, float]]:
+    """Cells with ``weight``, shares whose marginals meet the targets, and the deviation left in each. ``targets``: (dim, share) tables."""
+    w = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
+    least: list[float] = []
+    columns = w.columns
+    while True:
         for dim, target in targets.items():
-            sums = w.groupBy(dim).agg(F.sum("weight").alias("__sum")).join(target, dim, "left")
-            factor = sums.select(dim, (F.coalesce("share", F.lit(0.0)) / F.col("__sum")).alias(f"__f_{dim}"))
-            w = w.join(factor, dim).withColumn("weight", F.col("weight") * F.col(f"__f_{dim}"))
-            off.append(F.max(F.abs(F.col(f"__f_{dim}") - 1)).alias(dim))
+            sums = w.groupBy(dim).agg(F.sum("weight").alias("sum")).join(target, dim, "left")
+            share = F.coalesce("share", F.lit(0.0))
+            factor = sums.select(dim, F.when(F.col("sum") > 0, share / F.col("sum")).otherwise(0.0).alias("factor"), F.abs(F.col("sum") - share).alias(f"gap_{dim}"))
+            w = w.join(factor, dim).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         w = cut(w)
-        worst = max((x for x in w.agg(*off).first() if x is not None), default=0.0)
-        w = w.drop(*[f"__f_{d}" for d in targets])
-        if worst < tolerance or worst > 0.99 * last:
-            break
-        last = worst
-    return w
+        # How far each marginal was off when its turn came; nothing moves any more once all are within the tolerance.
+        moved = w.agg(F.greatest(*[F.max(f"gap_{d}") for d in targets], F.lit(0.0))).first()[0] if targets else 0.0
+        w = w.select(*columns)
+        least.append(min(moved or 0.0, *least[-1:]) if least else moved or 0.0)
+        if least[-1] <= tolerance / 4 or len(least) > patience and least[-1] > 0.8 * least[-1 - patience]:
+            return w, deviations(w, targets)
 
 
-def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, flatten: float = FLATTEN) -> DataFrame:
-    """Cells with ``weight`` and the ``probability`` of their documents."""
+def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, flatten: float = FLATTEN, share: float | None = None
+                  ) -> tuple[DataFrame, dict[str, float]]:
+    """Cells with ``weight`` and the ``probability`` (expected copies) of their documents, and the deviations left.
+
+    ``share``: expected tokens of the sample over those of the corpus; None for the most that repeats no document.
+    """
     cells = cut(cell_table(docs))
     targets = targets or {d: cut(flattened(cells, d, flatten)) for d in DIMS}
-    w = rake(cells, targets).withColumn("ratio", F.col("weight") / F.col("tokens"))
-    top = w.agg(F.max("ratio")).first()[0] or 1.0
-    raked = w.select(*DIMS, "weight", (F.col("ratio") / F.lit(top)).alias("probability"))
+    w, off = rake(cells, targets)
+    w = w.withColumn("ratio", F.col("weight") / F.col("tokens"))
+    top, weight, tokens = w.agg(F.max("ratio"), F.sum("weight"), F.sum("tokens")).first()
+    times = 1 / top if top and share is None else (share or 0.0) * tokens / weight if weight else 1.0
+    raked = w.select(*DIMS, "weight", (F.col("ratio") * F.lit(times)).alias("probability"))
     return cut(cells.join(raked, list(DIMS), "left").select(
-        *DIMS, "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("probability", F.lit(1.0)).alias("probability")))
-
-
-def drawn(docs: DataFrame, targets: dict[str, DataFrame] | None = None, flatten: float = FLATTEN, seed: int = SEED) -> DataFrame:
-    """Documents with ``__probability`` and ``__sampled``; the cell table is joined by its measured size."""
-    cells = probabilities(docs, targets, flatten).select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.col("probability").alias("__probability"),
-                                                         F.col("weight").alias("__weight"))
-    u = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), text_or_empty(), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    return placed(docs).join(cells, [f"__{d}" for d in DIMS]).withColumn("__sampled", u < F.col("__probability"))
-
-
-def report(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: cell, tokens, the cell's target weight, probability and draw."""
-    return drawn(docs, **options).select("doc_id", *[F.col(f"__{c}").alias(c) for c in (*DIMS, "tokens", "weight", "probability", "sampled")])
-
-
-def sample(docs: DataFrame, **options) -> DataFrame:
-    """The drawn documents, with their own columns."""
-    return keep_columns(drawn(docs, **options).where("__sampled"), docs)
+        *DIMS, "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("probability", F.lit(1.0)).alias("probability"))), off
+
+
+def drawn(docs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Packed documents with their cell, tokens, weight, probability and number of ``copies``; the cell table is joined by its measured size."""
+    u = F.shiftrightunsigned("key", 11) / F.lit(float(1 << 53))
+    whole = F.floor("probability")
+    return (placed(docs).join(cells.drop("tokens"), list(DIMS))
+            .withColumn("copies", (whole + (u < F.col("probability") - whole).cast("bigint")).cast("bigint")))
+
+
+def report(docs: DataFrame, tolerance: float = TOLERANCE, **options) -> DataFrame:
+    """One row per document: cell, tokens, the cell's target weight, probability and draw; the deviation left and whether the targets are met."""
+    cells, off = probabilities(docs, **options)
+    worst = max(off.values(), default=0.0)
+    return drawn(docs, cells).select("row.doc_id", *DIMS, "tokens", "weight", "probability", (F.col("copies") > 0).alias("sampled"), "copies",
+                                     F.lit(worst).alias("deviation"), F.lit(worst <= tolerance).alias("targets_met"))
+
+
+def sample(docs: DataFrame, strict: bool = False, tolerance: float = TOLERANCE, **options) -> DataFrame:
+    """The drawn documents, with their own columns, once for each copy."""
+    cells, off = probabilities(docs, **options)
+    unmet = {d: x for d, x in off.items() if x > tolerance}
+    if unmet and strict:
+        raise ValueError(f"no weights meet the targets; deviations left: {unmet}")
+    if unmet:
+        warnings.warn(f"no weights meet the targets; deviations left: {unmet}", stacklevel=2)
+    d = drawn(docs, cells).where("copies > 0")
+    if options.get("share") is not None:
+        d = d.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return d.select("row.*")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from signalops.functions.lineage import cut
 from signalops.llm import spans
-from signalops.llm.text import text_or_empty
+from signalops.llm.text import packed, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION, TREES, DEPTH = 0.95, 12, 4
@@ -171,13 +171,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """Documents with every span replaced by its kind in brackets, with their own columns."""
-    found = cut(spans_by_text(docs)).select(F.col("content").alias("__content"), F.col("every").alias("__every"))
-    d = docs.withColumn("__content", F.xxhash64(text_or_empty())).join(found, "__content", "left")
+    found = cut(spans_by_text(docs)).select("content", "every")
+    d = packed(docs, F.xxhash64(text_or_empty()).alias("content"), F.col("text").cast("string").alias("text")).join(found, "content", "left")
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     name = lambda x: F.element_at(F.array(*[F.lit(f"[{k}]") for k in KINDS]), x["kind_no"])
-    by_start = F.array_sort(F.col("__every"), lambda a, b: a["start"] - b["start"])
+    by_start = F.array_sort(F.col("every"), lambda a, b: a["start"] - b["start"])
     walked = F.aggregate(by_start, state, lambda s, x: F.when(x["start"] < s["at"], s).otherwise(F.struct(
         x["stop"].alias("at"), F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), name(x)).alias("out"))),
         lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    text = F.when(F.col("__every").isNull(), F.col("text")).otherwise(walked)
-    return d.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.col("every").isNull(), F.col("text")).otherwise(walked)
+    return d.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -37,12 +37,11 @@ rep as (select doc_id, count(distinct q) as n_repeat_words
 raw as (select doc_id, unnest(string_split(text, chr(10))) as line from d),
 dup as (select doc_id, count(*) - count(distinct line) as n_dup_lines from raw
         where regexp_matches(line, '[^ \t\x0B\f\r]') group by doc_id),
-norm as (select doc_id, host, text, trim(unnest(string_split(regexp_replace(lower(text), '[ \t\x0B\f\r]+', ' ', 'g'), chr(10)))) as line from d),
+norm as (select doc_id, host, trim(unnest(string_split(regexp_replace(lower(text), '[ \t\x0B\f\r]+', ' ', 'g'), chr(10)))) as line from d),
 norm2 as (select *, len(string_split(line, ' ')) as words from norm where line <> ''),
-freq as (select host, line, min(doc_id) as first from norm2 group by host, line having count(distinct text) > 20),
-own as (select f.host, f.line, d.text as owner from freq f join d on d.doc_id = f.first),
-gone as (select n.doc_id, sum(words) as removed, count(*) as n_lines from norm2 n join own o
-         on n.host = o.host and n.line = o.line and n.text <> o.owner group by n.doc_id),
+freq as (select host, line, min(doc_id) as first from norm2 group by host, line having count(distinct doc_id) > 20),
+gone as (select n.doc_id, sum(words) as removed, count(*) as n_lines from norm2 n join freq f
+         on n.host = f.host and n.line = f.line and n.doc_id <> f.first group by n.doc_id),
 b as (select w.doc_id, len(w.w) as n_words, length(array_to_string(w.w, '')) as word_chars,
       length(w.text) - length(regexp_replace(w.text, '[#*$%&|<>]', '', 'g')) as n_symbols,
       coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,

@@ -22,6 +22,11 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """The caller's whole row as the struct ``row`` beside columns of ours, so that no name of theirs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
 def keep_columns(df: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of ``like``, in its order."""
     return df.select(*[F.col(f"`{c}`") for c in like.columns])

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from signalops.llm import tiling as g
@@ -25,19 +27,51 @@ def plain_tiles(doc, item, k):
         used_i.update(range(i, i - n))
 
 
-def hits(doc, item, k):
-    h = [(d, i) for d in range(len(doc) - k + 1) for i in range(len(item) - k + 1) if doc[d:d + k] == item[i:i + k]]
-    return np.array([x[0] for x in h]), np.array([x[1] for x in h])
+def seeds(tokens, k):
+    known = {t: hash(t) & (2**63 - 1) for t in tokens}
+    h = g.window_hashes(np.array([known[t] for t in tokens], np.uint64), k)
+    return np.arange(len(h)), h
 
 
 def test_tiles_match_a_plain_search():
     rng = np.random.default_rng(5)
-    for _ in range(60):
-        item, doc = rng.integers(0, 3, 14).tolist(), rng.integers(0, 3, 30).tolist()
-        doc[4:4 + 7] = item[2:9]
-        d, i = hits(doc, item, 3)
-        got, want = g.tile(d, i, 3), plain_tiles(doc, item, 3)
-        assert sum(x[2] for x in got) == sum(x[2] for x in want) and sorted(got) == sorted(want)
+    for trial in range(200):
+        kinds, k = int(rng.integers(1, 4)), (1, 3, 5)[trial % 3]
+        item, doc = [f"t{x}" for x in rng.integers(0, kinds, 14)], [f"t{x}" for x in rng.integers(0, kinds, rng.integers(0, 40))]
+        if trial % 2:
+            doc[4:4 + 7] = item[2:9]
+        assert g.tile(*seeds(doc, k), *seeds(item, k), k) == plain_tiles(doc, item, k)
+
+
+def test_a_repeated_token_stays_within_memory_linear_in_the_texts():
+    tracemalloc.start()
+    d, i = seeds(["x"] * 1_000_000, 5), seeds(["x"] * 1000, 5)
+    assert g.tile(*d, *i, 5) == [(0, 0, 1000)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+
+
+def test_long_periodic_texts(spark, make):
+    got = run(spark, make, [(1, "x " * 160_000), (2, "x y " * 50_000), (3, "z " * 1000)], [(1, "x " * 200), (2, "x y z " * 60)])
+    assert {d: (r["contaminated"], r["coverage"]) for d, r in got.items()} == {1: (True, 1.0), 2: (False, 0.0), 3: (False, 0.0)}
+
+
+def test_a_template_of_many_items_makes_no_pairs(spark, make):
+    head = "answer the question below now"
+    bench = items(spark, [(i, head + " " + " ".join(f"i{i}w{k}" for k in range(25))) for i in range(40)])
+    s = g.cut(g.item_seeds(bench))
+    docs = make([(1, head + " and nothing else"), (2, head + " " + " ".join(f"i3w{k}" for k in range(25)))])
+    found = g.seeds_of(docs, s)
+    assert [r["item_id"] for r in g._pairs(found, s, 0.5).collect()] == [3]
+    assert {r["doc_id"]: r["item_id"] for r in g.report(docs, bench).collect()} == {1: None, 2: 3}
+
+
+def test_clashing_columns(spark, make):
+    docs = make([(1, ITEM), (2, "clean")]).selectExpr("*", "'a' as content", "'b' as __content", "'c' as row", "'d' as coverage", "'e' as item_id")
+    out = g.keep_clean(docs, items(spark, [(7, ITEM)]))
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [tuple(r) for r in docs.where("doc_id = 2").collect()]
+    assert g.report(docs, items(spark, [(7, ITEM)])).where("contaminated").count() == 1
 
 
 def items(spark, rows):
@@ -55,7 +89,9 @@ def test_whole_reordered_and_partial_passages(spark, make):
             (4, pad), (5, f"{pad} {ITEM.upper().replace(' ', ', ')}!"), (6, " ".join(reversed(w)))]
     got = run(spark, make, rows, [(7, ITEM), (3, "nothing like it is in any of these documents at all")])
     assert {d: r["contaminated"] for d, r in got.items()} == {1: True, 2: True, 3: False, 4: False, 5: True, 6: False}
-    assert got[1]["coverage"] == 1.0 and got[1]["n_tiles"] == 1 and got[2]["n_tiles"] == 2 and abs(got[3]["coverage"] - 0.3) < 1e-9
+    assert got[1]["coverage"] == 1.0 and got[1]["n_tiles"] == 1 and got[2]["n_tiles"] == 2 and got[3]["coverage"] == 0
+    low = {r["doc_id"]: r["coverage"] for r in g.report(make(rows), items(spark, [(7, ITEM)]), min_coverage=0.25).collect()}
+    assert abs(low[3] - 0.3) < 1e-9
     clean = g.keep_clean(make(rows), items(spark, [(7, ITEM)]))
     assert sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 6] and clean.columns == make(rows).columns
 
@@ -82,7 +118,6 @@ def test_coverage_matches_plain_tiling_on_given_tables(spark, documents, sf):
     for r in documents.collect():
         w = tok(r["text"])
         for item in set().union(*[grams.get(tuple(w[i:i + 5]), set()) for i in range(len(w) - 4)] or [set()]):
-            d, i = hits(w, texts[item], 5)
-            if sum(x[2] for x in g.tile(d, i, 5)) / len(texts[item]) >= g.MIN_COVERAGE:
+            if sum(x[2] for x in g.tile(*seeds(w, 5), *seeds(texts[item], 5), 5)) / len(texts[item]) >= g.MIN_COVERAGE:
                 want.add(r["doc_id"])
     assert want and {r["doc_id"] for r in g.report(documents, bench).where("contaminated").collect()} == want
