@@ -66,26 +66,48 @@ def _bucket_of(value: str, fan: int = 64) -> Column:
     return c * fan + F.greatest(below(F.get(F.col("__fine"), c)), F.lit(0))
 
 
-def value_positions(df: DataFrame, key: str, value: str, buckets: int | None = None) -> DataFrame:
-    """Distinct values of each key with ``n`` copies, ``below`` smaller rows and ``total`` rows.
+def value_positions(df: DataFrame, key: str, value: str, buckets: int | None = None, parts: dict[str, Column] | None = None) -> DataFrame:
+    """Distinct values of each key with ``n`` copies, ``below`` smaller rows and ``total`` rows; for each of ``parts`` (name: condition) the same
+    of its rows, as ``n_name``, ``below_name`` and ``total_name``.
 
-    ``key`` must be schema-bounded (measure or feature names). Ties are reduced on the map side
+    ``key`` is one column, a struct for several. Ties are reduced on the map side
     and the distinct values are written once, so the input is read in a single pass. The bucket
     edges only steer the layout and do not change the result.
     """
-    counts = cut(df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n")))
+    parts = parts or {}
+    names = ["", *[f"_{p}" for p in parts]]
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(key, value).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"n_{p}") for p, c in parts.items()]))
     edges = _edge_table(counts, key, value, buckets or min(4096, bucket_count(df)))
     counts = counts.join(edges, key).withColumn("__b", _bucket_of(value)).drop("__coarse", "__fine")
-    sizes = counts.groupBy(key, "__b").agg(F.sum("n").alias("__bn"))
+    sizes = counts.groupBy(key, "__b").agg(*[F.sum(f"n{x}").alias(f"__bn{x}") for x in names])
     whole = W.partitionBy(key)
+    earlier = whole.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
-        key, "__b",
-        F.coalesce(F.sum("__bn").over(whole.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
-        F.sum("__bn").over(whole).alias("total"))
+        key, "__b", *[F.coalesce(F.sum(f"__bn{x}").over(earlier), F.lit(0)).alias(f"__off{x}") for x in names],
+        *[F.sum(f"__bn{x}").over(whole).alias(f"total{x}") for x in names])
     local = W.partitionBy(key, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return (counts.withColumn("__loc", F.coalesce(F.sum("n").over(local), F.lit(0)))
-            .join(offsets, [key, "__b"])
-            .select(key, value, "n", (F.col("__off") + F.col("__loc")).alias("below"), "total"))
+    inside = counts.withColumns({f"__loc{x}": F.coalesce(F.sum(f"n{x}").over(local), F.lit(0)) for x in names})
+    return inside.join(offsets, [key, "__b"]).select(
+        key, value, *[c for x in names for c in (F.col(f"n{x}"), (F.col(f"__off{x}") + F.col(f"__loc{x}")).alias(f"below{x}"), F.col(f"total{x}"))])
+
+
+def complement_medians(df: DataFrame, key: str, value: str, fold: str, folds: int) -> DataFrame:
+    """(key, medians): exact medians over all rows but those of fold 0, 1, ..., and last over all rows.
+
+    Each distinct value knows its place among all rows and among those of each fold, so the place outside a fold is
+    the difference of the two; nothing is sorted once more for a fold.
+    """
+    pos = value_positions(df, key, value, parts={str(f): F.col(fold) == f for f in range(folds)})
+    minus = lambda c, f: F.col(c) - F.col(f"{c}_{f}") if f < folds else F.col(c)
+
+    def at(f: int, up: bool) -> Column:
+        half = (minus("total", f) - 1) / 2
+        index = F.ceil(half) if up else F.floor(half)
+        hit = (minus("below", f) <= index) & (index < minus("below", f) + minus("n", f))
+        return F.max(F.when(hit, F.col(value)))
+
+    return pos.groupBy(key).agg(F.array(*[(at(f, False) + at(f, True)) / 2 for f in range(folds + 1)]).alias("medians"))
 
 
 def average_rank_pct(df: DataFrame, key: str, value: str, buckets: int | None = None) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from signalops.functions.lineage import cut
 from signalops.functions.nulls import add_all
+from signalops.functions.ordering import complement_medians
 from signalops.operators import inference
 from signalops.operators.resampling import assign_folds
 
@@ -39,106 +42,216 @@ def stratified_folds(windows: DataFrame, row_id: str, k: int | Column = 5, subje
 
 # ---------------------------------------------------------------- nearest centroid and LDA
 
-def class_moments(folded: DataFrame, features: list[str], keys: list[str], label: str = "label",
-                  second: bool = True) -> DataFrame:
-    """n, sums and cross products per (keys, fold, class): additive, so any training set is a sum.
+PARTIALS = 128  # class moments a task holds before it hands them on
 
-    Windows with a missing cell count nowhere, so n fits every sum.
+
+def _vectors(df: DataFrame, features: list[str] | str) -> DataFrame:
+    """Add ``__x``: the features as one array of doubles, missing cells null. ``features``: columns, or the name of an array column."""
+    x = F.transform(features, lambda v: v.cast("double")) if isinstance(features, str) else F.array(*[F.col(f).cast("double") for f in features])
+    return df.withColumn("__x", F.transform(x, lambda v: F.when(~F.isnan(v), v)))
+
+
+def fold_medians(vectors: DataFrame, keys: list[str], folds: int) -> DataFrame:
+    """(keys, medians): for each feature the medians outside each fold and over all rows; exact, of the cells that are there."""
+    long = vectors.select(*keys, "fold", F.posexplode("__x").alias("feature", "value")).select(
+        F.struct(*keys, "feature").alias("key"), "fold", "value")
+    m = complement_medians(long, "key", "value", "fold", folds)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("key.feature").alias("i"), F.col("medians").alias("m"))))
+    return m.groupBy(*[F.col(f"key.{k}").alias(k) for k in keys]).agg(ordered.alias("medians"))
+
+
+def class_moments(vectors: DataFrame, keys: list[str], label: str, p: int, center: np.ndarray, full: bool) -> DataFrame:
+    """(keys, fold, label, v): additive moments about ``center`` per class and fold, with those that imputation needs.
+
+    v holds n, missing cells, sums; then, of all pairs of features (of the diagonal if not ``full``), products where both are there,
+    sums of one where the other is missing, and counts where both are. Each task adds up its rows in NumPy.
     """
-    p = len(features)
-    folded = folded.na.drop(subset=features)
-    x = [F.col(f).cast("double") for f in features]
-    aggs = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)]]
-    if second:
-        aggs += [F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)]
-    return folded.groupBy(*keys, "fold", label).agg(*aggs)
+    names = [*keys, "fold", label]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*held)) or [[] for _ in names]
+            made = pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, types)], pa.array([v.tobytes() for v in held.values()], pa.binary())], [*names, "v"])
+            held.clear()
+            return made
+
+        for b in batches:
+            types = [b.schema.field(i).type for i in range(len(names))]
+            x = b.column(len(names)).values.to_numpy(zero_copy_only=False).reshape(-1, p) - center if b.num_rows else np.empty((0, p))
+            places: dict[tuple, list[int]] = {}
+            for i, k in enumerate(zip(*[b.column(c).to_pylist() for c in range(len(names))])):
+                places.setdefault(k, []).append(i)
+            for k, at in places.items():
+                miss = np.isnan(x[at])
+                there, gap = np.where(miss, 0.0, x[at]), miss.astype(float)
+                second = [there.T @ there, gap.T @ there, gap.T @ gap] if full else [(there * there).sum(0)]
+                part = np.concatenate([[len(at)], gap.sum(0), there.sum(0), *[m.ravel() for m in second]])
+                held[k] = held[k] + part if k in held else part
+                if len(held) >= PARTIALS:
+                    yield out()
+        if held:
+            yield out()
+
+    schema = ", ".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in names) + ", v binary"
+    parts = vectors.select(*names, "__x").mapInArrow(run, schema)
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(v=[sum(np.frombuffer(v) for v in pdf["v"]).tobytes()])
+
+    return parts.groupBy(*names).applyInPandas(add, schema)
+
+
+def _model(own: dict, total: dict, medians: np.ndarray, p: int, full: bool) -> dict | None:
+    """Imputation, scaling, class centroids and linear discriminants of total minus own moments; None with under two classes."""
+    classes, n, means, scatter = [], [], [], np.zeros((p, p) if full else p)
+    medians = np.where(np.isnan(medians), 0.0, medians)  # a feature that is missing throughout stands at the center
+    for c in sorted(total):
+        v = total[c] - own.get(c, 0.0)
+        if v[0] < 0.5:
+            continue
+        gap, s = v[1:p + 1], v[p + 1:2 * p + 1] + v[1:p + 1] * medians
+        if full:
+            q, u, both = v[2 * p + 1:].reshape(3, p, p)
+            cross = medians[:, None] * u
+            q = q + cross + cross.T + medians[:, None] * both * medians[None, :]
+            square = q - np.outer(s, s) / v[0]
+        else:
+            square = v[2 * p + 1:] + gap * medians ** 2 - s * s / v[0]
+        classes.append(c), n.append(v[0]), means.append(s / v[0])
+        scatter = scatter + square
+    if len(classes) < 2:
+        return None
+    n, means = np.array(n), np.array(means)
+    mean = n @ means / n.sum()
+    var = ((np.diag(scatter) if full else scatter) + n @ (means - mean) ** 2) / n.sum()
+    sd = np.where(var > 1e-20, np.sqrt(np.maximum(var, 0)), 1.0)
+    z, pooled = (means - mean) / sd, scatter / (np.outer(sd, sd) if full else sd * sd) / max(n.sum() - len(n), 1.0)
+    if full:
+        w = z @ np.linalg.pinv(pooled, hermitian=True)
+    else:
+        w = z * np.where(pooled > 1e-12, 1 / np.where(pooled > 1e-12, pooled, 1.0), 0.0)
+    const = np.log(n / n.sum()) - 0.5 * (w * z).sum(axis=1)
+    return {"labels": classes, "centroids": z.ravel(), "weights": w.ravel(), "const": const, "mean": mean, "sd": sd, "fill": medians}
+
+
+def fold_models(folded: DataFrame, features: list[str] | str, keys: list[str], label: str = "label", full: bool = True, folds: int = 5) -> DataFrame:
+    """One model per (keys, fold) from the rows outside the fold, and one with fold -1 from all rows, as ``__model``.
+
+    Missing cells are filled with the training rows' medians and the features scaled by their mean and sd. All training sets are differences
+    of the same class moments and value positions, so the rows are read once for each whatever the number of folds. ``full``: discriminants with the whole pooled
+    covariance (pseudo-inverse where it is singular), else with its diagonal.
+    """
+    v = cut(_vectors(folded, features).select(*keys, "fold", label, "__x"))
+    first = v.select(F.size("__x")).first()
+    p = first[0] if first else 0
+    center = np.array([c or 0.0 for c in v.agg(*[F.avg(F.col("__x")[i]) for i in range(p)]).first()]) if p else np.empty(0)
+    kind = v.schema[label].dataType.simpleString()
+    numbers = ("centroids", "weights", "const", "mean", "sd", "fill")
+    columns = ["fold", "labels", *numbers]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        own: dict = {}
+        for f, c, m in zip(pdf["fold"], pdf[label], pdf["v"]):
+            own.setdefault(int(f), {})[c] = np.frombuffer(m)
+        total: dict = {}
+        for rows in own.values():
+            for c, m in rows.items():
+                total[c] = total.get(c, 0.0) + m
+        med = np.full((p, folds + 1), np.nan)
+        for cell in pdf["medians"].iloc[0]:
+            med[cell["i"]] = [np.nan if x is None else x for x in cell["m"]]
+        out = []
+        for f in [*sorted(own), -1]:
+            m = _model(own.get(f, {}), total, med[:, f] - center, p, full)
+            if m:
+                m["mean"], m["fill"] = m["mean"] + center, m["fill"] + center
+                out.append([*pdf[keys].iloc[0], f, m["labels"], *[m[k].tolist() for k in numbers]])
+        return pd.DataFrame(out, columns=[*keys, *columns])
+
+    moments = class_moments(v, keys, label, p, center, full).join(fold_medians(v, keys, folds), keys, "left")
+    schema = ", ".join(f"`{k}` {v.schema[k].dataType.simpleString()}" for k in keys) + f", fold bigint, labels array<{kind}>, " + ", ".join(f"{k} array<double>" for k in numbers)
+    return cut(moments.groupBy(*keys).applyInPandas(fit, schema)).select(*keys, "fold", F.struct(*columns[1:]).alias("__model"))
+
+
+def _scaled(x: Column) -> Column:
+    """The row's features, filled and scaled by its model."""
+    m = F.col("__model")
+    return F.transform(x, lambda v, i: (F.coalesce(v, F.get(m["fill"], i)) - F.get(m["mean"], i)) / F.get(m["sd"], i))
 
 
-def _training(moments: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Sums over all folds but one, per class; the moment table is small and stored once."""
-    moments = cut(moments)
-    cols = [c for c in moments.columns if c not in (*keys, "fold", label)]
-    folds = moments.select(*keys, "fold").distinct()
-    grid = moments.withColumnRenamed("fold", "__g").join(folds, keys)
-    return grid.where(F.col("__g") != F.col("fold")).groupBy(*keys, "fold", label).agg(*[F.sum(c).alias(c) for c in cols])
+def _by_class(flat: Column, combine) -> Column:
+    """One number per class: the sum over features of ``combine(row value, class value)``."""
+    p = F.size("__z")
+    dot = lambda k: F.aggregate(F.zip_with("__z", F.slice(flat, k * p + 1, p), combine), F.lit(0.0), lambda a, v: a + v)
+    return F.transform("__model.labels", lambda _, k: dot(k))
 
 
-def nearest_centroid_oof(folded: DataFrame, features: list[str], row_id: str, keys: list[str] = ("subject_id",),
+def _first_of(best: Column, values: str) -> Column:
+    return F.get(F.col("__model.labels"), (F.array_position(values, best) - 1).cast("int"))
+
+
+def nearest_centroid_oof(folded: DataFrame, features: list[str] | str, row_id: str, keys: list[str] = ("subject_id",),
                          label: str = "label") -> DataFrame:
-    """Class of the nearest training centroid for every held-out window (ties: lowest label)."""
+    """Class of the nearest training centroid for every held-out window (ties: lowest label); null without a model."""
     keys = list(keys)
-    t = _training(class_moments(folded, features, keys, label, False), keys, label)
-    model = t.groupBy(*keys, "fold").agg(F.collect_list(F.struct(
-        F.col(label).alias("c"), F.array(*[F.col(f"s{i}") / F.col("n") for i in range(len(features))]).alias("m"))).alias("__m"))
-    j = folded.join(model, [*keys, "fold"])
-    dist = F.transform("__m", lambda m: F.struct(
-        add_all([(F.col(f) - m["m"][i]) * (F.col(f) - m["m"][i]) for i, f in enumerate(features)]).alias("d"), m["c"].alias("c")))
-    return j.withColumn("pred", F.array_min(dist)["c"]).drop("__m")
-
-
-def lda_udf(p: int):
-    """Linear discriminants of one training set from its class moments: (class, weights) list."""
-    iu = np.triu_indices(p)
-
-    def one(rows):
-        if rows is None or len(rows) < 2:
-            return []
-        n = np.array([r["n"] for r in rows], dtype="float64")
-        m = np.array([r["s"] for r in rows]) / n[:, None]
-        q = np.zeros((p, p))
-        q[iu] = np.sum([r["q"] for r in rows], axis=0)
-        q = q + np.triu(q, 1).T
-        pooled = (q - (m * n[:, None]).T @ m) / max(n.sum() - len(n), 1.0)
-        w = m @ np.linalg.pinv(pooled, hermitian=True)
-        c = np.log(n / n.sum()) - 0.5 * (w * m).sum(axis=1)
-        return [{"c": r["c"], "w": [float(c[i]), *w[i].tolist()]} for i, r in enumerate(rows)]
-
-    return one
-
-
-def _lda_models(training: DataFrame, features: list[str], keys: list[str], label: str) -> DataFrame:
-    """One discriminant set per key row; groups hold one row per class."""
-    p = len(features)
-    kind = training.schema[label].dataType.simpleString()
-    packed = training.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        F.col(label).alias("c"), F.col("n").cast("double").alias("n"), F.array(*[F.col(f"s{i}") for i in range(p)]).alias("s"),
-        F.array(*[F.col(f"q{i}_{j}") for i in range(p) for j in range(i, p)]).alias("q")))).alias("m"))
-    one = lda_udf(p)
-
-    @F.pandas_udf(f"array<struct<c {kind}, w array<double>>>")
-    def solve(m: pd.Series) -> pd.Series:
-        return m.map(one)
-
-    return packed.select(*keys, solve("m").alias("__lda"))
-
-
-def _posteriors(j: DataFrame, features: list[str]) -> DataFrame:
-    score = F.transform("__lda", lambda m: F.struct(
-        (m["w"][0] + add_all([m["w"][i + 1] * F.col(f) for i, f in enumerate(features)])).alias("s"), m["c"].alias("c")))
-    j = j.withColumn("__s", score).withColumn("__top", F.array_max("__s")["s"])
-    z = F.aggregate("__s", F.lit(0.0), lambda a, s: a + F.exp(s["s"] - F.col("__top")))
-    j = j.withColumn("__z", z)
-    post = F.map_from_entries(F.transform("__s", lambda s: F.struct(s["c"], F.exp(s["s"] - F.col("__top")) / F.col("__z"))))
-    return j.withColumn("posterior", post).withColumn("pred", F.array_max("__s")["c"]).drop("__lda", "__s", "__top", "__z")
-
-
-def lda_oof(folded: DataFrame, features: list[str], keys: list[str] = ("subject_id",), label: str = "label") -> DataFrame:
-    """Out-of-fold linear discriminant posteriors.
-
-    Training sets are sums of class moments, so a subject with a third of all windows costs
-    its map-side sums only; rows meet their model in a join of size subjects x folds.
+    j = _vectors(folded, features).join(fold_models(folded, features, keys, label, False), [*keys, "fold"], "left").withColumn("__z", _scaled(F.col("__x")))
+    j = j.withColumn("__d", _by_class(F.col("__model.centroids"), lambda a, b: (a - b) * (a - b)))
+    return j.withColumn("pred", _first_of(F.array_min("__d"), "__d")).drop("__x", "__model", "__z", "__d")
+
+
+def _posteriors(j: DataFrame) -> DataFrame:
+    j = j.withColumn("__z", _scaled(F.col("__x")))
+    j = j.withColumn("__s", F.zip_with(_by_class(F.col("__model.weights"), lambda a, b: a * b), "__model.const", lambda a, b: a + b))
+    j = j.withColumn("__e", F.transform("__s", lambda s: F.exp(s - F.array_max("__s"))))
+    j = j.withColumn("__t", F.aggregate("__e", F.lit(0.0), lambda a, e: a + e))
+    post = F.map_from_arrays("__model.labels", F.transform("__e", lambda e: e / F.col("__t")))
+    return j.withColumn("posterior", post).withColumn("pred", _first_of(F.array_max("__s"), "__s")).drop("__x", "__model", "__z", "__s", "__e", "__t")
+
+
+def lda_oof(folded: DataFrame, features: list[str] | str, keys: list[str] = ("subject_id",), label: str = "label", full: bool = True) -> DataFrame:
+    """Out-of-fold linear discriminant posteriors and class (ties: lowest label); null where a training set has under two classes.
+
+    A subject with a third of all windows costs its map-side sums only; rows meet their model in a join of size subjects x folds.
     """
     keys = list(keys)
-    t = _training(class_moments(folded, features, keys, label), keys, label)
-    return _posteriors(folded.join(_lda_models(t, features, [*keys, "fold"], label), [*keys, "fold"]), features)
+    return _posteriors(_vectors(folded, features).join(fold_models(folded, features, keys, label, full), [*keys, "fold"], "left"))
 
 
-def project_rest(windows: DataFrame, rest: DataFrame, features: list[str], keys: list[str] = ("subject_id",),
-                 label: str = "label") -> DataFrame:
+def project_rest(windows: DataFrame, rest: DataFrame, features: list[str] | str, keys: list[str] = ("subject_id",),
+                 label: str = "label", full: bool = True) -> DataFrame:
     """Resting windows scored by a classifier trained on all of the subject's labelled windows."""
     keys = list(keys)
-    m = class_moments(windows.withColumn("fold", F.lit(0)), features, keys, label).drop("fold")
-    return _posteriors(rest.join(_lda_models(m, features, keys, label), keys), features)
+    whole = fold_models(windows.withColumn("fold", F.lit(0)), features, keys, label, full, 1).where("fold = -1").drop("fold")
+    return _posteriors(_vectors(rest, features).join(whole, keys))
+
+
+def decoder_chain(windows: DataFrame, rest: DataFrame | None, features: list[str] | str, row_id: str, anchors: dict, full: bool = True, minimum: int = 5,
+                  max_folds: int = 5, subject: str = "subject_id", label: str = "label") -> DataFrame:
+    """One row per subject: eligibility, out-of-fold accuracy, affective-space geometry and the resting offset; skipped subjects are listed.
+
+    Folds are clamped to the smallest eligible class of each subject.
+    """
+    array = features if isinstance(features, str) else "__features"
+    w = _vectors(windows, features).select(subject, label, row_id, F.col("__x").alias(array))
+    w = cut(w)
+    classes = cut(eligible_classes(w, subject, label, minimum, max_folds))
+    folded = cut(stratified_folds(w.join(classes.select(subject, label, "folds"), [subject, label]), row_id, F.col("folds"), subject, label))
+    models = fold_models(folded, array, [subject], label, full, max_folds)
+    pred = cut(posterior_va(_posteriors(_vectors(folded, array).join(models, [subject, "fold"], "left")), anchors))
+    names = F.array_join(F.array_sort(F.collect_list(F.col(label).cast("string"))), ",")
+    per = classes.groupBy(subject).agg(F.max("folds").alias("cv_folds"), names.alias("classes"))
+    d = (w.select(subject).distinct().join(per, subject, "left").join(fold_accuracy(pred, [subject], label), subject, "left")
+         .join(va_geometry(pred, list(anchors), subject, label), subject, "left").join(silhouette(pred, subject, label), subject, "left"))
+    if rest is not None:
+        whole = models.where("fold = -1").drop("fold")
+        offset = rest_offset(posterior_va(_posteriors(_vectors(rest, features).join(whole, subject)), anchors), subject)
+        d = d.join(offset, subject, "left")
+    # Subjects without two eligible classes: how many they have.
+    few = w.groupBy(subject, label).count().groupBy(subject).agg(F.count_if(F.col("count") >= minimum).alias("__few"))
+    return (d.join(few, subject).withColumn("status", F.when(F.col("cv_folds").isNull(), "skip_insufficient_classes").otherwise("ok"))
+            .withColumn("n_classes", F.coalesce("n_classes", "__few")).drop("__few"))
 
 
 # ---------------------------------------------------------------- scores

@@ -162,12 +162,14 @@ def primitives_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Decoder windows: four classes, a few feature columns, four probability columns."""
+    """Decoder windows: four classes, a few feature columns (two with missing cells), all values with missing cells, four probability columns."""
     e = epochs(spark, sf)
     x = [F.col("x")[i] for i in range(8)]
     z = [F.exp(4 * x[i]) for i in range(4)]
     return e.select("subject_id", "condition", "vec_id", (F.col("label") % 4).alias("label"),
-                    *[x[i].alias(f"w{i}") for i in range(6)],
+                    *[F.when(gap != 0, x[i]).alias(f"w{i}") for i, gap in enumerate((F.col("vec_id") % 9, (F.col("vec_id") + 8) % 11))],
+                    *[x[i].alias(f"w{i}") for i in range(2, 6)],
+                    F.transform("x", lambda v, i: F.when((F.col("vec_id") * 7 + i * 13) % 17 != 0, v)).alias("x"),
                     *[(z[i] / (z[0] + z[1] + z[2] + z[3])).alias(f"p{i}") for i in range(4)])
 
 
@@ -276,8 +278,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         select subject_id, condition || '_paf_' || channel, paf from FX_PAF"""),
     "FX_WINDOWS": (["FX_EPOCH"], "select *, " + ", ".join(f"e{i} / (e0 + e1 + e2 + e3) as p{i}" for i in range(4)) +
                    " from (select subject_id, condition, vec_id, label % 4 as label, "
-                   + ", ".join(f"x[{i + 1}]::double as w{i}" for i in range(6)) + ", "
+                   + "case when vec_id % 9 <> 0 then x[1]::double end as w0, case when (vec_id + 8) % 11 <> 0 then x[2]::double end as w1, "
+                   + ", ".join(f"x[{i + 1}]::double as w{i}" for i in range(2, 6)) + ", "
                    + ", ".join(f"exp(4 * x[{i + 1}]::double) as e{i}" for i in range(4)) + " from FX_EPOCH)"),
+    "FX_CELLS": (["FX_EPOCH"], """select subject_id, condition, vec_id, label, i, case when (vec_id * 7 + i * 13) % 17 <> 0 then v end as v
+        from (select subject_id, condition, vec_id, label % 4 as label, unnest(range(0, 64)) as i, unnest(x)::double as v from FX_EPOCH)"""),
     "FX_VA": (["FX_WINDOWS"], """select *, 0.7071 * p0 + 0.7071 * p1 - 0.7071 * p2 - 0.7071 * p3 as va_v,
         0.7071 * p0 - 0.7071 * p1 - 0.7071 * p2 + 0.7071 * p3 as va_a from FX_WINDOWS"""),
 }

@@ -124,23 +124,41 @@ def _(spark, sf):
     return _folded(spark, sf).select("subject_id", "label", "vec_id", "fold")
 
 
+def scaled_sql(train, keys):
+    """CTEs md (medians), sc (mean, sd), tz (scaled training rows) and ct (class means) of the training rows ``train``."""
+    return f"""md as (select {keys}, median(w0) as d0, median(w1) as d1 from {train} group by {keys}),
+  im as (select {train}.*, coalesce(w0, d0) as i0, coalesce(w1, d1) as i1 from {train} join md using ({keys})),
+  sc as (select {keys}, avg(i0) as a0, stddev_pop(i0) as s0, avg(i1) as a1, stddev_pop(i1) as s1 from im group by {keys}),
+  tz as (select * exclude (w0, w1), (i0 - a0) / s0 as w0, (i1 - a1) / s1 as w1 from im join sc using ({keys})),
+  ct as (select {keys}, label as c, avg(w0) as m0, avg(w1) as m1, count(*) as n from tz group by {keys}, label)"""
+
+
 NC = f"""{SFOLD}, fk as (select distinct subject_id, fold from wf),
-  ct as (select f.subject_id, f.fold, w.label as c, avg(w.w0) as m0, avg(w.w1) as m1, count(*) as n from fk f join wf w on f.subject_id = w.subject_id and f.fold <> w.fold group by 1, 2, 3)"""
+  tr as (select f.subject_id, f.fold, w.label, w.w0, w.w1 from fk f join wf w on f.subject_id = w.subject_id and f.fold <> w.fold), {scaled_sql('tr', 'subject_id, fold')},
+  hz as (select wf.subject_id, wf.vec_id, wf.fold, wf.label, (coalesce(w0, d0) - a0) / s0 as w0, (coalesce(w1, d1) - a1) / s1 as w1
+    from wf join md using (subject_id, fold) join sc using (subject_id, fold))"""
 
 
 @query("nearest_centroid_oof", f"""
-    with {NC}, ds as (select wf.vec_id, wf.subject_id, wf.fold, wf.label, c, row_number() over (partition by vec_id order by pow(w0 - m0, 2) + pow(w1 - m1, 2), c) as i from wf join ct using (subject_id, fold))
+    with {NC}, ds as (select hz.vec_id, hz.subject_id, hz.fold, hz.label, c, row_number() over (partition by vec_id order by pow(w0 - m0, 2) + pow(w1 - m1, 2), c) as i from hz join ct using (subject_id, fold))
     select subject_id, vec_id, fold, label, c as pred from ds where i = 1""", "FX_WINDOWS")
 def _(spark, sf):
     p = d.nearest_centroid_oof(_folded(spark, sf), ["w0", "w1"], "vec_id")
     return p.select("subject_id", "vec_id", "fold", "label", "pred")
 
 
-LDA = f"""{NC}, cv as (select f.subject_id, f.fold, sum((w.w0 - m0) * (w.w0 - m0)) / (count(*) - count(distinct ct.c)) as a, sum((w.w0 - m0) * (w.w1 - m1)) / (count(*) - count(distinct ct.c)) as b, sum((w.w1 - m1) * (w.w1 - m1)) / (count(*) - count(distinct ct.c)) as d, count(*) as nt
-    from fk f join wf w on f.subject_id = w.subject_id and f.fold <> w.fold join ct on ct.subject_id = f.subject_id and ct.fold = f.fold and ct.c = w.label group by 1, 2),
-  wt as (select ct.*, nt, (d * m0 - b * m1) / (a * d - b * b) as k0, (a * m1 - b * m0) / (a * d - b * b) as k1 from ct join cv using (subject_id, fold)),
-  sc as (select wf.subject_id, wf.vec_id, wf.fold, wf.label, c, k0 * w0 + k1 * w1 - 0.5 * (k0 * m0 + k1 * m1) + ln(n / nt) as s from wf join wt using (subject_id, fold)),
-  ps as (select *, exp(s - max(s) over (partition by vec_id)) as e from sc), po as (select *, e / sum(e) over (partition by vec_id) as p, row_number() over (partition by vec_id order by s desc) as i from ps)"""
+def lda_sql(keys):
+    """CTEs cv (pooled covariance) and wt (weights of the classes) after ``scaled_sql``."""
+    on = " and ".join(f"ct.{k} = tz.{k}" for k in keys.split(", "))
+    scatter = lambda x, y: f"sum((tz.w{x} - m{x}) * (tz.w{y} - m{y})) / (count(*) - count(distinct ct.c))"
+    tk = ", ".join(f"tz.{k}" for k in keys.split(", "))
+    return f"""cv as (select {tk}, {scatter(0, 0)} as a, {scatter(0, 1)} as b, {scatter(1, 1)} as d, count(*) as nt from tz join ct on {on} and ct.c = tz.label group by {tk}),
+  wt as (select ct.*, nt, (d * m0 - b * m1) / (a * d - b * b) as k0, (a * m1 - b * m0) / (a * d - b * b) as k1 from ct join cv using ({keys}))"""
+
+
+LDA = f"""{NC}, {lda_sql('subject_id, fold')},
+  ll as (select hz.subject_id, hz.vec_id, hz.fold, hz.label, c, k0 * w0 + k1 * w1 - 0.5 * (k0 * m0 + k1 * m1) + ln(n / nt) as s from hz join wt using (subject_id, fold)),
+  ps as (select *, exp(s - max(s) over (partition by vec_id)) as e from ll), po as (select *, e / sum(e) over (partition by vec_id) as p, row_number() over (partition by vec_id order by s desc, c) as i from ps)"""
 
 
 @query("lda_oof", f"with {LDA} select subject_id, vec_id, fold, label, c as pred, {r('p', 5)} as confidence from po where i = 1", "FX_WINDOWS")
@@ -213,13 +231,10 @@ def _(spark, sf):
     return out(d.class_centroids(_va(spark, sf), CODES), "subject_id", **{n: 6 for n in CENT})
 
 
-REST = """lw as (select * from FX_WINDOWS where condition = 'ec'), rw as (select * from FX_WINDOWS where condition = 'eo'),
-  ct as (select subject_id, label as c, avg(w0) as m0, avg(w1) as m1, count(*) as n from lw group by 1, 2),
-  cv as (select lw.subject_id, sum((w0 - m0) * (w0 - m0)) / (count(*) - count(distinct ct.c)) as a, sum((w0 - m0) * (w1 - m1)) / (count(*) - count(distinct ct.c)) as b, sum((w1 - m1) * (w1 - m1)) / (count(*) - count(distinct ct.c)) as d, count(*) as nt
-    from lw join ct on ct.subject_id = lw.subject_id and ct.c = lw.label group by lw.subject_id),
-  wt as (select ct.*, nt, (d * m0 - b * m1) / (a * d - b * b) as k0, (a * m1 - b * m0) / (a * d - b * b) as k1 from ct join cv using (subject_id)),
-  sc as (select rw.subject_id, vec_id, c, exp(k0 * w0 + k1 * w1 - 0.5 * (k0 * m0 + k1 * m1) + ln(n / nt)) as e from rw join wt using (subject_id)),
-  po as (select *, e / sum(e) over (partition by vec_id) as p from sc),
+REST = f"""lw as (select subject_id, label, w0, w1 from FX_WINDOWS where condition = 'ec'), {scaled_sql('lw', 'subject_id')}, {lda_sql('subject_id')},
+  rw as (select subject_id, vec_id, (coalesce(w0, d0) - a0) / s0 as w0, (coalesce(w1, d1) - a1) / s1 as w1 from FX_WINDOWS join md using (subject_id) join sc using (subject_id) where condition = 'eo'),
+  ll as (select rw.subject_id, vec_id, c, exp(k0 * w0 + k1 * w1 - 0.5 * (k0 * m0 + k1 * m1) + ln(n / nt)) as e from rw join wt using (subject_id)),
+  po as (select *, e / sum(e) over (partition by vec_id) as p from ll),
   va as (select subject_id, vec_id, sum(p * case c when 0 then 0.7071 when 1 then 0.7071 else -0.7071 end) as v, sum(p * case c when 0 then 0.7071 when 3 then 0.7071 else -0.7071 end) as a from po group by 1, 2)"""
 
 
@@ -277,7 +292,7 @@ def _(spark, sf):
 
 
 @query("decoder_rollup", f"""
-    with {NC}, ds as (select wf.vec_id, wf.subject_id, wf.fold, wf.label, c, row_number() over (partition by vec_id order by pow(w0 - m0, 2) + pow(w1 - m1, 2), c) as i from wf join ct using (subject_id, fold)),
+    with {NC}, ds as (select hz.vec_id, hz.subject_id, hz.fold, hz.label, c, row_number() over (partition by vec_id order by pow(w0 - m0, 2) + pow(w1 - m1, 2), c) as i from hz join ct using (subject_id, fold)),
     pr as (select 'centroid' as model, subject_id, fold, (label = c)::int as hit from ds where i = 1 union all select 'softmax', subject_id, fold, (label = {PRED})::int from wf),
     ac as (select model, subject_id, avg(a) as acc from (select model, subject_id, fold, avg(hit) as a from pr group by 1, 2, 3) group by 1, 2)
     select model, count(*) as n_subjects, {r('avg(acc)', 6)} as mean_accuracy from ac group by 1""", "FX_WINDOWS")
@@ -286,3 +301,53 @@ def _(spark, sf):
     a = d.nearest_centroid_oof(w, ["w0", "w1"], "vec_id").select(F.lit("centroid").alias("model"), "subject_id", "fold", "label", "pred")
     b = w.select(F.lit("softmax").alias("model"), "subject_id", "fold", "label", _top_pred(w).alias("pred"))
     return out(d.decoder_rollup(d.fold_accuracy(a.unionByName(b), ["model", "subject_id"])), "model n_subjects", mean_accuracy=6)
+
+
+CHAIN = f"""rows_ as (select distinct subject_id, vec_id, label from FX_CELLS where condition = 'ec'),
+  per as (select subject_id, label, count(*) as n from rows_ group by 1, 2),
+  el as (select *, greatest(2, least(5, min(n) over (partition by subject_id))) as folds, count(*) over (partition by subject_id) as k from per where n >= 4),
+  wf as (select r.subject_id, r.vec_id, r.label, folds, (row_number() over (partition by r.subject_id, r.label order by {fx.draw_sql('vec_id')}, vec_id) - 1) % folds as fold
+    from rows_ r join el using (subject_id, label) where k >= 2),
+  fk as (select distinct subject_id, fold from wf union all select distinct subject_id, -1 from wf),
+  tr as (select f.subject_id, f.fold, w.vec_id, w.label, c.i, c.v from fk f join wf w on w.subject_id = f.subject_id and w.fold <> f.fold join FX_CELLS c on c.vec_id = w.vec_id),
+  md as (select subject_id, fold, i, median(v) as d from tr group by all),
+  im as (select tr.*, coalesce(v, d) as x from tr join md using (subject_id, fold, i)),
+  sc as (select subject_id, fold, i, avg(x) as a, stddev_pop(x) as s from im group by all),
+  tz as (select im.subject_id, im.fold, im.i, label, (x - a) / s as z from im join sc using (subject_id, fold, i)),
+  cm as (select subject_id, fold, i, label as c, avg(z) as m, count(*) as n from tz group by all),
+  pv as (select tz.subject_id, tz.fold, tz.i, sum((z - m) * (z - m)) / (count(*) - count(distinct c)) as pv, count(*) as nt from tz join cm
+    on cm.subject_id = tz.subject_id and cm.fold = tz.fold and cm.i = tz.i and cm.c = tz.label group by all),
+  k0 as (select subject_id, fold, c, ln(max(n) / max(nt)) - 0.5 * sum(m * m / pv) as k0 from cm join pv using (subject_id, fold, i) group by all),
+  al as (select subject_id, vec_id, label, fold, false as rest from wf union all
+    select distinct subject_id, vec_id, label, -1, true from FX_CELLS where condition = 'eo' and subject_id in (select subject_id from wf)),
+  az as (select al.subject_id, al.vec_id, al.fold, al.label, rest, c.i, (coalesce(c.v, d) - a) / s as z from al join FX_CELLS c on c.vec_id = al.vec_id
+    join md on md.subject_id = al.subject_id and md.fold = al.fold and md.i = c.i join sc on sc.subject_id = al.subject_id and sc.fold = al.fold and sc.i = c.i),
+  ss as (select az.subject_id, vec_id, label, rest, az.fold, cm.c, sum(z * m / pv) + max(k0) as s from az join cm on cm.subject_id = az.subject_id and cm.fold = az.fold and cm.i = az.i
+    join pv on pv.subject_id = az.subject_id and pv.fold = az.fold and pv.i = az.i join k0 on k0.subject_id = az.subject_id and k0.fold = az.fold and k0.c = cm.c group by all),
+  ee as (select *, exp(s - max(s) over (partition by vec_id)) as e, row_number() over (partition by vec_id order by s desc, c) as place from ss),
+  po as (select *, e / sum(e) over (partition by vec_id) as p from ee),
+  va as (select subject_id, vec_id, label, rest, fold, sum(p * case c when 0 then 0.7071 when 1 then 0.7071 else -0.7071 end) as v,
+    sum(p * case c when 0 then 0.7071 when 3 then 0.7071 else -0.7071 end) as a, max(case when place = 1 then c end) as pred from po group by all),
+  fa as (select subject_id, fold, avg((pred = label)::int) as acc, count(*) as n from va where not rest group by 1, 2),
+  ac as (select subject_id, avg(acc) as acc_mean, stddev_pop(acc) as acc_sd, sum(n) as n_windows from fa group by 1),
+  ce as (select subject_id, label, avg(v) as cv, avg(a) as ca from va where not rest group by 1, 2),
+  sp as (select x.subject_id, avg(sqrt(pow(x.cv - y.cv, 2) + pow(x.ca - y.ca, 2))) as separation from ce x join ce y on x.subject_id = y.subject_id and x.label < y.label group by 1),
+  ds as (select subject_id, avg(v) as centroid_v, avg(a) as centroid_a, avg(sqrt(pow(v - cv, 2) + pow(a - ca, 2))) as dispersion from va join ce using (subject_id, label) where not rest group by 1),
+  pr as (select x.subject_id, x.vec_id, x.label as own, y.label as other, sum(sqrt(pow(x.v - y.v, 2) + pow(x.a - y.a, 2))) as t, count(*) as n
+    from va x join va y on x.subject_id = y.subject_id where not x.rest and not y.rest group by all),
+  ab as (select subject_id, vec_id, max(case when own = other and n > 1 then t / (n - 1) end) as w, min(case when own <> other then t / n end) as b from pr group by 1, 2),
+  si as (select subject_id, avg(case when w is null then 0 else (b - w) / greatest(w, b) end) as silhouette from ab group by 1),
+  re as (select subject_id, avg(v) as precursor_v, avg(a) as precursor_a from va where rest group by 1),
+  st as (select subject_id, max(folds) as cv_folds, count(*) as k, string_agg(label::varchar, ',' order by label) as classes from el where k >= 2 group by 1),
+  sk as (select subject_id, count(*) filter (n >= 4) as few from per group by 1)"""
+CHAIN_NUMBERS = ["acc_mean", "acc_sd", "centroid_v", "centroid_a", "separation", "dispersion", "silhouette", "precursor_v", "precursor_a"]
+
+
+@query("decoder_chain", f"""with {CHAIN} select sk.subject_id, case when cv_folds is null then 'skip_insufficient_classes' else 'ok' end as status, coalesce(k, few)::bigint as n_classes, classes,
+    cv_folds::bigint as cv_folds, n_windows::bigint as n_windows, {', '.join(f'{r(c, 4)} as {c}' for c in CHAIN_NUMBERS)}
+    from sk left join st using (subject_id) left join ac using (subject_id) left join sp using (subject_id) left join ds using (subject_id)
+    left join si using (subject_id) left join re using (subject_id)""", "FX_CELLS")
+def _(spark, sf):
+    w = fx.windows(spark, sf)
+    c = d.decoder_chain(w.where("condition = 'ec'"), w.where("condition = 'eo'").select("subject_id", "vec_id", "x"), "x", "vec_id", ANCHORS, False, 4)
+    return out(c, "subject_id status n_classes classes cv_folds n_windows", **{k: 4 for k in CHAIN_NUMBERS})

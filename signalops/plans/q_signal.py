@@ -298,7 +298,7 @@ WEIGHT_ROWS = ", ".join(f"('{a}', '{b}', {x}::double)" for a, ws in WEIGHTS.item
     pr as (select a.subject_id, a.condition, a.channel, covar_samp(a.value, b.value) / nullif(stddev_samp(a.value) * stddev_samp(b.value), 0) as r
       from x a join x b on a.subject_id = b.subject_id and a.condition = b.condition and a.t = b.t and a.channel <> b.channel group by a.subject_id, a.condition, a.channel, b.channel),
     mr as (select subject_id, condition, channel, max(abs(coalesce(r, 0))) as max_r from pr group by all),
-    fl as (select zs.subject_id, zs.condition, zs.channel, abs(z) > 1.2 and zs.channel <> 'F4' as v, coalesce(max_r, 0) < 0.06 as c, sd < 0.124 as f from zs left join mr using (subject_id, condition, channel)),
+    fl as (select zs.subject_id, zs.condition, zs.channel, abs(z) > 1.2 and zs.channel <> 'F4' as v, coalesce(max_r, 0) < 0.03 as c, sd < 0.118 as f from zs left join mr using (subject_id, condition, channel)),
     bl as (select subject_id, condition, count(*) as n_channels, coalesce(string_agg(channel, ',' order by channel) filter (v or c or f), '') as bad,
       coalesce(string_agg(channel, ',' order by channel) filter (v), '') as by_variance, coalesce(string_agg(channel, ',' order by channel) filter (c), '') as by_correlation,
       coalesce(string_agg(channel, ',' order by channel) filter (f), '') as by_flatline, bool_and(v or c or f) as none_good from fl group by 1, 2),
@@ -310,7 +310,7 @@ WEIGHT_ROWS = ", ".join(f"('{a}', '{b}', {x}::double)" for a, ws in WEIGHTS.item
       on fx.subject_id = r1.subject_id and fx.condition = r1.condition and fx.t = r1.t and fx.target = r1.channel),
     r3 as (select *, y - avg(y) over (partition by subject_id, condition, t) as u, count(*) over (partition by subject_id, condition, t) as p from r2),
     ep as (select subject_id, condition, first, unnest(range(0, (last - first + 1 - 48) // 32 + 1)) as epoch_id from rg where last - first + 1 >= 48),
-    ex as (select ep.subject_id, ep.condition, epoch_id, channel, max(u) - min(u) > 0.92 as over, count(*) filter (p = 4) as n, sum(u) as s, sum(u * u) as q, sum(abs(u)) as a
+    ex as (select ep.subject_id, ep.condition, epoch_id, channel, max(u) - min(u) > 0.47 as over, count(*) filter (p = 4) as n, sum(u) as s, sum(u * u) as q, sum(abs(u)) as a
       from ep join r3 on r3.subject_id = ep.subject_id and r3.condition = ep.condition and t >= ep.first + epoch_id * 32 and t < ep.first + epoch_id * 32 + 48 group by 1, 2, 3, 4),
     ee as (select subject_id, condition, epoch_id, bool_or(over) as bad, sum(n) as n, sum(s) as s, sum(q) as q, sum(a) as a from ex group by 1, 2, 3 having sum(n) = 192),
     ec as (select subject_id, condition, count(*) as n_before, count(*) filter (not bad) as n_after, sum(a) filter (not bad) / sum(n) filter (not bad) * 1e6 as m,
@@ -326,7 +326,7 @@ WEIGHT_ROWS = ", ".join(f"('{a}', '{b}', {x}::double)" for a, ws in WEIGHTS.item
 def _(spark, sf):
     s = fx.samples(spark, sf).withColumn("t", F.col("t") % 320)
     recs = s.select(*fx.REC).union(spark.sql("select -1L, 'eo'"))
-    d = chunks.preprocess_qc(s, recs, fx.CHANNELS, WEIGHTS, fx.FS, 48, 0.92, 16, 0.5, 4, ["F4"], 1.2, 0.06, 0.124, size=64)
+    d = chunks.preprocess_qc(s, recs, fx.CHANNELS, WEIGHTS, fx.FS, 48, 0.47, 16, 0.5, 4, ["F4"], 1.2, 0.03, 0.118, size=64)
     return out(d, "subject_id condition n_channels bad by_variance by_correlation by_flatline n_before n_after n_dropped status",
                duration_after_crop_sec=4, pct_dropped=6, mean_amplitude_uv=2, std_amplitude_uv=2)
 
