@@ -115,6 +115,66 @@ def test_views_stay_apart_and_odd_rows(spark, odd, make):
     assert cotrain.report(make([]), labels([(1, 1, 0)])).count() == 0
 
 
+def plain_rounds(rows, teaching, edges, rounds, sure):
+    """Class sums after co-training rounds, with dictionaries over plain rows (text, source, lang, y, held)."""
+    mark, views = np.zeros(linear.D, bool), cotrain.Views(edges)
+    look = lambda v, r: (linear.feature_set(r[0], mark), v.columns(r[1], r[2], cotrain.numbers(r[0])))
+
+    def sums(pairs):
+        text, meta = np.zeros((2, linear.D + 1)), np.zeros((2, cotrain.COLUMNS + 1))
+        for (f, m), to_text, to_meta in pairs:
+            if to_text is not None:
+                text[to_text, f] += 1
+                text[to_text, -1] += 1
+            if to_meta is not None:
+                meta[to_meta, m] += 1
+                meta[to_meta, -1] += 1
+        return text, meta
+    base = sums((look(views, r), r[3], r[3]) for r in rows if not r[4])
+    now = base
+    for _ in range(rounds):
+        v, _, _ = cotrain._ratios(views, *now)
+        held = [r for r in rows if r[4]]
+        y = np.array([r[3] for r in held])
+        zt = np.array([v.text.logit(look(v, r)[0]) for r in held])
+        zm = np.array([v.meta.logit(look(v, r)[1]) for r in held])
+        a, b, c, d = *linear.platt(zt, y), *linear.platt(zm, y)
+        pairs = []
+        for r in teaching:
+            f, m = look(v, r)
+            p, q = linear.sigmoid(a * v.text.logit(f) + b), linear.sigmoid(c * v.meta.logit(m) + d)
+            pick = lambda x: 1 if x >= sure else 0 if x <= 1 - sure else None
+            pairs.append(((f, m), pick(q), pick(p)))
+        now = [x + z for x, z in zip(base, sums(pairs))]
+    return now
+
+
+def test_rounds_match_plain_co_training_over_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    def row(i):
+        good = i % 2
+        text = " ".join(rng.choice(["calm", "clear", "river", "stone", "the"] if good else ["spam", "click", "offer", "win", "the"], 12))
+        return (text if rng.random() < 0.7 or good else text.upper() + " !!!", f"s{good}" if rng.random() < 0.8 else "s2", "en", good, bool(rng.random() < 0.3))
+    rows, teaching = [row(i) for i in range(80)], [row(i) for i in range(200)]
+    frame = lambda r: spark.createDataFrame(r, "text string, source string, lang string, y int, held boolean")
+    got = []
+    real = cotrain.class_sums
+    monkeypatch.setattr(cotrain, "class_sums", lambda *a: got.append(real(*a)) or got[-1])
+    views, _ = cotrain.fit(frame(rows), frame(teaching).drop("held"), rounds=2)
+    want = plain_rounds(rows, teaching, views.edges, 2, cotrain.SURE)
+    for mine, base, plain in zip(got[2], got[0], want):
+        assert np.array_equal(mine + base, plain)
+    assert want[0][:, -1].sum() > sum(not r[4] for r in rows)
+
+
+def test_a_repeated_id_is_sampled_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", "en", "s", 6) for i in range(3000)] + [(i, f"other {i}", "en", "s", 7) for i in range(2, 60)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert toxicity.labelled(docs, labels, 20).count() <= 60
+    assert cotrain.samples(docs, labels, 20)[0].count() <= 60
+
+
 def test_pseudo_labels_teach_the_other_view(spark):
     rng = np.random.default_rng(4)
     rows = []
