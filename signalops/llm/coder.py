@@ -18,7 +18,7 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES, SORTED = 4096, 1024, 128
 MAGIC = b"CMRC1"
 _HEAD = "<5sIII"  # magic, number of ids, crc32 of the ids as <u4, vocabulary size
 _T1, _T2 = 1024, 2048
@@ -79,7 +79,7 @@ class _Model:
         self.before, self.last = self.last, ids
 
 
-def _order0(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each id of each lane: start and count of the id among the first n ids, sorted (count 0: unseen)."""
     lanes, steps = ids.shape
     order = np.argsort(ids, axis=1, kind="stable")
@@ -114,7 +114,10 @@ def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
         ids[r, :lengths[r]] = blocks[i]
     if steps and int(ids.max()) >= vocab:
         raise ValueError("id outside the vocabulary")
-    start0, count0 = _order0(ids.astype(np.uint16) if vocab <= 65536 else ids, lengths) if steps else (None, None)
+    start0, count0 = np.zeros((lanes, steps), np.int32), np.zeros((lanes, steps), np.int32)
+    for i in range(0, lanes if steps else 0, SORTED):  # few lanes at a time: sorting takes several times their memory
+        some = ids[i:i + SORTED]
+        start0[i:i + SORTED], count0[i:i + SORTED] = _order0(some.astype(np.uint16) if vocab <= 65536 else some)
     novel, m = _Novel(vocab), _Model(lanes)
     low, rng = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
     words, size = np.zeros((lanes, steps + 4), np.uint32), np.zeros(lanes, np.int64)

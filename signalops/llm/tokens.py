@@ -10,8 +10,8 @@ Reading: blocks are decoded in groups of rows, in any order and by any task; eac
 pieces of its documents with their CRC-32, and the CRCs of a document's pieces are combined by length.
 
 Tokenizing: white space never lies inside a token of this vocabulary, so a text is cut at spaces and
-line ends and each distinct chunk is encoded once per worker through the library. The cache is emptied when
-full, which changes no result.
+line ends and each distinct chunk is encoded once per worker through the library. The cache is emptied when it holds
+``CACHE_BYTES``, which changes no result.
 
 Defined cases: null and empty texts hold the end id only; null doc_ids come first; equal doc_ids are ordered by text;
 an empty table writes an empty table; further columns are ignored. Ids must be below 262144.
@@ -35,7 +35,7 @@ from signalops.functions.lineage import shared_folder
 from signalops.llm import coder
 from signalops.llm.text import text_or_empty
 
-END_ID, CACHE = 1, 400_000
+END_ID, CACHE_BYTES, ENTRY = 1, 1 << 26, 150  # about what an entry takes besides its text and ids
 
 
 class Encoder:
@@ -47,6 +47,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cache: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -55,12 +56,13 @@ class Encoder:
             try:
                 out.append(b"".join(map(self.cache.__getitem__, chunks)))
             except KeyError:
-                if len(self.cache) > CACHE:
-                    self.cache = {"": b""}
                 new = list(set(chunks).difference(self.cache))
                 for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                     self.cache[c] = np.array(e.ids, "<u4").tobytes()
+                    self.held += len(c) + len(self.cache[c]) + ENTRY
                 out.append(b"".join(map(self.cache.__getitem__, chunks)))
+                if self.held > CACHE_BYTES:
+                    self.cache, self.held = {"": b""}, 0
         return out
 
 
