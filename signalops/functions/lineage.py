@@ -32,6 +32,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder: two applications never see or delete each other's tables."""
+    return f"{shared_folder(spark)}/signalops/{re.sub(r'[^A-Za-z0-9_-]', '_', spark.sparkContext.applicationId)}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the frame as a table in the shared folder and read it back.
 
@@ -39,12 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     uses see the same floats, a lost executor costs a re-read, and the planner knows its size.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/signalops/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete every table that ``cut`` wrote under the shared folder; call when results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/signalops")
+    """Delete every table that ``cut`` wrote for this application; call when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

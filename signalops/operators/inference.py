@@ -139,9 +139,9 @@ def adjust_p(df: DataFrame, p: str, by: list[str] = (), method: str = "bonferron
              family_order: str = "term") -> DataFrame:
     """Corrected p within each family of tests (families are as small as a feature list)."""
     whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
+    if method == "bonferroni":  # by the number of tests in the family, also those without a p
+        return df.withColumn(name, F.least(F.col(p) * F.count(F.lit(1)).over(whole), F.lit(1.0)))
     n = F.count(p).over(whole)
-    if method == "bonferroni":
-        return df.withColumn(name, F.least(F.col(p) * n, F.lit(1.0)))
     if method not in ("fdr_bh", "bh"):
         return df.withColumn(name, F.col(p))
     rank = F.row_number().over(whole.orderBy(F.col(p).asc_nulls_last(), family_order))
@@ -257,24 +257,102 @@ def hypothesis_test(df: DataFrame, y: str, covariates: list[str], features: list
     return out
 
 
+def masked_moments(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Moments keyed by which of ``columns`` a row has: one scan serves every model over any of them.
+
+    Returns a stored table (mask: one 0/1 a column; n, and sums and products about the columns' means) and the place of each column. The
+    table has as many rows as there are patterns of missing cells, not rows of data.
+    """
+    place = {c: str(i) for i, c in enumerate(columns)}
+    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    named = df.select(*[v.alias(f"v{place[c]}") for c, v in value.items()])
+    mid = named.agg(F.struct(*[F.avg(f"v{i}").alias(f"v{i}") for i in place.values()])).scalar()
+    d = named.withColumn("m", mid)
+    k = range(len(columns))
+    x = [F.col(f"v{i}") - F.col(f"m.v{i}") for i in k]
+    mask = F.concat(*[F.col(f"v{i}").isNotNull().cast("int").cast("string") for i in k])
+    return cut(d.groupBy(mask.alias("mask")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in k], *[F.sum(x[i] * x[j]).alias(f"q{i}_{j}") for i in k for j in range(i, len(columns))],
+        *[F.max(f"m.v{i}").alias(f"m{i}") for i in k])), place
+
+
+def _cell_moments(table: DataFrame, place: dict[str, str], names: list[str]) -> DataFrame:
+    """One row: n, means and population covariances of ``names`` over the rows that have all of them; n_total counts all rows."""
+    at = [int(place[c]) for c in names]
+    whole = F.lit(True)
+    for i in at:
+        whole = whole & (F.substring("mask", i + 1, 1) == "1")
+    of = lambda c: F.sum(F.when(whole, F.col(c)))
+    n = F.coalesce(of("n"), F.lit(0))
+    mean = [of(f"s{i}") / F.nullif(n, F.lit(0)) for i in at]
+    pair = lambda i, j: f"q{min(i, j)}_{max(i, j)}"
+    k = range(len(names))
+    return table.agg(n.alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_total"), F.array(*[F.max(f"m{i}") + m for i, m in zip(at, mean)]).alias("means"),
+                     F.array(*[of(pair(at[i], at[j])) / F.nullif(n, F.lit(0)) - mean[i] * mean[j] for i in k for j in range(i, len(names))]).alias("cov"))
+
+
 def run_tests(df: DataFrame, targets: list[str], sets: dict[str, list[str]], covariates: list[str],
               directions: dict[str, dict[str, str]], row_id: str, **kw) -> DataFrame:
-    """Headline over the target x set grid (both are configuration); infeasible cells are named."""
-    out = None
+    """Headline over the target x set grid (both are configuration) from one scan; infeasible cells are named."""
+    have = {name: [c for c in feats if c in df.columns] for name, feats in sets.items()}
+    table, place = masked_moments(df, list(dict.fromkeys([*targets, *covariates, *[c for f in have.values() for c in f]])))
+    out, q = None, len(covariates)
     for t in targets:
-        for name, feats in sets.items():
-            have = [c for c in feats if c in df.columns]
-            report = complete_case_report(df, t, covariates, have)
-            f = block_f(df, t, covariates, have)
-            one = f.select("full_r2", "covariate_r2", "delta_r2", "f_stat", "p_value")
-            row = one.agg(F.struct(*[F.max(c).alias(c) for c in one.columns])).scalar()
-            cell = report.withColumn("__r", row).select(
-                F.lit(t).alias("target"), F.lit(name).alias("feature_set"), "n_used", "n_dropped", "skipped",
-                *[F.when(F.col("skipped").isNull(), F.col(f"__r.{c}")).alias(c) for c in one.columns])
+        for name, feats in have.items():
+            xs = [*covariates, *feats]
+            m = _cell_moments(table, place, [*xs, t]).withColumn("fit", fit_udf(len(xs), q)("n", "means", "cov"))
+            r2f, r2r, den = F.col("fit.r2"), F.col("fit.r2_cov"), F.col("fit.df_resid")
+            skipped = F.when(F.col("n") < len(xs) + 3, "insufficient_complete_rows")
+            cell = m.select(
+                F.lit(t).alias("target"), F.lit(name).alias("feature_set"), F.col("n").alias("n_used"), (F.col("n_total") - F.col("n")).alias("n_dropped"),
+                skipped.alias("skipped"), *[F.when(skipped.isNull(), v).alias(c) for c, v in (
+                    ("full_r2", r2f), ("covariate_r2", r2r), ("delta_r2", r2f - r2r),
+                    ("f_stat", F.when(r2f < 1, ((r2f - r2r) / F.nullif(F.lit(float(len(feats))), F.lit(0.0))) / ((1 - r2f) / den))))],
+                F.lit(float(len(feats))).alias("__k"), den.alias("__den"))
+            cell = cell.withColumn("p_value", f_pvalue("f_stat", "__k", "__den")).drop("__k", "__den")
             out = cell if out is None else out.unionByName(cell)
     return out
 
 
+def hypothesis_grid(df: DataFrame, targets: list[str], sets: dict[str, list[str]], covariates: list[str], directions: dict[str, str], row_id: str,
+                    components: dict[str, list[str]] | None = None, correction: str = "bonferroni", alpha_level: float = 0.05, reps: int = 0, seed: int = 42,
+                    alpha_min: float = 0.50) -> DataFrame:
+    """Coefficient rows of every (target, feature set) cell: block F, priors, correction, reliability gate and bootstrap interval.
+
+    All least-squares cells come from one scan keyed by missingness; the gate is one more. Cells without enough complete rows have none. ``reps``: bootstrap
+    replicates a cell, each a resample of the cell's complete rows, so ``df`` should be a stored table.
+    """
+    have = {name: [c for c in feats if c in df.columns] for name, feats in sets.items()}
+    table, place = masked_moments(df, list(dict.fromkeys([*targets, *covariates, *[c for f in have.values() for c in f]])))
+    prior = F.coalesce(*[F.when(F.col("term") == k, F.lit(v)) for k, v in directions.items()], F.lit("two_sided"))
+    cells, boots, q = None, None, len(covariates)
+    for t in targets:
+        for name, feats in have.items():
+            xs = [*covariates, *feats]
+            m = _cell_moments(table, place, [*xs, t]).where(F.col("n") >= len(xs) + 3).withColumn("fit", fit_udf(len(xs), q)("n", "means", "cov"))
+            one = coefficients(m, xs).where(F.col("term").isin(feats)).select(F.lit(t).alias("target"), F.lit(name).alias("feature_set"), "*",
+                                                                               F.lit(float(len(feats))).alias("df_num"))
+            cells = one if cells is None else cells.unionByName(one)
+            if reps:
+                boot = bootstrap_ols(df, t, xs, row_id, reps, seed).where(F.col("predictor").isin(feats)).select(
+                    F.lit(t).alias("target"), F.lit(name).alias("feature_set"), F.col("predictor").alias("term"), "median", "ci_lo", "ci_hi", "n_iter")
+                boots = boot if boots is None else boots.unionByName(boot)
+    co = cells.withColumn("p_two_sided", t_pvalue("t", "df_resid"))
+    d, p1, ok = directional_p(F.col("beta"), F.col("p_two_sided"), prior)
+    co = co.withColumn("direction", d).withColumn("p_one_sided", p1).withColumn("sign_matches", ok)
+    by = ["target", "feature_set"]
+    co = adjust_p(co, "p_one_sided", by, correction).withColumn("significant", F.coalesce(F.col("p_corrected") < alpha_level, F.lit(False)))
+    gain = F.col("r2") - F.col("r2_cov")
+    co = co.withColumns({"covariate_r2": F.col("r2_cov"), "delta_r2": gain, "block_f": (gain / F.col("df_num")) / ((1 - F.col("r2")) / F.col("df_resid"))})
+    co = co.withColumn("block_p", f_pvalue("block_f", "df_num", "df_resid"))
+    if components is not None:
+        every = list(dict.fromkeys(c for f in have.values() for c in f))
+        gate = reliability_gate(df, every, components, alpha_min).select(F.col("composite").alias("term"), "alpha", "pass_gate")
+        w = W.partitionBy(*by)
+        co = co.join(gate, "term", "left").withColumn("all_pass", F.coalesce(F.min("pass_gate").over(w), F.lit(False)))
+    return co.join(boots, [*by, "term"], "left") if boots is not None else co
+
+
 def univariate_scan(df: DataFrame, y: str, covariates: list[str], features: list[str],
                     correction: str = "fdr_bh", alpha_level: float = 0.05,
                     directions: dict[str, str] | None = None) -> DataFrame:

@@ -156,6 +156,52 @@ def _(spark, sf):
                covariate_r2=6, delta_r2=6, block_f=4, block_p=5)
 
 
+GRID = {"pair": ("f_click", "f_view"), "other": ("f_error", "f_purchase")}
+GRID_PARTS = {"f_click": ["f_click", "f_dup"], "f_view": ["f_error", "f_view"], "f_purchase": ["f_purchase", "absent"]}
+
+
+def _swept(src, over):
+    """Target and both features of ``src`` without what the covariate explains."""
+    rest = lambda c: f"{c} - regr_intercept({c}, covariate) over ({over}) - regr_slope({c}, covariate) over ({over}) * covariate"
+    return f"select *, {rest('y_cv')} as ry, {rest('x1')} as r1, {rest('x2')} as r2 from {src}"
+
+
+def _cell_sql(s, x1, x2):
+    """CTEs of one cell: l_{s} with a row per feature."""
+    boot = boot_sql("y_cv, covariate, x1, x2", 60).replace("FX_SUBJECT", f"cc_{s}")
+    for name in ("rw", "dr", "bs"):
+        boot = boot.replace(f"{name} as (", f"{name}_{s} as (").replace(f"from {name} ", f"from {name}_{s} ").replace(f"from {name},", f"from {name}_{s},").replace(f"join {name} on {name}.", f"join {name}_{s} on {name}_{s}.").replace(f"{name}.*", f"{name}_{s}.*").replace(f"= {name}.", f"= {name}_{s}.").replace(f"= dr.pick", f"= dr_{s}.pick")
+    term = lambda i, x: f"select '{s}' as feature_set, '{x}' as term, b{i} as beta, se{i} as se, t{i} as t, rc, rf, df, f_stat, n from bf_{s}"
+    conf = lambda i, x: (f"select '{s}' as feature_set, '{x}' as term, median(b{i}) as median, quantile_cont(b{i}, 0.025) as ci_lo, quantile_cont(b{i}, 0.975) as ci_hi, count(*) as n_iter from ob_{s}")
+    return f"""cc_{s} as (select subject_id, y_cv, covariate, {x1} as x1, {x2} as x2 from FX_GAPS where {x1} is not null and {x2} is not null and y_cv is not null),
+      fw_{s} as ({_swept(f'cc_{s}', '')}), o_{s} as (select *, r2 as part from ({ols2(f'fw_{s}', 'ry', 'r1', 'r2', '', True, 1)})),
+      bl_{s} as (select *, rc + (1 - rc) * part as rf from o_{s}, (select regr_r2(y_cv, covariate) as rc from cc_{s})),
+      bf_{s} as (select *, ((rf - rc) / 2) / ((1 - rf) / df) as f_stat from bl_{s}), l_{s} as ({term(1, x1)} union all {term(2, x2)}),
+      {boot}, fb_{s} as ({_swept(f'bs_{s}', 'partition by rep')}), ob_{s} as ({ols2(f'fb_{s}', 'ry', 'r1', 'r2', 'rep')}), c_{s} as ({conf(1, x1)} union all {conf(2, x2)})"""
+
+
+@query("hypothesis_grid", f"""
+    with {', '.join(_cell_sql(s, *xs) for s, xs in GRID.items())},
+    l as ({' union all '.join(f'select * from l_{s}' for s in GRID)}), cf as ({' union all '.join(f'select * from c_{s}' for s in GRID)}),
+    al as (select 'f_click' as term, 2 * (1 - (var_samp(f_click) + var_samp(f_dup)) / var_samp(f_click + f_dup)) as alpha from FX_GAPS where f_click is not null
+      union all select 'f_view', 2 * (1 - (var_samp(f_error) + var_samp(f_view)) / var_samp(f_error + f_view)) from FX_GAPS where f_view is not null and f_error is not null),
+    ga as (select term, alpha, case when term = 'f_purchase' then false when term <> 'f_error' then alpha >= 0.5 end as pass_gate from l left join al using (term)),
+    p as (select l.*, {t_p('l.t', 'df')} as p2, case term when 'f_click' then 'positive' when 'f_view' then 'negative' else 'two_sided' end as direction from l),
+    q as (select *, case direction when 'positive' then beta > 0 when 'negative' then beta < 0 end as ok from p),
+    w as (select *, case when ok then p2 / 2 when not ok then 1 - p2 / 2 else p2 end as p1 from q)
+    select 'y_cv' as target, w.feature_set, w.term, direction, ok as sign_matches, least(p1 * 2, 1) < 0.05 as significant, pass_gate,
+      coalesce(bool_and(pass_gate) over (partition by w.feature_set), false) as all_pass, n::bigint as n, n_iter, {r('beta', 6)} as beta, {r('se', 6)} as se, {r('p2', 5)} as p_two_sided,
+      {r('p1', 5)} as p_one_sided, {r('least(p1 * 2, 1)', 5)} as p_corrected, {r('rc', 6)} as covariate_r2, {r('rf - rc', 6)} as delta_r2, {r('f_stat', 4)} as block_f, {r(F2P, 5)} as block_p,
+      {r('alpha', 5)} as alpha, {r('median', 6)} as median, {r('ci_lo', 6)} as ci_lo, {r('ci_hi', 6)} as ci_hi
+    from w join ga using (term) join cf using (feature_set, term)""", "FX_GAPS")
+def _(spark, sf):
+    sets = {s: list(xs) for s, xs in GRID.items()} | {"empty": ["f_none"]}
+    d = fx.gaps_table(spark, sf).withColumn("f_none", F.lit(None).cast("double"))
+    g = i.hypothesis_grid(d, [Y], {k: v for k, v in sets.items()}, COV, PRIORS, "subject_id", GRID_PARTS, reps=60)
+    return out(g, "target feature_set term direction sign_matches significant pass_gate all_pass n n_iter", beta=6, se=6, p_two_sided=5, p_one_sided=5,
+               p_corrected=5, covariate_r2=6, delta_r2=6, block_f=4, block_p=5, alpha=5, median=6, ci_lo=6, ci_hi=6)
+
+
 @query("headline", f"""
     with {BLOCK} select 'y_cv' as target, 'pair' as feature_set, n as n_used, (select count(*) from FX_GAPS) - n as n_dropped, null::varchar as skipped,
       {r('rf', 6)} as full_r2, {r('rc', 6)} as covariate_r2, {r('f_stat', 4)} as f_stat, {r(F2P, 5)} as p_value from bf

@@ -305,7 +305,7 @@ def _(spark, sf):
 
 CHAIN = f"""rows_ as (select distinct subject_id, vec_id, label from FX_CELLS where condition = 'ec'),
   per as (select subject_id, label, count(*) as n from rows_ group by 1, 2),
-  el as (select *, greatest(2, least(5, min(n) over (partition by subject_id))) as folds, count(*) over (partition by subject_id) as k from per where n >= 4),
+  el as (select *, greatest(2, least(5, min(n) over (partition by subject_id))) as folds, count(*) over (partition by subject_id) as k from per where n >= 5),
   wf as (select r.subject_id, r.vec_id, r.label, folds, (row_number() over (partition by r.subject_id, r.label order by {fx.draw_sql('vec_id')}, vec_id) - 1) % folds as fold
     from rows_ r join el using (subject_id, label) where k >= 2),
   fk as (select distinct subject_id, fold from wf union all select distinct subject_id, -1 from wf),
@@ -339,7 +339,7 @@ CHAIN = f"""rows_ as (select distinct subject_id, vec_id, label from FX_CELLS wh
   si as (select subject_id, avg(case when w is null then 0 else (b - w) / greatest(w, b) end) as silhouette from ab group by 1),
   re as (select subject_id, avg(v) as precursor_v, avg(a) as precursor_a from va where rest group by 1),
   st as (select subject_id, max(folds) as cv_folds, count(*) as k, string_agg(label::varchar, ',' order by label) as classes from el where k >= 2 group by 1),
-  sk as (select subject_id, count(*) filter (n >= 4) as few from per group by 1)"""
+  sk as (select subject_id, count(*) filter (n >= 5) as few from per group by 1)"""
 CHAIN_NUMBERS = ["acc_mean", "acc_sd", "centroid_v", "centroid_a", "separation", "dispersion", "silhouette", "precursor_v", "precursor_a"]
 
 
@@ -349,5 +349,5 @@ CHAIN_NUMBERS = ["acc_mean", "acc_sd", "centroid_v", "centroid_a", "separation",
     left join si using (subject_id) left join re using (subject_id)""", "FX_CELLS")
 def _(spark, sf):
     w = fx.windows(spark, sf)
-    c = d.decoder_chain(w.where("condition = 'ec'"), w.where("condition = 'eo'").select("subject_id", "vec_id", "x"), "x", "vec_id", ANCHORS, False, 4)
+    c = d.decoder_chain(w.where("condition = 'ec'"), w.where("condition = 'eo'").select("subject_id", "vec_id", "x"), "x", "vec_id", ANCHORS, False, 5)
     return out(c, "subject_id status n_classes classes cv_folds n_windows", **{k: 4 for k in CHAIN_NUMBERS})
