@@ -8,9 +8,12 @@ epochs and channel pairs are Spark expressions and aggregates on its output.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from signalops.functions.nulls import EPS, add_all, safe_div
@@ -329,27 +332,56 @@ def _morlet(n: int, scale: float) -> np.ndarray:
     return env * np.exp(-2j * np.pi * WAVELET_CENTRE * u)
 
 
+HELD_GROUPS = 256  # groups whose power sums a task holds before it hands them on
+
+
 def wavelet_power(epochs: DataFrame, fs: float, n_samples: int, by: list[str], kept: list[int]) -> DataFrame:
     """Per scale: mean power, temporal variance of the epoch-mean power, log1p late minus early.
 
-    Only the kept scales are computed. The row-local transform is followed by one aggregate
-    over epochs per (scale, time) and one over time.
+    Only the kept scales are computed. Each task adds up the (scale x time) power arrays of its epochs by group in NumPy and
+    hands on one array a group; groups then meet as arrays, so nothing is exploded. Epochs of another length or with a missing
+    sample are left out.
     """
     freqs = wavelet_frequencies()
     bank = np.concatenate([_morlet(n_samples, wavelet_scale(freqs[i], fs)) for i in kept], axis=1)
-
-    @F.pandas_udf("array<double>")
-    def power(x: pd.Series) -> pd.Series:
-        return _by_length(x, n_samples, lambda b: np.abs(b @ bank) ** 2)
-
-    long = (epochs.select(*by, F.posexplode(power(F.col("x"))).alias("i", "p"))
-            .groupBy(*by, "i").agg(F.avg("p").alias("p")))
-    t, half = F.col("i") % n_samples, n_samples // 2
-    scale = F.element_at(F.array(*[F.lit(k) for k in kept]), (F.floor(F.col("i") / F.lit(n_samples)) + 1).cast("int"))
-    return (long.withColumn("scale", scale.cast("bigint")).groupBy(*by, "scale")
-            .agg(F.avg("p").alias("power"), F.var_pop("p").alias("variance"),
-                 (F.log1p(F.avg(F.when(t >= half, F.col("p")))) -
-                  F.log1p(F.avg(F.when(t < half, F.col("p"))))).alias("late_early")))
+    half, k = n_samples // 2, len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+
+        def out() -> pa.RecordBatch:
+            keys = list(zip(*held))
+            made = pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(keys, types)], pa.array([v.tobytes() for v in held.values()], pa.binary())], [*by, "v"])
+            held.clear()
+            return made
+
+        for b in batches:
+            types = [b.schema.field(i).type for i in range(k)]
+            b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column(k)), n_samples), False))
+            x = b.column(k).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, n_samples)
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*[b.column(c).to_pylist() for c in range(k)])):
+                if not np.isnan(x[i]).any():
+                    places.setdefault(key, []).append(i)
+            for key, at in places.items():
+                part = sum((np.abs(x[at[i:i + 256]] @ bank) ** 2).sum(0) for i in range(0, len(at), 256))
+                part = np.append(part, len(at))
+                held[key] = held[key] + part if key in held else part
+                if len(held) >= HELD_GROUPS:
+                    yield out()
+        if held:
+            yield out()
+
+    def scales(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(v) for v in pdf["v"])
+        p = (total[:-1] / total[-1]).reshape(len(kept), n_samples)
+        late = np.log1p(p[:, half:].mean(1)) - np.log1p(p[:, :half].mean(1))
+        return pd.DataFrame([[*pdf[by].iloc[0], *row] for row in zip(kept, p.mean(1), p.var(1), late)], columns=[*by, "scale", "power", "variance", "late_early"])
+
+    keys = ", ".join(f"`{c}` {epochs.schema[c].dataType.simpleString()}" for c in by)
+    return (epochs.select(*by, "x").mapInArrow(run, f"{keys}, v binary").groupBy(*by)
+            .applyInPandas(scales, f"{keys}, scale bigint, power double, variance double, late_early double"))
 
 
 # ---------------------------------------------------------------- time domain
