@@ -4,7 +4,7 @@ The text model of ``linear`` is fitted on labelled rows. Each sample text that n
 the same text with every identity term replaced by another of its family. The loss adds the squared
 difference between the logits of a text and its counterfactual, so features that only carry the identity get no
 weight, and a neutral mention of a group does not raise the score. The model is fitted on about ``MAX_ROWS`` rows of
-each class, picked by the hash of their ids.
+each class, picked by the hash of their ids; no text reaches the driver.
 
 Defined cases: null and empty texts get the score of a text without features; rows without a label, or with a null
 label, are scored but teach nothing; repeated label rows count once; if one class is missing every score is 0;
@@ -14,8 +14,10 @@ an empty documents table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from signalops.functions.lineage import cut
@@ -43,14 +45,19 @@ def swapped(text: str, turn: int = 1) -> str:
     return _TERM.sub(other, text)
 
 
-def _pairs(texts: list[str], keep: np.ndarray, turns: int = 3) -> tuple[linear.Rows, linear.Rows]:
-    mark, a, b = np.zeros(linear.D, bool), [], []
-    for t in texts:
-        f = linear.feature_set(t, mark)
-        for k in range(1, turns + 1):
-            g = linear.feature_set(swapped(t, k), mark)
-            a.append(f[keep[f]]), b.append(g[keep[g]])
-    return linear.Rows.of(a), linear.Rows.of(b)
+def _pairs(rows: DataFrame, keep: np.ndarray, turns: int = 3) -> tuple[linear.Rows, linear.Rows]:
+    """Kept features of every text that names a group, and of its counterfactuals; only these ids leave the tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(keep).tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on, mark = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool), np.zeros(linear.D, bool)
+        kept = lambda text: (lambda f: f[on[f]].astype("<u4").tobytes())(linear.feature_set(text, mark))
+        for b in batches:
+            pairs = [(own, kept(swapped(t, k))) for t in b.column(0).to_pylist() if _TERM.search(t) for own in [kept(t)] for k in range(1, turns + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in range(2)], ["a", "b"])
+
+    t = rows.select("text").mapInArrow(run, "a binary, b binary").toPandas().sort_values(["a", "b"], kind="stable")
+    return tuple(linear.Rows.of([np.frombuffer(x, "<u4") for x in t[c]]) for c in ("a", "b"))
 
 
 def fit(rows: DataFrame, pair_weight: float = PAIR_WEIGHT) -> linear.TextModel | None:
@@ -61,8 +68,7 @@ def fit(rows: DataFrame, pair_weight: float = PAIR_WEIGHT) -> linear.TextModel |
         return None
     r = linear.log_ratios(counts, sizes)
     parts, extra = linear.sparse(rows, r != 0, ("y",))
-    named = rows.where(F.col("text").rlike("(?iu)" + _TERM.pattern)).select("text")
-    pairs = _pairs(sorted(x["text"] for x in named.toLocalIterator()), r != 0)
+    pairs = _pairs(rows, r != 0)
     w, b = linear.logistic(linear.Rows.of(parts), np.array(extra["y"]), r, pairs, pair_weight)
     return linear.TextModel.made(w, r, b)
 

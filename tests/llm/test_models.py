@@ -78,12 +78,12 @@ def test_swapped_identities_do_not_move_the_score(spark):
     rows = spark.createDataFrame(identity_rows(), "text string, y int")
     mark = np.zeros(linear.D, bool)
     gap = {}
-    for weight in (0.0, 20.0):
+    for weight in (0.0, toxicity.PAIR_WEIGHT, 20.0):
         m = toxicity.fit(rows, pair_weight=weight)
         z = lambda t: m.logit(linear.feature_set(t, mark))
         gap[weight] = abs(z("house river muslims fine people walk table") - z("house river christians fine people walk table"))
         assert z("green stone horrid filth light") > z("green stone fine people light")
-    assert gap[20.0] < 0.3 * gap[0.0]
+    assert gap[20.0] < 0.3 * gap[0.0] and gap[toxicity.PAIR_WEIGHT] < 0.3 * gap[0.0]
 
 
 def test_swaps():
