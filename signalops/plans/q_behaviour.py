@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from signalops.functions.ordering import bucketed_row_number
 from signalops.functions.present import shown_sql as r
@@ -146,6 +148,26 @@ def _(spark, sf):
     return out(rel.mcdonald_omega(fx.items_wide(spark, sf), fx.ITEMS), "k_items n_obs", omega=5)
 
 
+TRIPLES = [(1, 2, 3), (1, 2, 4), (2, 3, 4)]
+
+
+def _triple_sql(a, b, c):
+    return f"""select condition, '{a}{b}{c}' as triple, n, pow(l1 + l2 + l3, 2) / (pow(l1 + l2 + l3, 2) + 3 - l1 * l1 - l2 * l2 - l3 * l3) as omega from (
+      select *, sqrt(r12 * r13 / r23) as l1, sqrt(r12 * r23 / r13) as l2, sqrt(r13 * r23 / r12) as l3 from (
+        select condition, count(*) as n, corr(i{a}, i{b}) as r12, corr(i{a}, i{c}) as r13, corr(i{b}, i{c}) as r23 from it group by 1))"""
+
+
+@query("omega_triples", f"""
+    with it as (select condition, {', '.join(f'x[1]::double + x[{k + 1}]::double as i{k}' for k in range(1, 5))} from FX_EPOCH),
+    tr as ({' union all '.join(_triple_sql(*t) for t in TRIPLES)})
+    select condition, triple, 3::bigint as k_items, n as n_obs, {r('omega', 5)} as omega from tr""", "FX_EPOCH")
+def _(spark, sf):
+    # Three items that share one part: there a one-factor solution has a closed form.
+    wide = fx.epochs(spark, sf).select("condition", *[(F.col("x")[0] + F.col("x")[k]).alias(f"i{k}") for k in range(1, 5)])
+    each = [rel.mcdonald_omega(wide, [f"i{k}" for k in t], ["condition"]).withColumn("triple", F.lit("".join(map(str, t)))) for t in TRIPLES]
+    return out(reduce(DataFrame.unionByName, each), "condition triple k_items n_obs", omega=5)
+
+
 def ez_sql(m, v, p, tag):
     """Column list defining v, a, ter with the given suffix, from names of mean, variance and accuracy."""
     pc = f"least(greatest({p}, 0.01), 0.99)"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from signalops.functions import nulls
+from signalops.functions.lineage import own_folder
 from signalops.functions.present import shown_sql as r
 from signalops.operators import chunks, conditioning as c, windows as w
 from signalops.plans import fixtures as fx
@@ -54,6 +57,39 @@ def _(spark, sf):
     return nulls.keep_columns(d, ["ID", "c_acctbal", "absent", "c_mktsegment"], {"c_custkey": "ID"})
 
 
+@query("read_table", f"select c_mktsegment, count(*) as n, {r('sum(c_acctbal)', 2)} as total from customer group by 1")
+def _(spark, sf):
+    c = catalog.read_table(spark, f"{sf}/customer.parquet", required=["c_custkey", "c_acctbal", "c_mktsegment"])
+    return out(c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("c_acctbal").alias("total")), "c_mktsegment n", total=2)
+
+
+def _two_runs(spark, sf, name, df, older):
+    """Write an older and a newer run of a table into this application's folder and return its root."""
+    root = f"{own_folder(spark)}/runs-{uuid.uuid4().hex}"
+    catalog.write_run(older, root, name, "2024-12-31_235959")
+    catalog.write_run(df, root, name, "2025-01-01_000000")
+    return root
+
+
+@query("written_epochs", f"""select subject_id, condition, count(*) as n_rows, {r('sum(list_sum(x::double[]))', 4)} as total, '2025-01-01_000000' as run_ts from FX_EPOCH group by 1, 2""", "FX_EPOCH")
+def _(spark, sf):
+    e = fx.epochs(spark, sf).select(*fx.EPOCH, "channel", "x")
+    root = _two_runs(spark, sf, "epochs", e, e.where("subject_id = 0"))
+    newest = catalog.read_latest(spark, root, "epochs").select(*fx.REC, "run_ts").distinct()
+    back = catalog.read_epochs(spark, f"{root}/epochs/run_ts=2025-01-01_000000")
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    d = back.groupBy(*fx.REC).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(total).alias("total")).join(newest, fx.REC)
+    return out(d.withColumn("run_ts", F.col("run_ts").cast("string")), "subject_id condition n_rows run_ts", total=4)
+
+
+@query("written_samples", f"select channel, count(*) as n_rows, {r('sum(value)', 4)} as total from FX_SAMPLES group by 1", "FX_SAMPLES")
+def _(spark, sf):
+    s = fx.samples(spark, sf)
+    root = _two_runs(spark, sf, "samples", s, s.where("subject_id = 0"))
+    back = catalog.read_samples(spark, f"{root}/samples/run_ts=2025-01-01_000000")
+    return out(back.groupBy("channel").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("total")), "channel n_rows", total=4)
+
+
 @query("latest_run", "select stage, max(run_ts) as run_ts from FX_RUNS where regexp_full_match(run_ts, '\\d{4}-\\d{2}-\\d{2}') group by 1", "FX_RUNS")
 def _(spark, sf):
     return catalog.latest_run(fx.runs(spark, sf), ["stage"], pattern=DAY)
