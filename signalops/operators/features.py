@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from signalops.functions.nulls import EPS, log_guard, row_mean, safe_div
@@ -164,11 +165,14 @@ def low_variance(df: DataFrame, features: list[str], threshold: float = VARIANCE
     return v.where(~F.col("feature").isin(list(protected))) if protected else v
 
 
+PAIR_ROWS, MERGES = 64, 256
+
+
 def pair_correlations(df: DataFrame, features: list[str]) -> DataFrame:
     """Pairwise-complete |r| of every feature pair (ord_i < ord_j).
 
-    Each task reduces its rows to p x p moment matrices with NumPy and emits them once; only
-    those partial sums are shuffled, so the volume depends on the number of features, not rows.
+    Each task reduces its rows to p x p moment matrices with NumPy and hands them on as blocks of ``PAIR_ROWS`` features. Blocks of many
+    tasks meet in ``MERGES`` groups first and then one another, and only the final sums become a row per pair.
     Columns are standardised first (one scalar aggregate) to keep the sums well conditioned.
     """
     p = len(features)
@@ -177,7 +181,7 @@ def pair_correlations(df: DataFrame, features: list[str]) -> DataFrame:
     z = df.withColumn("__st", stats).select(*[
         ((F.col(c) - F.col(f"__st.m{i}")) / F.coalesce(F.nullif(F.col(f"__st.s{i}"), F.lit(0.0)), F.lit(1.0))).alias(f"f{i}")
         for i, c in enumerate(features)])
-    iu, ju = np.triu_indices(p, 1)
+    starts = range(0, p, PAIR_ROWS)
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = None
@@ -188,13 +192,24 @@ def pair_correlations(df: DataFrame, features: list[str]) -> DataFrame:
             part = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
             acc = part if acc is None else acc + part
         if acc is not None:
-            cells = acc[:, iu, ju]
-            yield pd.DataFrame({"ord_i": iu.astype("int64"), "ord_j": ju.astype("int64"), "n": cells[0], "sx": cells[1],
-                                "sy": cells[2], "sxx": cells[3], "syy": cells[4], "sxy": cells[5]})
+            merge = TaskContext.get().partitionId() % MERGES
+            yield pd.DataFrame({"block": list(starts), "merge": merge, "v": [acc[:, b:b + PAIR_ROWS].tobytes() for b in starts]})
+
+    def added(pdf: pd.DataFrame) -> np.ndarray:
+        return sum(np.frombuffer(v) for v in pdf["v"])
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(v=[added(pdf).tobytes()])
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, cells = int(pdf["block"].iloc[0]), added(pdf).reshape(6, -1, p)
+        i, j = np.nonzero(np.arange(p)[None, :] > np.arange(first, first + cells.shape[1])[:, None])
+        n, sx, sy, sxx, syy, sxy = cells[:, i, j]
+        return pd.DataFrame({"ord_i": i + first, "ord_j": j, "n": n, "sx": sx, "sy": sy, "sxx": sxx, "syy": syy, "sxy": sxy})
 
-    schema = "ord_i bigint, ord_j bigint, n double, sx double, sy double, sxx double, syy double, sxy double"
-    s = z.mapInPandas(moments, schema).groupBy("ord_i", "ord_j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    block = "block bigint, merge int, v binary"
+    s = (z.mapInPandas(moments, block).groupBy("block", "merge").applyInPandas(merged, block)
+         .groupBy("block").applyInPandas(pairs, "ord_i bigint, ord_j bigint, n double, sx double, sy double, sxx double, syy double, sxy double"))
     n = F.nullif(F.col("n"), F.lit(0.0))
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     vx, vy = F.col("sxx") - F.col("sx") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from signalops.functions.hashing import draw
@@ -159,10 +161,10 @@ def _enet(g: np.ndarray, b: np.ndarray, alpha: np.ndarray, l1: np.ndarray, start
     """Coordinate descent on standardised Grams g = X'X/n and b = X'y/n, many problems at once.
 
     Shapes (problems, p, p), (problems, p), (problems,). A problem has converged when a sweep moves no weight by
-    more than ``tol`` of its largest one, or when the exact solution for its present signs meets the optimality
-    conditions, which is tried every 20 sweeps. Returns the weights and which problems converged within ``sweeps``.
+    more than ``tol`` of its largest one and the optimality conditions hold within ``tol`` of the largest X'y, or when the exact
+    solution for its present signs meets the conditions, which is tried every 20 sweeps. Returns the weights and which problems converged within ``sweeps``.
     """
-    w = start.copy()
+    w, done = start.copy(), np.zeros(len(start), bool)
     size, pull = g.diagonal(axis1=1, axis2=2), alpha * l1
     shrink = size + (alpha * (1 - l1))[:, None] + 1e-12
     exact = np.zeros(len(w), bool)
@@ -178,7 +180,13 @@ def _enet(g: np.ndarray, b: np.ndarray, alpha: np.ndarray, l1: np.ndarray, start
                 found = _signed_solution(g[i], b[i], alpha[i], l1[i], w[i])
                 if found is not None:
                     w[i], exact[i] = found, True
-        done = exact | (step <= tol * np.abs(w).max(axis=1))
+        small = exact | (step <= tol * np.abs(w).max(axis=1))
+        if not small.all():
+            continue
+        # Small steps alone may be slow progress: the optimality conditions must hold as well.
+        rest = b - np.einsum("ijk,ik->ij", g, w) - (alpha * (1 - l1))[:, None] * w
+        off = np.where(w != 0, np.abs(rest - pull[:, None] * np.sign(w)), np.maximum(np.abs(rest) - pull[:, None], 0.0)).max(axis=1)
+        done = exact | (off <= tol * np.abs(b).max(axis=1))
         if done.all():
             break
     return w, done
@@ -202,66 +210,162 @@ L1_RATIOS = [0.1, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0]
 N_ALPHAS, ALPHA_RATIO, SWEEPS = 100, 1e-3, 10000
 
 
+GRAM_ROWS, GRAM_BYTES = 256, 1 << 26  # rows of a block; what a task holds before it hands sums on
+
+
+def gram_table(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """Stored rows (keys, block, c, v): sums of products of (1, columns) with one another, blocks of ``GRAM_ROWS`` of their rows.
+
+    Columns are centred on their means (c); missing cells are not allowed. Each task multiplies its rows of a key in NumPy, so the plan does not
+    grow with the square of the width.
+    """
+    p = len(columns) + 1
+    cen = df.agg(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
+    d = df.withColumn("__c", cen)
+    d = d.select(*keys, F.array(*[F.col(f"__c.{c}") for c in columns]).alias("c"), F.array(F.lit(1.0), *[F.col(c) - F.col(f"__c.{c}") for c in columns]).alias("z"))
+    k, starts = len(keys), range(0, p, GRAM_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        types, centre = [], None
+
+        def out() -> pa.RecordBatch:
+            rows = [(key, b, q[b:b + GRAM_ROWS].tobytes()) for key, q in held.items() for b in starts]
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [*[pa.array([r[0][i] for r in rows], t) for i, t in enumerate(types)], pa.array([r[1] for r in rows], pa.int64()),
+                 pa.array([centre] * len(rows), pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.binary())], [*keys, "block", "c", "v"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            types, centre = [b.schema.field(i).type for i in range(k)], b.column(k)[0].as_py()
+            z = b.column(k + 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*[b.column(c).to_pylist() for c in range(k)])):
+                places.setdefault(key, []).append(i)
+            for key, at in places.items():
+                q = z[at].T @ z[at]
+                held[key] = held[key] + q if key in held else q
+                if len(held) * q.nbytes > GRAM_BYTES:
+                    yield out()
+        if held:
+            yield out()
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(v=[sum(np.frombuffer(v) for v in pdf["v"]).tobytes()])
+
+    schema = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keys) + ", block bigint, c array<double>, v binary"
+    return cut(d.mapInArrow(run, schema).groupBy(*keys, "block").applyInPandas(add, schema))
+
+
+def _cells(pdf: pd.DataFrame, key: list[str], p: int) -> dict[tuple, np.ndarray]:
+    """The whole matrix of each key from its blocks."""
+    parts: dict[tuple, dict[int, np.ndarray]] = {}
+    for row in pdf[[*key, "block", "v"]].itertuples(index=False):
+        parts.setdefault(tuple(row[:-2]), {})[row[-2]] = np.frombuffer(row[-1]).reshape(-1, p)
+    return {k: np.concatenate([v[b] for b in sorted(v)]) for k, v in sorted(parts.items())}
+
+
+def _best_net(cells: dict[int, np.ndarray], centre: np.ndarray, n_alphas: int, sweeps: int) -> dict:
+    """The elastic net of one training set given as moment matrices of (1, x..., y) by inner fold, penalties chosen on the inner folds."""
+    p = len(centre) - 1
+
+    def std(q):
+        n, s = q[0, 0], q[0, 1:]
+        m = s / n
+        cov = q[1:, 1:] / n - np.outer(m, m)
+        sd = np.sqrt(np.maximum(np.diag(cov)[:p], 1e-24))
+        return m, sd, cov[:p, :p] / np.outer(sd, sd), cov[:p, p] / sd
+
+    whole = sum(cells.values())
+    m, sd, g, b = std(whole)
+    sets = [(std(whole - q), q) for _, q in sorted(cells.items()) if whole[0, 0] > q[0, 0]]
+    ratio = np.array(L1_RATIOS)
+    path = np.abs(b).max() / ratio[:, None] * np.geomspace(1, ALPHA_RATIO, n_alphas)[None, :]
+    k, r = len(sets), len(ratio)
+    gi, bi = np.repeat([t[0][2] for t in sets], r, axis=0), np.repeat([t[0][3] for t in sets], r, axis=0)
+    w, err, fine = np.zeros((k * r, p)), np.zeros((r, n_alphas)), True
+    for a in range(n_alphas):
+        w, ok = _enet(gi, bi, np.tile(path[:, a], k), np.tile(ratio, k), w, sweeps)
+        fine &= bool(ok.all())
+        for e, ((mi, sdi, _, _), q) in enumerate(sets):
+            u = np.hstack([-w[e * r:(e + 1) * r] / sdi, np.ones((r, 1))])
+            u = np.hstack([-(u @ mi)[:, None], u])  # residual of (1, x, y)
+            err[:, a] += np.einsum("ij,jk,ik->i", u, q, u)
+    i, a = np.unravel_index(err.argmin(), err.shape)
+    w, ok = _enet(g[None], b[None], path[i, a:a + 1], ratio[i:i + 1], np.zeros((1, p)), sweeps)
+    beta = w[0] / sd
+    icept = centre[p] + m[p] - beta @ (centre[:p] + m[:p])
+    return {"beta": np.append(icept, beta).tolist(), "l1": float(ratio[i]), "alpha": float(path[i, a]), "converged": fine and bool(ok.all())}
+
+
+NET = "beta array<double>, l1 double, alpha double, converged boolean"
+
+
 def elastic_net_models(folded: DataFrame, y: str, xs: list[str], row_id: str, by: list[str] = ("rep",), fold: str = "fold",
                        inner: int = 5, n_alphas: int = N_ALPHAS, sweeps: int = SWEEPS) -> DataFrame:
     """One elastic net per (by, fold): beta (intercept first), l1, alpha, converged.
 
-    One aggregate yields a moment cell per (repeat, fold, inner fold), at any width of the design. Every training
-    set, inner or outer, is a sum of cells. Each (repeat, fold) is solved in a task of its own, which
-    receives the cells of the other folds; its inner folds and mixing ratios run down the penalty path together.
+    One pass yields a moment matrix per (repeat, fold, inner fold), at any width of the design. Every training
+    set, inner or outer, is a sum of matrices. Each (repeat, fold) is solved in a task of its own, which
+    receives those of the other folds; its inner folds and mixing ratios run down the penalty path together.
     """
     by = list(by)
-    p = len(xs)
-    cols = [*xs, y]
-    cen = folded.agg(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
-    d = folded.withColumn("__c", cen).withColumn("__i", draw(row_id, 7919, 7) % inner)
-    z = [F.col(c) - F.col(f"__c.{c}") for c in cols]
-    cells = cut(d.groupBy(*by, fold, "__i").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.array(*[F.sum(a) for a in z]).alias("s"),
-        F.array(*[F.sum(z[i] * z[j]) for i in range(p + 1) for j in range(i, p + 1)]).alias("q"),
-        F.max(F.array(*[F.col(f"__c.{c}") for c in cols])).alias("c")))
+    p = len(xs) + 2
+    cells = gram_table(folded.withColumn("__i", draw(row_id, 7919, 7) % inner), [*xs, y], [*by, fold, "__i"])
     folds = cells.select(*by, F.col(fold).alias("__f")).distinct()
-    training = cells.join(folds, by).where(F.col(fold) != F.col("__f")).drop(fold).withColumnRenamed("__f", fold)
-    upper = np.triu_indices(p + 1)
+    training = cells.join(folds, by).where(F.col(fold) != F.col("__f"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        def std(n, s, q):
-            m = s / n
-            cov = q / n - np.outer(m, m)
-            sd = np.sqrt(np.maximum(np.diag(cov)[:p], 1e-24))
-            return m, sd, cov[:p, :p] / np.outer(sd, sd), cov[:p, p] / sd
-
-        def total(part: pd.DataFrame):
-            q = np.zeros((p + 1, p + 1))
-            q[upper] = np.sum(part["q"].tolist(), axis=0)
-            return part["n"].sum(), np.sum(part["s"].tolist(), axis=0), q + np.triu(q, 1).T
-
-        pdf = pdf.sort_values(["__i", "n"], kind="stable")
-        centre = np.array(pdf["c"].iloc[0])
-        m, sd, g, b = std(*total(pdf))
-        sets = [(std(*total(pdf[pdf["__i"] != i])), total(pdf[pdf["__i"] == i])) for i in sorted(pdf["__i"].unique()) if (pdf["__i"] != i).any()]
-        ratio = np.array(L1_RATIOS)
-        path = np.abs(b).max() / ratio[:, None] * np.geomspace(1, ALPHA_RATIO, n_alphas)[None, :]
-        k, r = len(sets), len(ratio)
-        gi, bi = np.repeat([t[0][2] for t in sets], r, axis=0), np.repeat([t[0][3] for t in sets], r, axis=0)
-        w, err, fine = np.zeros((k * r, p)), np.zeros((r, n_alphas)), True
-        for a in range(n_alphas):
-            w, ok = _enet(gi, bi, np.tile(path[:, a], k), np.tile(ratio, k), w, sweeps)
-            fine &= bool(ok.all())
-            for e, ((mi, sdi, _, _), (n, s, q)) in enumerate(sets):
-                u = np.hstack([-w[e * r:(e + 1) * r] / sdi, np.ones((r, 1))])
-                c0 = u @ mi
-                err[:, a] += np.einsum("ij,jk,ik->i", u, q, u) - 2 * c0 * (u @ s) + n * c0 * c0
-        i, a = np.unravel_index(err.argmin(), err.shape)
-        w, ok = _enet(g[None], b[None], path[i, a:a + 1], ratio[i:i + 1], np.zeros((1, p)), sweeps)
-        beta = w[0] / sd
-        icept = centre[p] + m[p] - beta @ (centre[:p] + m[:p])
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in (*by, fold)}, "beta": np.append(icept, beta).tolist(), "l1": float(ratio[i]),
-                              "alpha": float(path[i, a]), "converged": fine and bool(ok.all())}])
+        total: dict[int, np.ndarray] = {}
+        for (_, i), q in _cells(pdf, [fold, "__i"], p).items():
+            total[i] = total.get(i, 0.0) + q
+        net = _best_net(total, np.array(pdf["c"].iloc[0]), n_alphas, sweeps)
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, fold: pdf["__f"].iloc[0], **net}])
 
     types = {f.name: f.dataType.simpleString() for f in folded.schema}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in [*by, fold]] + ["beta array<double>", "l1 double", "alpha double", "converged boolean"])
-    return training.groupBy(*by, fold).applyInPandas(solve, schema)
+    schema = ", ".join([f"`{c}` {types[c]}" for c in [*by, fold]] + [NET])
+    return training.groupBy(*by, "__f").applyInPandas(solve, schema)
+
+
+def permuted_nets(rows: DataFrame, targets: DataFrame, xs: list[str], row_id: str, reps: int, folds: int, inner: int = 5, chunk: int = 8, n_alphas: int = N_ALPHAS,
+                  sweeps: int = SWEEPS) -> DataFrame:
+    """Elastic nets per (rep, fold) where replicates differ in the target only.
+
+    ``rows`` (row_id, xs, fold) give X'X once per (fold, inner fold); ``targets`` (rep, row_id, y_perm) joined to them give X'y and y'y, the only
+    table that grows with the replicates. A task solves ``chunk`` replicates of a fold from one copy of X'X.
+    """
+    p = len(xs) + 1
+    rows = cut(rows.withColumn("__i", draw(row_id, 7919, 7) % inner))
+    gram = gram_table(rows, xs, ["fold", "__i"])
+    mean = targets.agg(F.avg("y_perm").alias("m")).scalar()
+    cen = rows.agg(F.struct(*[F.avg(c).alias(c) for c in xs])).scalar()
+    t = targets.withColumn("__m", mean).withColumn("__y", F.col("y_perm") - F.col("__m")).join(rows.withColumn("__c", cen), row_id)
+    y = F.col("__y")
+    ys = cut(t.groupBy("rep", "fold", "__i").agg(F.array(F.sum(y), *[F.sum(y * (F.col(c) - F.col(f"__c.{c}"))) for c in xs]).alias("xy"), F.sum(y * y).alias("yy"),
+                                                 F.max("__m").alias("m")))
+    chunks = -(-(reps + 1) // chunk)
+    spread = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>"))
+    others = F.filter(F.array(*[F.lit(f).cast("bigint") for f in range(folds)]), lambda f: f != F.col("fold"))
+    left = gram.withColumn("__f", F.explode(others)).withColumn("__k", spread)
+    right = ys.withColumn("__f", F.explode(others)).withColumn("__k", F.floor(F.col("rep") / chunk))
+
+    def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame([], columns=["rep", "fold", "beta", "l1", "alpha", "converged"])
+        x, out = _cells(a, ["fold", "__i"], p), []
+        for rep, part in b.groupby("rep"):
+            total: dict[int, np.ndarray] = {}
+            for f, i, xy, yy in zip(part["fold"], part["__i"], part["xy"], part["yy"]):
+                q = np.zeros((p + 1, p + 1))
+                q[:p, :p], q[:p, p], q[p, :p], q[p, p] = x[f, i], xy, xy, yy
+                total[i] = total.get(i, 0.0) + q
+            net = _best_net(total, np.append(a["c"].iloc[0], part["m"].iloc[0]), n_alphas, sweeps)
+            out.append({"rep": rep, "fold": b["__f"].iloc[0], **net})
+        return pd.DataFrame(out)
+
+    return left.groupBy("__f", "__k").cogroup(right.groupBy("__f", "__k")).applyInPandas(solve, f"rep bigint, fold bigint, {NET}")
 
 
 def elastic_net_oof(folded: DataFrame, y: str, xs: list[str], row_id: str, by: list[str] = ("rep",), fold: str = "fold",
@@ -326,19 +430,20 @@ def grid_permutation(df: DataFrame, target: str, schemes: dict[str, list[str]],
                      reps: int = 100, k: int = 5, seed: int = 42) -> DataFrame:
     """Permutation p of the elastic-net grid, per scheme and against the best scheme per replicate.
 
-    Replicate 0 is the observed order; replicates share one permutation across schemes and
-    every replicate is one more key of the same Gram aggregate.
+    Replicate 0 is the observed order; replicates share one permutation across schemes. X'X is
+    computed once a scheme; a replicate adds its X'y.
     """
     cols = list(dict.fromkeys([*covariates, *[c for s in schemes.values() for c in s]]))
-    d = df.select(row_id, target, *cols).na.drop()
-    perm = permuted_target(d, target, row_id, reps, seed).select("rep", row_id, *cols, "y_perm")
-    both = perm.unionByName(d.select(F.lit(0).cast("bigint").alias("rep"), row_id, *cols, F.col(target).alias("y_perm")))
-    folds = assign_folds(d.select(row_id), row_id, k, 1, seed)
-    both = cut(both.join(folds, row_id))
+    d = cut(df.select(row_id, target, *cols).na.drop())
+    perm = permuted_target(d.select(row_id, target), target, row_id, reps, seed).select("rep", row_id, "y_perm")
+    targets = cut(perm.unionByName(d.select(F.lit(0).cast("bigint").alias("rep"), row_id, F.col(target).alias("y_perm"))))
+    rows = cut(assign_folds(d.select(row_id, *cols), row_id, k, 1, seed))
     scored = []
     for name, members in schemes.items():
         xs = list(dict.fromkeys([*covariates, *members]))
-        p = elastic_net_oof(both.select("rep", "fold", row_id, "y_perm", *xs), "y_perm", xs, row_id)
+        nets = permuted_nets(rows.select(row_id, "fold", *xs), targets, xs, row_id, reps, k).select("rep", "fold", "beta")
+        j = targets.join(rows, row_id).join(nets, ["rep", "fold"])
+        p = j.withColumn("pred", F.col("beta")[0] + add_all([F.col("beta")[i + 1] * F.col(x) for i, x in enumerate(xs)]))
         scored.append(oof_scores(p, "y_perm", "pred", "fold", ["rep"]).select("rep", F.lit(name).alias("scheme"), "oof_r2"))
     s = reduce(DataFrame.unionByName, scored)
     best = F.max("oof_r2").over(W.partitionBy("rep"))

@@ -96,7 +96,7 @@ def _(spark, sf):
 
 @query("grid_permutation")
 def _(spark, sf):
-    g = m.grid_permutation(fx.subject_table(spark, sf), Y, {"theory": SCHEMES["theory"], "data_driven": SCHEMES["data_driven"]}, ["covariate"], "subject_id", reps=10, k=3)
+    g = m.grid_permutation(fx.subject_table(spark, sf), Y, SCHEMES, ["covariate"], "subject_id", reps=100, k=3)
     return out(g, "scheme n_perm", oof_r2=4, perm_p=4, perm_p_selection_corrected=4)
 
 
