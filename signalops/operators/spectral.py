@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from signalops.functions.lineage import cut
 from signalops.functions.nulls import EPS, add_all, safe_div
 
 # Fixed value: the late/early ratio is kept at every tenth wavelet scale.
@@ -444,26 +446,37 @@ def analytic_signal(epochs: DataFrame, fs: float, band: tuple[float, float], n_s
             .withColumn("phase", F.atan2("im", "re")).withColumn("amplitude", F.hypot("re", "im")))
 
 
-def pac_modulation_index(epochs: DataFrame, fs: float, n_samples: int, epoch_keys: list[str], by: list[str],
-                         phase_band: tuple[float, float] = (4, 8), amp_band: tuple[float, float] = (13, 30),
-                         bins: int = PHASE_BINS) -> DataFrame:
-    """Modulation index of beta amplitude over theta phase, mean over epochs.
+def pac_udf(fs: float, phase_band: tuple[float, float] = (4, 8), amp_band: tuple[float, float] = (13, 30), bins: int = PHASE_BINS):
+    """Modulation index of one epoch: how unevenly the mean amplitude is spread over the phase bins."""
 
-    Samples collapse to at most ``bins`` partial rows per epoch before the shuffle.
-    """
-    a = epochs.select(*epoch_keys, analytic_udf(fs, *phase_band)(F.col("x")).alias("p"),
-                      analytic_udf(fs, *amp_band)(F.col("x")).alias("q"))
-    parts = F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), lambda i: F.struct(
-        F.atan2(F.get("p", i + n_samples), F.get("p", i)).alias("ph"),
-        F.hypot(F.get("q", i), F.get("q", i + n_samples)).alias("am")))
-    s = a.select(*epoch_keys, F.inline(parts))
-    b = F.floor((F.col("ph") + math.pi) / (2 * math.pi) * bins)
-    per_bin = s.withColumn("bin", b).where(b < bins).groupBy(*epoch_keys, "bin").agg(F.avg("am").alias("m"))
-    # Sum of m and of m ln m give the entropy without a second pass over the bins.
-    log_m = F.when(F.col("m") > 0, F.col("m") * F.ln("m")).otherwise(0.0)
-    per_epoch = per_bin.groupBy(*epoch_keys).agg(F.sum("m").alias("s"), F.sum(log_m).alias("sl"))
-    mi = F.when(F.col("s") > 0, (math.log(bins) + F.col("sl") / F.col("s") - F.ln("s")) / math.log(bins)).otherwise(0.0)
-    return per_epoch.withColumn("mi", mi).groupBy(*by).agg(F.avg("mi").alias("pac_mi"))
+    def band(b: np.ndarray, lo: float, hi: float) -> np.ndarray:
+        f = np.arange(b.shape[1]) * fs / b.shape[1]
+        z = np.fft.fft(b)
+        z[:, ~((f >= lo) & (f < hi) & (f < fs / 2))] = 0
+        return np.fft.ifft(2 * z)
+
+    def index(b: np.ndarray) -> np.ndarray:
+        k = np.floor((np.angle(band(b, *phase_band)) + math.pi) / (2 * math.pi) * bins).astype(int)
+        amp, row = np.abs(band(b, *amp_band)), np.arange(len(b))[:, None]
+        inside = k < bins
+        cell = (row * bins + k)[inside]
+        n = np.bincount(cell, minlength=len(b) * bins).reshape(-1, bins)
+        m = np.bincount(cell, amp[inside], len(b) * bins).reshape(-1, bins) / np.maximum(n, 1)
+        s, sl = m.sum(1), (m * np.log(np.where(m > 0, m, 1.0))).sum(1)
+        safe = np.where(s > 0, s, 1.0)
+        return np.where(s > 0, (math.log(bins) + sl / safe - np.log(safe)) / math.log(bins), 0.0)[:, None]
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else float(v[0]) for v in _by_length(x, 2, index)], dtype="float64")
+
+    return run
+
+
+def pac_modulation_index(epochs: DataFrame, fs: float, by: list[str], phase_band: tuple[float, float] = (4, 8), amp_band: tuple[float, float] = (13, 30),
+                         bins: int = PHASE_BINS) -> DataFrame:
+    """Modulation index of beta amplitude over theta phase, mean over epochs: row-local, then one number a row is shuffled."""
+    return epochs.select(*by, pac_udf(fs, phase_band, amp_band, bins)(F.col("x")).alias("mi")).groupBy(*by).agg(F.avg("mi").alias("pac_mi"))
 
 
 # ---------------------------------------------------------------- density features
@@ -531,7 +544,18 @@ def build_primitives(epochs: DataFrame, channels: list[str], pairs: list[tuple[s
     rec = ["subject_id", "condition"]
     keys, ep, nps = [*rec, "channel"], [*rec, "epoch_id"], int(fs)
     kept = kept if kept is not None else list(range(0, WAVELET_N_FREQS, 5))
-    psd = mean_psd(epochs, fs, nps, keys)
+    chosen = list(families or ("psd", "aperiodic", "periodic", "paf", "entropy", "coherence", "wavelet", "hjorth", "pac", "covariance"))
+    # All that is one channel's own comes from one pass: density, time-domain and phase-amplitude parts are columns of the epoch's row.
+    row, means = welch_psd(epochs, fs, nps), [F.array(*[F.avg(F.col("psd")[k]) for k in range(nps // 2 + 1)]).alias("psd")]
+    if "hjorth" in chosen:
+        row = row.withColumn("__h", hjorth_parts(F.col("x")))
+        means += [F.avg(f"__h.{c}").alias(c) for c in ("activity", "mobility", "complexity")]
+    if "pac" in chosen:
+        row = row.withColumn("__mi", pac_udf(fs)(F.col("x")))
+        means.append(F.avg("__mi").alias("pac_mi"))
+    own = cut(row.groupBy(*keys).agg(*means))
+    psd = own.select(*keys, "psd")
+    line = aperiodic_fit(psd, fs, nps)
 
     def long(df: DataFrame, pairs_: list[tuple[Column, str]]) -> DataFrame:
         cells = F.array(*[F.struct(n.alias("feature"), F.col(v).cast("double").alias("value")) for n, v in pairs_])
@@ -540,14 +564,11 @@ def build_primitives(epochs: DataFrame, channels: list[str], pairs: list[tuple[s
     def name(prefix: str, *cols: str) -> Column:
         return F.concat_ws("_", F.lit(prefix), *cols)
 
-    def fitted() -> DataFrame:
-        return aperiodic_fit(psd, fs, nps)
-
     parts = {
         "psd": lambda: long(band_power(psd, fs, nps, keys, bands), [
             (name("psd_abs", "band", "channel"), "abs_power"), (name("psd_rel", "band", "channel"), "rel_power")]),
-        "aperiodic": lambda: long(fitted(), [(name("aperiodic_exponent", "channel"), "exponent"), (name("aperiodic_offset", "channel"), "offset")]),
-        "periodic": lambda: long(periodic_power(fitted(), fs, nps, keys, bands), [(name("psd_periodic", "band", "channel"), "periodic_power")]),
+        "aperiodic": lambda: long(line, [(name("aperiodic_exponent", "channel"), "exponent"), (name("aperiodic_offset", "channel"), "offset")]),
+        "periodic": lambda: long(periodic_power(line, fs, nps, keys, bands), [(name("psd_periodic", "band", "channel"), "periodic_power")]),
         "paf": lambda: long(peak_frequency(psd, fs, nps), [(name("paf", "channel"), "paf")]),
         "entropy": lambda: long(psd.withColumn("e", spectral_entropy(F.col("psd"))), [(name("spectral_entropy", "channel"), "e")]),
         "coherence": lambda: long(coherence(epochs, pairs, fs, nps, n_samples, ep, rec, bands), [(name("coh", "band", "ch_a", "ch_b"), "coherence")]),
@@ -555,12 +576,8 @@ def build_primitives(epochs: DataFrame, channels: list[str], pairs: list[tuple[s
             wavelet_power(epochs, fs, n_samples, keys, kept).withColumn("f", F.concat(F.lit("f"), "scale")),
             [(name("cwt_pow", "channel", "f"), "power"), (name("cwt_var", "channel", "f"), "variance"),
              (F.when(F.col("scale") % RATIO_STEP == 0, name("cwt_ratio", "channel", "f")), "late_early")]).where("feature is not null"),
-        "hjorth": lambda: long(hjorth(epochs, keys), [(name(f"hjorth_{h}", "channel"), h) for h in ("activity", "mobility", "complexity")]),
-        "pac": lambda: long(pac_modulation_index(epochs, fs, n_samples, [*ep, "channel"], keys), [(name("pac_theta_beta", "channel"), "pac_mi")]),
+        "hjorth": lambda: long(own, [(name(f"hjorth_{h}", "channel"), h) for h in ("activity", "mobility", "complexity")]),
+        "pac": lambda: long(own, [(name("pac_theta_beta", "channel"), "pac_mi")]),
         "covariance": lambda: long(band_covariance(epochs, channels, fs, n_samples, ep, rec, bands), [(name("cov", "band", "ch_i", "ch_j"), "cov")]),
     }
-    chosen = [parts[f]() for f in (families or parts)]
-    out = chosen[0]
-    for p in chosen[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, [parts[f]() for f in chosen])

@@ -132,7 +132,7 @@ def _(spark, sf):
     e as (select subject_id, condition, channel, vec_id, (ln(18) + sum(z * ln(z))) / ln(18) as mi from s where z > 0 group by all)
     select subject_id, condition, channel, {r('avg(mi)', 6)} as pac_mi from e group by 1, 2, 3""", "FX_DFT")
 def _(spark, sf):
-    d = s.pac_modulation_index(fx.epochs(spark, sf), fx.FS, fx.N, [*fx.EPOCH, "channel"], KEY)
+    d = s.pac_modulation_index(fx.epochs(spark, sf), fx.FS, KEY)
     return out(d, "subject_id condition channel", pac_mi=6)
 
 
