@@ -18,7 +18,7 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES, SORTED = 4096, 1024, 128
+BLOCK, LANES, SORTED = 4096, 512, 128
 MAGIC = b"CMRC1"
 _HEAD = "<5sIII"  # magic, number of ids, crc32 of the ids as <u4, vocabulary size
 _T1, _T2 = 1024, 2048
@@ -130,6 +130,7 @@ def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
         first_t = turned(np.where(seen, start0, novel.start[ids]), np.uint32)
         count_t = turned(np.where(seen, count0, novel.freq[ids]), np.uint32)
         bits_t = turned(np.where(seen, n0[None, :].astype(np.uint8), np.uint8(novel.bits)), np.uint8)
+    del ids, start0, count0, seen
     live, lane = lanes, np.arange(lanes)
 
     def put(rows: np.ndarray) -> None:

@@ -35,7 +35,7 @@ from signalops.functions.lineage import shared_folder
 from signalops.llm import coder
 from signalops.llm.text import text_or_empty
 
-END_ID, CACHE_BYTES, ENTRY = 1, 1 << 26, 150  # about what an entry takes besides its text and ids
+END_ID, CACHE_BYTES, ENTRY = 1, 1 << 25, 150  # about what an entry takes besides its text and ids
 
 
 class Encoder:
