@@ -46,10 +46,12 @@ def kind_of_text(text: Column, n_words: Column) -> Column:
 def placed(docs: DataFrame) -> DataFrame:
     """Packed documents with source, lang, topic (null as the empty text), tokens and key (hash of id and text)."""
     text = text_or_empty()
-    tokens = F.size(words(text)).cast("bigint")
-    topic = F.col("topic").cast("string") if "topic" in docs.columns else kind_of_text(text, tokens)
-    return packed(docs, *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip((F.col("source"), F.col("lang"), topic), DIMS)],
-                  tokens.alias("tokens"), F.xxhash64(F.col("doc_id"), text, F.lit(SEED)).alias("key"))
+    given = [F.col("topic").cast("string").alias("topic")] if "topic" in docs.columns else []
+    d = packed(docs, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in DIMS[:2]], *given, text.alias("text"),
+               F.size(words(text)).cast("bigint").alias("tokens"), F.xxhash64(F.col("doc_id"), text, F.lit(SEED)).alias("key"))
+    # The word count is a column before the kind of text reads it, so texts are split once.
+    topic = F.coalesce("topic", F.lit("")) if given else kind_of_text(F.col("text"), F.col("tokens"))
+    return d.select("row", *DIMS[:2], topic.alias("topic"), "tokens", "key")
 
 
 def cell_table(docs: DataFrame) -> DataFrame:
