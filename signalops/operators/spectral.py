@@ -513,15 +513,25 @@ def kde_features(epochs: DataFrame, points: int = 100) -> DataFrame:
 
 
 def window_features(epochs: DataFrame, channels: list[str], fs: float, nperseg: int, keys: list[str],
-                    bands: Bands = BANDS, kde_points: int = 100) -> DataFrame:
-    """One wide row per window: absolute and relative band power and density features per channel."""
-    f = frequencies(fs, nperseg)
-    e = kde_features(welch_psd(epochs, fs, nperseg), kde_points)
-    e = e.withColumn("__total", trapezoid(F.col("psd"), f, f[0], f[-1], closed=True))
-    e = e.withColumns({f"bp_abs_{b}": trapezoid(F.col("psd"), f, lo, hi) for b, (lo, hi) in bands.items()})
-    e = e.withColumns({f"bp_rel_{b}": F.when(F.col("__total") > 0, F.col(f"bp_abs_{b}") / F.nullif("__total", F.lit(0.0))).otherwise(0.0)
-                       for b in bands})
-    names = [f"bp_{k}_{b}" for b in bands for k in ("abs", "rel")] + ["kde_mean", "kde_sd"]
+                    bands: Bands = BANDS, kde_points: int = 100, families: tuple[str, ...] = ("band_power", "kde")) -> DataFrame:
+    """One wide row per window and channel set: absolute and relative band power (``band_power``) and density features (``kde``).
+
+    A family that is not asked for is not computed.
+    """
+    unknown = set(families) - {"band_power", "kde"}
+    if unknown or not families:
+        raise ValueError(f"families are band_power and kde, not {sorted(unknown)}")
+    e, names = epochs, []
+    if "band_power" in families:
+        f = frequencies(fs, nperseg)
+        e = welch_psd(e, fs, nperseg).withColumn("__total", trapezoid(F.col("psd"), f, f[0], f[-1], closed=True))
+        e = e.withColumns({f"bp_abs_{b}": trapezoid(F.col("psd"), f, lo, hi) for b, (lo, hi) in bands.items()})
+        e = e.withColumns({f"bp_rel_{b}": F.when(F.col("__total") > 0, F.col(f"bp_abs_{b}") / F.nullif("__total", F.lit(0.0))).otherwise(0.0)
+                           for b in bands})
+        names += [f"bp_{k}_{b}" for b in bands for k in ("abs", "rel")]
+    if "kde" in families:
+        e = kde_features(e, kde_points)
+        names += ["kde_mean", "kde_sd"]
     return e.groupBy(*keys).agg(*[F.max(F.when(F.col("channel") == c, F.col(n))).alias(f"{n}_{c}")
                                   for c in channels for n in names])
 

@@ -158,7 +158,7 @@ def _(spark, sf):
     return out(s.kde_features(fx.epochs(spark, sf)), "vec_id", kde_mean=5, kde_sd=5)
 
 
-WF = [f"{n}_{c}" for c in fx.CHANNELS for n in ("bp_abs_alpha", "bp_rel_alpha", "bp_rel_beta", "kde_mean", "kde_sd")]
+WF = [f"{n}_{c}" for c in fx.CHANNELS for n in (*[f"bp_{k}_{b}" for b in s.BANDS for k in ("abs", "rel")], "kde_mean", "kde_sd")]
 
 
 def _wf_sql():
@@ -169,15 +169,15 @@ def _wf_sql():
         cols.append(f"{r(f'''max(case when channel = '{ch}' then {n} end){scale}''', 3 if scale else 5)} as {w}")
     band = lambda lo, hi: f"sum((p + q) / 2) filter (k >= {lo} and k + 1 < {hi})"
     return f"""with {KDE}, w as (select *, lead(p) over (partition by vec_id order by k) as q from FX_PSD),
-      b as (select subject_id, condition, epoch_id, channel, vec_id, {band(8, 13)} as bp_abs_alpha, {band(8, 13)} / sum((p + q) / 2) as bp_rel_alpha,
-        {band(13, 30)} / sum((p + q) / 2) as bp_rel_beta from w group by all)
+      b as (select subject_id, condition, epoch_id, channel, vec_id, {', '.join(f"{band(lo, hi)} as bp_abs_{n}, {band(lo, hi)} / sum((p + q) / 2) as bp_rel_{n}" for n, (lo, hi) in s.BANDS.items())}
+        from w group by all)
       select subject_id, condition, epoch_id, {', '.join(cols)} from b join kf using (vec_id) group by 1, 2, 3"""
 
 
 @query("window_features", _wf_sql(), ("FX_PSD",))
 def _(spark, sf):
     d = s.window_features(fx.epochs(spark, sf), fx.CHANNELS, fx.FS, fx.N, fx.EPOCH)
-    d = d.withColumns({f"bp_abs_alpha_{c}": F.col(f"bp_abs_alpha_{c}") * 1e6 for c in fx.CHANNELS})
+    d = d.withColumns({c: F.col(c) * 1e6 for c in WF if c.startswith("bp_abs")})
     return out(d, "subject_id condition epoch_id", **{w: 3 if w.startswith("bp_abs") else 5 for w in WF})
 
 

@@ -51,6 +51,16 @@ def test_peak_to_peak_drops_the_whole_epoch(spark):
     assert (st.n_before, st.n_after, st.pct_dropped, st.warn) == (2, 1, 0.5, True)
 
 
+def test_window_families_are_a_switch(spark):
+    e = spark.createDataFrame([("a", 0, "F3", [float(i % 7) for i in range(64)])], "subject_id string, epoch_id int, channel string, x array<double>")
+    both = s.window_features(e, ["F3"], 64.0, 64, ["subject_id", "epoch_id"])
+    kde = s.window_features(e, ["F3"], 64.0, 64, ["subject_id", "epoch_id"], families=("kde",))
+    assert kde.columns == ["subject_id", "epoch_id", "kde_mean_F3", "kde_sd_F3"] and len(both.columns) == 12
+    assert kde.first().kde_mean_F3 == both.first().kde_mean_F3
+    with pytest.raises(ValueError, match="families"):
+        s.window_features(e, ["F3"], 64.0, 64, ["subject_id"], families=("wavelet",))
+
+
 def test_epoch_floor_boundary(spark):
     d = spark.createDataFrame([(59,), (60,)], "n int").select(c.epoch_floor(F.col("n")).alias("s"))
     assert [r.s for r in d.collect()] == ["LOW_EPOCH_COUNT", "OK"]
