@@ -170,9 +170,11 @@ def fit(rows: DataFrame, teaching: DataFrame, rounds: int = ROUNDS, sure: float
     base = class_sums(rows.where("not held"), blank)
     views, r, m = _ratios(blank, *base)
     for _ in range(rounds):
-        views, _ = _calibrated(views, looked_at(rows, views, r != 0))
+        some = rows.where("held") if t["held"].any() else rows
+        views, _ = _calibrated(views, looked_at(some, views, r != 0))
         more = class_sums(teaching, views, sure)
         views, r, m = _ratios(blank, *[a + b for a, b in zip(base, more)])
+    r = np.where(base[0][:, :-1].sum(0) >= 5, r, 0.0)  # the layer can only weigh what some labelled rows hold
     t = looked_at(rows, views, r != 0)
     own = t[~t["held"]]
     layers = {}
