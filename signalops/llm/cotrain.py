@@ -179,8 +179,8 @@ def fit(rows: DataFrame, teaching: DataFrame, rounds: int = ROUNDS, sure: float
     own = t[~t["held"]]
     layers = {}
     for name, column, ratios in (("text", "f", r), ("meta", "m", m)):
-        ids = [np.frombuffer(f, "<u4") for f in own[column]]
-        w, b = linear.logistic(linear.Rows.of([i[ratios[i] != 0] for i in ids]), own["y"].to_numpy(), ratios, steps=50)
+        ids = linear.Rows.of([np.frombuffer(f, "<u4") for f in own[column]])
+        w, b = linear.logistic(ids, own["y"].to_numpy(), ratios, steps=50)
         layers[name] = linear.TextModel.made(w, ratios, b)
     return _calibrated(replace(views, **layers), t)
 

@@ -21,6 +21,7 @@ from signalops.functions.lineage import cut
 D = 1 << 18
 GRAMS = (5, 7)
 SLICE = 4096
+HELD = 1 << 20
 _LUT = np.array([i if i >= 128 or 97 <= i <= 122 else 32 for i in range(256)], np.uint8)
 _CHUNK = 1 << 20
 
@@ -52,8 +53,11 @@ def feature_set(text: str | None, mark: np.ndarray, grams: tuple[int, ...] = GRA
     b = letters(text or "")
     for lo in range(0, len(b), _CHUNK):
         for ids in gram_ids(b[lo:lo + _CHUNK + grams[-1] - 1], grams, len(mark)):
-            mark[ids] = True
-    found = np.flatnonzero(mark)
+            mark[ids.astype(np.intp)] = True
+    eight = mark.view(np.uint64)  # most marks are unset: those of eight ids at a time
+    groups = np.flatnonzero(eight != 0)
+    near = np.flatnonzero(eight[groups].view(bool))
+    found = (groups[near >> 3] << 3) + (near & 7)
     mark[found] = False
     return found
 
@@ -116,13 +120,47 @@ class Rows:
     ids: np.ndarray
     ptr: np.ndarray
 
-    @property
-    def row(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.ptr) - 1, dtype=np.int32), np.diff(self.ptr))
-
     @staticmethod
     def of(parts: list[np.ndarray]) -> "Rows":
-        return Rows(np.concatenate([*parts, np.empty(0, np.uint32)]).astype(np.int32), np.cumsum([0, *map(len, parts)]))
+        ptr = np.cumsum([0, *map(len, parts)])
+        ids = np.concatenate([*parts, np.empty(0, np.uint32)], out=np.empty(ptr[-1], np.int32), casting="unsafe")
+        return Rows(ids, ptr)
+
+    def blocks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """First and last row, ids and lengths of consecutive rows with about ``HELD`` ids, so that what is derived of them stays small."""
+        lo, n = 0, len(self.ptr) - 1
+        while lo < n:
+            hi = min(n, max(lo + 1, int(np.searchsorted(self.ptr, self.ptr[lo] + HELD, "right")) - 1))
+            yield lo, hi, self.ids[self.ptr[lo]:self.ptr[hi]], np.diff(self.ptr[lo:hi + 1])
+            lo = hi
+
+
+class UnitRows:
+    """Rows whose features hold the values ``r``, scaled to length one; values are made block by block, never for all ids at once."""
+
+    def __init__(self, rows: Rows, r: np.ndarray):
+        self.rows, self.r, self.scale = rows, r, 1.0
+        self.scale = 1 / np.sqrt(self._sums(r * r) + 1e-9)
+
+    def __len__(self) -> int:
+        return len(self.rows.ptr) - 1
+
+    def _sums(self, v: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self))
+        for lo, hi, ids, sizes in self.rows.blocks():
+            out[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), sizes), v[ids], hi - lo)
+        return out
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        """Each row times the weights."""
+        return self._sums(w * self.r) * self.scale
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        """The sum of all rows, each times its entry of ``g``."""
+        out, g = np.zeros(len(self.r)), g * self.scale
+        for lo, hi, ids, sizes in self.rows.blocks():
+            out += np.bincount(ids, np.repeat(g[lo:hi], sizes), len(out))
+        return out * self.r
 
 
 def sparse(df: DataFrame, keep: np.ndarray, extra: tuple[str, ...] = ()) -> tuple[list[np.ndarray], dict[str, list]]:
@@ -144,11 +182,6 @@ def sparse(df: DataFrame, keep: np.ndarray, extra: tuple[str, ...] = ()) -> tupl
     return [np.frombuffer(x, "<u4") for x in t["f"]], {c: t[c].tolist() for c in extra}
 
 
-def unit_values(rows: Rows, r: np.ndarray) -> np.ndarray:
-    x = r.astype(np.float32)[rows.ids]
-    return x / np.sqrt(np.bincount(rows.row, x * x, len(rows.ptr) - 1) + 1e-9).astype(np.float32)[rows.row]
-
-
 def logistic(rows: Rows, y: np.ndarray, r: np.ndarray, pairs: tuple[Rows, Rows] | None = None, pair_weight: float = 1.0,
              l2: float = 1e-4, steps: int = 80, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights (zero outside the kept features) and bias; classes weigh the same.
@@ -156,30 +189,24 @@ def logistic(rows: Rows, y: np.ndarray, r: np.ndarray, pairs: tuple[Rows, Rows]
     ``pairs``: texts and their counterfactuals; the mean squared difference of their logits is added to the loss,
     times ``pair_weight``. Full-batch Adam, deterministic.
     """
-    kept = np.flatnonzero(r)
-    place = np.full(len(r), -1, np.int32)
-    place[kept] = np.arange(len(kept), dtype=np.int32)
-    row, idx, x, n = rows.row, place[rows.ids], unit_values(rows, r), len(y)
-    sized = [(p.row, place[p.ids], unit_values(p, r), len(p.ptr) - 1) for p in pairs or ()]
-    w, b = np.zeros(len(kept)), 0.0
+    x, n = UnitRows(rows, r), len(y)
+    sized = [UnitRows(p, r) for p in pairs or ()]
+    w, b = np.zeros(len(r)), 0.0
     pos = max(1, int(y.sum()))
     cost = np.where(y == 1, n / (2 * pos), n / (2 * max(1, n - pos))) / max(1, n)
-    m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    m, v = np.zeros(len(r) + 1), np.zeros(len(r) + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(row, x * w.astype(np.float32)[idx], n) + b
+        z = x.dot(w) + b
         g = cost * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.append(np.bincount(idx, x * g.astype(np.float32)[row], len(kept)) + l2 * w, g.sum())
-        if sized and sized[0][3]:
-            (ra, ia, xa, k), (rb, ib, xb, _) = sized
-            gap = np.bincount(ra, xa * w[ia], k) - np.bincount(rb, xb * w[ib], k)
-            c = 2 * pair_weight / k * gap
-            grad[:-1] += np.bincount(ia, xa * c[ra], len(kept)) - np.bincount(ib, xb * c[rb], len(kept))
+        grad = np.append(x.back(g) + l2 * w, g.sum())
+        if sized and len(sized[0]):
+            one, other = sized
+            c = 2 * pair_weight / len(one) * (one.dot(w) - other.dot(w))
+            grad[:-1] += one.back(c) - other.back(c)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    full = np.zeros(len(r))
-    full[kept] = w
-    return full, float(b)
+    return w, float(b)
 
 
 @dataclass

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -107,6 +108,26 @@ def test_quality_on_rows_that_did_not_teach(spark):
     assert np.mean(y == p) > 0.92 and p[y == 1].mean() > 0.95
 
 
+def test_the_layer_is_fitted_in_small_memory(monkeypatch):
+    rng = np.random.default_rng(3)
+    r, y = np.where(rng.random(20000) < 0.8, rng.normal(size=20000), 0.0), np.arange(1001) % 2
+    parts = [np.flatnonzero((rng.random(20000) < 0.3) & (r != 0)).astype("<u4") for _ in range(1000)] + [np.empty(0, "<u4")]
+    rows = linear.Rows.of(parts)
+    tracemalloc.start()
+    w, b = linear.logistic(rows, y, r, steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows.ids) > 4_000_000 and peak < 60e6
+    monkeypatch.setattr(linear, "HELD", 1000)
+    few, c = linear.logistic(rows, y, r, steps=3)
+    assert np.allclose(w, few, atol=1e-9) and abs(b - c) < 1e-9 and not w[r == 0].any()
+    x = np.zeros((1001, 20000))
+    for i, p in enumerate(parts):
+        x[i, p] = r[p] / np.sqrt((r[p] ** 2).sum() + 1e-9)
+    held = linear.UnitRows(rows, r)
+    assert np.allclose(held.dot(w), x @ w) and np.allclose(held.back(y - 0.5), x.T @ (y - 0.5))
+
+
 def test_views_stay_apart_and_odd_rows(spark, odd, make):
     labels = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
     got = cotrain.report(odd, labels([(i, i % 2, 0) for i in range(1, 9)]))
