@@ -7,7 +7,11 @@ share of the first n ids, n the last power of two). An id that none of them hold
 a fixed table that favours low ids. The weights of the four are mixed online: each pair of confidence
 levels of orders 2 and 1 has its own adaptive distribution. The chosen interval narrows a 64-bit range.
 
-The blocks of a group are the lanes of NumPy arrays: one step codes the next id of every lane, so the
+A block is cut into up to ``STREAMS`` runs of ids that are coded side by side, each into a range of its own, while they share the block's
+tables: step t codes id t of every run, so what a run has met helps the others from the next step on, and "so far" means the ids of
+all earlier steps. Where runs write one table entry in one step, the last run's stays.
+
+The runs of a group of blocks are the lanes of NumPy arrays: one step codes the next id of every lane, so the
 cost of an array call is shared by all lanes. Encoder and decoder run the same ``_Model``.
 """
 
@@ -18,9 +22,9 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES, SORTED = 4096, 512, 128
-MAGIC = b"CMRC1"
-_HEAD = "<5sIII"  # magic, number of ids, crc32 of the ids as <u4, vocabulary size
+BLOCK, LANES, STREAMS = 4096, 256, 16  # ids a block, blocks a group, runs a block
+MAGIC = b"CMRC2"
+_HEAD = "<5sIII"  # magic, number of ids, crc32 of the ids as <u4, vocabulary size; then the words of each run as <u2
 _T1, _T2 = 1024, 2048
 _MIX = 4096
 # Packed 16-bit fields (a0, a1, a2): the cumulated weights of order 2, order 1, order 0 out of _MIX.
@@ -45,16 +49,52 @@ class _Novel:
         self.at = np.repeat(np.arange(vocab, dtype=np.int32), f)
 
 
+def _runs(n: int) -> int:
+    """How many runs a block of n ids has: a power of two."""
+    return next(k for k in (STREAMS, 8, 4, 2, 1) if n >= 16 * k or k == 1)
+
+
+def _stepwise(n: int) -> np.ndarray:
+    """Where the ids of a block stand in the order of coding: step by step, all runs in turn."""
+    k = _runs(n)
+    t, run = np.divmod(np.arange(n), k)
+    return run * (n // k) + np.minimum(run, n % k) + t
+
+
+class _Lanes:
+    """The runs of a group of blocks, the longest first; those of a block stay in their order."""
+
+    def __init__(self, sizes: list[int]):
+        self.sizes = np.array(sizes, np.int64)
+        self.runs = np.array([_runs(n) for n in sizes], np.int64)
+        block = np.repeat(np.arange(len(sizes)), self.runs)
+        run = np.arange(len(block)) - np.repeat(np.cumsum(self.runs) - self.runs, self.runs)
+        k, n = self.runs[block], self.sizes[block]
+        length = n // k + (run < n % k)
+        self.order = np.argsort(-length, kind="stable")
+        self.block, self.run, self.stride, self.length = block[self.order], run[self.order], k[self.order], length[self.order]
+        self.steps, self.width = int(length.max(initial=0)), int(self.sizes.max(initial=0))
+        self.at = self.block * self.width + self.run  # of step 0 in the blocks' rows
+
+    def live(self, t: int) -> int:
+        return int(np.searchsorted(-self.length, -t, "left"))
+
+
 class _Model:
-    """Order-1 and order-2 predictions and mixing weights of ``lanes`` blocks."""
+    """Order-1 and order-2 predictions and mixing weights of blocks, looked up by their runs."""
+
+    def __init__(self, lanes: _Lanes):
+        blocks = len(lanes.sizes)
+        self.one, self.two = np.zeros(blocks * _T1, np.int32), np.zeros(blocks * _T2, np.int32)
+        self.mix = np.tile(_START, blocks)
+        self.b1, self.b2, self.bm = lanes.block * _T1, lanes.block * _T2, lanes.block * 16
+        self.last = np.zeros(len(lanes.block), np.int64)
+        self.before = np.zeros(len(lanes.block), np.int64)
 
-    def __init__(self, lanes: int):
-        lane = np.arange(lanes)
-        self.one, self.two = np.zeros(lanes * _T1, np.int64), np.zeros(lanes * _T2, np.int64)
-        self.mix = np.tile(_START, lanes)
-        self.b1, self.b2, self.bm = lane * _T1, lane * _T2, lane * 16
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
+    def keep(self, live: int) -> None:
+        """Go on with the first lanes only."""
+        for name in ("b1", "b2", "bm", "last", "before"):
+            setattr(self, name, getattr(self, name)[:live])
 
     def look(self) -> None:
         self.i1 = self.b1 + (self.last & (_T1 - 1))
@@ -62,7 +102,7 @@ class _Model:
         self.e1, self.e2 = self.one[self.i1], self.two[self.i2]
         self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
         self.k1, self.k2 = self.e1 & 3, self.e2 & 3
-        self.ctx = self.bm + (self.k2 << 2) + self.k1 * (self.p1 != self.p2)
+        self.ctx = self.bm + ((self.k2 << 2) + self.k1 * (self.p1 != self.p2))
         self.w = self.mix[self.ctx]
 
     def interval(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,28 +116,28 @@ class _Model:
         fresh = (ids << 2) | 1
         self.one[self.i1] = np.where(hit1, self.e1 + (self.k1 < 3), fresh)
         self.two[self.i2] = np.where(hit2, self.e2 + (self.k2 < 3), fresh)
-        self.before, self.last = self.last, ids
+        self.before, self.last = self.last, ids.astype(np.int64)
 
 
 def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each id of each lane: start and count of the id among the first n ids, sorted (count 0: unseen)."""
-    lanes, steps = ids.shape
-    order = np.argsort(ids, axis=1, kind="stable")
-    s = np.take_along_axis(ids, order, axis=1)
-    rank = np.zeros((lanes, steps), np.int32)
-    dense = np.zeros((lanes, steps), np.int32)
-    dense[:, 1:] = np.cumsum(s[:, 1:] != s[:, :-1], axis=1)
-    np.put_along_axis(rank, order, dense, axis=1)
-    start, count = np.zeros((lanes, steps), np.int32), np.zeros((lanes, steps), np.int32)
-    width = int(dense[:, -1].max()) + 1
-    tally = np.zeros((lanes, width), np.int32)
-    flat = rank + (np.arange(lanes, dtype=np.int32) * width)[:, None]
-    done, n = 0, 16
+    rows, steps = ids.shape
+    base = np.arange(rows)[:, None]
+    order = (np.argsort(ids, axis=1, kind="stable") + base * steps).ravel()
+    s = ids.ravel()[order]
+    edge = np.ones(s.shape, bool)
+    edge[1:] = s[1:] != s[:-1]
+    edge[::steps] = True
+    rank = np.empty(s.shape, np.int32)
+    rank[order] = np.cumsum(edge, dtype=np.int32) - 1
+    rank = rank.reshape(rows, steps)
+    start, count = np.zeros((rows, steps), np.int32), np.zeros((rows, steps), np.int32)
+    tally, done, n = np.zeros(int(edge.sum()), np.int32), 0, 16
     while n < steps:
-        tally += np.bincount(flat[:, done:n].ravel(), minlength=lanes * width).reshape(lanes, width).astype(np.int32)
-        before = np.cumsum(tally, axis=1, dtype=np.int32) - tally
-        part = flat[:, n:2 * n]
-        start[:, n:2 * n], count[:, n:2 * n] = before.ravel()[part], tally.ravel()[part]
+        tally += np.bincount(rank[:, done:n].ravel(), minlength=len(tally)).astype(np.int32)
+        before = np.cumsum(tally, dtype=np.int32) - tally
+        part = rank[:, n:2 * n]
+        start[:, n:2 * n], count[:, n:2 * n] = before[part] - base * n, tally[part]
         done, n = n, 2 * n
     return start, count
 
@@ -106,97 +146,98 @@ def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
     """Code each block of ids (at most ``BLOCK`` ids below ``vocab``) on its own."""
     if not blocks:
         return []
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    lengths = np.array([len(blocks[i]) for i in order])
-    lanes, steps = len(blocks), int(lengths[0])
-    ids = np.zeros((lanes, steps), np.uint32)
-    for r, i in enumerate(order):
-        ids[r, :lengths[r]] = blocks[i]
-    if steps and int(ids.max()) >= vocab:
+    lanes = _Lanes([len(b) for b in blocks])
+    ids = np.zeros((len(blocks), lanes.width), np.uint32)
+    for r, b in enumerate(blocks):
+        ids[r, :len(b)] = b[_stepwise(len(b))]
+    if lanes.width and int(ids.max()) >= vocab:
         raise ValueError("id outside the vocabulary")
-    start0, count0 = np.zeros((lanes, steps), np.int32), np.zeros((lanes, steps), np.int32)
-    for i in range(0, lanes if steps else 0, SORTED):  # few lanes at a time: sorting takes several times their memory
-        some = ids[i:i + SORTED]
-        start0[i:i + SORTED], count0[i:i + SORTED] = _order0(some.astype(np.uint16) if vocab <= 65536 else some)
-    novel, m = _Novel(vocab), _Model(lanes)
-    low, rng = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
-    words, size = np.zeros((lanes, steps + 4), np.uint32), np.zeros(lanes, np.int64)
     # What coding an id by order 0, or as a novel id, needs; known for all steps beforehand.
-    seen = count0 > 0 if steps else None
-    n0 = np.array([t.bit_length() - 1 if t >= 16 else 0 for t in range(steps)])
-    turned = lambda x, kind: np.ascontiguousarray(x.T.astype(kind))
-    if steps:
-        ids_t, part_t = turned(ids, np.uint32), turned(np.where(seen, np.int8(2), np.int8(3)), np.int8)
-        first_t = turned(np.where(seen, start0, novel.start[ids]), np.uint32)
-        count_t = turned(np.where(seen, count0, novel.freq[ids]), np.uint32)
-        bits_t = turned(np.where(seen, n0[None, :].astype(np.uint8), np.uint8(novel.bits)), np.uint8)
-    del ids, start0, count0, seen
-    live, lane = lanes, np.arange(lanes)
+    novel, m = _Novel(vocab), _Model(lanes)
+    first, count = _order0(ids.astype(np.uint16) if vocab <= 65536 else ids) if lanes.width else (ids.astype(np.int32), ids.astype(np.int32))
+    seen = count > 0
+    first, count = np.where(seen, first, novel.start[ids]).ravel(), np.where(seen, count, novel.freq[ids]).ravel()
+    n0 = np.array([q.bit_length() - 1 if q >= 16 else 0 for q in range(lanes.width)], np.uint8)
+    bits, part0 = np.where(seen, n0, np.uint8(novel.bits)).ravel(), np.where(seen, np.int8(2), np.int8(3)).ravel()
+    ids = ids.ravel().astype(np.int32)
+    live = len(lanes.block)
+    low, rng = np.zeros(live, U), np.full(live, 2**64 - 1, U)
+    words, size = np.zeros((live, lanes.steps + 4), np.uint32), np.zeros(live, np.int64)
+
+    def carry(rows: np.ndarray) -> None:
+        """Add one to the words already written."""
+        back = 1
+        rows = rows[size[rows] >= back]
+        while len(rows):
+            words[rows, size[rows] - back] += np.uint32(1)
+            rows = rows[words[rows, size[rows] - back] == 0]
+            back += 1
+            rows = rows[size[rows] >= back]
 
     def put(rows: np.ndarray) -> None:
         words[rows, size[rows]] = (low[rows] >> U(32)).astype(np.uint32)
         size[rows] += 1
         low[rows] <<= U(32)
 
-    for t in range(steps):
-        if lengths[live - 1] <= t:  # shorter lanes have ended; they still step, but write nothing
-            live = int(np.searchsorted(-lengths, -t, "left"))
-        s = ids_t[t].astype(np.int64)
+    def end(rows: np.ndarray) -> None:
+        """One word more tells the range: the next multiple of 2**32 lies within it."""
+        new = low[rows] + U(2**32 - 1)
+        carry(rows[new < low[rows]])
+        low[rows] = new
+        put(rows)
+
+    for t in range(lanes.steps):
+        now = lanes.live(t)
+        if now < live:
+            end(np.arange(now, live))
+            live, low, rng = now, low[:now], rng[:now]
+            m.keep(now)
+        at = lanes.at[:live] + t * lanes.stride[:live]
+        s = ids[at]
         m.look()
         hit1, hit2 = m.p1 == s, m.p2 == s
-        part = np.where(hit1, np.int8(1), part_t[t]).astype(np.int64) * ~hit2
+        part = np.where(hit2, 0, np.where(hit1, 1, part0[at]))
         lo, width = m.interval(part)
         r = rng >> U(12)
-        add = r * lo.view(U)
+        new = low + r * lo.view(U)
+        over = new < low
         rng = r * width.view(U)
-        miss = part > 1
-        r = rng >> (bits_t[t] * miss).astype(U)
-        add += r * (first_t[t] * miss)
-        rng = r * np.where(miss, count_t[t], np.uint32(1))
-        new = low + add
-        over = np.flatnonzero(new[:live] < low[:live])
+        miss = np.flatnonzero(part > 1)
+        k = at[miss]
+        r = rng[miss] >> bits[k].astype(U)
+        some = new[miss]
+        new[miss] = more = some + r * first[k].astype(U)
+        over[miss] |= more < some
+        rng[miss] = r * count[k].astype(U)
         low = new
-        while len(over):  # carry into words already written
-            at = size[over]
-            over, at = over[at > 0], at[at > 0]
-            size_at = at - 1
-            back = 0
-            while len(over):
-                words[over, size_at - back] += np.uint32(1)
-                more = words[over, size_at - back] == 0
-                over, size_at = over[more], size_at[more]
-                back += 1
+        if over.any():
+            carry(np.flatnonzero(over))
         m.learn(s, part, hit1, hit2)
-        small = np.flatnonzero(rng[:live] < U(1 << 32))
-        if len(small):
-            put(small)
-            rng[small] <<= U(32)
-        if live < lanes:  # keep ended lanes inside valid arithmetic
-            rng[live:] = U(2**64 - 1)
-        if live and t + 1 < steps and lengths[live - 1] == t + 1:
-            end = np.flatnonzero(lengths[:live] == t + 1)
-            put(end), put(end)
-            rng[end] = U(2**64 - 1)
-    last = lane[lengths == steps] if steps else lane[:0]
-    put(last), put(last)
-    out = [b""] * lanes
-    for r, i in enumerate(order):
-        raw = np.ascontiguousarray(blocks[i], dtype="<u4").tobytes()
-        out[i] = struct.pack(_HEAD, MAGIC, int(lengths[r]), zlib.crc32(raw), vocab) + words[r, :size[r]].astype("<u4").tobytes()
+        small = np.flatnonzero(rng < U(1 << 32))
+        put(small)
+        rng[small] <<= U(32)
+    end(np.arange(live))
+    back = np.argsort(lanes.order)
+    size, words = size[back], words[back]
+    body = words[np.arange(words.shape[1]) < size[:, None]].astype("<u4")
+    stop = np.cumsum(np.concatenate(([0], size)))
+    out, lane = [], 0
+    for b, n, k in zip(blocks, lanes.sizes.tolist(), lanes.runs.tolist()):
+        raw = np.ascontiguousarray(b, dtype="<u4").tobytes()
+        out.append(struct.pack(_HEAD, MAGIC, n, zlib.crc32(raw), vocab) + size[lane:lane + k].astype("<u2").tobytes() + body[stop[lane]:stop[lane + k]].tobytes())
+        lane += k
     return out
 
 
-def _history(got: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted first n ids of every lane, with start and count of the id at each position (flattened)."""
-    s = np.sort(got[:, :n], axis=1, kind="stable")
+def _history(got: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of every row sorted, with start and count of the id at each position."""
+    s = np.sort(got, axis=1, kind="stable")
     edge = np.ones(s.shape, bool)
     edge[:, 1:] = s[:, 1:] != s[:, :-1]
-    at = np.arange(n, dtype=np.int32)[None, :]
-    first = np.maximum.accumulate(np.where(edge, at, 0), axis=1)
-    tail = np.ones(s.shape, bool)
-    tail[:, :-1] = edge[:, 1:]
-    stop = np.minimum.accumulate(np.where(tail, at + 1, n)[:, ::-1], axis=1)[:, ::-1]
-    return s.ravel().astype(np.int64), first.ravel().astype(np.int64), (stop - first).ravel().astype(np.int64)
+    first = np.flatnonzero(edge)
+    count = np.diff(first, append=s.size)
+    flat = s.ravel(), np.repeat((first % s.shape[1]).astype(np.int32), count), np.repeat(count.astype(np.int32), count)
+    return tuple(x.reshape(s.shape) for x in flat)
 
 
 def decode(coded: list[bytes]) -> list[np.ndarray]:
@@ -206,63 +247,71 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
     heads = [struct.unpack_from(_HEAD, c) for c in coded]
     if any(h[0] != MAGIC for h in heads) or len({h[3] for h in heads}) != 1:
         raise ValueError("not a block of this format, or blocks of several vocabularies in one group")
-    order = sorted(range(len(coded)), key=lambda i: -heads[i][1])
-    lengths = np.array([heads[i][1] for i in order])
-    lanes, steps, vocab = len(coded), int(lengths[0]), heads[0][3]
-    bodies = [np.frombuffer(coded[i], "<u4", offset=struct.calcsize(_HEAD)) for i in order]
-    words = np.zeros((lanes, max(map(len, bodies)) + 2), np.uint32)
-    for r, b in enumerate(bodies):
-        words[r, :len(b)] = b
+    lanes, vocab = _Lanes([h[1] for h in heads]), heads[0][3]
+    if lanes.width > BLOCK:
+        raise ValueError("a block holds more ids than this format allows")
+    head = struct.calcsize(_HEAD)
+    size = np.concatenate([np.frombuffer(c, "<u2", k, head) for c, k in zip(coded, lanes.runs.tolist())]).astype(np.int64)
+    body = np.concatenate([np.frombuffer(c, "<u4", offset=head + 2 * k) for c, k in zip(coded, lanes.runs.tolist())])
+    if len(body) != size.sum():
+        raise ValueError("length of a block does not match")
+    words = np.zeros((len(size), max(int(size.max()), 2) + 1), np.uint32)  # each run ends in zeros
+    words[np.arange(words.shape[1]) < size[:, None]] = body
+    words = words[lanes.order]
     novel, m = _Novel(vocab), _Model(lanes)
-    got = np.zeros((lanes, steps), np.uint16 if vocab <= 65536 else np.uint32)
-    got_t = np.zeros((steps, lanes), got.dtype)
-    width_w = words.shape[1]
-    flat, lane = words.ravel(), np.arange(lanes)
-    pos = lane * width_w + 2
-    top = lane * width_w + width_w - 1
+    got = np.zeros((len(coded), lanes.width), np.int32)
+    flat, live, width_w = words.ravel(), len(lanes.block), words.shape[1]
+    pos = np.arange(live) * width_w + 2
+    top = pos + width_w - 3
     d = (words[:, 0].astype(U) << U(32)) | words[:, 1].astype(U)
-    rng = np.full(lanes, 2**64 - 1, U)
-    hist = None
-    n0, copied, n = 0, 0, 16
-    for t in range(steps):
-        if t == n:
-            got[:, copied:n] = got_t[copied:n].T
-            hist = _history(got, n)
-            base, n0, copied, n = lane * n, t.bit_length() - 1, n, 2 * n
+    rng = np.full(live, 2**64 - 1, U)
+    # Ids with start and count: what each block has so far, then the fixed table of novel ids.
+    known = len(coded) * lanes.width
+    tables = [np.concatenate([np.zeros(known, np.int32), x]) for x in (novel.at, novel.start[novel.at], novel.freq[novel.at])]
+    hist = [x[:known].reshape(len(coded), lanes.width) for x in tables]
+    n0, row, novel_bits = np.zeros(live, U), lanes.block * lanes.width, U(novel.bits)
+    for t in range(lanes.steps):
+        now = lanes.live(t)
+        if now < live:
+            live = now
+            d, rng, n0, pos, top, row = d[:now], rng[:now], n0[:now], pos[:now], top[:now], row[:now]
+            m.keep(now)
+        if t & (t - 1) == 0:  # blocks whose ids so far are a power of two
+            for k in np.unique(lanes.runs):
+                n, on = int(t * k), np.flatnonzero((lanes.runs == k) & (lanes.sizes > t * k))
+                if n >= 16 and len(on):
+                    for mine, found in zip(hist, _history(got[on, :n])):
+                        mine[on, :n] = found
+                    n0[lanes.stride[:live] == k] = U(n.bit_length() - 1)
         m.look()
         r = rng >> U(12)
         w = m.w.view(U)
         part = (d >= r * (w & U(0xFFFF))).astype(np.int64) + (d >= r * ((w >> U(16)) & U(0xFFFF))) + (d >= r * (w >> U(32)))
         lo, width = m.interval(part)
-        d -= r * lo.view(U)
+        d = d - r * lo.view(U)
         rng = r * width.view(U)
-        bits = np.array([0, 0, n0, novel.bits], U)[part]
-        r = rng >> bits
-        v = np.minimum(d // r, (U(1) << bits) - U(1)).view(np.int64)
         s = np.where(part == 0, m.p2, m.p1)
-        first, count = np.zeros(lanes, np.int64), np.ones(lanes, np.int64)
-        if hist is not None:
-            k = np.flatnonzero(part == 2)
-            at = base[k] + v[k]
-            s[k], first[k], count[k] = hist[0][at], hist[1][at], hist[2][at]
-        k = np.flatnonzero(part == 3)
-        x = novel.at[v[k]]
-        s[k], first[k], count[k] = x, novel.start[x], novel.freq[x]
-        d -= r * first.view(U)
-        rng = r * count.view(U)
-        got_t[t] = s
+        miss = np.flatnonzero(part > 1)
+        old = part[miss] == 2
+        bits = np.where(old, n0[miss], novel_bits)
+        r, left = rng[miss] >> bits, d[miss]
+        v = np.minimum(left // np.maximum(r, U(1)), (U(1) << bits) - U(1)).view(np.int64)
+        at = v + np.where(old, row[miss], known)
+        s[miss] = tables[0][at]
+        d[miss] = left - r * tables[1][at].astype(U)
+        rng[miss] = r * tables[2][at].astype(U)
+        got.ravel()[lanes.at[:live] + t * lanes.stride[:live]] = s
         m.learn(s, part, m.p1 == s, m.p2 == s)
         small = np.flatnonzero(rng < U(1 << 32))
-        if len(small):
-            p = np.minimum(pos[small], top[small])
-            d[small] = (d[small] << U(32)) | flat[p].astype(U)
-            pos[small] += 1
-            rng[small] = np.maximum(rng[small], U(1)) << U(32)
-    got = np.ascontiguousarray(got_t.T)
-    out: list = [None] * lanes
-    for r, i in enumerate(order):
-        ids = got[r, :lengths[r]].astype("<u4")
-        if zlib.crc32(ids.tobytes()) != heads[i][2]:
+        p = np.minimum(pos[small], top[small])
+        d[small] = (d[small] << U(32)) | flat[p].astype(U)
+        pos[small] += 1
+        rng[small] = np.maximum(rng[small], U(1)) << U(32)
+    out = []
+    for r, (_, n, crc, _) in enumerate(heads):
+        ids = np.empty(n, "<u4")
+        ids[_stepwise(n)] = got[r, :n]
+        if zlib.crc32(ids.tobytes()) != crc:
             raise ValueError("checksum of a block does not match")
-        out[i] = ids
+        out.append(ids)
     return out

@@ -10,8 +10,10 @@ Reading: blocks are decoded in groups of rows, in any order and by any task; eac
 pieces of its documents with their CRC-32, and the CRCs of a document's pieces are combined by length.
 
 Tokenizing: white space never lies inside a token of this vocabulary, so a text is cut at spaces and
-line ends and each distinct chunk is encoded once per worker through the library. The cache is emptied when it holds
-``CACHE_BYTES``, which changes no result.
+line ends and each distinct chunk is encoded once per worker through the library. New chunks go through it together, a mark between
+them that is a token of its own and parts them again. Where a chunk holds only ASCII and Latin-1 letters its words, digits and runs of symbols are cut here as the file's
+own rule cuts them, and only new ones go to the library's merges. Both hold for a file with the rules of ``RULES``; any other file gets every chunk encoded on its own.
+The cache is emptied when it holds ``CACHE_BYTES``, which changes no result.
 
 Defined cases: null and empty texts hold the end id only; null doc_ids come first; equal doc_ids are ordered by text;
 an empty table writes an empty table; further columns are ignored. Ids must be below 262144.
@@ -19,11 +21,14 @@ an empty table writes an empty table; further columns are ignored. Ids must be b
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import sys
 import types
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +40,17 @@ from signalops.functions.lineage import shared_folder
 from signalops.llm import coder
 from signalops.llm.text import text_or_empty
 
-END_ID, CACHE_BYTES, ENTRY = 1, 1 << 25, 150  # about what an entry takes besides its text and ids
+END_ID, CACHE_BYTES, ENTRY = 1, 3 << 24, 150  # about what an entry takes besides its text and ids
+MARK = "\x01"
+# How the public file normalises and cuts a text.
+RULES = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}]
+# Chunks that the rule cuts into words, single digits and runs of symbols, once in lower case: visible ASCII and Latin-1 letters, without apostrophes
+# and without "<" of the added tokens.
+_PLAIN, _PARTS = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+"), re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 class Encoder:
@@ -47,22 +62,59 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cache: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
         self.held = 0
+        state = json.loads(self.tokenizer.to_str())
+        self.mark = self._ids([MARK])[0]
+        self.joins = [state["normalizer"], state["pre_tokenizer"]] == RULES and len(self.mark) == 4
+        # How the file's rule writes the bytes of Latin-1 letters.
+        written = lambda c: "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c))
+        self.letters = str.maketrans({c: written(c) for c in map(chr, range(0xDF, 0x100))}) if self.joins else {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _part(self, part: str) -> bytes:
+        written = part if part.isascii() else part.translate(self.letters)
+        ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+        self.held += len(part) + len(ids) + ENTRY
+        return ids
+
+    def _plain(self, chunk: str) -> bytes:
+        """The ids of a plain chunk, from those of its words, digits and runs of symbols."""
+        chunk, held = chunk.lower(), self.parts
+        if chunk.isalpha():
+            return held.get(chunk) or self._part(chunk)
+        return b"".join([held.get(p) or self._part(p) for p in _PARTS.findall(chunk)])
+
+    def _joined(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks without a mark or an added token, from one call of the library."""
+        ids = np.frombuffer(self._ids([f" {MARK} ".join(chunks)])[0], "<u4")
+        stop = np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0])
+        if len(stop) != len(chunks) - 1:
+            return self._ids(chunks)
+        raw, cuts = ids.tobytes(), [-1, *stop.tolist(), len(ids)]
+        return [raw[4 * a + 4:4 * b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, new: list[str]) -> None:
+        plain, joined, single = [], [], []
+        for c in new:
+            (single if not self.joins or MARK in c or "<|" in c else plain if _PLAIN.fullmatch(c) else joined).append(c)
+        self.cache.update(zip(plain, map(self._plain, plain)))
+        for some, encode in ((joined, self._joined), (single, self._ids)):
+            if some:
+                self.cache.update(zip(some, encode(some)))
+        self.held += sum(map(len, new)) + sum(map(len, map(self.cache.__getitem__, new))) + ENTRY * len(new)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join(map(self.cache.__getitem__, chunks)))
-            except KeyError:
-                new = list(set(chunks).difference(self.cache))
-                for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    self.cache[c] = np.array(e.ids, "<u4").tobytes()
-                    self.held += len(c) + len(self.cache[c]) + ENTRY
-                out.append(b"".join(map(self.cache.__getitem__, chunks)))
-                if self.held > CACHE_BYTES:
-                    self.cache, self.held = {"": b""}, 0
+        """The texts share one look for new chunks, so many of those go to the library at once."""
+        cut = [text.replace("\n", " ").split(" ") for text in texts]
+        new = list(set().union(*cut).difference(self.cache))
+        if new:
+            self._learn(new)
+        out = [b"".join(map(self.cache.__getitem__, chunks)) for chunks in cut]
+        if self.held > CACHE_BYTES:
+            self.cache, self.parts, self.held = {"": b""}, {}, 0
         return out
 
 

@@ -73,6 +73,34 @@ def test_odd_rows_and_readers(spark, odd, make, tmp_path):
     assert tokens.round_trip(make([]), PATH).count() == 0
 
 
+def test_new_chunks_go_to_the_library_together(monkeypatch):
+    pieces = ["a", "B", "'s", "'", "<|endoftext|>", "<", "|", "0", "9", "_", "é", "É", "e\u0301", "\u0301", "İ", "ß", "\x01", "\x00", "\t", "\x1c", "\u3000", "\xa0", " ", "\n",
+              ".", "##", "\x7f", "中", "²", "😀", "'LL", "ﬁ", "ſ", "À", "ÿ", "×", "µ", "über", "Hello"]
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 12))) for _ in range(4000)]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch_fast(texts, add_special_tokens=False)]
+    for size in (tokens.CACHE_BYTES, 2000):
+        monkeypatch.setattr(tokens, "CACHE_BYTES", size)
+        enc = tokens.Encoder(PATH)
+        assert enc.joins and [np.frombuffer(x, "<u4").tolist() for i in range(0, 4000, 64) for x in enc(texts[i:i + 64])] == want
+    enc, calls = tokens.Encoder(PATH), []
+    monkeypatch.setattr(enc, "_ids", lambda t, real=enc._ids: calls.append(len(t)) or real(t))
+    enc([f"слово{i} plain{i}" for i in range(500)])
+    assert sum(calls) == 1
+
+
+def test_runs_of_a_block_share_its_tables():
+    rng = np.random.default_rng(7)
+    sizes = [0, 1, 15, 31, 32, 33, 255, 256, 257, 1000, 4095, 4096]
+    blocks = [(rng.zipf(1.3, n) % 49408).astype(np.uint32) for n in sizes]
+    coded = coder.encode(blocks, 49408)
+    assert [x.tolist() for x in coder.decode(coded[::-1])[::-1]] == [b.tolist() for b in blocks]
+    assert [coder._runs(n) for n in (0, 31, 32, 255, 256, 4096)] == [1, 1, 2, 8, 16, 16]
+    assert sorted(coder._stepwise(1000).tolist()) == list(range(1000)) and coder._stepwise(4096)[:3].tolist() == [0, 256, 512]
+    shared = np.tile(rng.integers(0, 49408, 256).astype(np.uint32), 16)  # all runs alike: what one meets the others know
+    assert len(coder.encode([shared], 49408)[0]) < 11000
+
+
 def test_joined_crc():
     a, b = b"12345678", b"abcd" * 5
     assert tokens.join_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
