@@ -17,6 +17,7 @@ cost of an array call is shared by all lanes. Encoder and decoder run the same `
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 
@@ -33,6 +34,16 @@ _pack = lambda a, b, c: a | b << 16 | c << 32
 _PULL = np.array([_pack(*[(_MIX - 32 * (3 - j)) // 32 if j >= c else 32 * (j + 1) // 32 for j in range(3)]) for c in range(4)], np.int64)
 _START = np.array([_pack(x * 100 + 200, x * 150 + 500, x * 100 + 2400) for x in range(16)], np.int64)
 U = np.uint64
+_ID, _FREQ, _BITS = U(18), U(20), U(5)  # widths of the fields of a packed id
+
+
+def _field(packed: np.ndarray, at: int, width: np.uint64) -> np.ndarray:
+    return (packed >> U(at)) & U((1 << int(width)) - 1)
+
+
+def _packed(ids, start, freq) -> np.ndarray:
+    """An id, start and width of its interval in one number."""
+    return ids.astype(U) | start.astype(U) << _ID | freq.astype(U) << (_ID + _FREQ)
 
 
 class _Novel:
@@ -54,6 +65,7 @@ def _runs(n: int) -> int:
     return next(k for k in (STREAMS, 8, 4, 2, 1) if n >= 16 * k or k == 1)
 
 
+@functools.lru_cache(64)
 def _stepwise(n: int) -> np.ndarray:
     """Where the ids of a block stand in the order of coding: step by step, all runs in turn."""
     k = _runs(n)
@@ -99,11 +111,11 @@ class _Model:
     def look(self) -> None:
         self.i1 = self.b1 + (self.last & (_T1 - 1))
         self.i2 = self.b2 + ((self.last * 37 + self.before) & (_T2 - 1))
-        self.e1, self.e2 = self.one[self.i1], self.two[self.i2]
+        self.e1, self.e2 = self.one.take(self.i1), self.two.take(self.i2)
         self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
         self.k1, self.k2 = self.e1 & 3, self.e2 & 3
         self.ctx = self.bm + ((self.k2 << 2) + self.k1 * (self.p1 != self.p2))
-        self.w = self.mix[self.ctx]
+        self.w = self.mix.take(self.ctx)
 
     def interval(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sh = part << 4
@@ -112,7 +124,7 @@ class _Model:
 
     def learn(self, ids: np.ndarray, part: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
         """A right prediction gains confidence up to 3; a wrong one is replaced."""
-        self.mix[self.ctx] = self.w - ((self.w >> 5) & _FIELDS) + _PULL[part]
+        self.mix[self.ctx] = self.w - ((self.w >> 5) & _FIELDS) + _PULL.take(part)
         fresh = (ids << 2) | 1
         self.one[self.i1] = np.where(hit1, self.e1 + (self.k1 < 3), fresh)
         self.two[self.i2] = np.where(hit2, self.e2 + (self.k2 < 3), fresh)
@@ -156,28 +168,32 @@ def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
     novel, m = _Novel(vocab), _Model(lanes)
     first, count = _order0(ids.astype(np.uint16) if vocab <= 65536 else ids) if lanes.width else (ids.astype(np.int32), ids.astype(np.int32))
     seen = count > 0
-    first, count = np.where(seen, first, novel.start[ids]).ravel(), np.where(seen, count, novel.freq[ids]).ravel()
+    first, count = np.where(seen, first, novel.start[ids]), np.where(seen, count, novel.freq[ids])
     n0 = np.array([q.bit_length() - 1 if q >= 16 else 0 for q in range(lanes.width)], np.uint8)
-    bits, part0 = np.where(seen, n0, np.uint8(novel.bits)).ravel(), np.where(seen, np.int8(2), np.int8(3)).ravel()
-    ids = ids.ravel().astype(np.int32)
+    info = _packed(ids, first, count).ravel()
+    info |= (np.where(seen, n0, np.uint8(novel.bits)).astype(U) << U(58) | (~seen).astype(U) << U(63)).ravel()
     live = len(lanes.block)
     low, rng = np.zeros(live, U), np.full(live, 2**64 - 1, U)
-    words, size = np.zeros((live, lanes.steps + 4), np.uint32), np.zeros(live, np.int64)
+    words = np.zeros((live, lanes.steps + 4), np.uint32)
+    flat, begin = words.ravel(), np.arange(live) * words.shape[1]
+    pos = begin.copy()  # where each run's next word goes
 
     def carry(rows: np.ndarray) -> None:
         """Add one to the words already written."""
         back = 1
-        rows = rows[size[rows] >= back]
+        rows = rows[pos[rows] - begin[rows] >= back]
         while len(rows):
-            words[rows, size[rows] - back] += np.uint32(1)
-            rows = rows[words[rows, size[rows] - back] == 0]
+            at = pos[rows] - back
+            flat[at] += np.uint32(1)
+            rows = rows[flat[at] == 0]
             back += 1
-            rows = rows[size[rows] >= back]
+            rows = rows[pos[rows] - begin[rows] >= back]
 
     def put(rows: np.ndarray) -> None:
-        words[rows, size[rows]] = (low[rows] >> U(32)).astype(np.uint32)
-        size[rows] += 1
-        low[rows] <<= U(32)
+        at, value = pos.take(rows), low.take(rows)
+        flat[at] = value >> U(32)
+        pos[rows] = at + 1
+        low[rows] = value << U(32)
 
     def end(rows: np.ndarray) -> None:
         """One word more tells the range: the next multiple of 2**32 lies within it."""
@@ -192,23 +208,22 @@ def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
             end(np.arange(now, live))
             live, low, rng = now, low[:now], rng[:now]
             m.keep(now)
-        at = lanes.at[:live] + t * lanes.stride[:live]
-        s = ids[at]
+        one = info.take(lanes.at[:live] + t * lanes.stride[:live])
+        s = _field(one, 0, _ID).astype(np.int32)
         m.look()
         hit1, hit2 = m.p1 == s, m.p2 == s
-        part = np.where(hit2, 0, np.where(hit1, 1, part0[at]))
+        hit = hit1 | hit2
+        part = np.where(hit, ~hit2, 2 + (one >> U(63)).astype(np.int8))
         lo, width = m.interval(part)
         r = rng >> U(12)
         new = low + r * lo.view(U)
         over = new < low
-        rng = r * width.view(U)
-        miss = np.flatnonzero(part > 1)
-        k = at[miss]
-        r = rng[miss] >> bits[k].astype(U)
-        some = new[miss]
-        new[miss] = more = some + r * first[k].astype(U)
-        over[miss] |= more < some
-        rng[miss] = r * count[k].astype(U)
+        # Orders 2 and 1 name the id; the others go on within their interval.
+        one &= hit.astype(U) - U(1)
+        r = (r * width.view(U)) >> _field(one, 58, _BITS)
+        more = new + r * _field(one, 18, _FREQ)
+        over |= more < new
+        new, rng = more, r * (_field(one, 38, _FREQ) + hit)
         low = new
         if over.any():
             carry(np.flatnonzero(over))
@@ -218,7 +233,7 @@ def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
         rng[small] <<= U(32)
     end(np.arange(live))
     back = np.argsort(lanes.order)
-    size, words = size[back], words[back]
+    size, words = (pos - begin)[back], words[back]
     body = words[np.arange(words.shape[1]) < size[:, None]].astype("<u4")
     stop = np.cumsum(np.concatenate(([0], size)))
     out, lane = [], 0
@@ -229,15 +244,14 @@ def encode(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
     return out
 
 
-def _history(got: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ids of every row sorted, with start and count of the id at each position."""
-    s = np.sort(got, axis=1, kind="stable")
+def _history(got: np.ndarray) -> np.ndarray:
+    """The ids of every row sorted, each packed with its start and count."""
+    s = np.sort(got, axis=1)
     edge = np.ones(s.shape, bool)
     edge[:, 1:] = s[:, 1:] != s[:, :-1]
     first = np.flatnonzero(edge)
     count = np.diff(first, append=s.size)
-    flat = s.ravel(), np.repeat((first % s.shape[1]).astype(np.int32), count), np.repeat(count.astype(np.int32), count)
-    return tuple(x.reshape(s.shape) for x in flat)
+    return np.repeat(_packed(s.ravel()[first], first % s.shape[1], count), count).reshape(s.shape)
 
 
 def decode(coded: list[bytes]) -> list[np.ndarray]:
@@ -265,10 +279,10 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
     top = pos + width_w - 3
     d = (words[:, 0].astype(U) << U(32)) | words[:, 1].astype(U)
     rng = np.full(live, 2**64 - 1, U)
-    # Ids with start and count: what each block has so far, then the fixed table of novel ids.
+    # Packed ids: what each block has so far, the fixed table of novel ids, and an entry that leaves a range as it is.
     known = len(coded) * lanes.width
-    tables = [np.concatenate([np.zeros(known, np.int32), x]) for x in (novel.at, novel.start[novel.at], novel.freq[novel.at])]
-    hist = [x[:known].reshape(len(coded), lanes.width) for x in tables]
+    table = np.concatenate([np.zeros(known, U), _packed(np.arange(vocab), novel.start, novel.freq)[novel.at], np.array([1 << 38], U)])
+    hist = table[:known].reshape(len(coded), lanes.width)
     n0, row, novel_bits = np.zeros(live, U), lanes.block * lanes.width, U(novel.bits)
     for t in range(lanes.steps):
         now = lanes.live(t)
@@ -280,8 +294,7 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
             for k in np.unique(lanes.runs):
                 n, on = int(t * k), np.flatnonzero((lanes.runs == k) & (lanes.sizes > t * k))
                 if n >= 16 and len(on):
-                    for mine, found in zip(hist, _history(got[on, :n])):
-                        mine[on, :n] = found
+                    hist[on, :n] = _history(got[on, :n])
                     n0[lanes.stride[:live] == k] = U(n.bit_length() - 1)
         m.look()
         r = rng >> U(12)
@@ -290,16 +303,14 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
         lo, width = m.interval(part)
         d = d - r * lo.view(U)
         rng = r * width.view(U)
-        s = np.where(part == 0, m.p2, m.p1)
-        miss = np.flatnonzero(part > 1)
-        old = part[miss] == 2
-        bits = np.where(old, n0[miss], novel_bits)
-        r, left = rng[miss] >> bits, d[miss]
-        v = np.minimum(left // np.maximum(r, U(1)), (U(1) << bits) - U(1)).view(np.int64)
-        at = v + np.where(old, row[miss], known)
-        s[miss] = tables[0][at]
-        d[miss] = left - r * tables[1][at].astype(U)
-        rng[miss] = r * tables[2][at].astype(U)
+        old, new = part == 2, part == 3
+        bits = np.where(old, n0, new * novel_bits)
+        r = rng >> bits
+        v = np.minimum(d // np.maximum(r, U(1)), (U(1) << bits) - U(1)).view(np.int64)
+        one = table.take(v + np.where(old, row, np.where(new, known, len(table) - 1)))
+        d = d - r * _field(one, 18, _FREQ)
+        rng = r * _field(one, 38, _FREQ)
+        s = np.where(part > 1, _field(one, 0, _ID).astype(np.int32), np.where(part == 0, m.p2, m.p1))
         got.ravel()[lanes.at[:live] + t * lanes.stride[:live]] = s
         m.learn(s, part, m.p1 == s, m.p2 == s)
         small = np.flatnonzero(rng < U(1 << 32))

@@ -89,6 +89,26 @@ def test_new_chunks_go_to_the_library_together(monkeypatch):
     assert sum(calls) == 1
 
 
+def test_latin_words_come_from_slots(monkeypatch):
+    """Any Latin-1 characters, contractions, words of one slot, long words, full pools and cut texts: all as the library does."""
+    rng = np.random.default_rng(8)
+    pieces = [*map(chr, range(256)), *"aAéÉ09.!'' ", *["'s", "'T", "'re", "'Ve", "'ll", "'LX", "'d'm", "l'homme", " don't ", "!'s", "x" * 22, "é" * 23, "y" * 24, "." * 40, "\x00" * 2]]
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 30))) for _ in range(1500)] + ["ab cd " * 300, "", " ", "'", "a'", "'r", "x" * 3000, "<|endoftext|>é"]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch_fast(texts, add_special_tokens=False)]
+    for slots, pool, span in ((20, 1 << 22, 1 << 18), (2, 64, 50), (6, 4000, 700)):
+        for name, value in (("SLOTS", slots), ("POOL", pool), ("SPAN", span)):
+            monkeypatch.setattr(tokens, name, value)
+        enc = tokens.Encoder(PATH)
+        assert enc.joins and [np.frombuffer(x, "<u4").tolist() for i in range(0, len(texts), 64) for x in enc(texts[i:i + 64])] == want
+    monkeypatch.undo()
+    enc, calls = tokens.Encoder(PATH), []
+    monkeypatch.setattr(enc, "_ids", None)
+    monkeypatch.setattr(enc.words, "encode", lambda w, real=enc._merged: calls.append(sorted(w)) or real(w))
+    for _ in range(2):
+        enc(["One word, one time.", "ONE Word; once!"] * 20)
+    assert calls == [sorted([b"one", b"word", b",", b"time", b".", b";", b"once", b"!"])]
+
+
 def test_runs_of_a_block_share_its_tables():
     rng = np.random.default_rng(7)
     sizes = [0, 1, 15, 31, 32, 33, 255, 256, 257, 1000, 4095, 4096]
